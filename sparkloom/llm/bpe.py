@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from .common import append_columns
 
 #: Distinct pieces that a task keeps; beyond it, the store starts anew, which bounds memory and changes no result.
-KEPT_PIECES = 500_000
+KEPT_PIECES = 200_000
 
 
 def byte_alphabet() -> list[str]:
@@ -119,7 +119,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids
 
         return work
 
-    return append_columns(df, fields, make, text)
+    return append_columns(df, fields, make, text, 1 << 20)
 
 
 def decode(df: DataFrame, ranks_path: str, ids: str = "token_ids", data: str = "decoded", text: str | None = None) -> DataFrame:
@@ -149,7 +149,7 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "token_ids", data: str = "
 
         return work
 
-    return append_columns(df, fields, make, ids)
+    return append_columns(df, fields, make, ids, 1 << 20)
 
 
 def digest(ids: str, data: str) -> dict:

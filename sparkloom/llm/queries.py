@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, decontaminate, lm, secrets, simhash, toxicity
 from .common import table
 
 QUERIES: dict = {}
@@ -17,6 +17,91 @@ def query(f):
     return f
 
 
+def digest_of(text):
+    """Lower-case SHA-256 of a string's UTF-8 bytes."""
+    return F.sha2(text.cast("binary"), 256)
+
+
+@query
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every whole text: the base kinds and the further ones of the method."""
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = [r.kind for r in secrets.BASE_RULES]
+    return found.select(
+        "doc_id",
+        *(secrets.of_kind("spans", kind).alias(f"n_{kind}") for kind in base),
+        digest_of(secrets.listed("spans", base)).alias("base_sha256"),
+        secrets.listed("spans").alias("spans"),
+    )
+
+
+def _secret_sql() -> str:
+    rules = secrets.BASE_RULES + secrets.MORE_RULES
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    cut = ", ".join(f"list_transform(string_split_regex(t, {quoted(r.pattern)}), x -> length(x)) AS g{k}, list_transform(regexp_extract_all(t, {quoted(r.pattern)}), x -> length(x)) AS m{k}, list_transform(regexp_extract_all(t, {quoted(r.pattern)}, {r.group}), x -> length(x)) AS p{k}" for k, r in enumerate(rules))
+    spans = ", ".join(f"list_filter(list_transform(range(1, len(m{k}) + 1), i -> {{'s': (list_sum(g{k}[1:i]) + coalesce(list_sum(m{k}[1:i-1]), 0))::BIGINT, 'o': {k}, 'k': '{r.kind}', 'e': (list_sum(g{k}[1:i]) + list_sum(m{k}[1:i]))::BIGINT, 'p': p{k}[i]}}), x -> x.p >= {r.least})" for k, r in enumerate(rules))
+    counts = ", ".join(f"len(list_filter(f, x -> x.k = '{r.kind}'))::BIGINT AS n_{r.kind}" for r in secrets.BASE_RULES)
+    named = "x -> x.k || ':' || x.s || ':' || x.e"
+    return f"""WITH cut AS (SELECT doc_id, {cut} FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)),
+found AS (SELECT doc_id, list_sort(flatten([{spans}])) AS f FROM cut)
+SELECT doc_id, {counts},
+ sha256(array_to_string(list_transform(list_filter(f, x -> x.o < {len(secrets.BASE_RULES)}), {named}), ',')) AS base_sha256,
+ array_to_string(list_transform(f, {named}), ',') AS spans FROM found"""
+
+
+ORACLES["op1_secret_scan"] = _secret_sql()
+
+
+@query
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of every whole document lies inside 13-word windows of benchmark items."""
+    found = decontaminate.overlap(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+        digest_of(F.array_join("item_ids", ",")).alias("items_sha256"), decontaminate.contaminated().alias("contaminated"),
+    )
+
+
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ORACLES["op2_decontaminate"] = rf"""WITH docs AS (SELECT doc_id, regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (SELECT item_id, regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+long AS (SELECT item_id, w, least(13, len(w)) AS n FROM items WHERE len(w) > 0),
+pats AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i+n-1], ' ') AS p FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM long)),
+wins AS (SELECT doc_id, i, n, array_to_string(w[i:i+n-1], ' ') AS p FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs, (SELECT DISTINCT n FROM pats))),
+occ AS (SELECT doc_id, i, n, item_id FROM wins JOIN pats USING (n, p)),
+hit AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS k FROM occ) GROUP BY 1),
+found AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS s FROM occ) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+ (coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w)) AS contaminated
+FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN found USING (doc_id)"""
+
+
+@query
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    found = simhash.groups(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def remainder(id_column: str, n: int):
+    """CRC-32 of the id as text, modulo n."""
+    return F.crc32(F.col(id_column).cast("string").cast("binary")) % n
+
+
+@query
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole document, learned from the labelled rows that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = toxicity.score(docs, table(spark, sf_dir, "labels"), remainder("doc_id", 3) != 1)
+    return found.select("doc_id", F.coalesce(remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+@query
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of every whole document: exact unigrams, and the filter's word pairs."""
+    return lm.score(table(spark, sf_dir, "documents"), remainder("doc_id", 5) != 1)
+
+
 @query
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every whole text and decode the ids again."""
