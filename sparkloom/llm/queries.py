@@ -38,14 +38,14 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _secret_sql() -> str:
     rules = secrets.BASE_RULES + secrets.MORE_RULES
     quoted = lambda p: "'" + p.replace("'", "''") + "'"
-    cut = ", ".join(f"list_transform(string_split_regex(t, {quoted(r.pattern)}), x -> length(x)) AS g{k}, list_transform(regexp_extract_all(t, {quoted(r.pattern)}), x -> length(x)) AS m{k}, list_transform(regexp_extract_all(t, {quoted(r.pattern)}, {r.group}), x -> length(x)) AS p{k}" for k, r in enumerate(rules))
-    spans = ", ".join(f"list_filter(list_transform(range(1, len(m{k}) + 1), i -> {{'s': (list_sum(g{k}[1:i]) + coalesce(list_sum(m{k}[1:i-1]), 0))::BIGINT, 'o': {k}, 'k': '{r.kind}', 'e': (list_sum(g{k}[1:i]) + list_sum(m{k}[1:i]))::BIGINT, 'p': p{k}[i]}}), x -> x.p >= {r.least})" for k, r in enumerate(rules))
-    counts = ", ".join(f"len(list_filter(f, x -> x.k = '{r.kind}'))::BIGINT AS n_{r.kind}" for r in secrets.BASE_RULES)
-    named = "x -> x.k || ':' || x.s || ':' || x.e"
+    cut = ", ".join(f"list_transform(string_split_regex(t, {quoted(r.pattern)}), lambda x: length(x)) AS g{k}, list_transform(regexp_extract_all(t, {quoted(r.pattern)}), lambda x: length(x)) AS m{k}, list_transform(regexp_extract_all(t, {quoted(r.pattern)}, {r.group}), lambda x: length(x)) AS p{k}" for k, r in enumerate(rules))
+    spans = ", ".join(f"list_filter(list_transform(range(1, len(m{k}) + 1), lambda i: {{'s': (list_sum(g{k}[1:i]) + coalesce(list_sum(m{k}[1:i-1]), 0))::BIGINT, 'o': {k}, 'k': '{r.kind}', 'e': (list_sum(g{k}[1:i]) + list_sum(m{k}[1:i]))::BIGINT, 'p': p{k}[i]}}), lambda x: x.p >= {r.least})" for k, r in enumerate(rules))
+    counts = ", ".join(f"len(list_filter(f, lambda x: x.k = '{r.kind}'))::BIGINT AS n_{r.kind}" for r in secrets.BASE_RULES)
+    named = "lambda x: x.k || ':' || x.s || ':' || x.e"
     return f"""WITH cut AS (SELECT doc_id, {cut} FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)),
 found AS (SELECT doc_id, list_sort(flatten([{spans}])) AS f FROM cut)
 SELECT doc_id, {counts},
- sha256(array_to_string(list_transform(list_filter(f, x -> x.o < {len(secrets.BASE_RULES)}), {named}), ',')) AS base_sha256,
+ sha256(array_to_string(list_transform(list_filter(f, lambda x: x.o < {len(secrets.BASE_RULES)}), {named}), ',')) AS base_sha256,
  array_to_string(list_transform(f, {named}), ',') AS spans FROM found"""
 
 

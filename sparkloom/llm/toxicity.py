@@ -152,7 +152,7 @@ def score(
         share = float(toxic) / count if count else 0.0
         return base.withColumn("score", F.lit(share)).withColumn("predicted", F.lit(int(share >= threshold)))
     ready = trained.select(F.col("label").cast("double").alias("label"), "part", array_to_vector("features").alias("features")).coalesce(4)
-    model = GBTClassifier(maxIter=trees, maxDepth=4, stepSize=0.25, minInstancesPerNode=3, seed=7, labelCol="label", featuresCol="features", probabilityCol="probability").fit(ready.where("part < 14"))
+    model = GBTClassifier(maxIter=trees, maxDepth=4, stepSize=0.25, minInstancesPerNode=3, seed=7, labelCol="label", featuresCol="features").fit(ready.where("part < 14"))
     likely = vector_to_array("probability")[1]
     held = model.transform(ready.where("part >= 14")).select("label", likely.alias("p"))
     if held.agg(F.count_distinct("label")).first()[0] < 2:
