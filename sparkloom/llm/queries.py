@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, lm, secrets, simhash, toxicity
-from .common import table
+from . import ann, bpe, decontaminate, html_text, langid, lm, secrets, simhash, token_files, toxicity
+from .common import shared_dir, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -110,3 +112,43 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN).drop("text")
     return bpe.decode(ids, path).select("doc_id", *(c.alias(name) for name, c in bpe.digest("token_ids", "decoded").items()))
+
+
+@query
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every whole page."""
+    return html_text.main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every page; trigrams are learned from the documents' languages."""
+    return langid.fuse(table(spark, sf_dir, "pages"), langid.learn(table(spark, sf_dir, "documents")))
+
+
+#: Stands for a null doc_id in a token file.
+_NO_ID = -(1 << 63)
+
+
+@query
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, counted in flat files of byte-level BPE ids that are written first.
+
+    Each document's ids stand behind five ids that say its doc_id, so that
+    counts can be named without an index; those five are not counted.
+    """
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ids = bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    path, end = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}", 50_256
+    token_files.write(ids.select(F.concat(token_files.number_ids(F.coalesce("doc_id", F.lit(_NO_ID))), "token_ids").alias("token_ids")), path, end)
+    found = token_files.scan(spark, path, end, head=token_files.DIGITS)
+    return found.select(F.nullif(token_files.number_of(F.col("head")), F.lit(_NO_ID)).alias("doc_id"), (F.col("n_tokens") - token_files.DIGITS).alias("n_tokens"))
+
+
+@query
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every vector whose id is divisible by 20, among all others."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.where(F.col("vec_id") % 20 == 0)).select("query_id", "rank", "vec_id", "score")
