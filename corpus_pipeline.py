@@ -1,8 +1,76 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again by the next."""
+"""The corpus pipeline: five stages over documents, each written as Parquet and read again by the next.
 
-STAGES: list = []
+Toxic documents go, of each group of near-duplicates the document with the
+smallest id stays, contaminated documents go, documents with secrets have
+these blotted out, and what is left is encoded.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sparkloom.llm import bpe, decontaminate, secrets, simhash, toxicity
+from sparkloom.llm.common import materialize, table
+from sparkloom.llm.queries import remainder
+
+#: What stands for a secret in a text that is kept.
+BLOT = "[secret]"
+
+
+def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity score does not reject."""
+    scored = toxicity.score(docs, table(spark, sf_dir, "labels"), remainder("doc_id", 3) != 1)
+    return scored.where(F.col("predicted") == 0).select(docs.columns)
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of linked fingerprints; documents without id are all kept, and of repeated ids one row."""
+    kept = simhash.groups(docs.where(F.col("doc_id").isNotNull())).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    named = docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+
+
+def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which less than one word in twenty lies in benchmark passages."""
+    found = decontaminate.overlap(docs, table(spark, sf_dir, "benchmark"))
+    return found.where(~decontaminate.contaminated()).select(docs.columns)
+
+
+def blot_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with every span of a secret replaced; n_chars follows the text."""
+    found = secrets.scan(docs)
+    text = F.when(F.size("spans") > 0, secrets.blotted(F.col("text"), "spans", BLOT)).otherwise(F.col("text"))
+    done = found.withColumn("n_chars", F.when(F.size("spans") > 0, F.length(text).cast("long")).otherwise(F.col("n_chars"))).withColumn("text", text)
+    return done.select(docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, token ids' count and digest, and the digest of the decoded bytes."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ids = bpe.encode(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN).drop("text")
+    return bpe.decode(ids, path).select("doc_id", *(c.alias(name) for name, c in bpe.digest("token_ids", "decoded").items()))
+
+
+STAGES = [
+    ("toxicity", keep_civil),
+    ("near_duplicates", keep_one_of_each),
+    ("decontamination", keep_uncontaminated),
+    ("secrets", blot_secrets),
+    ("encoding", encode),
+]
+
+#: SQL has neither trees nor XXH64, so the pipeline is tested against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, one after the other, over the documents of a scale folder."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialize(docs, name)
+    return docs

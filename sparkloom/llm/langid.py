@@ -108,21 +108,28 @@ def fuse(pages: DataFrame, model: dict[str, np.ndarray], id_column: str = "page_
     met = rows
     for by in ("host", "domain", "suffix", "declared"):
         met = met.join(sums(by), by)
-    everywhere = F.array(*(F.lit(float(x)) for x in whole))
-    less = lambda n: F.zip_with(n, "p", lambda a, b: F.greatest(a - b, F.lit(0.0)))
-    lean = lambda n, above: F.zip_with(n, above, lambda a, b: a + STRENGTH * b)
-    prior_all = _share(F.transform(less(everywhere), lambda x: x + 1.0))
-    prior_domain = _share(lean(less(F.col("n_domain")), prior_all))
-    prior_host = _share(lean(less(F.col("n_host")), prior_domain))
-    # P(value | language): pages of the language that have the value, leaning on an even share
-    tells = lambda n: F.zip_with(less(F.col(n)), less(everywhere), lambda a, b: F.log((a + 0.5) / (b + 1.0)))
-    add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
-    evidence = add(add(add(F.col("by_text"), F.transform(prior_host, lambda x: F.log(x))), tells("n_suffix")), F.when(F.col("declared") != "", tells("n_declared")).otherwise(F.transform("p", lambda _: F.lit(0.0))))
-    labels = F.array(*(F.lit(n) for n in names))
-    pick = lambda c: F.get(labels, F.array_position(c, F.array_max(c)).cast("int") - 1)
-    fused = met.withColumn("evidence", evidence)
-    fused = fused.withColumn("posterior", _normal(F.transform("evidence", lambda x: x - F.array_max("evidence"))))
-    return fused.select(F.col("id").alias(id_column), F.col("url").alias(url), "host", "declared", pick(F.col("by_text")).alias("text_lang"), pick(F.col("evidence")).alias("lang"), F.array_max("posterior").alias("confidence"))
+    def judge(batches):
+        every = np.array(whole)
+        for batch in batches:
+            part = batch.to_pydict()
+            if not part["id"]:
+                continue
+            by_text, p, n_host, n_domain, n_suffix, n_declared = (np.array(part[c]) for c in ("by_text", "p", "n_host", "n_domain", "n_suffix", "n_declared"))
+            less = lambda n: np.maximum(n - p, 0.0)  # noqa: E731  without the page's own share
+            share = lambda n: n / n.sum(axis=1, keepdims=True)
+            prior = share(less(every) + 1.0)
+            for n in (n_domain, n_host):
+                prior = share(less(n) + STRENGTH * prior)
+            # P(value | language): pages of the language that have the value, leaning on an even share
+            tells = lambda n: np.log((less(n) + 0.5) / (less(every) + 1.0))
+            evidence = by_text + np.log(prior) + tells(n_suffix) + np.where((np.array(part["declared"]) != "")[:, None], tells(n_declared), 0.0)
+            posterior = share(np.exp(evidence - evidence.max(axis=1, keepdims=True)))
+            columns = [batch.column(c) for c in ("id", "url", "host", "declared")]
+            columns += [pa.array([names[i] for i in by_text.argmax(axis=1)]), pa.array([names[i] for i in evidence.argmax(axis=1)]), pa.array(posterior.max(axis=1))]
+            yield pa.RecordBatch.from_arrays(columns, names=out.names)
+
+    out = T.StructType().add(id_column, rows.schema["id"].dataType).add(url, T.StringType()).add("host", T.StringType()).add("declared", T.StringType()).add("text_lang", T.StringType()).add("lang", T.StringType()).add("confidence", T.DoubleType())
+    return met.mapInArrow(judge, out)
 
 
 def _total(a: Column) -> Column:

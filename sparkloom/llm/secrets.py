@@ -201,3 +201,15 @@ def listed(spans: str, kinds: list[str] | None = None) -> Column:
 def of_kind(spans: str, kind: str) -> Column:
     """How many spans of a kind there are."""
     return F.size(F.filter(F.col(spans), lambda s: s["kind"] == F.lit(kind))).cast("long")
+
+
+def blotted(text: Column, spans: str, blot: str) -> Column:
+    """The text with its sorted spans replaced, each run of overlapping spans by one ``blot``."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("done"))
+
+    def step(state, span):
+        piece = F.concat(state["done"], F.substr(text, state["at"] + 1, span["start"] - state["at"]), F.lit(blot))
+        done = F.when(span["start"] >= state["at"], piece).otherwise(state["done"])
+        return F.struct(F.greatest(state["at"], span["end"]).alias("at"), done.alias("done"))
+
+    return F.aggregate(F.col(spans), start, step, lambda s: F.concat(s["done"], F.substr(text, s["at"] + 1)))
