@@ -1,6 +1,361 @@
-"""The registered queries and their DuckDB counterparts."""
+"""The registered queries of the text index and their DuckDB counterparts.
+
+All read whole tables: prose is spelled as bases, and every text is cut into
+reads of 101 characters that together hold all of it. ``documents`` serves the build, ``conversations`` and
+``benchmark`` the lookups, ``part`` (names with many ties) the tie-breaking.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import alphabet
+from .operators import invert, lookups, merge, runs, search, transform
+from .operators.index import Index
+from .sources import codecs, files
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+# what the SQL counterparts share
+_ENC = "translate(regexp_replace(lower(coalesce({0}, '')), '[^a-z]', '5', 'g'), 'abcdefghijklmnopqrstuvwxyz', '12234233123134241123414321')"
+_READS = "SELECT {coll} AS coll, {key} * 1048576 + k AS seq_id, substr(t, k * 101 + 1, 101) AS s FROM (SELECT *, unnest(range(0, greatest(ceil(length(t) / 101.0)::BIGINT, 1))) AS k FROM (SELECT *, {enc} AS t FROM {table}))"
+_SUF = "SELECT coll, seq_id, off, substr(s, off + 1) AS suf, CASE WHEN off = 0 THEN 0 ELSE substr(s, off, 1)::INT END AS c FROM (SELECT *, unnest(range(0, length(s) + 1)) AS off FROM texts)"
+_BWT = "SELECT row_number() OVER (ORDER BY suf, coll, seq_id) - 1 AS pos, c, coll, seq_id, off, suf FROM suf"
+#: Tables by name: key column, text column and the collection of a row.
+_TABLES = {
+    "documents": ("doc_id", "text", "CASE WHEN doc_id % 2 = 0 THEN 0 ELSE 1 END"),
+    "conversations": ("conv_id * 1024 + turn", "text", "CASE WHEN role = 'user' THEN 0 ELSE 1 END"),
+    "benchmark": ("item_id", "text", "CASE WHEN item_id % 2 = 0 THEN 0 ELSE 1 END"),
+    "part": ("p_partkey", "p_name", "p_partkey % 3"),
+}
+
+
+def _with(table: str, one: bool = False) -> str:
+    """The common table expressions texts, suf, bwt, alpha of a table; ``one``: as a single collection."""
+    key, text, coll = _TABLES[table]
+    reads = _READS.format(coll="0" if one else coll, key=f"({key})", enc=_ENC.format(text), table=table)
+    alpha = "SELECT comp, cnt, coalesce(sum(cnt) OVER (ORDER BY comp ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS c_before FROM (SELECT k AS comp, (SELECT count(*) FROM bwt WHERE c = k) AS cnt FROM unnest(range(0, 6)) x(k))"
+    return f"WITH texts AS ({reads}), suf AS ({_SUF}), bwt AS ({_BWT}), alpha AS ({alpha})"
+
+
+def texts(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """texts(coll, seq_id, s): the reads of a whole table."""
+    key, text, coll = _TABLES[table]
+    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    spelled = rows.select(F.expr(coll).cast("int").alias("coll"), F.expr(key).cast("long").alias("seq_id"), alphabet.prose_as_bases(F.coalesce(F.col(text), F.lit(""))).alias("s"))
+    return transform.reads_of(spelled)
+
+
+def one(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return texts(spark, sf_dir, table).drop("coll")
+
+
+def index(spark: SparkSession, sf_dir: str, table: str = "conversations") -> Index:
+    return Index.of_texts(one(spark, sf_dir, table))
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+C, D, B, P = (_with(t, True) for t in ("conversations", "documents", "benchmark", "part"))
+C2, D2, P2 = (_with(t) for t in ("conversations", "documents", "part"))
+_PATTERNS = f"(SELECT item_id AS pattern_id, translate(substr({_ENC.format('text')}, 1, (3 + item_id % 6)::BIGINT), '12345', 'ACGTN') AS pattern, substr({_ENC.format('text')}, 1, (3 + item_id % 6)::BIGINT) AS p FROM benchmark)"
+
+
+def patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pattern of three to eight symbols for every benchmark item: how its text begins."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    spelled = alphabet.prose_as_bases(F.coalesce("text", F.lit("")))
+    return items.select(F.col("item_id").alias("pattern_id"), alphabet.decode(F.substr(spelled, F.lit(1), (3 + F.col("item_id") % 6).cast("int"))).alias("pattern"))
+
+
+def questions(bwt: DataFrame) -> DataFrame:
+    """(i, c): a question for every position of a transform, about the symbol that stands elsewhere."""
+    return bwt.select(F.col("pos").alias("i"), (1 + F.col("pos") % 5).cast("int").alias("c"))
+
+
+@query("SELECT doc_id, " + _ENC.format("text") + " AS s FROM documents")
+def q_reads_encode(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select("doc_id", alphabet.prose_as_bases(F.coalesce("text", F.lit(""))).alias("s"))
+
+
+@query(f"{C} SELECT comp::INT AS comp, substr('$ACGTN', comp + 1, 1) AS ch, cnt::BIGINT AS cnt, c_before FROM alpha")
+def q_alphabet_c(spark, sf_dir):
+    return alphabet.of_bwt(transform.build(one(spark, sf_dir, "conversations")))
+
+
+@query(f"{P} SELECT pos, seq_id, off FROM bwt")
+def q_suffix_array(spark, sf_dir):
+    return transform.build(one(spark, sf_dir, "part")).select("pos", "seq_id", "off")
+
+
+@query(f"{C} SELECT pos, c FROM bwt")
+def q_bwt_build(spark, sf_dir):
+    return transform.build(one(spark, sf_dir, "conversations")).select("pos", "c")
+
+
+@query(f"{P} SELECT pos, c FROM bwt")
+def q_bwt_build_ranges(spark, sf_dir):
+    """The same sort dealt out by ranges, as for large inputs."""
+    return transform.build(one(spark, sf_dir, "part"), ranges=True).select("pos", "c")
+
+
+@query(f"{P} SELECT pos, c FROM bwt")
+def q_bwt_build_long(spark, sf_dir):
+    """Prefix doubling, as for texts of any length."""
+    return transform.build_long(one(spark, sf_dir, "part")).select("pos", "c")
+
+
+_RUNS = "runs AS (SELECT row_number() OVER (ORDER BY min(pos)) - 1 AS run_id, min(pos) AS start, c, count(*) AS len FROM (SELECT pos, c, pos - row_number() OVER (PARTITION BY c ORDER BY pos) AS g FROM bwt) GROUP BY c, g)"
+
+
+@query(f"{C}, {_RUNS} SELECT run_id, start, c, len FROM runs")
+def q_bwt_runs(spark, sf_dir):
+    return runs.runs_of(transform.build(one(spark, sf_dir, "conversations")))
+
+
+@query(f"{D}, {_RUNS} SELECT c, len, count(*) AS n FROM runs GROUP BY c, len")
+def q_run_histogram(spark, sf_dir):
+    """Runs of the transform of all documents."""
+    return runs.histogram(runs.runs_of(transform.build(one(spark, sf_dir, "documents"))))
+
+
+_COUNTS = ", ".join(f"coalesce(sum(m{k}) OVER (ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS n{k}" for k in range(6))
+_OWN = ", ".join(f"count(*) FILTER (c = {k}) AS m{k}" for k in range(6))
+
+
+@query(f"{C} SELECT block, start_pos, end_pos, {_COUNTS} FROM (SELECT pos // 256 AS block, min(pos) AS start_pos, max(pos) + 1 AS end_pos, {_OWN} FROM bwt GROUP BY 1)")
+def q_block_samples(spark, sf_dir):
+    return runs.samples_of(runs.blocks_of(transform.build(one(spark, sf_dir, "conversations"))))
+
+
+_RANKED = ", ".join(f"coalesce(count(*) FILTER (c = {k}) OVER w, 0) AS r{k}" for k in range(1, 6))
+_BEFORE = f"SELECT pos AS i, c AS own, {_RANKED} FROM bwt WINDOW w AS (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+
+
+@query(f"{C}, b AS ({_BEFORE}) SELECT i, (1 + i % 5)::INT AS c, CASE i % 5 WHEN 0 THEN r1 WHEN 1 THEN r2 WHEN 2 THEN r3 WHEN 3 THEN r4 ELSE r5 END AS rank FROM b")
+def q_rank_batch(spark, sf_dir):
+    ix = index(spark, sf_dir)
+    return ix.rank(questions(ix.bwt)).select("i", "c", "rank")
+
+
+@query(f"{C}, b AS ({_BEFORE}) SELECT i, r1, r2, r3, r4, r5 FROM b")
+def q_ranks_all(spark, sf_dir):
+    ix = index(spark, sf_dir)
+    return ix.ranks(ix.bwt.select(F.col("pos").alias("i")))
+
+
+@query(f"{C} SELECT row_number() OVER (PARTITION BY c ORDER BY pos) AS i, c, pos FROM bwt")
+def q_select_batch(spark, sf_dir):
+    ix = index(spark, sf_dir)
+    asked = runs.character_counts(ix.bwt).select("c", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("i"))
+    return ix.select(asked).select("i", "c", "pos")
+
+
+@query(f"{C} SELECT pos AS i, c, row_number() OVER (PARTITION BY c ORDER BY pos) - 1 AS r FROM bwt")
+def q_inverse_select(spark, sf_dir):
+    ix = index(spark, sf_dir)
+    return lookups.inverse_select(ix.bwt.select(F.col("pos").alias("i")), ix.edges).select("i", "c", "r")
+
+
+_EDGES = "edges AS (SELECT pos, c, row_number() OVER (PARTITION BY c ORDER BY pos) - 1 AS r, c_before + row_number() OVER (PARTITION BY c ORDER BY pos) - 1 AS lf FROM bwt JOIN alpha ON c = comp)"
+
+
+@query(f"{C}, {_EDGES} SELECT pos, c, lf FROM edges")
+def q_lf_map(spark, sf_dir):
+    return index(spark, sf_dir).edges.select("pos", "c", "lf")
+
+
+@query(f"{C}, b AS ({_BEFORE}), k AS (SELECT " + ", ".join(f"(SELECT c_before FROM alpha WHERE comp = {k}) AS k{k}" for k in range(1, 6)) + ") SELECT i, " + ", ".join(f"k{k} + r{k} AS lf{k}" for k in range(1, 6)) + " FROM b, k")
+def q_lf_all(spark, sf_dir):
+    ix = index(spark, sf_dir)
+    return lookups.lf_all(ix.bwt.select(F.col("pos").alias("i")), ix.blocks, ix.counts)
+
+
+@query(f"{C}, {_EDGES} SELECT lf AS pos, pos AS psi FROM edges WHERE c > 0")
+def q_psi_map(spark, sf_dir):
+    return index(spark, sf_dir).psi()
+
+
+@query(f"{C}, n AS (SELECT count(*) AS n FROM bwt) SELECT 2 * pos AS i, coalesce((SELECT c FROM bwt x WHERE x.pos = 2 * y.pos), 0)::INT AS c FROM bwt y")
+def q_access_batch(spark, sf_dir):
+    """Twice every position: the upper half lies outside and has 0."""
+    ix = index(spark, sf_dir)
+    return ix.access(ix.bwt.select((2 * F.col("pos")).alias("i"))).select("i", "c")
+
+
+@query(f"{C} SELECT pos // 100 * 100 AS lo, pos // 100 * 100 + 100 AS hi, CASE WHEN count(*) = 100 THEN string_agg(c::VARCHAR, '' ORDER BY pos) END AS digits FROM bwt GROUP BY 1, 2")
+def q_extract_range(spark, sf_dir):
+    ix = index(spark, sf_dir)
+    asked = ix.bwt.select((F.floor(F.col("pos") / 100) * 100).alias("lo")).distinct().withColumn("hi", F.col("lo") + 100)
+    return ix.extract(asked)
+
+
+@query(f"{C} SELECT comp::INT AS comp, c_before AS lo, (c_before + cnt)::BIGINT AS hi FROM alpha")
+def q_char_ranges(spark, sf_dir):
+    return alphabet.char_ranges(index(spark, sf_dir).alphabet)
+
+
+@query(f"{C} SELECT pos, comp::INT AS comp FROM bwt JOIN alpha ON pos >= c_before AND pos < c_before + cnt")
+def q_find_char(spark, sf_dir):
+    ix = index(spark, sf_dir)
+    return alphabet.find_char(ix.bwt.select("pos"), ix.alphabet)
+
+
+@query(f"{C}, pat AS {_PATTERNS} SELECT pattern_id, count(pos) AS matches, CASE WHEN count(pos) > 0 THEN min(pos) END AS lo FROM pat LEFT JOIN bwt ON starts_with(suf, p) GROUP BY pattern_id")
+def q_find_ranges(spark, sf_dir):
+    found = search.counts(index(spark, sf_dir).find(patterns(spark, sf_dir)))
+    return found.select("pattern_id", "matches", F.when(F.col("matches") > 0, F.col("lo")).alias("lo"))
+
+
+@query(f"{D}, pat AS {_PATTERNS}, sizes AS (SELECT DISTINCT length(p) AS n FROM pat), cut AS (SELECT substr(suf, 1, n) AS p, count(*) AS m FROM suf, sizes WHERE length(suf) >= n GROUP BY 1) SELECT pattern_id, coalesce(m, 0)::BIGINT AS matches FROM pat LEFT JOIN cut USING (p)")
+def q_pattern_counts(spark, sf_dir):
+    """Counts in all documents, from the texts."""
+    return search.in_texts(patterns(spark, sf_dir), one(spark, sf_dir, "documents"))
+
+
+@query(f"{C}, pat AS {_PATTERNS} SELECT pattern_id, count(*) FILTER (ends_with(s, p)) AS ends, count(*) FILTER (starts_with(s, p)) AS starts, count(*) FILTER (s = p) AS equals FROM pat, texts GROUP BY pattern_id")
+def q_anchored_counts(spark, sf_dir):
+    return search.anchored(patterns(spark, sf_dir), one(spark, sf_dir, "conversations"))
+
+
+@query(f"{C}, pat AS {_PATTERNS} SELECT pattern_id, count(*) FILTER (ends_with(s, p)) AS ends, count(*) FILTER (starts_with(s, p)) AS starts, count(*) FILTER (s = p) AS equals FROM pat, texts GROUP BY pattern_id")
+def q_anchored_search(spark, sf_dir):
+    """The same by searching P$, $P and $P$ in the index."""
+    p, ix = patterns(spark, sf_dir), index(spark, sf_dir)
+    kinds = (("ends", F.concat("pattern", F.lit("$")), 1), ("starts", F.concat(F.lit("$"), "pattern"), 2), ("equals", F.concat(F.lit("$"), "pattern", F.lit("$")), 3))
+    asked = p.select("pattern_id", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), t.alias("pattern")) for k, t, _ in kinds))).alias("x"))
+    asked = asked.select((F.col("pattern_id") * 4 + F.when(F.col("x.kind") == "ends", 1).when(F.col("x.kind") == "starts", 2).otherwise(3)).alias("pattern_id"), "x.pattern")
+    found = ix.count(asked).select(F.floor(F.col("pattern_id") / 4).alias("pattern_id"), (F.col("pattern_id") % 4).alias("kind"), "matches")
+    return found.groupBy("pattern_id").agg(*(F.sum(F.when(F.col("kind") == n, F.col("matches"))).alias(k) for k, _, n in kinds))
+
+
+@query(f"{C2} SELECT pos, c, coll::INT AS coll, seq_id, off FROM bwt")
+def q_merge_bwt(spark, sf_dir):
+    return merge.build(texts(spark, sf_dir, "conversations"))
+
+
+@query(f"{P2} SELECT pos, c, coll::INT AS coll FROM bwt")
+def q_merge_nway(spark, sf_dir):
+    t = texts(spark, sf_dir, "part")
+    return merge.merge(*(t.where(F.col("coll") == k) for k in range(3))).select("pos", "c", "coll")
+
+
+_RA = "ra AS (SELECT pos - a_rank AS b_pos, a_rank FROM (SELECT pos, coll, coalesce(count(*) FILTER (coll = 0) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a_rank FROM bwt) WHERE coll > 0)"
+
+
+@query(f"{C2}, {_RA} SELECT b_pos, a_rank FROM ra")
+def q_rank_array(spark, sf_dir):
+    return merge.rank_array(merge.build(texts(spark, sf_dir, "conversations")))
+
+
+@query(f"{C2}, {_RA} SELECT a_rank, count(*) AS len FROM ra GROUP BY a_rank")
+def q_ra_runs(spark, sf_dir):
+    return merge.rank_runs(merge.rank_array(merge.build(texts(spark, sf_dir, "conversations"))))
+
+
+@query(f"{P2}, {_RA} SELECT b_pos, a_rank FROM ra")
+def q_rank_array_search(spark, sf_dir):
+    """The rank array of two indexes that hold no texts."""
+    t = texts(spark, sf_dir, "part")
+    a, b = (Index.of_texts(t.where(w).drop("coll")) for w in ("coll = 0", "coll > 0"))
+    return merge.rank_array_of_indexes(a, b)
+
+
+@query(f"{C2} SELECT pos, (CASE WHEN coll > 0 THEN 1 ELSE 0 END)::INT AS from_coll FROM bwt")
+def q_interleave_bits(spark, sf_dir):
+    return merge.sources(merge.build(texts(spark, sf_dir, "conversations")))
+
+
+@query(f"{C2} SELECT pos, c FROM bwt")
+def q_interleave(spark, sf_dir):
+    t = texts(spark, sf_dir, "conversations")
+    whole = merge.build(t)
+    a, b = (transform.build(t.where(F.col("coll") == k).drop("coll")) for k in (0, 1))
+    return merge.interleave(a, b, merge.rank_array(whole))
+
+
+@query(f"{C2}, pat AS {_PATTERNS} SELECT pattern_id, count(pos) AS in_parts, count(pos) AS in_whole, true AS same FROM pat LEFT JOIN bwt ON starts_with(suf, p) GROUP BY pattern_id")
+def q_merge_verify(spark, sf_dir):
+    t = texts(spark, sf_dir, "conversations")
+    parts = [Index.of_texts(t.where(F.col("coll") == k).drop("coll")) for k in (0, 1)]
+    return merge.verify(patterns(spark, sf_dir), parts, Index.of_bwt(merge.build(t).select("pos", "c")))
+
+
+def _run_count(table: str, part: str) -> str:
+    return f"SELECT {part} AS part, count(*) AS runs, sum(len)::BIGINT AS bases FROM (SELECT c, g, count(*) AS len FROM (SELECT p, c, p - row_number() OVER (PARTITION BY c ORDER BY p) AS g FROM (SELECT row_number() OVER (ORDER BY pos) AS p, c FROM {table})) GROUP BY c, g)"
+
+
+@query(f"{C2} " + " UNION ALL ".join((_run_count("bwt WHERE coll = 0", "'a'"), _run_count("bwt WHERE coll = 1", "'b'"), _run_count("bwt", "'merged'"))))
+def q_merge_compression(spark, sf_dir):
+    """Runs of two collections before and after merging."""
+    t = texts(spark, sf_dir, "conversations")
+    a, b = (transform.build(t.where(F.col("coll") == k).drop("coll")) for k in (0, 1))
+    count = lambda bwt, name: runs.runs_of(bwt).agg(F.count("*").alias("runs"), F.sum("len").alias("bases")).select(F.lit(name).alias("part"), "runs", "bases")
+    return count(a, "a").unionByName(count(b, "b")).unionByName(count(merge.build(t), "merged"))
+
+
+@query(f"{C} SELECT row_number() OVER (ORDER BY seq_id) - 1 AS seq_id, s FROM texts")
+def q_invert_bwt(spark, sf_dir):
+    ix = index(spark, sf_dir)
+    return invert.texts_of(ix.edges, ix.counts)
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{f.tag}', '{f.name}', '{f.order}')" for f in codecs.FORMATS.values()) + ") t(tag, name, alphabet)")
+def q_format_catalog(spark, sf_dir):
+    return files.formats(spark)
+
+
+@query(f"{C}, {_RUNS} SELECT tag, start, c, len FROM runs, (VALUES ('plain_default'), ('ropebwt'), ('sga')) t(tag)")
+def q_codec_roundtrip(spark, sf_dir):
+    """Runs written to files of three formats and read again."""
+    from .plans.shared import materialize, shared_dir
+
+    found = materialize(index(spark, sf_dir).runs(), "runs")
+    out = None
+    for tag in ("plain_default", "ropebwt", "sga"):
+        path = f"{shared_dir(spark)}/codec-{tag}-{abs(hash((tag, sf_dir)))}"
+        files.write_runs(found, path, tag)
+        back = files.read_runs(spark, path, tag).select(F.lit(tag).alias("tag"), "start", "c", "len")
+        out = back if out is None else out.unionByName(back)
+    return out
+
+
+@query(f"{C}, {_RUNS} SELECT run_id, part::INT AS part, c, least(len - part * 31, 31)::BIGINT AS len FROM (SELECT *, unnest(range(0, ceil(len / 31.0)::BIGINT)) AS part FROM runs)")
+def q_rope_run_split(spark, sf_dir):
+    return files.split_runs(index(spark, sf_dir).runs())
+
+
+@query(f"{C}, {_RUNS} SELECT (sum(len) FILTER (c = 0))::BIGINT AS sequences, sum(len)::BIGINT AS bases, sum(ceil(len / 31.0))::BIGINT AS run_bytes FROM runs")
+def q_sga_header(spark, sf_dir):
+    return files.byte_counts(index(spark, sf_dir).runs())
+
+
+@query()
+def q_content_hash(spark, sf_dir):
+    """FNV-1a over the merged symbols, which depends on their order."""
+    value = runs.content_hash(runs.runs_of(transform.build(one(spark, sf_dir, "benchmark"))))
+    return spark.range(1).select(F.lit(f"{value:016x}").alias("fnv1a"))
+
+
+@query(f"{C} SELECT pos AS i, c::BIGINT AS v, coalesce(sum(c) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS sum FROM bwt")
+def q_cumulative(spark, sf_dir):
+    return lookups.cumulative(transform.build(one(spark, sf_dir, "conversations")).select(F.col("pos").alias("i"), F.col("c").cast("long").alias("v")))
+
+
+@query("WITH v AS (SELECT p_partkey AS i, p_partkey % 4 AS v, coalesce(sum(p_partkey % 4) OVER (ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS s FROM part) SELECT i, s + k AS k, k = v - 1 AS is_last FROM (SELECT *, unnest(range(0, v)) AS k FROM v)")
+def q_cumulative_inverse(spark, sf_dir):
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
+    array = lookups.cumulative(parts.select(F.col("p_partkey").alias("i"), (F.col("p_partkey") % 4).alias("v")))
+    places = array.where("v > 0").select(F.explode(F.sequence("sum", F.col("sum") + F.col("v") - 1)).alias("k"))
+    return lookups.cumulative_inverse(places, array)
