@@ -212,10 +212,10 @@ def q_find_char(spark, sf_dir):
     return alphabet.find_char(ix.bwt.select("pos"), ix.alphabet)
 
 
-@query(f"{C}, pat AS {_PATTERNS} SELECT pattern_id, count(pos) AS matches, CASE WHEN count(pos) > 0 THEN min(pos) END AS lo FROM pat LEFT JOIN bwt ON starts_with(suf, p) GROUP BY pattern_id")
+@query(f"{C}, pat AS {_PATTERNS} SELECT pattern_id, count(pos) AS matches, coalesce(min(pos), -1) AS lo FROM pat LEFT JOIN bwt ON starts_with(suf, p) GROUP BY pattern_id")
 def q_find_ranges(spark, sf_dir):
     found = search.counts(index(spark, sf_dir).find(patterns(spark, sf_dir)))
-    return found.select("pattern_id", "matches", F.when(F.col("matches") > 0, F.col("lo")).alias("lo"))
+    return found.select("pattern_id", "matches", F.when(F.col("matches") > 0, F.col("lo")).otherwise(-1).alias("lo"))
 
 
 @query(f"{D}, pat AS {_PATTERNS}, sizes AS (SELECT DISTINCT length(p) AS n FROM pat), cut AS (SELECT substr(suf, 1, n) AS p, count(*) AS m FROM suf, sizes WHERE length(suf) >= n GROUP BY 1) SELECT pattern_id, coalesce(m, 0)::BIGINT AS matches FROM pat LEFT JOIN cut USING (p)")

@@ -36,7 +36,21 @@ def inspect(spark: SparkSession, *paths: str) -> DataFrame:
             columns = [batch.column(0), *(pa.array([f[k] for f in found], kind) for k, kind in (("format", pa.string()), ("sequences", pa.int64()), ("bases", pa.int64()), ("bytes", pa.int64()), ("alphabet", pa.string())))]
             yield pa.RecordBatch.from_arrays(columns, names=["path", "format", "sequences", "bases", "bytes", "alphabet"])
 
-    return heads.mapInArrow(look, "path string, format string, sequences long, bases long, bytes long, alphabet string")
+    schema = "path string, format string, sequences long, bases long, bytes long, alphabet string"
+    found = heads.mapInArrow(look, schema)
+    empty = [(p, "unknown", None, None, None, None) for p in _empty_files(spark, paths)]  # the source leaves these out
+    return found.unionByName(spark.createDataFrame(empty, schema)) if empty else found
+
+
+def _empty_files(spark: SparkSession, paths) -> list[str]:
+    """Those of the named files that hold no bytes."""
+    out = []
+    for path in paths:
+        name = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        for status in name.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(name) or []:
+            if status.isFile() and not status.getLen():
+                out.append(status.getPath().toString())
+    return out
 
 
 def read_runs(spark: SparkSession, path: str, tag: str) -> DataFrame:
@@ -112,7 +126,7 @@ def write_runs(runs: DataFrame, path: str, tag: str, order: str = "default", for
     out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
     size = 0
     try:
-        for data in (codecs.header(tag, sequences, bases, run_bytes), *[None], codecs.padding(tag, bases)):
+        for data in (codecs.header(tag, sequences, bases, run_bytes), None, codecs.padding(tag, bases)):
             parts = [data] if data is not None else (bytes(r["data"]) for r in chunks(runs, tag).orderBy("k").select("data").toLocalIterator())
             for part in parts:
                 if part:
