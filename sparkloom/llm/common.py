@@ -1,9 +1,7 @@
-"""What the training-data operators share: tables of a scale folder, and tables written to cut lineage."""
+"""What the training-data operators share: tables of a scale folder, and new columns computed in Arrow."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -12,50 +10,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-_local: dict[str, str] = {}
+from ..plans.shared import forget, materialize, shared_dir
 
+__all__ = ["append_columns", "forget", "materialize", "shared_dir", "slices", "table"]
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of a scale folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir.
-
-    Where the setting is unset, a temporary folder serves in local mode only;
-    on a cluster that is an error, as executors could not read each other's files.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return _local.setdefault("dir", tempfile.mkdtemp(prefix="sparkloom-"))
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, which cuts its lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def forget(df: DataFrame) -> None:
-    """Delete the files of a table that ``materialize`` wrote and nothing reads any more."""
-    spark = df.sparkSession
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = hadoop(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def input_bytes(df: DataFrame) -> int:
-    """Spark's own estimate of the bytes a plan reads, from file sizes."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
-
-
 def append_columns(df: DataFrame, fields: T.StructType, make: Callable, size_of: str, slice_bytes: int = 4 << 20) -> DataFrame:
     """``df`` with the columns ``fields``, which ``make`` computes in Arrow; columns of ``df`` with these names are replaced.
 
