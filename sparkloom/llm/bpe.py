@@ -12,6 +12,7 @@ character give the character back once all its parts are joined.
 from __future__ import annotations
 
 import base64
+import re
 from array import array
 
 import numpy as np
@@ -21,10 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns
+from .common import append_columns, worker_cache
 
-#: Distinct pieces that a task keeps; beyond it, the store starts anew, which bounds memory and changes no result.
-KEPT_PIECES = 200_000
+#: Distinct pieces that a worker keeps; beyond it, only those of the latest texts stay, which bounds memory and changes no result.
+KEPT_PIECES = 300_000
 
 
 def byte_alphabet() -> list[str]:
@@ -52,19 +53,41 @@ def build_tokenizer(ranks: dict[bytes, int]):
     return made
 
 
+# The pattern of public byte-level vocabularies, and what it means for texts of Latin-1 characters, where letters, numbers and white space can be listed.
+_PUBLIC = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
+_LATIN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
+
+
+def splitter(pattern: str):
+    """A function from a text to the matches of ``pattern``; Latin-1 texts take a plainer expression with the same matches where one is known."""
+    every = regex.compile(pattern).findall
+    if pattern != _PUBLIC:
+        return every
+    latin = re.compile(_LATIN).findall
+
+    def split(text: str) -> list[str]:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return every(text)
+        return latin(text)
+
+    return split
+
+
 class PieceEncoder:
     """Encodes texts piece by piece, keeping the ids (as four bytes each) of the pieces met so far."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, kept: int = KEPT_PIECES):
-        self.tokenizer, self.pieces_of, self.kept, self.known = build_tokenizer(ranks), regex.compile(pattern).findall, kept, {}
+        self.tokenizer, self.pieces_of, self.kept, self.known = build_tokenizer(ranks), splitter(pattern), kept, {}
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         split = [self.pieces_of(t) for t in texts]
-        fresh = set().union(*split).difference(self.known)
+        used = set().union(*split)
+        fresh = list(used.difference(self.known))
         if len(self.known) + len(fresh) > self.kept:
-            self.known.clear()
-            fresh = set().union(*split)
-        fresh = list(fresh)
+            self.known = {p: self.known[p] for p in used if p in self.known}
         for piece, found in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
             self.known[piece] = array("i", found.ids).tobytes()
         return [np.frombuffer(b"".join(map(self.known.__getitem__, pieces)), np.int32) for pieces in split]
@@ -103,7 +126,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids
     sent = df.sparkSession.sparkContext.broadcast(ranks)
 
     def make():
-        encoder = PieceEncoder(sent.value, pattern)
+        encoder = worker_cache(("bpe", ranks_path, pattern), lambda: PieceEncoder(sent.value, pattern))
         width = np.zeros(max(sent.value.values(), default=0) + 1, np.int64)
         for token, rank in sent.value.items():
             width[rank] = len(token)

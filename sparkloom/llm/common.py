@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Callable
 
 import numpy as np
@@ -12,13 +14,25 @@ from pyspark.sql import types as T
 
 from ..plans.shared import forget, materialize, shared_dir
 
-__all__ = ["append_columns", "forget", "materialize", "shared_dir", "slices", "table"]
+__all__ = ["append_columns", "forget", "materialize", "shared_dir", "slices", "table", "worker_cache"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of a scale folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def worker_cache(key, make: Callable):
+    """What ``make`` returned for ``key`` in this Python worker before, else what it returns now.
+
+    Spark reuses workers, so what is costly to build need not be built for each task.
+    """
+    kept = sys.modules.setdefault("sparkloom_worker_cache", types.ModuleType("sparkloom_worker_cache")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 def append_columns(df: DataFrame, fields: T.StructType, make: Callable, size_of: str, slice_bytes: int = 4 << 20) -> DataFrame:
     """``df`` with the columns ``fields``, which ``make`` computes in Arrow; columns of ``df`` with these names are replaced.
 

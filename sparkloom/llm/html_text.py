@@ -208,6 +208,8 @@ def extract(html: str) -> str:
     tree = _Tree()
     try:
         tree.feed(html)
+        if re.match(r"</?[A-Za-z]", tree.rawdata):  # a tag that the page's end cuts off is no text
+            tree.rawdata = ""
         tree.close()
     except (AssertionError, ValueError):  # the parser gave up on broken markup; what it has built stands
         pass
