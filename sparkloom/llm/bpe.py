@@ -109,35 +109,39 @@ def _lists(rows: list, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, kind))
 
 
-def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "token_ids", offsets: bool = False) -> DataFrame:
+def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "token_ids", offsets: bool = False, decoded: str | None = None, packed: int | None = None) -> DataFrame:
     """``df`` with the token ids of the column ``text``: array<int>.
 
     With ``offsets`` come ``token_start`` and ``token_end``: the characters (code
     points, end exclusive) that each token touches; tokens that share a
-    character all name it. A null text counts as empty and has an empty array; so
+    character all name it. With ``decoded``, a binary column of that name has what the ids
+    decode to, in the same pass. With ``packed`` (2 or 4), ``ids`` is binary instead: so many bytes an id, the lowest first.
+    A null text counts as empty and has an empty array; so
     has an empty table no rows. Other columns pass unchanged, and columns that
     have the names of the new ones are replaced. Repeated rows stay repeated.
     The rank file is read once by the driver and sent with the tasks (under 1 MB).
     """
     ranks = read_ranks(ranks_path)
-    fields = T.StructType([T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)])
+    fields = T.StructType([T.StructField(ids, T.BinaryType() if packed else T.ArrayType(T.IntegerType(), False), False)])
     if offsets:
         fields = fields.add("token_start", T.ArrayType(T.IntegerType(), False), False).add("token_end", T.ArrayType(T.IntegerType(), False), False)
+    if decoded:
+        fields = fields.add(decoded, T.BinaryType(), False)
     sent = df.sparkSession.sparkContext.broadcast(ranks)
 
     def make():
         encoder = worker_cache(("bpe", ranks_path, pattern), lambda: PieceEncoder(sent.value, pattern))
-        width = np.zeros(max(sent.value.values(), default=0) + 1, np.int64)
-        for token, rank in sent.value.items():
-            width[rank] = len(token)
+        of = worker_cache(("bytes", ranks_path), lambda: byte_table(sent.value))
 
         def work(batch):
             texts = [t or "" for t in batch.column(batch.schema.names.index(text)).to_pylist()]
             rows = encoder(texts)
-            out = [_lists(rows, pa.int32())]
+            out = [pa.array([r.astype(f"<u{packed}").tobytes() for r in rows], pa.binary()) if packed else _lists(rows, pa.int32())]
             if offsets:
-                spans = [character_offsets(t.encode(), width[np.asarray(r, np.int64)]) for t, r in zip(texts, rows)]
+                spans = [character_offsets(t.encode(), np.array([len(of[i]) for i in r.tolist()], np.int64)) for t, r in zip(texts, rows)]
                 out += [_lists([s[k] for s in spans], pa.int32()) for k in (0, 1)]
+            if decoded:
+                out.append(pa.array([b"".join(map(of.__getitem__, r.tolist())) for r in rows], pa.binary()))
             return out
 
         return work
@@ -145,6 +149,11 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids
     return append_columns(df, fields, make, text, 1 << 20)
 
 
+def byte_table(ranks: dict[bytes, int]) -> dict[int, bytes]:
+    """The bytes that each id stands for."""
+    return {rank: token for token, rank in ranks.items()}
+
+
 def decode(df: DataFrame, ranks_path: str, ids: str = "token_ids", data: str = "decoded", text: str | None = None) -> DataFrame:
     """``df`` with the bytes that the ids in ``ids`` stand for, in the binary column ``data``.
 
@@ -160,7 +169,7 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "token_ids", data: str = "
 
     def make():
         unknown = "�".encode()
-        of = {rank: token for token, rank in sent.value.items()}
+        of = byte_table(sent.value)
 
         def work(batch):
             column = batch.column(batch.schema.names.index(ids))

@@ -110,8 +110,8 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN).drop("text")
-    return bpe.decode(ids, path).select("doc_id", *(c.alias(name) for name, c in bpe.digest("token_ids", "decoded").items()))
+    done = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN, decoded="decoded")
+    return done.select("doc_id", *(c.alias(name) for name, c in bpe.digest("token_ids", "decoded").items()))
 
 
 @query
@@ -140,9 +140,9 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    ids = bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, packed=2)
     path, end = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}", 50_256
-    token_files.write(ids.select(F.concat(token_files.number_ids(F.coalesce("doc_id", F.lit(_NO_ID))), "token_ids").alias("token_ids")), path, end)
+    token_files.write_packed(ids.select(F.concat(token_files.number_bytes(F.coalesce("doc_id", F.lit(_NO_ID))), "token_ids").alias("value")), path, end)
     found = token_files.scan(spark, path, end, head=token_files.DIGITS)
     return found.select(F.nullif(token_files.number_of(F.col("head")), F.lit(_NO_ID)).alias("doc_id"), (F.col("n_tokens") - token_files.DIGITS).alias("n_tokens"))
 

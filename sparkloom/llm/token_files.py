@@ -27,7 +27,6 @@ def write(df: DataFrame, path: str, end: int, ids: str = "token_ids", width: int
     that are null, out of range or equal to ``end`` cannot stand in such a file and are left out.
     """
     kind = {2: "<u2", 4: "<u4"}[width]
-    separator = np.array([end], kind).tobytes().decode("latin-1")
 
     def pack(batches):
         for batch in batches:
@@ -41,8 +40,13 @@ def write(df: DataFrame, path: str, end: int, ids: str = "token_ids", width: int
                     out.append(got.astype(kind).tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
-    packed = df.select(ids).mapInArrow(pack, "value binary").select(F.col("value").cast("string").alias("value"))
-    packed.write.option("lineSep", separator).option("encoding", "ISO-8859-1").text(path)
+    write_packed(df.select(ids).mapInArrow(pack, "value binary"), path, end, width)
+
+
+def write_packed(df: DataFrame, path: str, end: int, width: int = 2) -> None:
+    """As ``write``, for ids that are bytes already: the only column of ``df`` is binary, whole ids of ``width`` bytes, none of them ``end``."""
+    separator = np.array([end], {2: "<u2", 4: "<u4"}[width]).tobytes().decode("latin-1")
+    df.select(F.col(df.columns[0]).cast("string").alias("value")).write.option("lineSep", separator).option("encoding", "ISO-8859-1").text(path)
 
 
 def scan(spark: SparkSession, path: str, end: int, width: int = 2, block_bytes: int = BLOCK_BYTES, head: int = 0) -> DataFrame:
@@ -93,6 +97,13 @@ def number_ids(number):
     return F.array(*(F.shiftright(number, min(63, 15 * k)).bitwiseAND(F.lit(0x7FFF)).cast("int") for k in range(DIGITS)))
 
 
+def number_bytes(number):
+    """``number_ids`` as bytes, two an id, the lowest first."""
+    digits = [F.shiftright(number, min(63, 15 * k)).bitwiseAND(F.lit(0x7FFF)) for k in range(DIGITS)]
+    spelled = [F.lpad(F.hex(x), 2, "0") for d in digits for x in (d.bitwiseAND(F.lit(0xFF)), F.shiftright(d, 8))]
+    return F.unhex(F.concat(*spelled))
+
+
 def number_of(head):
     """The number that ``number_ids`` put down."""
     out = F.lit(0).cast("long")

@@ -164,6 +164,14 @@ def test_numbers_at_the_head(spark):
     assert all(r["n"] == r["m"] for r in df.select("n", token_files.number_of(token_files.number_ids(F.col("n"))).alias("m")).collect())
 
 
+def test_packed_token_files(spark, tmp_path):
+    df = spark.createDataFrame([(7, [1, 2, 3]), (-9, []), (2**40, [50_000])], "n long, ids array<int>")
+    packed = F.udf(lambda ids: np.array(ids, "<u2").tobytes(), "binary")
+    token_files.write_packed(df.select(F.concat(token_files.number_bytes(F.col("n")), packed("ids")).alias("v")), str(tmp_path / "t"), 50_256)
+    got = token_files.scan(spark, str(tmp_path / "t"), 50_256, head=token_files.DIGITS).select(token_files.number_of(F.col("head")), F.col("n_tokens") - token_files.DIGITS)
+    assert sorted(map(tuple, got.collect())) == [(-9, 0), (7, 3), (2**40, 1)]
+
+
 def brute_nearest(rows, k):
     ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
     out = {}

@@ -188,7 +188,10 @@ def test_encoding(spark, oracle):
     rows = [(None, "x"), (1, None), (2, ""), (3, "<|endoftext|>"), (4, "é" * 20_000), (5, "!" * 999), (5, "!" * 999), (6, " \n\t " * 50)]
     rows += [(10 + i, "".join(rng.choices(points, k=rng.randrange(1, 60)))) for i in range(200)]
     df = spark.createDataFrame([(i, t, "own") for i, t in rows], DOCS + ", token_ids string")
-    done = bpe.decode(bpe.encode(df, RANKS, public_tokenizers.PATTERN, offsets=True), RANKS, text="back")
+    done = bpe.decode(bpe.encode(df, RANKS, public_tokenizers.PATTERN, offsets=True, decoded="again"), RANKS, text="back").where("decoded = again")
+    assert done.count() == len(rows)
+    packed = bpe.encode(df, RANKS, public_tokenizers.PATTERN, packed=2).where("doc_id = 4").first()["token_ids"]
+    assert np.frombuffer(packed, "<u2").tolist() == oracle.encode_ordinary("é" * 20_000)
     for r in done.collect():
         text = r["text"] or ""
         assert r["token_ids"] == oracle.encode_ordinary(text) and bytes(r["decoded"]) == text.encode() and r["back"] == text
