@@ -50,8 +50,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    ids = bpe.encode(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN).drop("text")
-    return bpe.decode(ids, path).select("doc_id", *(c.alias(name) for name, c in bpe.digest("token_ids", "decoded").items()))
+    done = bpe.encode(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN, decoded="decoded")
+    return done.select("doc_id", *(c.alias(name) for name, c in bpe.digest("token_ids", "decoded").items()))
 
 
 STAGES = [
