@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.alphabet import SIGMA
 from ..plans.order import BLOCK, running
+from ..plans.shared import materialize
 
 #: Positions of a sample block.
 SAMPLE = 256
@@ -23,13 +24,16 @@ def runs_of(bwt: DataFrame, block: int = BLOCK) -> DataFrame:
     own = F.lag("c").over(W.partitionBy("blk").orderBy("pos"))
     marked = rows.withColumn("prev", own).join(edge, "blk", "left")
     prev = F.when(F.col("pos") % block == 0, F.col("last")).otherwise(F.col("prev"))
-    starts = marked.where(prev.isNull() | (prev != F.col("c"))).select(F.col("pos").alias("start"), "c")
-    numbered = running(starts, "start", {"run_id": F.lit(1)}, block)
-    # the place past the last position counts as the start of a run that is not there
-    end = rows.agg(F.max("pos").alias("last"), F.count("*").alias("start")).select("start")
-    order = running(numbered.select("start").unionByName(end), "start", {"run_id": F.lit(1)}, block)
-    following = order.select((F.col("run_id") - 1).alias("run_id"), F.col("start").alias("next"))
-    return numbered.join(following, "run_id").select("run_id", "start", "c", (F.col("next") - F.col("start")).alias("len"))
+    starts = materialize(marked.where(prev.isNull() | (prev != F.col("c"))).select(F.col("pos").alias("start"), "c", "blk"), "starts")
+    # for each block the runs before it and the first start behind it; behind the last block that is the number of positions
+    per = starts.groupBy("blk").agg(F.count("*").alias("n"), F.min("start").alias("first"))
+    end = rows.agg(F.count("*").alias("first")).select(F.lit(1 << 62).alias("blk"), F.lit(0).cast("long").alias("n"), "first")
+    every = W.orderBy("blk")
+    bases = per.unionByName(end).select("blk", F.coalesce(F.sum("n").over(every.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"), F.lead("first").over(every).alias("behind"))
+    inside = W.partitionBy("blk").orderBy("start")
+    met = starts.join(bases, "blk")
+    run_id = (F.col("base") + F.row_number().over(inside) - 1).alias("run_id")
+    return met.select(run_id, "start", "c", (F.coalesce(F.lead("start").over(inside), "behind") - F.col("start")).alias("len"))
 
 
 def expand(runs: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.alphabet import encode_pattern
+from ..plans.order import spread
 from ..plans.shared import forget, materialize
 from . import lookups
 from .runs import SAMPLE
@@ -76,7 +77,7 @@ def in_texts(patterns: DataFrame, texts: DataFrame, order: str = "default") -> D
     """
     named = patterns.select("pattern_id", encode_pattern(F.col("pattern"), order).alias("p")).where("p <> '' AND instr(p, '0') = 0")
     lengths = F.broadcast(named.select(F.length("p").alias("n")).distinct())  # as many rows as there are lengths
-    cut = texts.join(lengths, F.length("s") >= F.col("n")).select("s", "n", F.explode(F.sequence(F.lit(1), F.length("s") - F.col("n") + 1)).alias("k"))
+    cut = spread(texts, "seq_id").join(lengths, F.length("s") >= F.col("n")).select("s", "n", F.explode(F.sequence(F.lit(1), F.length("s") - F.col("n") + 1)).alias("k"))
     pieces = cut.select(F.substr("s", "k", "n").alias("p")).groupBy("p").agg(F.count("*").alias("matches"))
     return named.join(pieces, "p", "left").select("pattern_id", F.coalesce("matches", F.lit(0)).alias("matches"))
 

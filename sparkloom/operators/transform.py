@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.alphabet import encode
-from ..plans.order import positions
+from ..plans.order import positions, running, spread
+from ..plans.shared import forget, materialize
 
 #: Characters of a read: longer texts are cut into reads of this length, none of their characters is left out.
 READ = 101
@@ -37,7 +38,7 @@ def suffixes(texts: DataFrame) -> DataFrame:
     Made for reads: the characters of all suffixes grow with the square of a text's length.
     """
     others = [c for c in texts.columns if c != "s"]
-    cut = texts.select(*others, "s", F.explode(F.sequence(F.lit(0), F.length("s"))).alias("off"))
+    cut = spread(texts, "seq_id").select(*others, "s", F.explode(F.sequence(F.lit(0), F.length("s"))).alias("off"))
     before = F.when(F.col("off") == 0, 0).otherwise(F.ascii(F.substr("s", F.col("off"), F.lit(1))) - 48)
     return cut.select(*others, F.col("off").cast("long").alias("off"), F.substr("s", F.col("off") + 1).alias("suf"), before.alias("c"))
 
@@ -52,8 +53,6 @@ def build_long(texts: DataFrame, most_rounds: int = 40) -> DataFrame:
 
     Each round joins a rank with the one h characters further on; no suffix is ever spelled out.
     """
-    from ..plans.shared import forget, materialize
-
     chars = texts.select("seq_id", F.length("s").cast("long").alias("n"), F.posexplode(F.concat(F.split("s", ""), F.array(F.lit("")))).alias("off", "ch"))
     rows = chars.where("off <= n").select("seq_id", F.col("off").cast("long").alias("off"), "n", F.when(F.col("off") == F.col("n"), 0).otherwise(F.ascii("ch") - 48).cast("long").alias("r"))
     now = materialize(rows, "doubling")
@@ -63,8 +62,6 @@ def build_long(texts: DataFrame, most_rounds: int = 40) -> DataFrame:
         pairs = now.join(ahead, ["seq_id", "off"], "left").withColumn("r2", F.coalesce("r2", F.lit(-1)))
         keys = pairs.groupBy("r", "r2").agg(F.count("*").alias("m"))
         placed = positions(keys, ["r", "r2"], ["r", "r2", "m"], "k", None)
-        from ..plans.order import running
-
         ranked = running(placed, "k", {"before": F.col("m")}).select("r", "r2", F.col("before").alias("rank"), "m")
         after = materialize(pairs.join(ranked, ["r", "r2"]).select("seq_id", "off", "n", F.col("rank").alias("r"), "m"), "doubling")
         longest, tied = after.agg(F.max("n"), F.max(F.when(F.col("m") > 1, 1).otherwise(0))).first()

@@ -9,11 +9,19 @@ from pyspark.sql import functions as F
 from .shared import input_bytes, materialize
 
 #: Inputs below this many bytes are ordered by one plain window; larger ones by ranges.
-WINDOW_BYTES = 4 << 20
+WINDOW_BYTES = 512 << 10
+#: Inputs up to this many bytes stay in one partition.
+SPREAD_BYTES = 64 << 10
 #: Rows of a block of consecutive positions.
 BLOCK = 1 << 16
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` over at least two partitions a core, for rows that are about to grow many times; large inputs are split enough already."""
+    n = 2 * df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n, key) if SPREAD_BYTES < input_bytes(df) < n * (32 << 20) else df
+
+
 def positions(df: DataFrame, order: list, keep: list[str], name: str = "pos", ranges: bool | None = None) -> DataFrame:
     """``keep`` and the 0-based place of each row in the order of ``order`` (a list of columns that orders all rows).
 
