@@ -69,14 +69,19 @@ class Forest:
             yield np.flatnonzero(held)
 
 
-def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the ``k`` largest scores, ties to smaller ids, largest first."""
+def best(scores: np.ndarray, exact, ids: np.ndarray, k: int, slack: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the ``k`` largest scores, ties to smaller ids, largest first, and these scores.
+
+    ``scores`` may be off by ``slack``, as a matrix product rounds equal rows
+    unlike; ``exact`` gives the scores of some places, summed alike for all rows.
+    """
+    near = np.arange(len(scores))
     if len(scores) > 4 * k:
         edge = np.partition(scores, len(scores) - k)[len(scores) - k]
-        near = np.flatnonzero(scores >= edge)
-    else:
-        near = np.arange(len(scores))
-    return near[np.lexsort((ids[near], -scores[near]))][:k]
+        near = np.flatnonzero(~(scores < edge - slack))
+    again = exact(near)
+    first = np.lexsort((ids[near], -again))[:k]
+    return near[first], again[first]
 
 
 def search(
@@ -107,12 +112,13 @@ def search(
         if len(rows) and len(wanted):
             x, q = np.stack(rows["v"].to_numpy()), np.stack(wanted["v"].to_numpy())
             ids, asking, forest = rows["id"].to_numpy(), wanted["id"].to_numpy(), Forest(x)
+            lengths = 2e-12 * np.linalg.norm(q, axis=1) * np.linalg.norm(x, axis=1).max()  # far above what rounding changes
             for a in range(0, len(q), 256):
                 products = q[a : a + 256] @ x.T  # one dense product is cheaper than gathering the rows of each query
                 for j, near in enumerate(forest.candidates(q[a : a + 256], max(least, int(share * len(x))))):
                     near = near[ids[near] != asking[a + j]]
-                    near = near[best(products[j, near], ids[near], k)]
-                    names.append(np.full(len(near), asking[a + j])), near_ids.append(ids[near]), scores_of.append(products[j, near])
+                    first, scores = best(products[j, near], lambda p: (x[near[p]] * q[a + j]).sum(axis=1), ids[near], k, float(lengths[a + j]))
+                    names.append(np.full(len(first), asking[a + j])), near_ids.append(ids[near[first]]), scores_of.append(scores)
         joined = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
         return pd.DataFrame({"query_id": joined(names, np.int64), "id": joined(near_ids, np.int64), "score": joined(scores_of, np.float64)})
 

@@ -199,6 +199,18 @@ def test_nearest(spark):
     assert [r["vec_id"] for r in few] == brute_nearest(rows[:5], 20)[0] and ann.search(df.limit(0), asked.limit(0)).count() == 0
 
 
+def test_equal_vectors_score_alike(spark):
+    rng = np.random.default_rng(8)
+    common, others = rng.standard_normal(61), rng.standard_normal((400, 61))
+    rows = [(i, (common if i % 3 else others[i]).tolist()) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.search(df, df.where("vec_id % 40 = 1"), shard=150).orderBy("query_id", "rank").collect()
+    ties = [i for i in range(60) if i % 3]
+    for q in {r["query_id"] for r in got if r["query_id"] % 3}:
+        own = [r for r in got if r["query_id"] == q]
+        assert [r["vec_id"] for r in own] == [i for i in ties if i != q][:20] and len({r["score"] for r in own}) == 1
+
+
 def test_forest_prefixes_are_longest_first():
     rng = np.random.default_rng(7)
     x = rng.standard_normal((2000, 16))
