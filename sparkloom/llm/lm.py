@@ -1,16 +1,19 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Token and word-pair counts are grouped sums over the training texts. Counts
+Token, pair and follower counts are grouped sums over the training texts. Counts
 are quantised on a logarithmic scale, and a pair of a key and every level up to its own
-goes into a Bloom filter that is broadcast to the workers; probing level after
-level until one is missing gives a count back. Scores are word-pair probabilities
-with absolute discounting that fall back to single tokens. The plain
-add-one-half unigram score of each text comes from exact counts, by a join.
-
-What is sent to all workers is bounded by relative frequencies, whatever the
-corpus: tokens of a share of at least HEAD of all tokens are at most 1/HEAD
-(they are looked up in the task, and only they form pairs); entries of the
-filter have a share of at least KEPT (and occur twice), so each order has at most 1.4/KEPT levels.
+goes into a Bloom filter; probing level after level until one is missing gives a
+count back, and a key whose first level is missing counts as never seen. Scores are
+word-pair probabilities with absolute discounting that fall back to single tokens.
+The plain add-one-half unigram score of each text comes from exact counts, by a join.
+
+Every token and every pair is in the filter, from a count of 1 up. It grows with the
+corpus, so no worker holds it whole: its keys are dealt out to parts of about PART
+keys, each built where its rows meet and written to the shared folder. Texts are
+scored in slices; the distinct keys of a slice travel to their parts, and the levels
+found there travel back to the slice. Only what is looked up for the exact unigram
+score goes to all workers: tokens of a share of at least HEAD of all tokens are at
+most 1/HEAD; the others are joined, so nothing is lost there.
 """
 
 from __future__ import annotations
@@ -21,15 +24,18 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, slices
 
-#: Least share of tokens of a head token; least share of an entry of the filter.
-HEAD, KEPT = 1 / 400_000, 2e-8
+#: Least share of tokens of a head token, training tokens for each part of the filter, and bytes of text of a slice.
+HEAD, PART, SLICE = 1 / 400_000, 1 << 21, 4 << 20
 #: Ratio of the levels of counts, discount of pairs, bits a level, probes a level, and the log of the bits of a segment.
 RATIO, DISCOUNT, BITS, PROBES, SEGMENT = 1.5, 0.75, 10, 4, 15
+#: More levels than a count of 63 bits has.
+MOST = 110
 #: The token that ends each text; no word is empty.
 END = b""
 
@@ -52,9 +58,22 @@ def token_keys(words: list[bytes]) -> np.ndarray:
     return np.array([digest(w) for w in words], np.uint64)
 
 
-def pair_keys(pairs: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Keys of word pairs; pairs: first << 32 | second, as places in the head."""
-    return _mix(keys[pairs >> 32] * _A + _mix(keys[pairs & 0xFFFFFFFF] + _A))
+def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Keys of word pairs from the keys of their words."""
+    return _mix(first * _A + _mix(second + _A))
+
+
+def _parts_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The part of the filter of each key; inside a part, blocks go by the lower bits."""
+    return (keys >> np.uint64(32)) % np.uint64(parts)
+
+
+def _dealt(keys: np.ndarray, parts: int):
+    """(part, range of the order, order): keys by part, and inside a part as they stood."""
+    part = _parts_of(keys, parts)
+    order = np.argsort(part, kind="stable")
+    cuts = np.flatnonzero(np.diff(part[order].astype(np.int64), prepend=-1))
+    return [(int(part[order[a]]), order[a:b]) for a, b in zip(cuts, [*cuts[1:], len(order)])]
 
 
 def _probe_bits(keys: np.ndarray, level: int) -> list[np.ndarray]:
@@ -88,11 +107,6 @@ class Filter:
         return level
 
 
-def _grouped(df: DataFrame, text: str, make) -> DataFrame:
-    """Sums over (key, n) rows that ``make`` counts slice by slice."""
-    return df.select(text).mapInArrow(make, "key binary, n long" if make.__name__ == "singles" else "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-
-
 def token_counts(train: DataFrame, text: str = "text") -> DataFrame:
     """(key binary, n): how often each token occurs in all the texts."""
 
@@ -107,26 +121,116 @@ def token_counts(train: DataFrame, text: str = "text") -> DataFrame:
                     seen.clear()
         yield rows()
 
-    return _grouped(train, text, singles)
+    return train.select(text).mapInArrow(singles, "key binary, n long").groupBy("key").agg(F.sum("n").alias("n"))
+
 
+_COUNTED = "part long, kind int, h binary, first binary, n binary"
 
-def pair_counts(train: DataFrame, head, text: str = "text") -> DataFrame:
-    """(key long, n): how often each two head tokens follow one another; each text begins after an end."""
+
+def pair_counts(train: DataFrame, parts: int, text: str = "text") -> DataFrame:
+    """Packed rows for the parts of the filter: how often each two words follow one another in a slice; each text begins after an end."""
 
     def pairs(batches):
-        place = {w: i for i, w in enumerate(head.value[0])}
         for batch in batches:
-            for part in slices(batch, text, 8 << 20):
-                at = np.array([place.get(w, -1) for t in part.column(0).cast(pa.binary()) for w in (END, *tokens(t.as_py()))], np.int64)
-                words = np.array([len(tokens(t.as_py())) + 1 for t in part.column(0).cast(pa.binary())])
-                inside = np.ones(len(at), bool)
-                inside[np.cumsum(words) - words] = False
-                first, second = at[:-1], at[1:]
-                both = inside[1:] & (first >= 0) & (second >= 0)
-                key, n = np.unique(first[both] << 32 | second[both], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int64))], names=["key", "n"])
+            for piece in slices(batch, text, 8 << 20):
+                keys, begins = _keys_of(piece.column(0))
+                if not len(keys):
+                    continue
+                first, second = _before(keys, begins), keys
+                h, at, n = np.unique(pair_keys(first, second), return_index=True, return_counts=True)
+                yield _packed([(part, 2, h[o], first[at[o]], n[o]) for part, o in _dealt(h, parts)])
+
+    return train.select(text).mapInArrow(pairs, _COUNTED)
+
+
+def _keys_of(texts) -> tuple[np.ndarray, np.ndarray]:
+    """The key of every token of all texts, and where each text begins."""
+    split = [tokens(t.as_py()) for t in texts.cast(pa.binary())]
+    sizes = np.array([len(t) for t in split], np.int64)
+    return token_keys([w for t in split for w in t]), np.cumsum(sizes) - sizes
+
+
+def _before(keys: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """The key of the token before each; each text begins after an end."""
+    before = np.roll(keys, 1)
+    before[begins] = token_keys([END])[0]
+    return before
+
+
+def _packed(rows) -> pa.RecordBatch:
+    part, kind, *arrays = zip(*rows)
+    columns = [pa.array(part, pa.int64()), pa.array(kind, pa.int32()), *(pa.array([a.tobytes() for a in x], pa.binary()) for x in arrays)]
+    return pa.RecordBatch.from_arrays(columns, names=["part", "kind", "h", "first", "n"])
+
+
+def _unpacked(column, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
 
-    return _grouped(train, text, pairs)
+
+def _filled(keys: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """The bits of a filter that holds each key up to its level."""
+    segments = max(1, -(-int(levels.sum()) * BITS >> SEGMENT))
+    bits = np.zeros(segments << SEGMENT, bool)
+    base = (keys % np.uint64(segments)).astype(np.int64) << SEGMENT
+    for q in range(1, int(levels.max(initial=0)) + 1):
+        some = levels >= q
+        for place in _probe_bits(keys[some], q):
+            bits[base[some] + place] = True
+    return np.packbits(bits, bitorder="little")
+
+
+_BUILT = _COUNTED + ", bits binary, sums array<long>, entries array<long>"
+
+
+def _build(rows: DataFrame, parts: int) -> DataFrame:
+    """The filter of each (part, kind): its bits, and by level the sum and number of the counts. For pairs, packed rows of followers too."""
+
+    def build(table: pa.Table) -> pa.Table:
+        part, kind = table["part"][0].as_py(), table["kind"][0].as_py()
+        h, at, inverse = np.unique(_unpacked(table["h"], np.uint64), return_index=True, return_inverse=True)
+        n = np.zeros(len(h), np.int64)
+        np.add.at(n, inverse, _unpacked(table["n"], np.int64))
+        levels = np.floor(np.log(n) / np.log(RATIO) + 1e-9).astype(np.int64) + 1
+        found = {"part": [part], "kind": [kind], "h": [None], "first": [None], "n": [None], "bits": [_filled(h, levels).tobytes()]}
+        found |= {"sums": [np.bincount(levels, n).astype(np.int64)], "entries": [np.bincount(levels)]}
+        if kind == 2:
+            first, followers = np.unique(_unpacked(table["first"], np.uint64)[at], return_counts=True)
+            for to, o in _dealt(first, parts):
+                for name, x in (("part", to), ("kind", 1), ("h", first[o].tobytes()), ("first", None), ("n", followers[o].tobytes()), ("bits", None), ("sums", None), ("entries", None)):
+                    found[name].append(x)
+        kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 4, *[pa.list_(pa.int64())] * 2]
+        return pa.table({name: pa.array(x, k) for (name, x), k in zip(found.items(), kinds)})
+
+    return rows.groupBy("part", "kind").applyInArrow(build, _BUILT)
+
+
+def _levels(marked: DataFrame, filters: DataFrame, parts: int) -> DataFrame:
+    """(slice, part, singles, followers, pairs): the levels of the distinct keys of each slice, in the order of ``_asked``."""
+
+    def ask(table: pa.Table) -> pa.Table:
+        keys, begins = _keys_of(table["text"].combine_chunks())
+        asked = _asked(keys, begins)
+        one, two = (dict(_dealt(k, parts)) for k in asked)
+        to, none = sorted(one.keys() | two.keys()), np.zeros(0, np.int64)
+        pack = lambda k, of: pa.array([k[of.get(p, none)].tobytes() for p in to], pa.binary())
+        return pa.table({"slice": pa.array([table["slice"][0].as_py()] * len(to), pa.int64()), "part": pa.array(to, pa.int64()), "one": pack(asked[0], one), "two": pack(asked[1], two)})
+
+    def answer(held: pa.Table, asking: pa.Table) -> pa.Table:
+        of = {k: np.frombuffer(b, np.uint8) for k, b in zip(held["kind"].to_pylist(), held["bits"].to_pylist())}
+        levels = lambda kind, keys: Filter(of[kind], np.zeros(MOST)).counts(keys) if kind in of else np.zeros(len(keys), np.int64)
+        found = {"slice": asking["slice"], "part": asking["part"]}
+        for name, column, kind in (("singles", "one", 0), ("followers", "one", 1), ("pairs", "two", 2)):
+            asks = [np.frombuffer(b, np.uint64) for b in asking[column].to_pylist()]
+            found[name] = pa.array([levels(kind, k).astype(np.uint8).tobytes() for k in asks], pa.binary())
+        return pa.table(found)
+
+    asking = marked.groupBy("slice").applyInArrow(ask, "slice long, part long, one binary, two binary")
+    return filters.groupBy("part").cogroup(asking.groupBy("part")).applyInArrow(answer, "slice long, part long, singles binary, followers binary, pairs binary")
+
+
+def _asked(keys: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys of the tokens of a slice, with the end, and of its pairs."""
+    return np.unique(np.append(keys, token_keys([END]))), np.unique(pair_keys(_before(keys, begins), keys))
 
 
 def _level(n: str, least: int) -> Column:
@@ -194,43 +298,43 @@ def score(df: DataFrame, train: Column, id_column: str = "doc_id", text: str = "
     learned = rows.where(~F.col("held_out"))
     counts = materialize(token_counts(learned), "tokens")
     total, distinct = (x or 0 for x in counts.agg(F.sum("n"), F.count("*")).first())
-    least = max(2, int(np.ceil(KEPT * total)))
     head_rows = counts.where(F.col("n") >= max(1, int(np.ceil(HEAD * total)))).orderBy(F.desc("n"), "key").collect()  # at most 1 / HEAD rows
     words, n_of = [bytes(r["key"]) for r in head_rows], np.array([r["n"] for r in head_rows], np.float64)
-    head = spark.sparkContext.broadcast((words, n_of))
-    pairs = materialize(pair_counts(learned, head).where(F.col("n") >= least), "pairs")
-
-    kept = counts.where(F.col("n") >= least)
-    left = counts.where(F.col("n") < least).agg(F.avg("n")).first()[0] or 0.0
+    head = spark.sparkContext.broadcast(({w: i for i, w in enumerate(words)}, n_of))
+    parts = 1 + total // PART
 
-    def hashed(batches, of_pairs):
-        keys = token_keys(head.value[0]) if of_pairs else None
+    def hashed(batches):
         for batch in batches:
-            key = batch.column(0)
-            h = pair_keys(key.to_numpy(), keys) if of_pairs else token_keys(key.to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column(1), batch.column(2)], names=["h", "n", "q"])
-
-    kind = "h long, n long, q int"
-    entries = kept.select("key", "n", _level("n", least).alias("q")).mapInArrow(lambda b: hashed(b, False), kind)
-    entries = materialize(entries.unionByName(pairs.select("key", "n", _level("n", least).alias("q")).mapInArrow(lambda b: hashed(b, True), kind)), "entries")
-    share = np.ones(len(words))
-    for r in pairs.groupBy(F.shiftright("key", 32).alias("first")).agg((F.sum("n") - DISCOUNT * F.count("*")).alias("mass")).toLocalIterator():  # at most 1 / HEAD rows
-        share[r["first"]] = max(1e-3, 1 - r["mass"] / n_of[r["first"]])
-    model = spark.sparkContext.broadcast((build_filter(entries, float(left)), share))
+            h = token_keys(batch.column(0).to_pylist())
+            n = batch.column(1).to_numpy()
+            if len(h):
+                yield _packed([(part, 0, h[o], np.zeros(0, np.uint64), n[o]) for part, o in _dealt(h, parts)])
+
+    built = materialize(_build(pair_counts(learned, parts).unionByName(counts.select("key", "n").mapInArrow(hashed, _COUNTED)), parts), "pairs")
+    followers = materialize(_build(built.where(F.col("bits").isNull()).select("part", "kind", "h", "first", "n"), parts), "followers")
+    filters = built.where(F.col("bits").isNotNull()).unionByName(followers).select("part", "kind", "bits", "sums", "entries")
+    means = np.zeros((3, MOST))  # the mean count of each level of tokens, followers and pairs
+    by_level = filters.select("kind", F.posexplode(F.arrays_zip("sums", "entries")).alias("q", "x"))
+    for r in by_level.groupBy("kind", "q").agg(F.try_divide(F.sum("x.sums"), F.sum("x.entries")).alias("mean")).where("mean IS NOT NULL").collect():
+        means[r["kind"], r["q"]] = r["mean"]
     norm = float(total) + 0.5 * (distinct + 1)
 
-    def run(batches):
-        names, exact = head.value
-        place, keys = {w: i for i, w in enumerate(names)}, token_keys(names)
-        found, back = model.value
-        guess = found.values[found.counts(keys)] if len(keys) else np.zeros(0)
-        log_exact = np.log10(exact + 0.5)
+    def cut(batches):
+        task = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
-                yield _scored(part, place, keys, exact, log_exact, guess, back, found, norm)
+            for piece in slices(batch, "text", SLICE):
+                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(np.full(piece.num_rows, task), pa.int64())], names=[*piece.schema.names, "slice"])
+                task += 1
+
+    kind_of = rows.schema["id"].dataType.simpleString()
+    sliced = materialize(rows.withColumn("uid", F.monotonically_increasing_id()).mapInArrow(cut, f"id {kind_of}, text {rows.schema['text'].dataType.simpleString()}, held_out boolean, uid long, slice long"), "slices")
+
+    def run(texts: pa.Table, levels: pa.Table) -> pa.Table:
+        place, exact = head.value
+        return pa.Table.from_batches([_scored(texts, levels, place, np.log10(exact + 0.5), means, parts, norm)])
 
-    kinds = "uid long, id " + rows.schema["id"].dataType.simpleString() + ", held_out boolean, token binary, n_tokens long, known long, base double, score double"
-    marked = rows.withColumn("uid", F.monotonically_increasing_id()).mapInArrow(run, kinds)
+    kinds = f"uid long, id {kind_of}, held_out boolean, token binary, n_tokens long, known long, base double, score double"
+    marked = sliced.groupBy("slice").cogroup(_levels(sliced.select("slice", "text"), filters.select("part", "kind", "bits"), parts).groupBy("slice")).applyInArrow(run, kinds)
     met = marked.join(counts.select(F.col("key").alias("token"), "n"), "token", "left")
     rare = F.col("n_tokens").isNull()
     done = met.groupBy("uid").agg(
@@ -245,33 +349,37 @@ def score(df: DataFrame, train: Column, id_column: str = "doc_id", text: str = "
     return done.drop("uid")
 
 
-def _scored(part: pa.RecordBatch, place: dict, keys, exact, log_exact, guess, back, found: Filter, norm: float) -> pa.RecordBatch:
-    """One row for each text, and one for each of its tokens that is not in the head."""
+def _scored(part: pa.Table, levels: pa.Table, place: dict, log_exact, means, parts: int, norm: float) -> pa.RecordBatch:
+    """One row for each text of a slice, and one for each of its tokens that is not in the head."""
+    part = part.combine_chunks().to_batches()[0]
     names = part.schema.names
     texts = [tokens(t) for t in part.column(names.index("text")).cast(pa.binary()).to_pylist()]
     sizes = np.array([len(t) for t in texts])
-    at = np.array([place.get(w, -1) for t in texts for w in t], np.int64)
+    words = [w for t in texts for w in t]
+    at = np.array([place.get(w, -1) for w in words], np.int64)
     text_of = np.repeat(np.arange(len(texts)), sizes)
     in_head = at >= 0
-    rare_words = [w for w, h in zip((w for t in texts for w in t), in_head.tolist()) if not h]
-    count = np.empty(len(at))
-    count[in_head] = guess[at[in_head]]
-    count[~in_head] = found.values[found.counts(token_keys(rare_words))]
-    p = (count + 0.5) / norm
-    before = np.concatenate(([-1], at[:-1]))
-    begins = np.cumsum(sizes) - sizes
-    before[begins] = place.get(END, -1)
-    known = before >= 0
-    pair = known & in_head
-    key, which = np.unique(before[pair] << 32 | at[pair], return_inverse=True)
-    level = found.counts(pair_keys(key, keys)) if len(key) else np.zeros(0, np.int64)
-    two = np.where(level > 0, found.values[level] - DISCOUNT, 0.0)[which]
-    p[known] *= back[before[known]]
-    p[pair] += np.minimum(two / exact[before[pair]], 1.0)
+    rare_words = [w for w, h in zip(words, in_head.tolist()) if not h]
+    keys, begins = token_keys(words), np.cumsum(sizes) - sizes
+    one, two = _asked(keys, begins)
+    levels = levels.sort_by("part")
+    counts = []
+    for asked, name, mean in ((one, "singles", means[0]), (one, "followers", means[1]), (two, "pairs", means[2])):
+        found = np.zeros(len(asked))
+        found[np.argsort(_parts_of(asked, parts), kind="stable")] = mean[_unpacked(levels[name], np.uint8)]
+        counts.append(found)
+    before = _before(keys, begins)
+    own, first = np.searchsorted(one, keys), np.searchsorted(one, before)
+    seen, followers = counts[0][first], counts[1][first]
+    p = (counts[0][own] + 0.5) / norm
+    known = (seen > 0) & (followers > 0)
+    both = counts[2][np.searchsorted(two, pair_keys(before, keys))][known]
+    p[known] *= np.minimum(DISCOUNT * followers[known] / seen[known], 1.0)
+    p[known] += np.minimum(np.maximum(both - DISCOUNT, 0.0) / seen[known], 1.0)
     total = np.bincount(text_of, np.log10(np.minimum(p, 1.0)), len(texts))
     base = np.bincount(text_of[in_head], log_exact[at[in_head]], len(texts))
     uid = part.column(names.index("uid")).to_numpy()
-    own, rare_of = len(texts), text_of[~in_head]
+    rare_of = text_of[~in_head]
     empty = lambda kind: pa.nulls(len(rare_of), kind)
     id_of = part.column(names.index("id"))
     columns = [
@@ -280,7 +388,7 @@ def _scored(part: pa.RecordBatch, place: dict, keys, exact, log_exact, guess, ba
         pa.concat_arrays([part.column(names.index("held_out")), empty(pa.bool_())]),
         pa.array([b" %d" % u for u in uid.tolist()] + rare_words, pa.binary()),  # no word starts with a space
         pa.concat_arrays([pa.array(sizes.astype(np.int64)), empty(pa.int64())]),
-        pa.concat_arrays([pa.array(np.bincount(text_of[in_head], minlength=own).astype(np.int64)), empty(pa.int64())]),
+        pa.concat_arrays([pa.array(np.bincount(text_of[in_head], minlength=len(texts)).astype(np.int64)), empty(pa.int64())]),
         pa.concat_arrays([pa.array(base.astype(np.float64)), empty(pa.float64())]),
         pa.concat_arrays([pa.array(total.astype(np.float64)), empty(pa.float64())]),
     ]

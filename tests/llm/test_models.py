@@ -217,3 +217,41 @@ def test_forest_prefixes_are_longest_first():
     forest = ann.Forest(x, trees=8)
     for k, near in enumerate(forest.candidates(x[:20], 100)):
         assert k in near and 60 < len(near) < 1500  # the row itself shares all of its prefixes
+
+
+@pytest.mark.parametrize("part", [1 << 21, 500])
+def test_lm_keeps_every_count(spark, monkeypatch, part):
+    """Tokens and pairs seen once are in the model, however many parts the filter has; nothing else is."""
+    monkeypatch.setattr(lm, "PART", part, raising=False)
+    monkeypatch.setattr(lm, "SLICE", 2_000, raising=False)
+    rng = random.Random(6)
+    rows = [(i, " ".join("w%d" % rng.paretovariate(0.5) for _ in range(30))) for i in range(200)] + [(900, "never0 seen0"), (None, None)]
+    got = lm.score(spark.createDataFrame(rows, DOCS), remainder("doc_id", 5) != 1).collect()
+    split = lambda t: ["", *(t or "").split(), ""]
+    train = [split(t) for i, t in rows if i is not None and zlib.crc32(str(i).encode()) % 5 != 1]
+    one = Counter(w for t in train for w in t[1:])
+    two = Counter(p for t in train for p in zip(t, t[1:]))
+    after = Counter(a for a, _ in two)
+
+    def quantised(counts):
+        level = {k: math.floor(math.log(n) / math.log(1.5) + 1e-9) for k, n in counts.items()}
+        mean = {q: np.mean([counts[k] for k in level if level[k] == q]) for q in set(level.values())}
+        return {k: mean[q] for k, q in level.items()}
+
+    norm = sum(one.values()) + 0.5 * (len(one) + 1)
+    one, two, after = quantised(one), quantised(two), quantised(after)
+
+    def want(text):
+        total, words = 0.0, split(text)
+        for a, b in zip(words, words[1:]):
+            p = (one.get(b, 0) + 0.5) / norm
+            if a in one:
+                p = p * min(1, 0.75 * after[a] / one[a]) + min(1, max(0, two.get((a, b), 0) - 0.75) / one[a])
+            total += math.log10(min(p, 1))
+        return total
+
+    texts = dict(rows)
+    near = [abs(r["score"] - want(texts[r["doc_id"]])) < 1e-6 for r in got]
+    assert len(got) == len(rows) and np.mean(near) > 0.6  # a filter answers about one key in a hundred too high
+    learned = [abs(r["score"] - want(texts[r["doc_id"]])) < 0.5 for r in got if not r["held_out"]]
+    assert np.mean(learned) > 0.9
