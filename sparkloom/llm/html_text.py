@@ -2,8 +2,10 @@
 
 For every node of a page's tree, characters per tag are weighted down by the
 share of its text that lies in links. The node whose children's densities add up to the most
-is the core; the subtree that is kept reaches up from it along the path to the
-body while the parent's density is at least the least one on that path and what the parent adds is not link lists.
+is the core. It is kept with the nearest article, else main, around it, or else reaches up
+while what the parent adds is not link lists. The least density on the path from the core to the
+body is the threshold for the rest of the page: every other subtree and run of text that reaches
+it and is not link lists is kept too, in page order.
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts and reader
 comments are left out by their elements, roles and names.
 """
@@ -161,7 +163,7 @@ def _density(node: Node, body_share: float) -> float:
 
 
 def core(root: Node) -> Node:
-    """The subtree that holds the article."""
+    """The tree, cut down to the core and every other subtree at or above the least density on the core's path."""
     order = weigh(root)
     best = max(order, key=lambda n: n.total)
     if not best.total:
@@ -169,21 +171,55 @@ def core(root: Node) -> Node:
     path = [best]
     while path[-1].parent is not None:
         path.append(path[-1].parent)
+    least, share = min(n.density for n in path), root.link_chars / max(1, root.chars)
+    above, best = set(path), _around(path)
+    stack = [root] if best is not root else []
+    while stack:
+        node = stack.pop()
+        kept, run = [], []
+        for part in [*node.parts, None]:
+            if isinstance(part, str) or part is not None and part.tag in INLINE and part not in above:
+                run.append(part)
+                continue
+            if _kept(_run(run), least, share):
+                kept += run
+            run = []
+            if part is None or part.dropped:
+                continue
+            kept.append(part)
+            if part is not best and (part in above or part.density < least or part.link_chars * 3 > part.chars):
+                stack.append(part)
+        node.parts = kept
+    return root
+
+
+def _around(path: list[Node]) -> Node:
+    """What is kept whole around the core: path[0]."""
+    best = path[0]
     for tag in ("article", "main"):
         for node in path:
             if node.tag == tag:
                 return node
-    least = min(n.density for n in path)
     for parent in path[1:]:
         added, links = parent.chars - best.chars, parent.link_chars - best.link_chars
-        if parent.tag in ("body", "html") and best.tag not in FLOW:
-            break
-        if parent.density < least or added and links * 3 > added:
+        if parent.tag in ("body", "html") and best.tag not in FLOW or added and links * 3 > added:
             break
         best = parent
     return best
 
 
+def _run(parts: list) -> Node:
+    """Text and inline elements between blocks, as a weighed node of their own."""
+    node = Node("p", None)
+    node.parts = parts
+    weigh(node)
+    return node
+
+
+def _kept(node: Node, least: float, share: float) -> bool:
+    return bool(node.chars) and node.link_chars * 3 <= node.chars and _density(node, share) >= least
+
+
 def visible(node: Node) -> str:
     """The text of a subtree: blocks in page order, white space inside and between them as one space."""
     blocks, run, stack = [], [], [node]

@@ -73,6 +73,20 @@ def test_density_without_article():
     assert "link number" not in got and got.endswith(" s") and all(got.count(f"text {k}") == 1 for k in range(5))
 
 
+def _paragraphs(word, n=5):
+    return "".join(f"<p>{word}{k} {'some words of text ' * 12}</p>" for k in range(n))
+
+
+@pytest.mark.parametrize("around", ["div", "article"])
+def test_all_dense_subtrees(around):
+    """Each part of an article is kept, in page order; link lists between them are not."""
+    links = "<ul>" + "".join(f"<li><a href=/{k}>link number {k}</a></li>" for k in range(30)) + "</ul>"
+    parts = [f"<{around}>{_paragraphs(w, n)}</{around}>" for w, n in (("a", 5), ("b", 6), ("c", 5))]
+    got = html_text.extract(f"<body>{parts[0]}<div>{links}</div>{parts[1]}<div><div>{links}</div>{parts[2]}</div></body>")
+    assert [w for w in got.split() if re.fullmatch("[abc][0-9]", w)] == [f"{w}{k}" for w, n in (("a", 5), ("b", 6), ("c", 5)) for k in range(n)]
+    assert "link number" not in got
+
+
 def test_main_text_rows(spark):
     df = spark.createDataFrame([(1, None, 0), (2, "", 0), (3, "<p>" + "x" * 200_000, 0), (None, "<p>a", 0), (None, "<p>a", 0)], "page_id long, html string, text int")
     got = [(r["page_id"], len(r["text"])) for r in html_text.main_text(df).collect()]
