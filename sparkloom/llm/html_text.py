@@ -7,7 +7,8 @@ while what the parent adds is not link lists. The least density on the path from
 body is the threshold for the rest of the page: every other subtree and run of text that reaches
 it and is not link lists is kept too, in page order.
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts and reader
-comments are left out by their elements, roles and names.
+comments are left out by their elements, roles and names. A role, a name or a form does not
+leave out what holds the only article or main, or most of the page's text outside links.
 """
 
 from __future__ import annotations
@@ -35,14 +36,16 @@ NAMES = frozenset(
     "ad ads advert adverts advertisement sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal overlay sidebar nav navbar navigation menu "
     "breadcrumb breadcrumbs footer comment comments disqus replies share sharing social newsletter subscribe signup login related widget toolbar pagination".split()
 )
+COMMENTS = frozenset("comment comments disqus replies".split())
 _CUT = re.compile(r"[\s_-]+|(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "dropped", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "parts", "dropped", "named", "comments", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, tag: str, parent: "Node | None", dropped: bool = False):
         self.tag, self.parent, self.parts, self.dropped = tag, parent, [], dropped
+        self.named = self.comments = False
 
 
 class _Tree(HTMLParser):
@@ -74,6 +77,8 @@ class _Tree(HTMLParser):
 
     def _open(self, tag, attrs):
         node = Node(tag, self.at, unwanted(tag, attrs, self.at))
+        node.named = not node.dropped and named(tag, attrs)
+        node.comments = node.named and any(w.lower() in COMMENTS for n, v in attrs if n in ("class", "id") and v for w in _CUT.split(v))
         self.at.parts.append(node)
         self.at = node
 
@@ -109,8 +114,8 @@ class _Tree(HTMLParser):
 
 
 def unwanted(tag: str, attrs, parent: Node | None) -> bool:
-    """Whether an element is left out with all it holds."""
-    if tag in DROPPED:
+    """Whether an element is left out with all it holds, whatever that is."""
+    if tag in DROPPED and tag != "form":
         return True
     if tag in ("html", "body", "main", "article"):
         return False
@@ -121,15 +126,47 @@ def unwanted(tag: str, attrs, parent: Node | None) -> bool:
         return True
     for name, value in attrs:
         value = value or ""
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "role" and value.lower() in ROLES:
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return True
         if name == "style" and "display:none" in value.replace(" ", "").lower():
             return True
-        if name in ("class", "id") and any(w.lower() in NAMES for w in _CUT.split(value)):
-            return True
     return False
 
 
+def named(tag: str, attrs) -> bool:
+    """Whether an element is left out by its role or name, or as a form, unless it holds the page's text."""
+    if tag in ("html", "body", "main", "article"):
+        return False
+    roles = (v.lower() in ROLES for n, v in attrs if n == "role" and v)
+    return tag == "form" or any(roles) or any(w.lower() in NAMES for n, v in attrs if n in ("class", "id") and v for w in _CUT.split(v))
+
+
+def drop_named(root: Node) -> None:
+    """Leave out named elements, but for those that hold the only article or main, or most of the page's text outside links.
+
+    Comments stay out however long they are, if an article or main stands elsewhere.
+    """
+    order = weigh(root)
+    if not any(n.named for n in order):
+        return
+    under: dict[Node, tuple] = {}  # whether each node lies in a named element, and in comments
+    for node in order:
+        named_above, comments_above = under.get(node.parent, (False, False))
+        under[node] = named_above or node.named, comments_above or node.comments
+    plain = lambda n: n.chars - n.link_chars
+    texts = [n for n in order if n.tag in ("article", "main")]
+    outside, elsewhere = any(not under[n][0] for n in texts), any(not under[n][1] for n in texts)
+    holds: set[Node] = set()
+    for node in texts:
+        while node is not None and node not in holds:
+            holds.add(node)
+            node = node.parent
+    for node in order:
+        if node.named:
+            most = plain(node) * 2 > plain(root)
+            node.dropped = node.comments and elsewhere or not (most or node in holds and not outside)
+
+
 def weigh(root: Node) -> list[Node]:
     """All kept nodes, parents first, with their densities and the sums of their children's."""
     order, stack = [], [root]
@@ -249,6 +286,7 @@ def extract(html: str) -> str:
         tree.close()
     except (AssertionError, ValueError):  # the parser gave up on broken markup; what it has built stands
         pass
+    drop_named(tree.root)
     return visible(core(tree.root))
 
 

@@ -87,6 +87,22 @@ def test_all_dense_subtrees(around):
     assert "link number" not in got
 
 
+@pytest.mark.parametrize("opening", ['<div class="layout has-sidebar">', '<div id="content-with-nav">', '<div class="post related-1">', "<form>", '<div role="form">', '<form><div class="menu-open">'])
+@pytest.mark.parametrize("inner", ["article", "div"])
+def test_wrappers_keep_the_article(opening, inner):
+    """A name, a role or a form around the article does not drop it; menus and comments inside and beside it are dropped."""
+    small = '<div class="sidebar"><p>side note</p></div>'
+    comments = f'<div class="comments"><p>{"a reader says " * 5}</p></div>'
+    got = html_text.extract(f"<body>{small}{opening}<{inner}>{_paragraphs('a')}</{inner}>{small}{comments}</div></form></body>")
+    assert [w for w in got.split() if re.fullmatch("a[0-9]", w)] == [f"a{k}" for k in range(5)]
+    assert "side note" not in got and "reader" not in got
+
+
+@pytest.mark.parametrize("opening", ["<div>", '<div class="has-sidebar">'])
+def test_long_comments_stay_out(opening):
+    assert html_text.extract(f"<body>{opening}<article><p>{'the text ' * 20}</p></article><div id=comments><article>{_paragraphs('c', 20)}</article></div></div></body>") == ("the text " * 20).strip()
+
+
 def test_main_text_rows(spark):
     df = spark.createDataFrame([(1, None, 0), (2, "", 0), (3, "<p>" + "x" * 200_000, 0), (None, "<p>a", 0), (None, "<p>a", 0)], "page_id long, html string, text int")
     got = [(r["page_id"], len(r["text"])) for r in html_text.main_text(df).collect()]
