@@ -1,39 +1,35 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Token, pair and follower counts are grouped sums over the training texts. Counts
-are quantised on a logarithmic scale, and a pair of a key and every level up to its own
-goes into a Bloom filter; probing level after level until one is missing gives a
-count back, and a key whose first level is missing counts as never seen. Scores are
-word-pair probabilities with absolute discounting that fall back to single tokens.
-The plain add-one-half unigram score of each text comes from exact counts, by a join.
-
-Every token and every pair is in the filter, from a count of 1 up. It grows with the
-corpus, so no worker holds it whole: its keys are dealt out to parts of about PART
-keys, each built where its rows meet and written to the shared folder. Texts are
-scored in slices; the distinct keys of a slice travel to their parts, and the levels
-found there travel back to the slice. Only what is looked up for the exact unigram
-score goes to all workers: tokens of a share of at least HEAD of all tokens are at
-most 1/HEAD; the others are joined, so nothing is lost there.
+Token and pair counts are sums over the training texts. Counts are quantised on a
+logarithmic scale, and a pair of a key and every level up to its own goes into a
+Bloom filter; probing level after level until one is missing gives a count back,
+and a key whose first level is missing counts as never seen. Scores are word-pair
+probabilities, interpolated with single tokens. The plain add-one-half unigram
+score of each text comes from exact counts, which stand beside the filter.
+
+Every token and every pair is in the filter, from a count of 1 up, so it grows
+with the corpus and no worker can hold it whole: its keys are dealt out to parts
+of about PART bytes of text, each built where its counts meet and written to the
+shared folder. Texts are scored in slices of about SLICE bytes; the distinct
+words and pairs of a slice travel to their parts, and what is found there travels back to the slice.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, slices
 
-#: Least share of tokens of a head token, training tokens for each part of the filter, and bytes of text of a slice.
-HEAD, PART, SLICE = 1 / 400_000, 1 << 21, 4 << 20
-#: Ratio of the levels of counts, discount of pairs, bits a level, probes a level, and the log of the bits of a segment.
-RATIO, DISCOUNT, BITS, PROBES, SEGMENT = 1.5, 0.75, 10, 4, 15
+#: Bytes of text for each part of the filter, and of a slice.
+PART, SLICE = 12 << 20, 4 << 20
+#: Ratio of the levels of counts, bits a level, probes a level, the log of the bits of a segment, and the share of pairs in a probability.
+RATIO, BITS, PROBES, SEGMENT, PAIRS = 1.5, 12, 5, 15, 0.7
 #: More levels than a count of 63 bits has.
 MOST = 110
 #: The token that ends each text; no word is empty.
@@ -63,333 +59,226 @@ def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return _mix(first * _A + _mix(second + _A))
 
 
-def _parts_of(keys: np.ndarray, parts: int) -> np.ndarray:
-    """The part of the filter of each key; inside a part, blocks go by the lower bits."""
-    return (keys >> np.uint64(32)) % np.uint64(parts)
+def quantised(n: np.ndarray) -> np.ndarray:
+    """The level of each count, from 1."""
+    return np.floor(np.log(n) / np.log(RATIO) + 1e-9).astype(np.int64) + 1
 
 
-def _dealt(keys: np.ndarray, parts: int):
-    """(part, range of the order, order): keys by part, and inside a part as they stood."""
-    part = _parts_of(keys, parts)
-    order = np.argsort(part, kind="stable")
-    cuts = np.flatnonzero(np.diff(part[order].astype(np.int64), prepend=-1))
-    return [(int(part[order[a]]), order[a:b]) for a, b in zip(cuts, [*cuts[1:], len(order)])]
-
-
-def _probe_bits(keys: np.ndarray, level: int) -> list[np.ndarray]:
+def _probes(keys: np.ndarray, level: int) -> list[np.ndarray]:
     """Places inside a key's segment of the probes of a level."""
     h = _mix(keys + np.uint64(level * int(_A) % (1 << 64)))
-    return [((h >> np.uint64(16 * i)) & np.uint64((1 << SEGMENT) - 1)).astype(np.int64) for i in range(PROBES)]
-
-
-@dataclass
-class Filter:
-    """A blocked log-frequency Bloom filter: all probes of a key lie in one segment."""
-
-    bits: np.ndarray
-    values: np.ndarray  # the mean count of each level, from level 1; at 0 that of what the filter leaves out
-
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        """The level of each key, by probing until a level is missing."""
-        level = np.zeros(len(keys), np.int64)
-        segments = len(self.bits) >> (SEGMENT - 3)
-        alive = np.arange(len(keys))
-        base = (keys % np.uint64(segments)).astype(np.int64) << SEGMENT
-        for q in range(1, len(self.values)):
-            if not len(alive):
-                break
-            held = np.ones(len(alive), bool)
-            for place in _probe_bits(keys[alive], q):
-                at = base[alive] + place
-                held &= (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-            alive = alive[held]
-            level[alive] = q
-        return level
-
-
-def token_counts(train: DataFrame, text: str = "text") -> DataFrame:
-    """(key binary, n): how often each token occurs in all the texts."""
-
-    def singles(batches):
-        seen: Counter = Counter()
-        rows = lambda: pa.RecordBatch.from_pydict({"key": pa.array(list(seen), pa.binary()), "n": pa.array(list(seen.values()), pa.int64())})
-        for batch in batches:
-            for t in batch.column(0).cast(pa.binary()):
-                seen.update(tokens(t.as_py()))
-                if len(seen) > 300_000:
-                    yield rows()
-                    seen.clear()
-        yield rows()
-
-    return train.select(text).mapInArrow(singles, "key binary, n long").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-_COUNTED = "part long, kind int, h binary, first binary, n binary"
-
-
-def pair_counts(train: DataFrame, parts: int, text: str = "text") -> DataFrame:
-    """Packed rows for the parts of the filter: how often each two words follow one another in a slice; each text begins after an end."""
-
-    def pairs(batches):
-        for batch in batches:
-            for piece in slices(batch, text, 8 << 20):
-                keys, begins = _keys_of(piece.column(0))
-                if not len(keys):
-                    continue
-                first, second = _before(keys, begins), keys
-                h, at, n = np.unique(pair_keys(first, second), return_index=True, return_counts=True)
-                yield _packed([(part, 2, h[o], first[at[o]], n[o]) for part, o in _dealt(h, parts)])
-
-    return train.select(text).mapInArrow(pairs, _COUNTED)
-
-
-def _keys_of(texts) -> tuple[np.ndarray, np.ndarray]:
-    """The key of every token of all texts, and where each text begins."""
-    split = [tokens(t.as_py()) for t in texts.cast(pa.binary())]
-    sizes = np.array([len(t) for t in split], np.int64)
-    return token_keys([w for t in split for w in t]), np.cumsum(sizes) - sizes
-
-
-def _before(keys: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    """The key of the token before each; each text begins after an end."""
-    before = np.roll(keys, 1)
-    before[begins] = token_keys([END])[0]
-    return before
+    return [((h >> np.uint64(12 * i)) & np.uint64((1 << SEGMENT) - 1)).astype(np.int64) for i in range(PROBES)]
 
 
-def _packed(rows) -> pa.RecordBatch:
-    part, kind, *arrays = zip(*rows)
-    columns = [pa.array(part, pa.int64()), pa.array(kind, pa.int32()), *(pa.array([a.tobytes() for a in x], pa.binary()) for x in arrays)]
-    return pa.RecordBatch.from_arrays(columns, names=["part", "kind", "h", "first", "n"])
-
-
-def _unpacked(column, kind) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), kind)
-
-
-def _filled(keys: np.ndarray, levels: np.ndarray) -> np.ndarray:
-    """The bits of a filter that holds each key up to its level."""
+def filled(keys: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """The bits of a filter that holds each key up to its level; all probes of a key lie in one segment."""
     segments = max(1, -(-int(levels.sum()) * BITS >> SEGMENT))
     bits = np.zeros(segments << SEGMENT, bool)
     base = (keys % np.uint64(segments)).astype(np.int64) << SEGMENT
     for q in range(1, int(levels.max(initial=0)) + 1):
         some = levels >= q
-        for place in _probe_bits(keys[some], q):
+        for place in _probes(keys[some], q):
             bits[base[some] + place] = True
     return np.packbits(bits, bitorder="little")
 
 
-_BUILT = _COUNTED + ", bits binary, sums array<long>, entries array<long>"
+def probed(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The level of each key, by probing until a level is missing."""
+    level = np.zeros(len(keys), np.int64)
+    segments = np.uint64(len(bits) >> (SEGMENT - 3))
+    alive = np.arange(len(keys))
+    base = (keys % segments).astype(np.int64) << SEGMENT
+    for q in range(1, MOST):
+        held = np.ones(len(alive), bool)
+        for place in _probes(keys[alive], q):
+            at = base[alive] + place
+            held &= (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+        alive = alive[held]
+        if not len(alive):
+            break
+        level[alive] = q
+    return level
 
 
-def _build(rows: DataFrame, parts: int) -> DataFrame:
-    """The filter of each (part, kind): its bits, and by level the sum and number of the counts. For pairs, packed rows of followers too."""
+@dataclass
+class Slice:
+    """The tokens of some texts, by number: each distinct word and each distinct pair once.
 
-    def build(table: pa.Table) -> pa.Table:
-        part, kind = table["part"][0].as_py(), table["kind"][0].as_py()
-        h, at, inverse = np.unique(_unpacked(table["h"], np.uint64), return_index=True, return_inverse=True)
-        n = np.zeros(len(h), np.int64)
-        np.add.at(n, inverse, _unpacked(table["n"], np.int64))
-        levels = np.floor(np.log(n) / np.log(RATIO) + 1e-9).astype(np.int64) + 1
-        found = {"part": [part], "kind": [kind], "h": [None], "first": [None], "n": [None], "bits": [_filled(h, levels).tobytes()]}
-        found |= {"sums": [np.bincount(levels, n).astype(np.int64)], "entries": [np.bincount(levels)]}
-        if kind == 2:
-            first, followers = np.unique(_unpacked(table["first"], np.uint64)[at], return_counts=True)
-            for to, o in _dealt(first, parts):
-                for name, x in (("part", to), ("kind", 1), ("h", first[o].tobytes()), ("first", None), ("n", followers[o].tobytes()), ("bits", None), ("sums", None), ("entries", None)):
-                    found[name].append(x)
-        kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 4, *[pa.list_(pa.int64())] * 2]
-        return pa.table({name: pa.array(x, k) for (name, x), k in zip(found.items(), kinds)})
+    Words and pairs stand in the order of (part, key), which does not depend on the order of the texts.
+    """
 
-    return rows.groupBy("part", "kind").applyInArrow(build, _BUILT)
+    words: list[bytes]
+    word_keys: np.ndarray
+    pair_keys: np.ndarray
+    word_of: np.ndarray  # of each token
+    before: np.ndarray  # the word before each token; an end before the first of a text
+    pair_of: np.ndarray
+    text_of: np.ndarray
+    parts: int
+
+    @classmethod
+    def of(cls, texts, parts: int) -> "Slice":
+        split = [tokens(t.as_py()) for t in texts.cast(pa.binary())]
+        sizes = np.array([len(t) for t in split], np.int64)
+        every = [w for t in split for w in t]
+        words = list(dict.fromkeys([END, *every]))
+        number = {w: i for i, w in enumerate(words)}
+        keys = token_keys(words)
+        word_of = np.fromiter(map(number.__getitem__, every), np.int64, len(every))
+        before = np.roll(word_of, 1)
+        before[np.cumsum(sizes) - sizes] = 0
+        pairs, pair_of = np.unique(before * len(words) + word_of, return_inverse=True)
+        both = pair_keys(keys[pairs // len(words)], keys[pairs % len(words)])
+        order, word_place = _ordered(keys, parts)
+        pair_order, pair_place = _ordered(both, parts)
+        return cls([words[i] for i in order.tolist()], keys[order], both[pair_order], word_place[word_of], word_place[before], pair_place[pair_of], np.repeat(np.arange(len(sizes)), sizes), parts)
+
+    def packed(self, counts: bool) -> dict[str, list]:
+        """One row for each part: its words, joined, and the keys of its pairs; with ``counts``, how often each occurs here."""
+        out: dict[str, list] = {"part": [], "words": [], "n_words": [], "pairs": []} | ({"word_n": [], "pair_n": []} if counts else {})
+        n = np.bincount(self.word_of, minlength=len(self.words)).astype("<u4"), np.bincount(self.pair_of, minlength=len(self.pair_keys)).astype("<u4")
+        of_words, of_pairs = _part(self.word_keys, self.parts), _part(self.pair_keys, self.parts)
+        small = short(self.pair_keys)
+        for part in np.union1d(of_words, of_pairs).tolist():
+            a, b = np.searchsorted(of_words, [part, part + 1]).tolist()
+            c, d = np.searchsorted(of_pairs, [part, part + 1]).tolist()
+            out["part"].append(part)
+            out["words"].append(b" ".join(self.words[a:b]))
+            out["n_words"].append(b - a)
+            out["pairs"].append(small[c:d].tobytes())
+            if counts:
+                out["word_n"].append(n[0][a:b].tobytes())
+                out["pair_n"].append(n[1][c:d].tobytes())
+        return out
+
+
+def _part(keys: np.ndarray, parts: int) -> np.ndarray:
+    return ((keys >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+
+
+def short(keys: np.ndarray) -> np.ndarray:
+    """What stands for a key inside its part: its lower half. A part has about two million keys, so one in two thousand shares it, far less than what the filter itself confuses."""
+    return keys.astype("<u4")
+
+
+def _ordered(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of (part, key), and the place of each key in it."""
+    order = np.lexsort((keys, _part(keys, parts)))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return order, place
+
+
+_KINDS = {"slice": pa.int64(), "part": pa.int64(), "words": pa.binary(), "n_words": pa.int64(), "pairs": pa.binary(), "word_n": pa.binary(), "pair_n": pa.binary()}
+
+
+def _table(found: dict[str, list]) -> dict:
+    return {name: pa.array(x, _KINDS[name]) for name, x in found.items()}
+
+
+def _numbers(column, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
 
 
-def _levels(marked: DataFrame, filters: DataFrame, parts: int) -> DataFrame:
-    """(slice, part, singles, followers, pairs): the levels of the distinct keys of each slice, in the order of ``_asked``."""
+def counted(train: DataFrame, parts: int, text: str = "text") -> DataFrame:
+    """How often each word and each pair occurs in each slice of the texts, packed by part."""
 
-    def ask(table: pa.Table) -> pa.Table:
-        keys, begins = _keys_of(table["text"].combine_chunks())
-        asked = _asked(keys, begins)
-        one, two = (dict(_dealt(k, parts)) for k in asked)
-        to, none = sorted(one.keys() | two.keys()), np.zeros(0, np.int64)
-        pack = lambda k, of: pa.array([k[of.get(p, none)].tobytes() for p in to], pa.binary())
-        return pa.table({"slice": pa.array([table["slice"][0].as_py()] * len(to), pa.int64()), "part": pa.array(to, pa.int64()), "one": pack(asked[0], one), "two": pack(asked[1], two)})
+    def count(batches):
+        for batch in batches:
+            for piece in slices(batch, text, SLICE):
+                yield pa.RecordBatch.from_pydict(_table(Slice.of(piece.column(0), parts).packed(True)))
 
-    def answer(held: pa.Table, asking: pa.Table) -> pa.Table:
-        of = {k: np.frombuffer(b, np.uint8) for k, b in zip(held["kind"].to_pylist(), held["bits"].to_pylist())}
-        levels = lambda kind, keys: Filter(of[kind], np.zeros(MOST)).counts(keys) if kind in of else np.zeros(len(keys), np.int64)
-        found = {"slice": asking["slice"], "part": asking["part"]}
-        for name, column, kind in (("singles", "one", 0), ("followers", "one", 1), ("pairs", "two", 2)):
-            asks = [np.frombuffer(b, np.uint64) for b in asking[column].to_pylist()]
-            found[name] = pa.array([levels(kind, k).astype(np.uint8).tobytes() for k in asks], pa.binary())
-        return pa.table(found)
+    return train.select(text).mapInArrow(count, "part long, words binary, n_words long, pairs binary, word_n binary, pair_n binary")
 
-    asking = marked.groupBy("slice").applyInArrow(ask, "slice long, part long, one binary, two binary")
-    return filters.groupBy("part").cogroup(asking.groupBy("part")).applyInArrow(answer, "slice long, part long, singles binary, followers binary, pairs binary")
 
+def build(rows: DataFrame) -> DataFrame:
+    """The filter of each part: exact counts of its words, bits of words and pairs, and by level the sum and number of the counts."""
 
-def _asked(keys: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct keys of the tokens of a slice, with the end, and of its pairs."""
-    return np.unique(np.append(keys, token_keys([END]))), np.unique(pair_keys(_before(keys, begins), keys))
+    def fill(table: pa.Table) -> pa.Table:
+        seen: dict[bytes, int] = {}
+        for blob, n in zip(table["words"].to_pylist(), table["word_n"].to_pylist()):
+            n = np.frombuffer(n, "<u4").tolist()
+            for word, k in zip(blob.split(b" ") if n else (), n):
+                seen[word] = seen.get(word, 0) + k
+        pairs, place = np.unique(_numbers(table["pairs"], "<u4"), return_inverse=True)
+        pair_n = np.bincount(place, _numbers(table["pair_n"], "<u4"), len(pairs)).astype(np.int64)
+        word_n = np.array(list(seen.values()), np.int64)
+        found = {"part": [table["part"][0].as_py()], "words": [b" ".join(seen)], "word_n": [word_n.tobytes()], "distinct": [len(seen)], "total": [int(word_n.sum())]}
+        for kind, keys, n in (("word", token_keys(list(seen)), word_n), ("pair", pairs, pair_n)):
+            levels = quantised(n)
+            found |= {f"{kind}_bits": [filled(short(keys).astype(np.uint64), levels).tobytes()], f"{kind}_sums": [np.bincount(levels, n).astype(np.int64)], f"{kind}_entries": [np.bincount(levels)]}
+        kinds = dict(_KINDS, distinct=pa.int64(), total=pa.int64(), word_bits=pa.binary(), pair_bits=pa.binary())
+        return pa.table({name: pa.array(x, kinds.get(name, pa.list_(pa.int64()))) for name, x in found.items()})
 
+    levels = ", ".join(f"{kind}_bits binary, {kind}_sums array<long>, {kind}_entries array<long>" for kind in ("word", "pair"))
+    return rows.groupBy("part").applyInArrow(fill, f"part long, words binary, word_n binary, distinct long, total long, {levels}")
 
-def _level(n: str, least: int) -> Column:
-    return (F.floor(F.log(F.col(n) / F.lit(float(least))) / F.lit(float(np.log(RATIO))) + 1e-9) + 1).cast("int")
 
+def looked_up(sliced: DataFrame, filters: DataFrame, parts: int) -> DataFrame:
+    """(slice, part, exact, words, pairs): for the distinct words of each slice their exact counts and levels, and the levels of its pairs, in the order of ``Slice``."""
 
-def build_filter(entries: DataFrame, left_out: float) -> Filter:
-    """The filter of (h long, n long, q int) rows. Segments are built where their rows meet, and then joined."""
-    levels = {r["q"]: r["mean"] for r in entries.groupBy("q").agg(F.avg("n").alias("mean")).collect()}
-    total = entries.agg(F.sum("q")).first()[0] or 0
-    segments = max(1, -(-total * BITS >> SEGMENT))
+    def ask(table: pa.Table) -> pa.Table:
+        found = Slice.of(table["text"].combine_chunks(), parts).packed(False)
+        return pa.table(_table({"slice": [table["slice"][0].as_py()] * len(found["part"])} | found))
 
-    def fill(batches):
-        found: dict[int, np.ndarray] = {}
-        for batch in batches:
-            keys = batch.column(0).to_numpy().view(np.uint64)
-            levels_of = batch.column(1).to_numpy()
-            segment = (keys % np.uint64(segments)).astype(np.int64)
-            for s in np.unique(segment):
-                found.setdefault(int(s), np.zeros(1 << SEGMENT, bool))
-            for q in range(1, int(levels_of.max(initial=0)) + 1):
-                some = levels_of >= q
-                own = segment[some]
-                order = np.argsort(own, kind="stable")
-                cuts = np.flatnonzero(np.diff(own[order], prepend=-1))
-                for place in _probe_bits(keys[some], q):
-                    for a, b in zip(cuts, [*cuts[1:], len(order)]):
-                        found[int(own[order[a]])][place[order[a:b]]] = True
-            done = sorted(found)[:-1]  # rows come segment by segment, so only the last may go on
-            yield from (row(s, found.pop(s)) for s in done)
-        yield from (row(s, bits) for s, bits in found.items())
-
-    def row(s, bits):
-        return pa.RecordBatch.from_pydict({"segment": pa.array([s], pa.int64()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
-
-    # one row of the entries moves, not one of each probe; the ids of segments spread evenly
-    dealt = entries.select("h", "q", _segment(segments)).repartition("s").sortWithinPartitions("s").select("h", "q")
-    bits = np.zeros(segments << (SEGMENT - 3), np.uint8)
-    size = 1 << (SEGMENT - 3)
-    for row in dealt.mapInArrow(fill, "segment long, bits binary").toLocalIterator():
-        bits[row["segment"] * size : (row["segment"] + 1) * size] |= np.frombuffer(row["bits"], np.uint8)
-    values = np.zeros(max(levels, default=0) + 1)
-    values[0] = left_out
-    last = left_out
-    for q in range(1, len(values)):
-        last = values[q] = levels.get(q, last)
-    return Filter(bits, values)
-
-
-def _segment(segments: int) -> Column:
-    """h as an unsigned number, modulo the number of segments."""
-    return F.expr(f"cast(pmod(cast(h as decimal(20,0)) + if(h < 0, 18446744073709551616BD, 0BD), {segments}) as long)").alias("s")
-
-
-def score(df: DataFrame, train: Column, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    def answer(held: pa.Table, asking: pa.Table) -> pa.Table:
+        n_of: dict[bytes, int] = {}
+        bits = {}
+        for row in held.to_pylist():  # one row, or none where nothing was learned
+            n = np.frombuffer(row["word_n"], np.int64).tolist()
+            n_of = dict(zip(row["words"].split(b" ") if n else (), n))
+            bits = {kind: np.frombuffer(row[f"{kind}_bits"], np.uint8) for kind in ("word", "pair")}
+        level = lambda kind, keys: (probed(bits[kind], keys.astype(np.uint64)) if kind in bits else np.zeros(len(keys), np.int64)).astype(np.uint8).tobytes()
+        words = [blob.split(b" ") if n else [] for blob, n in zip(asking["words"].to_pylist(), asking["n_words"].to_pylist())]
+        exact = [np.array([n_of.get(w, 0) for w in ws], np.int64).tobytes() for ws in words]
+        of_words = [level("word", short(token_keys(ws))) for ws in words]
+        of_pairs = [level("pair", np.frombuffer(p, "<u4")) for p in asking["pairs"].to_pylist()]
+        return pa.table({"slice": asking["slice"], "part": asking["part"]} | {name: pa.array(x, pa.binary()) for name, x in (("exact", exact), ("words", of_words), ("pairs", of_pairs))})
+
+    asking = sliced.groupBy("slice").applyInArrow(ask, "slice long, part long, words binary, n_words long, pairs binary")
+    held = filters.select("part", "words", "word_n", "word_bits", "pair_bits")
+    return held.groupBy("part").cogroup(asking.groupBy("part")).applyInArrow(answer, "slice long, part long, exact binary, words binary, pairs binary")
+
+
+def score(df: DataFrame, train: Column, id_column: str = "doc_id", text: str = "text", part: int = PART, slice_bytes: int = SLICE) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row.
 
     ``train`` says which rows are learned from; a null counts as false. Null texts
     count as empty and consist of the end alone. Repeated rows and rows without
     id are scored one by one; other columns are dropped. With nothing to
-    learn from, all counts are zero.
+    learn from, all counts are zero; an empty table gives no rows. The slice of a row
+    follows from its id and text, so a task that is run again deals rows out alike.
     """
-    spark = df.sparkSession
     rows = df.select(F.col(id_column).alias("id"), F.col(text).alias("text"), F.coalesce(~train, F.lit(True)).alias("held_out"))
-    learned = rows.where(~F.col("held_out"))
-    counts = materialize(token_counts(learned), "tokens")
-    total, distinct = (x or 0 for x in counts.agg(F.sum("n"), F.count("*")).first())
-    head_rows = counts.where(F.col("n") >= max(1, int(np.ceil(HEAD * total)))).orderBy(F.desc("n"), "key").collect()  # at most 1 / HEAD rows
-    words, n_of = [bytes(r["key"]) for r in head_rows], np.array([r["n"] for r in head_rows], np.float64)
-    head = spark.sparkContext.broadcast(({w: i for i, w in enumerate(words)}, n_of))
-    parts = 1 + total // PART
-
-    def hashed(batches):
-        for batch in batches:
-            h = token_keys(batch.column(0).to_pylist())
-            n = batch.column(1).to_numpy()
-            if len(h):
-                yield _packed([(part, 0, h[o], np.zeros(0, np.uint64), n[o]) for part, o in _dealt(h, parts)])
-
-    built = materialize(_build(pair_counts(learned, parts).unionByName(counts.select("key", "n").mapInArrow(hashed, _COUNTED)), parts), "pairs")
-    followers = materialize(_build(built.where(F.col("bits").isNull()).select("part", "kind", "h", "first", "n"), parts), "followers")
-    filters = built.where(F.col("bits").isNotNull()).unionByName(followers).select("part", "kind", "bits", "sums", "entries")
-    means = np.zeros((3, MOST))  # the mean count of each level of tokens, followers and pairs
-    by_level = filters.select("kind", F.posexplode(F.arrays_zip("sums", "entries")).alias("q", "x"))
-    for r in by_level.groupBy("kind", "q").agg(F.try_divide(F.sum("x.sums"), F.sum("x.entries")).alias("mean")).where("mean IS NOT NULL").collect():
-        means[r["kind"], r["q"]] = r["mean"]
+    size = rows.agg(F.sum(F.octet_length("text")) + F.count("*")).first()[0] or 0
+    parts, n_slices = 1 + size // part, 1 + size // slice_bytes
+    filters = materialize(build(counted(rows.where(~F.col("held_out")), parts)), "filter")
+    total, distinct = (x or 0 for x in filters.agg(F.sum("total"), F.sum("distinct")).first())
+    means = {kind: np.zeros(MOST) for kind in ("word", "pair")}  # the mean count of each level
+    for kind, mean in means.items():
+        by_level = filters.select(F.posexplode(F.arrays_zip(f"{kind}_sums", f"{kind}_entries")).alias("q", "x"))
+        for r in by_level.groupBy("q").agg(F.try_divide(F.sum(f"x.{kind}_sums"), F.sum(f"x.{kind}_entries")).alias("mean")).where("mean IS NOT NULL").collect():  # at most MOST rows
+            mean[r["q"]] = r["mean"]
     norm = float(total) + 0.5 * (distinct + 1)
-
-    def cut(batches):
-        task = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            for piece in slices(batch, "text", SLICE):
-                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(np.full(piece.num_rows, task), pa.int64())], names=[*piece.schema.names, "slice"])
-                task += 1
-
-    kind_of = rows.schema["id"].dataType.simpleString()
-    sliced = materialize(rows.withColumn("uid", F.monotonically_increasing_id()).mapInArrow(cut, f"id {kind_of}, text {rows.schema['text'].dataType.simpleString()}, held_out boolean, uid long, slice long"), "slices")
-
-    def run(texts: pa.Table, levels: pa.Table) -> pa.Table:
-        place, exact = head.value
-        return pa.Table.from_batches([_scored(texts, levels, place, np.log10(exact + 0.5), means, parts, norm)])
-
-    kinds = f"uid long, id {kind_of}, held_out boolean, token binary, n_tokens long, known long, base double, score double"
-    marked = sliced.groupBy("slice").cogroup(_levels(sliced.select("slice", "text"), filters.select("part", "kind", "bits"), parts).groupBy("slice")).applyInArrow(run, kinds)
-    met = marked.join(counts.select(F.col("key").alias("token"), "n"), "token", "left")
-    rare = F.col("n_tokens").isNull()
-    done = met.groupBy("uid").agg(
-        F.max("id").alias(id_column),
-        F.bool_or("held_out").alias("held_out"),
-        F.max("n_tokens").alias("n_tokens"),
-        (F.max("known") + F.sum(F.when(rare & F.col("n").isNotNull(), 1).otherwise(0))).cast("long").alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.max("base") + F.coalesce(F.sum(F.when(rare, F.log10(F.coalesce("n", F.lit(0)) + 0.5))), F.lit(0.0)) - F.max("n_tokens") * F.lit(float(np.log10(norm)))).alias("base_score"),
-        F.max("score").alias("score"),
-    )
-    return done.drop("uid")
-
-
-def _scored(part: pa.Table, levels: pa.Table, place: dict, log_exact, means, parts: int, norm: float) -> pa.RecordBatch:
-    """One row for each text of a slice, and one for each of its tokens that is not in the head."""
-    part = part.combine_chunks().to_batches()[0]
-    names = part.schema.names
-    texts = [tokens(t) for t in part.column(names.index("text")).cast(pa.binary()).to_pylist()]
-    sizes = np.array([len(t) for t in texts])
-    words = [w for t in texts for w in t]
-    at = np.array([place.get(w, -1) for w in words], np.int64)
-    text_of = np.repeat(np.arange(len(texts)), sizes)
-    in_head = at >= 0
-    rare_words = [w for w, h in zip(words, in_head.tolist()) if not h]
-    keys, begins = token_keys(words), np.cumsum(sizes) - sizes
-    one, two = _asked(keys, begins)
-    levels = levels.sort_by("part")
-    counts = []
-    for asked, name, mean in ((one, "singles", means[0]), (one, "followers", means[1]), (two, "pairs", means[2])):
-        found = np.zeros(len(asked))
-        found[np.argsort(_parts_of(asked, parts), kind="stable")] = mean[_unpacked(levels[name], np.uint8)]
-        counts.append(found)
-    before = _before(keys, begins)
-    own, first = np.searchsorted(one, keys), np.searchsorted(one, before)
-    seen, followers = counts[0][first], counts[1][first]
-    p = (counts[0][own] + 0.5) / norm
-    known = (seen > 0) & (followers > 0)
-    both = counts[2][np.searchsorted(two, pair_keys(before, keys))][known]
-    p[known] *= np.minimum(DISCOUNT * followers[known] / seen[known], 1.0)
-    p[known] += np.minimum(np.maximum(both - DISCOUNT, 0.0) / seen[known], 1.0)
-    total = np.bincount(text_of, np.log10(np.minimum(p, 1.0)), len(texts))
-    base = np.bincount(text_of[in_head], log_exact[at[in_head]], len(texts))
-    uid = part.column(names.index("uid")).to_numpy()
-    rare_of = text_of[~in_head]
-    empty = lambda kind: pa.nulls(len(rare_of), kind)
-    id_of = part.column(names.index("id"))
-    columns = [
-        pa.array(np.concatenate((uid, uid[rare_of]))),
-        pa.concat_arrays([id_of, empty(id_of.type)]),
-        pa.concat_arrays([part.column(names.index("held_out")), empty(pa.bool_())]),
-        pa.array([b" %d" % u for u in uid.tolist()] + rare_words, pa.binary()),  # no word starts with a space
-        pa.concat_arrays([pa.array(sizes.astype(np.int64)), empty(pa.int64())]),
-        pa.concat_arrays([pa.array(np.bincount(text_of[in_head], minlength=len(texts)).astype(np.int64)), empty(pa.int64())]),
-        pa.concat_arrays([pa.array(base.astype(np.float64)), empty(pa.float64())]),
-        pa.concat_arrays([pa.array(total.astype(np.float64)), empty(pa.float64())]),
-    ]
-    return pa.RecordBatch.from_arrays(columns, names=["uid", "id", "held_out", "token", "n_tokens", "known", "base", "score"])
+    sliced = rows.withColumn("slice", F.pmod(F.xxhash64("id", "text"), F.lit(n_slices)))
+
+    def run(texts: pa.Table, found: pa.Table) -> pa.Table:
+        s = Slice.of(texts["text"].combine_chunks(), parts)
+        found = found.sort_by("part")
+        exact = _numbers(found["exact"], "<i8")
+        word, pair = means["word"][_numbers(found["words"], np.uint8)], means["pair"][_numbers(found["pairs"], np.uint8)]
+        if len(exact) != len(s.words) or len(pair) != len(s.pair_keys):
+            raise RuntimeError("the answers do not fit the slice")
+        n = len(texts)
+        of_text = lambda x: np.bincount(s.text_of, x, n)
+        sizes = np.bincount(s.text_of, minlength=n)
+        single = (word[s.word_of] + 0.5) / norm
+        first = word[s.before]
+        both = np.where(first > 0, np.minimum(pair[s.pair_of] / np.maximum(first, 1e-9), 1.0), 0.0)
+        p = np.where(first > 0, PAIRS * both + (1 - PAIRS) * single, single)
+        columns = {"n_tokens": sizes, "n_known": of_text((exact > 0)[s.word_of]).astype(np.int64), "train_tokens": np.full(n, total)}
+        scores = {"base_score": of_text(np.log10(exact + 0.5)[s.word_of]) - sizes * np.log10(norm), "score": of_text(np.log10(np.minimum(p, 1.0)))}
+        return pa.table({id_column: texts["id"], "held_out": texts["held_out"]} | {k: pa.array(x, pa.int64()) for k, x in columns.items()} | {k: pa.array(x, pa.float64()) for k, x in scores.items()})
+
+    kinds = f"`{id_column}` {rows.schema['id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return sliced.groupBy("slice").cogroup(looked_up(sliced, filters, parts).groupBy("slice")).applyInArrow(run, kinds)
