@@ -233,7 +233,7 @@ def test_nearest(spark):
     asked = df.where("vec_id % 25 = 0")
     want = brute_nearest(rows, 20)
     got: dict = {}
-    for r in ann.search(df, asked, shard=1500, block=64, least=300).orderBy("query_id", "rank").collect():
+    for r in ann.search(df, asked, shard=1500, block=64).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append(r["vec_id"])
     assert set(got) == {i for i in want if i % 25 == 0}
     assert np.mean([len(set(v) & set(want[i])) / 20 for i, v in got.items()]) > 0.9
@@ -254,12 +254,42 @@ def test_equal_vectors_score_alike(spark):
         assert [r["vec_id"] for r in own] == [i for i in ties if i != q][:20] and len({r["score"] for r in own}) == 1
 
 
-def test_forest_prefixes_are_longest_first():
+def test_forest_prefixes():
+    """Candidates are the rows that share the prefix in some tree; the length is the longest that holds enough."""
     rng = np.random.default_rng(7)
     x = rng.standard_normal((2000, 16))
-    forest = ann.Forest(x, trees=8)
-    for k, near in enumerate(forest.candidates(x[:20], 100)):
-        assert k in near and 60 < len(near) < 1500  # the row itself shares all of its prefixes
+    forest, strings = ann.Forest.grow(x, trees=8, depth=12), ann.hash_strings(x, 8, 12)
+    lengths = forest.descend(strings[:, :20], 100)
+    shared = lambda k, n: (strings >> (12 - n)) == (strings[:, k] >> (12 - n))[:, None]
+    for k, near in enumerate(forest.candidates(strings[:, :20], lengths)):
+        n = lengths[k]
+        assert set(near.tolist()) == set(np.flatnonzero(shared(k, n).any(axis=0)).tolist()) and len(near) < 2000
+        assert shared(k, n).sum() >= 100 > shared(k, n + 1).sum()
+
+
+def test_few_vectors_use_the_forest(spark):
+    """With 500 rows too, only candidates are scored: fewer than all, at a recall of 0.9; near ones are found deep in the trees."""
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((500, 64))
+    x[100:200] = x[100] + 0.02 * rng.standard_normal((100, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<float>")
+    rows = [(r[0], list(map(float, r[1]))) for r in df.collect()]
+    want = brute_nearest(rows, 20)
+    got: dict = {}
+    for r in ann.search(df, df.where("vec_id % 20 = 0")).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert len(got) == 25 and np.mean([len(v & set(want[i])) / 20 for i, v in got.items()]) > 0.9
+    forest, strings = ann.Forest.grow(x), ann.hash_strings(x)
+    bound = spark.range(1).select(*(ann.longest_safe(F.lit(float(sorted(x @ x[q])[-21])), F.lit(1.0)) for q in (0, 120))).first()
+    share = [len(near) / 500 for near in forest.candidates(strings[:, [0, 120]], np.array(bound))]
+    assert share[0] < 0.95 and share[1] < 0.3 and bound[1] > 2 * bound[0]
+
+
+def test_vectors_of_unlike_lengths(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 1.0]), (3, [1.0, 0.0, 0.0]), (4, [0.0, 1.0, 0.0]), (5, [2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted((r["query_id"], r["vec_id"]) for r in ann.search(df, df).collect()) == [(1, 2), (2, 1), (3, 4), (4, 3)]
 
 
 @pytest.mark.parametrize("part,slice_bytes", [(1 << 21, 1 << 20), (3_000, 2_000)])
