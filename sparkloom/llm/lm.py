@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -112,31 +113,38 @@ class Slice:
     pair_keys: np.ndarray
     word_of: np.ndarray  # of each token
     before: np.ndarray  # the word before each token; an end before the first of a text
-    pair_of: np.ndarray
+    pair_n: np.ndarray  # how often each pair occurs
+    pair_of: np.ndarray | None  # of each token, where asked for
     text_of: np.ndarray
     parts: int
 
     @classmethod
-    def of(cls, texts, parts: int) -> "Slice":
-        split = [tokens(t.as_py()) for t in texts.cast(pa.binary())]
-        sizes = np.array([len(t) for t in split], np.int64)
-        every = [w for t in split for w in t]
-        words = list(dict.fromkeys([END, *every]))
-        number = {w: i for i, w in enumerate(words)}
+    def of(cls, texts, parts: int, places: bool = False) -> "Slice":
+        split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))  # as ``tokens`` does, but with empty strings at the edges
+        text_of, coded = pc.list_parent_indices(split).to_numpy().astype(np.int64), split.flatten().dictionary_encode()
+        words = [*coded.dictionary.cast(pa.binary()).to_pylist(), END]
+        end = words.index(END)
+        words = words[: max(end + 1, len(words) - 1)]
+        number = coded.indices.to_numpy()
+        text_of, number = text_of[number != end], number[number != end]
+        sizes = np.bincount(text_of, minlength=len(texts)) + 1
+        word_of = np.full(len(number) + len(texts), end, np.int64)
+        word_of[np.arange(len(number)) + text_of] = number  # an end behind each text
         keys = token_keys(words)
-        word_of = np.fromiter(map(number.__getitem__, every), np.int64, len(every))
-        before = np.roll(word_of, 1)
-        before[np.cumsum(sizes) - sizes] = 0
-        pairs, pair_of = np.unique(before * len(words) + word_of, return_inverse=True)
+        before = np.roll(word_of, 1)  # the last token is an end
+        codes = before * len(words) + word_of
+        pairs, pair_n = np.unique(codes, return_counts=True)
         both = pair_keys(keys[pairs // len(words)], keys[pairs % len(words)])
-        order, word_place = _ordered(keys, parts)
-        pair_order, pair_place = _ordered(both, parts)
-        return cls([words[i] for i in order.tolist()], keys[order], both[pair_order], word_place[word_of], word_place[before], pair_place[pair_of], np.repeat(np.arange(len(sizes)), sizes), parts)
+        order, word_place = _ordered(np.lexsort((keys, _part(keys, parts))))
+        # pairs that share part and short key have the same answer, so their order among themselves does not matter
+        pair_order, pair_place = _ordered(np.argsort(_part(both, parts).astype(np.uint64) << np.uint64(32) | short(both)))
+        pair_of = pair_place[np.searchsorted(pairs, codes)] if places else None
+        return cls([words[i] for i in order.tolist()], keys[order], both[pair_order], word_place[word_of], word_place[before], pair_n[pair_order], pair_of, np.repeat(np.arange(len(sizes)), sizes), parts)
 
     def packed(self, counts: bool) -> dict[str, list]:
         """One row for each part: its words, joined, and the keys of its pairs; with ``counts``, how often each occurs here."""
         out: dict[str, list] = {"part": [], "words": [], "n_words": [], "pairs": []} | ({"word_n": [], "pair_n": []} if counts else {})
-        n = np.bincount(self.word_of, minlength=len(self.words)).astype("<u4"), np.bincount(self.pair_of, minlength=len(self.pair_keys)).astype("<u4")
+        n = np.bincount(self.word_of, minlength=len(self.words)).astype("<u4"), self.pair_n.astype("<u4")
         of_words, of_pairs = _part(self.word_keys, self.parts), _part(self.pair_keys, self.parts)
         small = short(self.pair_keys)
         for part in np.union1d(of_words, of_pairs).tolist():
@@ -161,9 +169,8 @@ def short(keys: np.ndarray) -> np.ndarray:
     return keys.astype("<u4")
 
 
-def _ordered(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order of (part, key), and the place of each key in it."""
-    order = np.lexsort((keys, _part(keys, parts)))
+def _ordered(order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order, and the place of each key in it."""
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
     return order, place
@@ -249,7 +256,7 @@ def score(df: DataFrame, train: Column, id_column: str = "doc_id", text: str = "
     learn from, all counts are zero; an empty table gives no rows. The slice of a row
     follows from its id and text, so a task that is run again deals rows out alike.
     """
-    rows = df.select(F.col(id_column).alias("id"), F.col(text).alias("text"), F.coalesce(~train, F.lit(True)).alias("held_out"))
+    rows = df.select(F.col(id_column).alias("id"), F.col(text).cast("string").alias("text"), F.coalesce(~train, F.lit(True)).alias("held_out"))
     size = rows.agg(F.sum(F.octet_length("text")) + F.count("*")).first()[0] or 0
     parts, n_slices = 1 + size // part, 1 + size // slice_bytes
     filters = materialize(build(counted(rows.where(~F.col("held_out")), parts)), "filter")
@@ -263,7 +270,7 @@ def score(df: DataFrame, train: Column, id_column: str = "doc_id", text: str = "
     sliced = rows.withColumn("slice", F.pmod(F.xxhash64("id", "text"), F.lit(n_slices)))
 
     def run(texts: pa.Table, found: pa.Table) -> pa.Table:
-        s = Slice.of(texts["text"].combine_chunks(), parts)
+        s = Slice.of(texts["text"].combine_chunks(), parts, places=True)
         found = found.sort_by("part")
         exact = _numbers(found["exact"], "<i8")
         word, pair = means["word"][_numbers(found["words"], np.uint8)], means["pair"][_numbers(found["pairs"], np.uint8)]

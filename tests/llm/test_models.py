@@ -170,8 +170,8 @@ def test_filter_counts():
 
 
 def test_slices_do_not_depend_on_the_order_of_texts():
-    texts = [b"a b a", None, "Ä b".encode(), b"", b"b a c a"]
-    one, two = (lm.Slice.of(pa.array(t, pa.binary()), 3) for t in (texts, texts[::-1]))
+    texts = ["a b a", None, "Ä b", "", "b a\x0bc A "]
+    one, two = (lm.Slice.of(pa.array(t, pa.string()), 3) for t in (texts, texts[::-1]))
     assert one.words == two.words and sorted(one.words) == sorted({b"a", b"b", b"c", "Ä".encode(), b""}) and (one.pair_keys == two.pair_keys).all()
     spelled = [[one.words[i] for i in one.word_of[one.text_of == k]] for k in range(5)]
     assert spelled == [[b"a", b"b", b"a", b""], [b""], ["Ä".encode(), b"b", b""], [b""], [b"b", b"a", b"c", b"a", b""]]
@@ -264,7 +264,7 @@ def test_forest_prefixes():
     for k, near in enumerate(forest.candidates(strings[:, :20], lengths)):
         n = lengths[k]
         assert set(near.tolist()) == set(np.flatnonzero(shared(k, n).any(axis=0)).tolist()) and len(near) < 2000
-        assert shared(k, n).sum() >= 100 > shared(k, n + 1).sum()
+        assert shared(k, n).any(axis=0).sum() >= 100 > shared(k, n + 1).any(axis=0).sum()
 
 
 def test_few_vectors_use_the_forest(spark):
