@@ -30,9 +30,9 @@ from .common import materialize
 #: Vectors of a shard and queries of a block, on average.
 SHARD, BLOCK = 16_384, 4_096
 #: Trees, bits of a string, and the chance that all trees miss a row which is just as near as the k-th best known.
-TREES, DEPTH, MISS = 96, 24, 0.08
+TREES, DEPTH, MISS = 96, 24, 0.2
 #: Candidates before the first bound, as a multiple of k.
-FIRST = 4
+FIRST = 12
 _SEED = 11
 
 
@@ -71,28 +71,29 @@ class Forest:
         return low, high
 
     def descend(self, asked: np.ndarray, least: int) -> np.ndarray:
-        """For each query the longest prefix, the same in all trees, whose ranges hold ``least`` rows together, or the empty one."""
+        """For each query the longest prefix, the same in all trees, that ``least`` different rows share with it in some tree, or the empty one."""
         lengths = np.zeros(asked.shape[1], np.int64)
         open_ = np.arange(asked.shape[1])
         for bits in range(self.depth, 0, -1):
             low, high = self.ranges(asked[:, open_], np.full(len(open_), bits))
-            enough = (high - low).sum(axis=0) >= least
-            lengths[open_[enough]] = bits
-            open_ = open_[~enough]
+            for place in np.flatnonzero((high - low).sum(axis=0) >= least):
+                if np.count_nonzero(self._held(low[:, place], high[:, place])) >= least:
+                    lengths[open_[place]] = bits
+            open_ = open_[lengths[open_] == 0]
             if not len(open_):
                 break
         return lengths
 
+    def _held(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        held = np.zeros(self.size, bool)
+        held[np.concatenate([order[a:b] for order, a, b in zip(self.order, low.tolist(), high.tolist())])] = True
+        return held
+
     def candidates(self, asked: np.ndarray, lengths: np.ndarray):
         """For each query, the rows that share a prefix of its length with it in some tree."""
         low, high = self.ranges(asked, lengths)
         for q in range(asked.shape[1]):
-            if not lengths[q]:
-                yield np.arange(self.size)
-                continue
-            held = np.zeros(self.size, bool)
-            held[np.concatenate([order[a:b] for order, a, b in zip(self.order, low[:, q].tolist(), high[:, q].tolist())])] = True
-            yield np.flatnonzero(held)
+            yield np.flatnonzero(self._held(low[:, q], high[:, q])) if lengths[q] else np.arange(self.size)
 
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
