@@ -10,11 +10,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.shared import forget, materialize, shared_dir
 
-__all__ = ["append_columns", "forget", "materialize", "shared_dir", "slices", "table", "worker_cache"]
+__all__ = ["append_columns", "forget", "join_heavy", "materialize", "shared_dir", "slices", "table", "worker_cache"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +34,23 @@ def worker_cache(key, make: Callable):
     return kept[key]
 
 
+def join_heavy(left: DataFrame, right: DataFrame, key: str, weight: str, share: int = 1000) -> DataFrame:
+    """``left`` with the columns of ``right``, which has one row a key and says in ``weight`` how many rows of ``left`` have it.
+
+    Keys with at least one in ``share`` of all rows are at most ``share``; they are broadcast, so
+    their rows stay where they are. The rest meet in a shuffle, in which no key is heavy; rows that are done are spread evenly there.
+    ``right`` is read three times, so it should be a written table. Keys without a row in ``right`` drop out, null keys too.
+    """
+    values = [c for c in right.columns if c not in (key, weight)]
+    total = right.agg(F.sum(weight)).first()[0] or 0
+    heavy = F.col(weight) * share >= total
+    one = right.where(heavy).select(key, F.struct(*values).alias("_one"))
+    two = right.where(~heavy).select(key, F.lit(0).cast("long").alias("_salt"), F.struct(*values).alias("_two"))
+    met = left.join(F.broadcast(one), key, "left").withColumn("_salt", F.when(F.col("_one").isNotNull(), 1 + F.monotonically_increasing_id()).otherwise(0))
+    found = F.coalesce("_one", "_two")
+    return met.join(two, [key, "_salt"], "left").where(found.isNotNull()).select(*left.columns, *(found[v].alias(v) for v in values))
+
+
 def append_columns(df: DataFrame, fields: T.StructType, make: Callable, size_of: str, slice_bytes: int = 4 << 20) -> DataFrame:
     """``df`` with the columns ``fields``, which ``make`` computes in Arrow; columns of ``df`` with these names are replaced.
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, forget, materialize
+from .common import append_columns, forget, join_heavy, materialize
 
 #: Fingerprints of one meeting place that a task compares at a time; a larger place is dealt out as pairs of such tiles.
 TILE = 1024
@@ -157,14 +157,14 @@ def groups(df: DataFrame, id_column: str = "doc_id", text: str = "text", bits: i
     """(id, fingerprint long, component_id): every row of ``df`` and the smallest id that its fingerprint's links reach.
 
     Rows whose fingerprints are equal are linked, texts without words too (fingerprint
-    zero). Null ids are never the smallest; a component of null ids alone has
-    component_id null. Repeated rows stay repeated. Columns other than the id
+    zero). Copies and texts without words may be many: a fingerprint that many rows have is not shuffled.
+    Null ids are never the smallest; a component of null ids alone has component_id null. The id may be of any type that has an order. Repeated rows stay repeated. Columns other than the id
     are dropped, so clashing names cannot occur. An empty table gives none.
     """
     marks = materialize(fingerprints(df.select(F.col(id_column), F.col(text)), text, width, "fingerprint").select(F.col(id_column).alias(id_column), "fingerprint"), "fingerprints")
-    distinct = materialize(marks.groupBy("fingerprint").agg(F.min(id_column).alias("least_id")), "distinct")
-    root = components(links(distinct, "fingerprint", bits, blocks))
+    distinct = materialize(marks.groupBy("fingerprint").agg(F.min(id_column).alias("least_id"), F.count("*").alias("n")), "distinct")
+    root = components(links(distinct.select("fingerprint"), "fingerprint", bits, blocks))
     rooted = distinct.join(root.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
     smallest = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = rooted.join(smallest, "root").select("fingerprint", "component_id")
-    return marks.join(named, "fingerprint").select(id_column, "fingerprint", "component_id")
+    named = materialize(rooted.join(smallest, "root").select("fingerprint", "component_id", "n"), "named")
+    return join_heavy(marks, named, "fingerprint", "n").select(id_column, "fingerprint", "component_id")
