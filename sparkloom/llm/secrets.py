@@ -1,10 +1,10 @@
 """Secret scans with a trigram inverted index, in DataFrame operations only.
 
 Each rule's regular expression is turned into a Boolean query over trigrams
-that every match must hold (a disjunction of conjunctions). ``postings`` lists,
-for the trigrams that the rules ask for, the texts that hold them; ``candidates``
-intersects the posting lists; ``scan`` runs the expressions on the candidates
-and returns the spans. A rule without mandatory trigrams scans every text.
+that every match must hold (a disjunction of conjunctions). ``postings`` indexes
+the texts by the trigrams that the rules ask for, as one bitmap over the rows of a partition for
+each trigram; ``candidate`` intersects and unites the lists; ``scan`` runs the expressions on the
+candidates and returns the spans. A rule without mandatory trigrams scans every text.
 """
 
 from __future__ import annotations
@@ -118,32 +118,38 @@ def trigram_query(pattern: str) -> list[frozenset[str]]:
     return sorted(clauses, key=sorted)
 
 
-def _key(df: DataFrame, id_column: str, text: str) -> Column:
-    """What stands for a row in the postings; rows that share it (only repeated rows, or by chance) are verified alike."""
-    return F.xxhash64(F.col(id_column), F.col(text))
+def wanted(rules) -> list[str]:
+    """The trigrams that the rules ask for, sorted."""
+    return sorted({t for r in rules for clause in trigram_query(r.pattern) for t in clause})
 
 
-def postings(df: DataFrame, rules, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """(trigram, key): the texts that hold each trigram that the rules ask for. Null texts hold none."""
-    wanted = sorted({t for r in rules for clause in trigram_query(r.pattern) for t in clause})
-    low = df.select(_key(df, id_column, text).alias("key"), F.lower(F.col(text)).alias("low")).where(F.col("low").isNotNull())
-    held = F.array(*(F.when(F.contains(F.col("low"), F.lit(t)), F.lit(t)) for t in wanted)) if wanted else F.array().cast("array<string>")
-    return low.select("key", F.explode(F.array_compact(held)).alias("trigram")).select("trigram", "key")
+def postings(df: DataFrame, rules, text: str = "text", name: str = "held") -> DataFrame:
+    """``df`` with its posting lists as bitmaps: for each trigram that the rules ask for, in order, whether the row's text holds it.
+
+    The lists of an index are columns here, one bit a row, beside the rows of each
+    partition; so lists are intersected where the texts are, and no text moves. Null texts hold nothing.
+    """
+    low = df.withColumn("_low", F.lower(F.coalesce(F.col(text), F.lit(""))))
+    bits = [F.contains(F.col("_low"), F.lit(t)) for t in wanted(rules)]
+    return low.withColumn(name, F.array(*bits) if bits else F.array().cast("array<boolean>")).drop("_low")
+
+
+def candidate(rule: Rule, rules, held: str = "held") -> Column:
+    """Whether a row's postings meet the trigram query of a rule; true for a rule without mandatory trigrams."""
+    place = {t: i for i, t in enumerate(wanted(rules))}
+    clauses = trigram_query(rule.pattern)
+    both = lambda clause: reduce(Column.__and__, (F.get(held, F.lit(place[t])) for t in sorted(clause)))
+    return reduce(Column.__or__, map(both, clauses)) if clauses else F.lit(True)
+
+
+#: Steps of a running total over up to 2**30 elements.
+_STEPS = [1 << k for k in range(30)]
 
 
-def candidates(lists: DataFrame, rules) -> DataFrame:
-    """(key, rules): the bits of the rules whose trigram query a text meets, by intersecting the posting lists."""
-    queries = [trigram_query(r.pattern) for r in rules]
-    number = {t: i for i, t in enumerate(sorted({t for q in queries for clause in q for t in clause}))}
-    if len(number) > 62:
-        raise ValueError("the rules ask for more than 62 trigrams; scan them in several calls")
-    if not number:
-        return lists.select("key", F.lit(0).cast("long").alias("rules")).where(F.lit(False))
-    bit = F.element_at(F.create_map(*(x for t, i in number.items() for x in (F.lit(t), F.lit(1 << i)))), F.col("trigram"))
-    met = lists.groupBy("key").agg(F.bit_or(bit.cast("long")).alias("held"))
-    hit = lambda clause: F.col("held").bitwiseAND(F.lit(sum(1 << number[t] for t in clause))) == F.lit(sum(1 << number[t] for t in clause))
-    bits = [F.when(reduce(Column.__or__, map(hit, q)), F.lit(1 << k)).otherwise(F.lit(0)) for k, q in enumerate(queries) if q]
-    return met.select("key", reduce(Column.bitwiseOR, bits).cast("long").alias("rules")).where(F.col("rules") != 0)
+def _running(values: Column, both, least: Column) -> Column:
+    """Inclusive running totals of an array under ``both``, by doubling: element i takes in the one 1, 2, 4, ... places before."""
+    steps = F.filter(F.array(*map(F.lit, _STEPS)), lambda d: d < F.size(values))
+    return F.aggregate(steps, values, lambda now, d: F.transform(now, lambda x, i: both(x, F.coalesce(F.get(now, (i - d).cast("int")), least))))
 
 
 def _matches(text: Column, rule: Rule) -> Column:
@@ -152,44 +158,38 @@ def _matches(text: Column, rule: Rule) -> Column:
     The stretches between matches and the matches themselves alternate, so running sums of their lengths are the offsets.
     """
     pattern = F.lit(rule.pattern)
-    rows = F.arrays_zip(
-        F.transform(F.split(text, rule.pattern, -1), F.length).alias("gap"),
-        F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), F.length).alias("long"),
-        F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), F.length).alias("part"),
-    )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("found"))
-
-    def step(state, row):
-        begin = state["at"] + row["gap"]
-        end = begin + F.coalesce(row["long"], F.lit(0))
-        span = F.struct(begin.alias("start"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(row["part"] >= rule.least, F.concat(state["found"], F.array(span))).otherwise(state["found"]).alias("found"))
-
-    return F.aggregate(rows, start, step, lambda s: s["found"])
-
-
-def scan(df: DataFrame, rules=BASE_RULES + MORE_RULES, id_column: str = "doc_id", text: str = "text", spans: str = "spans") -> DataFrame:
+    whole = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), F.length)
+    part = F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), F.length) if rule.group else whole
+    gaps = F.transform(F.split(text, rule.pattern, -1), F.length)
+    rows = F.arrays_zip(whole.alias("long"), part.alias("part"), F.slice(gaps, 1, F.size(whole)).alias("gap"))
+    # the running total rides in ``end``, so each expression is run once
+    spans = F.transform(rows, lambda r: F.struct((r["gap"] + r["long"]).alias("end"), r["long"].alias("long"), r["part"].alias("part")))
+    none = F.struct(F.lit(0).alias("end"), F.lit(0).alias("long"), F.lit(0).alias("part"))
+    placed = _running(spans, lambda x, before: F.struct((x["end"] + before["end"]).alias("end"), x["long"].alias("long"), x["part"].alias("part")), none)
+    long_enough = F.filter(placed, lambda r: r["part"] >= rule.least)
+    return F.transform(long_enough, lambda r: F.struct((r["end"] - r["long"]).alias("start"), r["end"].alias("end")))
+
+
+def scan(df: DataFrame, rules=BASE_RULES + MORE_RULES, text: str = "text", spans: str = "spans") -> DataFrame:
     """``df`` with its secrets: ``spans``, an array of (kind, order, start, end), sorted by start, then rule.
 
     Offsets are code points, the end exclusive. Null and empty texts have an
     empty array; null ids, repeated rows and rows whose ids tie are kept and
     scanned like any other; a column of ``df`` that has the name ``spans`` is
-    replaced. The texts are joined to the candidates by a hash of id and text, so
-    exact copies spread over tasks.
+    replaced, and any other name may occur in ``df``. No row moves: one pass without a shuffle.
     """
-    found = candidates(postings(df, rules, id_column, text), rules)
-    base = df.drop(spans, "_key", "_rules")
-    rows = base.withColumn("_key", _key(base, id_column, text)).join(found.select(F.col("key").alias("_key"), F.col("rules").alias("_rules")), "_key", "left")
+    base = df.drop(spans)
+    rows = postings(base.select(F.struct(*base.columns).alias("row"), F.col(text).cast("string").alias("text")), rules)
     kind = "array<struct<kind:string,order:int,start:int,end:int>>"
 
     def of(k: int, rule: Rule) -> Column:
-        spans_of = F.transform(_matches(F.col(text), rule), lambda s: F.struct(F.lit(rule.kind).alias("kind"), F.lit(k).alias("order"), s["start"].alias("start"), s["end"].alias("end")))
-        possible = F.coalesce(F.col("_rules").bitwiseAND(F.lit(1 << k)), F.lit(0)) != 0 if trigram_query(rule.pattern) else F.regexp(F.col(text), F.lit(rule.pattern))
-        return F.when(possible, spans_of).otherwise(F.array().cast(kind))
+        spans_of = F.transform(_matches(F.col("text"), rule), lambda s: F.struct(F.lit(rule.kind).alias("kind"), F.lit(k).alias("order"), s["start"].alias("start"), s["end"].alias("end")))
+        possible = F.regexp(F.col("text"), F.lit(rule.pattern)) & candidate(rule, rules)
+        return F.when(candidate(rule, rules) & possible, spans_of).otherwise(F.array().cast(kind))
 
     every = F.flatten(F.array(*(of(k, rule) for k, rule in enumerate(rules))))
     ordered = F.array_sort(every, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["order"] - b["order"]))
-    return rows.withColumn(spans, ordered).drop("_key", "_rules")
+    return rows.select("row.*", ordered.alias(spans))
 
 
 def listed(spans: str, kinds: list[str] | None = None) -> Column:
@@ -205,11 +205,8 @@ def of_kind(spans: str, kind: str) -> Column:
 
 def blotted(text: Column, spans: str, blot: str) -> Column:
     """The text with its sorted spans replaced, each run of overlapping spans by one ``blot``."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("done"))
-
-    def step(state, span):
-        piece = F.concat(state["done"], F.substr(text, state["at"] + 1, span["start"] - state["at"]), F.lit(blot))
-        done = F.when(span["start"] >= state["at"], piece).otherwise(state["done"])
-        return F.struct(F.greatest(state["at"], span["end"]).alias("at"), done.alias("done"))
-
-    return F.aggregate(F.col(spans), start, step, lambda s: F.concat(s["done"], F.substr(text, s["at"] + 1)))
+    # what is covered before each span: the largest end so far
+    reach = _running(F.transform(F.col(spans), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))), lambda x, before: F.struct(x["start"].alias("start"), F.greatest(x["end"], before["end"]).alias("end")), F.struct(F.lit(0).alias("start"), F.lit(0).alias("end")))
+    shifted = F.concat(F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"))), reach)
+    pieces = F.zip_with(F.slice(shifted, 1, F.size(spans)), F.col(spans), lambda before, s: F.when(s["start"] >= before["end"], F.concat(F.substr(text, before["end"] + 1, s["start"] - before["end"]), F.lit(blot))).otherwise(F.lit("")))
+    return F.concat(F.array_join(pieces, ""), F.substr(text, F.element_at(shifted, -1)["end"] + 1))

@@ -57,6 +57,19 @@ def test_blotted(spark):
     assert got == {1: "a # z é", 2: "clean"}
 
 
+def test_many_matches_and_rules(spark):
+    """Thousands of matches in one text, and rules that ask for far more trigrams than a long has bits."""
+    text = "".join(f"token=abcdef{k} and " for k in range(6_000)) + "AKIA" + "A" * 50_000
+    rules = secrets.BASE_RULES + tuple(secrets.Rule(f"k{k}", f"prefix{k:03d}zq[0-9]+") for k in range(40))
+    assert len(secrets.wanted(rules)) > 62
+    df = spark.createDataFrame([(1, text), (2, "prefix007zq12 and prefix039zq1")], DOCS + "")
+    found = secrets.scan(df, rules)
+    got = {r["doc_id"]: (r["s"], r["t"]) for r in found.select("doc_id", secrets.listed("spans").alias("s"), secrets.blotted(F.col("text"), "spans", "#").alias("t")).collect()}
+    assert got[1] == (brute_spans(text), "# and " * 6_000 + "#")
+    assert got[2] == ("k7:0:13,k39:18:30", "# and #")
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString() and "Python" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
 
