@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from ..plans.shared import forget, materialize, shared_dir
 
-__all__ = ["append_columns", "forget", "join_heavy", "materialize", "shared_dir", "slices", "table", "worker_cache"]
+__all__ = ["append_columns", "forget", "join_heavy", "materialize", "packed", "shared_dir", "slices", "table", "worker_cache"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,13 @@ def join_heavy(left: DataFrame, right: DataFrame, key: str, weight: str, share:
     return met.join(two, [key, "_salt"], "left").where(found.isNotNull()).select(*left.columns, *(found[v].alias(v) for v in values))
 
 
+def packed(df: DataFrame, text: str) -> tuple[DataFrame, list]:
+    """(row, text) of ``df``, all other columns in ``row``, so that no name of theirs can clash; and the columns that give ``df`` back."""
+    others = [c for c in df.columns if c != text]
+    rows = df.select(F.struct(F.lit(0).alias("none"), *(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(others))).alias("row"), F.col(text).alias("text"))
+    return rows, [F.col("text").alias(c) if c == text else F.col("row")[f"c{others.index(c)}"].alias(c) for c in df.columns]
+
+
 def append_columns(df: DataFrame, fields: T.StructType, make: Callable, size_of: str, slice_bytes: int = 4 << 20) -> DataFrame:
     """``df`` with the columns ``fields``, which ``make`` computes in Arrow; columns of ``df`` with these names are replaced.
 

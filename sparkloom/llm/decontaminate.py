@@ -9,6 +9,7 @@ occurrence. The search advances many lanes of a batch at once, in numpy.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,12 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns
+from .common import materialize, packed, slices, worker_cache
 
 #: Words of a lane, and of a block of the shift table.
 LANE, BLOCK = 256, 3
-#: Bytes of item texts in one set of tables; a larger benchmark is searched set by set, with one set in a worker's memory at a time.
-SET_BYTES = 16 << 20
+#: Bytes of item texts in one set of tables, and cells of a shift table at most; a larger benchmark is searched set by set.
+SET_BYTES, SHIFT_BITS = 8 << 20, 22
 
 #: Bytes of words as themselves in lower case, all others as zero: a word is a run of digits, letters and bytes from 0x80.
 _WORD = bytes(ord(chr(b).lower()) if chr(b).isalnum() and b < 128 else b if b >= 128 else 0 for b in range(256))
@@ -84,10 +85,10 @@ class Tables:
     @classmethod
     def of(cls, words: Words, starts: np.ndarray, length: int) -> "Tables":
         block = min(BLOCK, length)
-        bits = max(12, int(len(starts) * length * 32).bit_length())
-        shift = np.full(1 << bits, length - block + 1, np.uint8)
+        bits = min(SHIFT_BITS, max(12, (8 * len(starts)).bit_length()))  # windows overlap, so there are about as many blocks as windows
+        shift = np.full(1 << bits, min(255, length - block + 1), np.uint8)
         for end in range(block - 1, length):
-            np.minimum.at(shift, (block_hash(words.hashes, starts + end, block) >> np.uint64(64 - bits)).astype(np.int64), length - 1 - end)
+            np.minimum.at(shift, (block_hash(words.hashes, starts + end, block) >> np.uint64(64 - bits)).astype(np.int64), min(255, length - 1 - end))
         suffixes = block_hash(words.hashes, starts + length - 1, block)
         order = np.argsort(suffixes)
         return cls(length, block, bits, shift, suffixes[order], starts[order])
@@ -104,7 +105,7 @@ class PatternSet:
 
     @classmethod
     def of(cls, items: list[tuple[object, str | None]], window: int) -> "PatternSet":
-        kept = [(i, t) for i, t in items if i is not None and t]
+        kept = [(i, t) for i, t in items if t]
         words = Words([t.encode() for _, t in kept])
         first, item_of, by_length = words.first, np.zeros(len(words), np.int64), {}
         for k in range(len(kept)):
@@ -155,59 +156,84 @@ def occurrences(words: Words, found: PatternSet):
                 yield place, t.length, found.pattern_item[pattern]
 
 
-def judge(texts: list[bytes], sets) -> list[tuple[int, int, list]]:
-    """For each text: its words, the words inside an occurrence, and the ids of the items that occur."""
+def judge(texts: list[bytes], found: PatternSet, hit: list[bytes] | None = None, ids: list[list] | None = None) -> list[tuple[int, int, bytes, list]]:
+    """For each text: its words, how many of them lie inside an occurrence and which (a bit each), and the ids of the items that occur; with what earlier sets found."""
     words = Words(texts)
     cover = np.zeros(len(words) + 1, np.int64)
-    items: list[set] = [set() for _ in texts]
+    items: list[set] = [set(x or ()) for x in ids] if ids else [set() for _ in texts]
     text_of = np.repeat(np.arange(len(texts)), np.diff(words.first))
-    for found in sets:
-        for place, length, item in occurrences(words, found):
-            np.add.at(cover, place, 1)
-            np.add.at(cover, place + length, -1)
-            for text, k in np.unique(np.stack((text_of[place], item)), axis=1).T.tolist():
+    for place, length, item in occurrences(words, found):
+        np.add.at(cover, place, 1)
+        np.add.at(cover, place + length, -1)
+        for text, k in np.unique(np.stack((text_of[place], item)), axis=1).T.tolist():
+            if found.item_ids[k] is not None:
                 items[text].add(found.item_ids[k])
-    inside = np.concatenate(([0], np.cumsum(np.cumsum(cover[:-1]) > 0)))
-    hits = np.diff(inside[words.first])
-    return list(zip(np.diff(words.first).tolist(), hits.tolist(), (sorted(s, key=str) for s in items)))
-
-
-def overlap(df: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, set_bytes: int = SET_BYTES) -> DataFrame:
-    """``df`` with n_words, n_hit (long) and item_ids (array of strings, sorted): what benchmark items occur in each whole text.
-
-    Null and empty texts have no words. Items without id or words are left
-    out; repeated items and equal windows of several items count for each id once.
-    Columns of ``df`` that have the new names are replaced. The items go to the
-    workers in sets of at most ``set_bytes`` of text (one item at least), read one
-    set at a time through the driver, so the size of what is sent at once is bounded; the documents stay where they are.
-    """
-    context, sets, held, size = df.sparkSession.sparkContext, [], [], 0
+    inside = np.cumsum(cover[:-1]) > 0
+    out = []
+    for k, (a, b) in enumerate(zip(words.first[:-1].tolist(), words.first[1:].tolist())):
+        own = inside[a:b]
+        if hit:
+            own = own | (np.unpackbits(np.frombuffer(hit[k], np.uint8), count=b - a) == 1)
+        out.append((b - a, int(own.sum()), np.packbits(own).tobytes(), sorted(items[k])))
+    return out
+
+
+def sets_of(items: DataFrame, item_id: str, item_text: str, set_bytes: int):
+    """The items in sets of at most ``set_bytes`` of text (one item at least), one set in memory at a time."""
+    held, size = [], 0
     for row in items.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")).toLocalIterator():
         length = len((row["t"] or "").encode())
         if held and size + length > set_bytes:
-            sets.append(context.broadcast(held))
+            yield held
             held, size = [], 0
         held.append((row["i"], row["t"]))
         size += length
     if held:
-        sets.append(context.broadcast(held))
-    fields = T.StructType([T.StructField("n_words", T.LongType(), False), T.StructField("n_hit", T.LongType(), False), T.StructField("item_ids", T.ArrayType(T.StringType()), False)])
+        yield held
 
-    def make():
-        built = [PatternSet.of(sets[0].value, window)] if len(sets) == 1 else None
 
-        def each():
-            for part in sets:
-                yield PatternSet.of(part.value, window)
-
-        def work(batch):
-            texts = batch.column(batch.schema.names.index(text)).cast(pa.binary()).fill_null(b"").to_pylist()
-            found = judge(texts, built or each())
-            return [pa.array([r[0] for r in found], pa.int64()), pa.array([r[1] for r in found], pa.int64()), pa.array([r[2] for r in found], pa.list_(pa.string()))]
-
-        return work
+def overlap(df: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, set_bytes: int = SET_BYTES) -> DataFrame:
+    """``df`` with n_words, n_hit (long) and item_ids (array of strings, sorted): what benchmark items occur in each whole text.
 
-    return append_columns(df, fields, make, text, 8 << 20)
+    Null and empty texts have no words. Items without words are left out; those without id count
+    for n_hit alone; repeated items and equal windows of several items count for each id once.
+    Columns of ``df`` that have the new names are replaced. Each set of at most ``set_bytes`` of item
+    texts is one round: it is sent to the workers, which build its tables once and
+    hold those of one set at a time, and all documents pass by. Between rounds the documents
+    lie in the shared folder with what was found so far. So what is sent at once is bounded, whatever the benchmark's size.
+    """
+    base = df.drop("n_words", "n_hit", "item_ids")
+    now, back = packed(base, text)
+    sets, first = sets_of(items, item_id, item_text, set_bytes), True
+    part = next(sets, [])
+    while part is not None:
+        after = next(sets, None)
+        now = _round(now, part, window, first, after is None)
+        if after is not None:
+            now = materialize(now, "searched")
+        part, first = after, False
+    return now.select(*back, "n_words", "n_hit", "item_ids")
+
+
+def _round(rows: DataFrame, items: list, window: int, first: bool, last: bool) -> DataFrame:
+    """rows(row, text) with n_words, n_hit, hit and item_ids after one set of items; ``hit``, which words are hit, only where another round needs it."""
+    name, sent = uuid.uuid4().hex, rows.sparkSession.sparkContext.broadcast(items)
+    fields = T.StructType([T.StructField("n_words", T.LongType(), False), T.StructField("n_hit", T.LongType(), False), T.StructField("hit", T.BinaryType(), True), T.StructField("item_ids", T.ArrayType(T.StringType()), False)])
+
+    def run(batches):
+        held = worker_cache("wu-manber", dict)  # of the latest set only
+        if name not in held:
+            held.clear()
+            held[name] = PatternSet.of(sent.value, window)
+        for batch in batches:
+            for part in slices(batch, "text", 8 << 20):
+                texts = part.column("text").cast(pa.binary()).fill_null(b"").to_pylist()
+                found = judge(texts, held[name], *(() if first else (part.column("hit").to_pylist(), part.column("item_ids").to_pylist())))
+                columns = [pa.array([r[0] for r in found], pa.int64()), pa.array([r[1] for r in found], pa.int64()), pa.array([None if last else r[2] for r in found], pa.binary()), pa.array([r[3] for r in found], pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("text"), *columns], names=out.names)
+
+    out = T.StructType([*rows.select("row", "text").schema.fields, *fields.fields])
+    return rows.mapInArrow(run, out)
 
 
 def contaminated(n_hit: str = "n_hit", n_words: str = "n_words"):

@@ -66,13 +66,13 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ORACLES["op2_decontaminate"] = rf"""WITH docs AS (SELECT doc_id, regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
-items AS (SELECT item_id, regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+items AS (SELECT item_id, regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
 long AS (SELECT item_id, w, least(13, len(w)) AS n FROM items WHERE len(w) > 0),
 pats AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i+n-1], ' ') AS p FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM long)),
 wins AS (SELECT doc_id, i, n, array_to_string(w[i:i+n-1], ' ') AS p FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs, (SELECT DISTINCT n FROM pats))),
 occ AS (SELECT doc_id, i, n, item_id FROM wins JOIN pats USING (n, p)),
 hit AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS k FROM occ) GROUP BY 1),
-found AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS s FROM occ) GROUP BY 1)
+found AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS s FROM occ WHERE item_id IS NOT NULL) GROUP BY 1)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
  (coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w)) AS contaminated
 FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN found USING (doc_id)"""

@@ -80,31 +80,42 @@ def brute_overlap(text, items, window):
     for item, t in items:
         w = WORD.findall((t or "").translate(LOWER))
         n = min(window, len(w))
-        if item is None or not n:
+        if not n:
             continue
         for i in range(len(w) - n + 1):
             for k in range(len(words) - n + 1):
                 if words[k : k + n] == w[i : i + n]:
                     hit.update(range(k, k + n))
-                    ids.add(str(item))
+                    if item is not None:
+                        ids.add(str(item))
     return len(words), len(hit), sorted(ids)
 
 
-@pytest.mark.parametrize("window,set_bytes", [(4, 1 << 20), (13, 60)])
+@pytest.mark.parametrize("window,set_bytes", [(4, 1 << 20), (13, 400), (300, 1 << 20)])
 def test_overlap(spark, window, set_bytes):
     rng = random.Random(window)
     vocabulary = ["a", "b", "The", "é", "x1", "LONGERWORD", "longerwordlongerwore", "longerwordlongerworf"]
     text = lambda n: " ".join(rng.choices(vocabulary, k=n)).replace(" ", rng.choice([" ", "-", ", "]))
     items = [(i, text(rng.randrange(1, 25))) for i in range(12)] + [(None, text(20)), (50, None), (51, ""), (52, "..."), (3, text(6)), (53, "zz")]
     rows = [(i, text(rng.randrange(0, 60))) for i in range(60)] + [(None, text(9)), (70, None), (71, ""), (72, items[0][1]), (72, items[0][1]), (73, "a\0b")]
-    rows += [(80 + k, text(5) + " " + items[k][1] + "! " + text(300)) for k in range(6)]
-    docs = spark.createDataFrame([(i, t, 9) for i, t in rows], DOCS + ", n_hit int")
+    rows += [(80 + k, text(5) + " " + items[k][1] + "! " + text(300)) for k in range(6)] + [(90, items[0][1] + " and" * 20_000 + " " + items[12][1])]
+    items += [(60, long := text(310)), (61, "no " + long)]
+    rows += [(91, "x " + long + " y"), (92, long[5:])]
+    docs = spark.createDataFrame([(i, t, 9, "r", "h") for i, t in rows], DOCS + ", n_hit int, row string, hit string")
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = decontaminate.overlap(docs, bench, window=window, set_bytes=set_bytes).collect()
     key = lambda r: str(r)
     assert sorted(((r["doc_id"], r["text"], r["n_words"], r["n_hit"], list(r["item_ids"])) for r in got), key=key) == sorted(((i, t, *brute_overlap(t, items, window)) for i, t in rows), key=key)
+    assert {(r["row"], r["hit"]) for r in got} == {("r", "h")}
     none = decontaminate.overlap(docs, bench.limit(0)).agg(F.sum("n_hit")).first()[0]
-    assert none == 0
+    assert none == 0 and decontaminate.overlap(docs.limit(0), bench).count() == 0
+
+
+def test_tables_of_a_large_set_stay_small():
+    rng = random.Random(2)
+    words = ["w%d" % rng.randrange(10**6) for _ in range(200_000)]
+    found = decontaminate.PatternSet.of([(k, " ".join(words[k : k + 400])) for k in range(0, len(words), 400)], 13)
+    assert sum(t.shift.nbytes for t in found.tables) <= 1 << decontaminate.SHIFT_BITS and sum(t.suffixes.nbytes + t.starts.nbytes for t in found.tables) < 20 * len(words)
 
 
 def test_shift_tables_skip():
