@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -38,14 +39,17 @@ NAMES = frozenset(
 )
 COMMENTS = frozenset("comment comments disqus replies".split())
 _CUT = re.compile(r"[\s_-]+|(?<=[a-z])(?=[A-Z])")
+#: Scripts and styles as they stand; comments, which run to the page's end if nothing closes them; marked sections and instructions, which end at the next >.
+_BOGUS = re.compile(r"(<(script|style)\b[^>]*>.*?(?:</\2\b|\Z))|<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?](?!doctype)[^>]*(?:>|\Z)", re.S | re.I)
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "dropped", "named", "comments", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "parts", "dropped", "named", "comments", "partly", "inside", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, tag: str, parent: "Node | None", dropped: bool = False):
         self.tag, self.parent, self.parts, self.dropped = tag, parent, [], dropped
-        self.named = self.comments = False
+        self.named = self.comments = self.partly = False
+        self.inside = None if parent is None else parent if parent.tag in ("article", "main") else parent.inside  # the nearest article or main above
 
 
 class _Tree(HTMLParser):
@@ -54,6 +58,7 @@ class _Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("html", None)
+        self.open: Counter = Counter()  # tags from the root to where the parser is
 
     def handle_starttag(self, tag, attrs):
         if tag in ("html", "body"):
@@ -78,9 +83,18 @@ class _Tree(HTMLParser):
     def _open(self, tag, attrs):
         node = Node(tag, self.at, unwanted(tag, attrs, self.at))
         node.named = not node.dropped and named(tag, attrs)
-        node.comments = node.named and any(w.lower() in COMMENTS for n, v in attrs if n in ("class", "id") and v for w in _CUT.split(v))
+        words = [{w.lower() for w in _CUT.split(v) if w} for n, vs in attrs if n in ("class", "id") and vs for v in vs.split()]
+        node.comments = node.named and any(w & COMMENTS for w in words)
+        node.partly = node.named and tag != "form" and not any(n == "role" for n, _ in attrs) and not any(w <= NAMES for w in words)
         self.at.parts.append(node)
         self.at = node
+        self.open[tag] += 1
+
+    def _leave(self, node):
+        """Close everything up to a node and the node itself."""
+        while self.at is not node.parent:
+            self.open[self.at.tag] -= 1
+            self.at = self.at.parent
 
     def handle_endtag(self, tag):
         if tag in ("body", "html"):
@@ -92,18 +106,16 @@ class _Tree(HTMLParser):
 
     def _close(self, tag):
         node = self.at
-        while node.parent is not None:
+        while self.open[tag] and node.parent is not None:
             if node.tag == tag:
-                self.at = node.parent
-                return
+                return self._leave(node)
             node = node.parent
 
     def _close_near(self, tags):
         node = self.at
-        while node.parent is not None and node.tag not in SCOPE - tags:
+        while any(self.open[t] for t in tags) and node.parent is not None and node.tag not in SCOPE - tags:
             if node.tag in tags:
-                self.at = node.parent
-                return
+                return self._leave(node)
             node = node.parent
 
     def handle_data(self, data):
@@ -119,10 +131,7 @@ def unwanted(tag: str, attrs, parent: Node | None) -> bool:
         return True
     if tag in ("html", "body", "main", "article"):
         return False
-    inside = parent
-    while inside is not None and inside.tag not in ("article", "main"):
-        inside = inside.parent
-    if tag == "header" and inside is None:
+    if tag == "header" and (parent is None or parent.inside is None and parent.tag not in ("article", "main")):
         return True
     for name, value in attrs:
         value = value or ""
@@ -145,6 +154,8 @@ def drop_named(root: Node) -> None:
     """Leave out named elements, but for those that hold the only article or main, or most of the page's text outside links.
 
     Comments stay out however long they are, if an article or main stands elsewhere.
+    Inside an article or main, a name of which only a part tells (related-work, menu-history) leaves out only
+    what reads unlike the article: link lists, and text that is less than half as dense.
     """
     order = weigh(root)
     if not any(n.named for n in order):
@@ -164,7 +175,9 @@ def drop_named(root: Node) -> None:
     for node in order:
         if node.named:
             most = plain(node) * 2 > plain(root)
-            node.dropped = node.comments and elsewhere or not (most or node in holds and not outside)
+            around = node.inside
+            like = node.partly and around is not None and not node.comments and node.link_chars * 3 <= node.chars and node.chars * max(1, around.tags) * 2 >= around.chars * max(1, node.tags)
+            node.dropped = node.comments and elsewhere or not (most or like or node in holds and not outside)
 
 
 def weigh(root: Node) -> list[Node]:
@@ -279,6 +292,7 @@ def visible(node: Node) -> str:
 def extract(html: str) -> str:
     """The main text of one page; empty if it has none."""
     tree = _Tree()
+    html = _BOGUS.sub(lambda m: m[1] or "", html)
     try:
         tree.feed(html)
         if re.match(r"</?[A-Za-z]", tree.rawdata):  # a tag that the page's end cuts off is no text
@@ -293,8 +307,8 @@ def extract(html: str) -> str:
 def main_text(df: DataFrame, html: str = "html", text: str = "text") -> DataFrame:
     """``df`` with the main text of each whole page in ``text``, in place of any column of that name.
 
-    Null and empty pages, and pages without text, have an empty text. Other
-    columns pass unchanged; repeated rows stay repeated.
+    Null and empty pages, and pages without text, have an empty text. Broken marked sections end at the next
+    angle bracket, comments that nothing closes at the page's end. Other columns pass unchanged; repeated rows stay repeated.
     """
 
     def make():

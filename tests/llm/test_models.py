@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -31,9 +32,11 @@ def test_toxicity(spark):
         labels.append((i, int(toxic)))
     rows += [(None, "a", 0.0), (2000, None, 0.0), (2001, "", 0.0), (2002, "idiot " * 30_000, 0.0), (0, rows[0][1], 0.0)]
     labels += [(None, 1), (1, None), (2, 0), (2, 0)]
-    df, known = spark.createDataFrame(rows, DOCS + ", score double"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    clash = "features probability rawPrediction prediction p calibrated dense row label".split()
+    df, known = spark.createDataFrame(rows, DOCS + ", score double").select("*", *(F.lit(c).alias(c) for c in clash)), spark.createDataFrame(labels, "doc_id long, toxic int")
     got = toxicity.score(df, known, remainder("doc_id", 3) != 1).collect()
     assert len(got) == len(rows) and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in got)
+    assert all(r[c] == c for r in got for c in clash)
     held = [r for r in got if r["doc_id"] is not None and r["doc_id"] < 900 and zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1]
     right = sum(r["predicted"] == int(r["doc_id"] % 5 == 0) for r in held) / len(held)
     assert len(held) > 200 and right > 0.95
@@ -104,6 +107,66 @@ def test_long_comments_stay_out(opening):
     assert html_text.extract(f"<body>{opening}<article><p>{'the text ' * 20}</p></article><div id=comments><article>{_paragraphs('c', 20)}</article></div></div></body>") == ("the text " * 20).strip()
 
 
+BROKEN = {
+    "<p>aaa one</p><![bogus[ x <p>bbb two</p>": "aaa one bbb two",
+    "<p>a</p><!-- unclosed <p>b</p>": "a",
+    "<p>a</p><!--[if IE]> <p>x</p> <![endif]--><p>b</p>": "a b",
+    "<script>var a='<!--';</script><p>kept</p>": "kept",
+    "<p>q</p><![": "q",
+    "<!DOCTYPE html><?php 1 ?><p>x &amp; y": "x & y",
+}
+
+
+@pytest.mark.parametrize("html", BROKEN)
+def test_broken_markup(html):
+    assert html_text.extract(html) == BROKEN[html]
+
+
+@pytest.mark.parametrize("opening", ["<div>", "<article><div class=menu-x>", "<div class=menu-x>", "<ul><li>", "<b><p>"])
+def test_deep_nesting(opening):
+    began = time.time()
+    html_text.extract(opening[: opening.index(">") + 1] * (opening.count("article")) + opening.replace("<article>", "") * 50_000 + "x")
+    assert time.time() - began < 20
+
+
+def test_names_inside_the_article():
+    """Part of a name leaves out link lists and thin boxes, not sections that read like the article."""
+    more = f"<div class=related-work><h2>Related</h2><p>{'earlier authors wrote of this at length ' * 6}</p></div><section id=menu-history><p>{'the menu has a long history ' * 8}</p></section>"
+    less = f"<div class='ad-slot'><p>Buy now</p></div><div class=advert><p>{'buy this ' * 40}</p></div><div class='related-posts'><ul><li><a href=/a>one thing</a></ul></div>"
+    got = html_text.extract(f"<body><nav>menu</nav><article>{_paragraphs('a')}{more}{less}</article></body>")
+    assert "earlier authors" in got and "long history" in got and "uy " not in got and "one thing" not in got
+
+
+def test_densities_by_brute_force():
+    """Characters per tag, weighted by links, and the sums of the children's, against the formula written out for each node."""
+    rng = random.Random(12)
+
+    def grow(depth):
+        parts = []
+        for _ in range(rng.randrange(1, 4)):
+            parts.append("w " * rng.randrange(1, 30) if depth == 0 or rng.random() < 0.3 else f"<{(t := rng.choice(['div', 'p', 'span', 'a', 'section']))}>{grow(depth - 1)}</{t}>")
+        return "".join(parts)
+
+    def brute(node, root):
+        own = lambda n: [p for p in n.parts if isinstance(p, html_text.Node)]
+        every = lambda n: [x for c in own(n) for x in (c, *every(c))]
+        chars = lambda n: sum(len(" ".join(p.split())) for p in n.parts if isinstance(p, str)) + sum(chars(c) for c in own(n))
+        links = lambda n: sum(chars(c) if c.tag == "a" else links(c) for c in own(n))
+        c, t, lc, lt = chars(node), max(1, len(every(node))), links(node), sum(x.tag == "a" for x in every(node))
+        if not c:
+            return 0.0
+        base = math.log(c / max(1, c - lc) * lc + links(root) / max(1, chars(root)) * c + math.e)
+        return c / t * math.log(max(1.0, c / max(1, lc) * t / max(1, lt))) / (math.log(base) if base > 1.000001 else 1.0 if base <= 1 else math.log(1.000001))
+
+    for _ in range(20):
+        tree = html_text._Tree()
+        tree.feed(f"<body>{grow(4)}</body>")
+        order = html_text.weigh(tree.root)
+        for node in order:
+            assert node.density == pytest.approx(brute(node, tree.root))
+            assert node.total == pytest.approx(sum(brute(p, tree.root) for p in node.parts if isinstance(p, html_text.Node)))
+
+
 def test_main_text_rows(spark):
     df = spark.createDataFrame([(1, None, 0), (2, "", 0), (3, "<p>" + "x" * 200_000, 0), (None, "<p>a", 0), (None, "<p>a", 0)], "page_id long, html string, text int")
     got = [(r["page_id"], len(r["text"])) for r in html_text.main_text(df).collect()]
