@@ -20,10 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, materialize, slices
+from .common import append_columns, materialize, packed, slices
 
-#: Labelled rows that the classifier is fitted on at most, and learned lexicon entries at most.
-MOST_ROWS, MOST_ENTRIES = 12_000, 3_000
+#: Labelled rows that the classifier, its lexicon included, is fitted on at most.
+MOST_ROWS = 12_000
 
 #: Insults in common use, and pronouns that address a reader in four languages.
 INSULTS = frozenset(b"idiot idiots stupid moron morons loser losers scum pathetic worthless disgusting trash clown clowns dumb fool ugly hate kill garbage jerk liar vermin filth filthy imbecile cretin bastard".split())
@@ -82,8 +82,11 @@ def features(text: bytes, learned: dict[bytes, float]) -> list[float]:
     ]
 
 
-def learn_lexicon(rows: DataFrame, text: str = "text", label: str = "label", fold: str = "fold", most: int = MOST_ENTRIES) -> dict[int | None, dict[bytes, float]]:
-    """Log odds of entries by fold (0, 1: learned from the other fold; None: from both), from labelled rows."""
+def learn_lexicon(rows: DataFrame, text: str = "text", label: str = "label", fold: str = "fold") -> dict[int | None, dict[bytes, float]]:
+    """Log odds of entries by fold (0, 1: learned from the other fold; None: from both), from labelled rows.
+
+    Every entry of three toxic rows (one in two hundred, if that is more) whose odds are high enough is kept, so their number is bounded by the words of the rows.
+    """
 
     def count(batches):
         for batch in batches:
@@ -97,13 +100,13 @@ def learn_lexicon(rows: DataFrame, text: str = "text", label: str = "label", fol
     counts = rows.select(text, label, fold).mapInArrow(count, "entry binary, label int, fold int, n long")
     sums = [F.sum(F.when((F.col("label") == y) & (F.col("fold") == f), F.col("n")).otherwise(0)).alias(f"n{y}{f}") for y in (0, 1) for f in (0, 1)]
     totals = {(r["y"], r["f"]): r["n"] for r in rows.groupBy(F.col(label).alias("y"), F.col(fold).alias("f")).agg(F.count("*").alias("n")).collect()}
-    by_entry = counts.groupBy("entry").agg(*sums)
+    by_entry = materialize(counts.groupBy("entry").agg(*sums), "entries")
     out: dict = {}
     for name, used in ((0, (1,)), (1, (0,)), (None, (0, 1))):
         pos, neg = (sum(totals.get((y, f), 0) for f in used) for y in (1, 0))
         plus, minus = (sum((F.col(f"n{y}{f}") for f in used), F.lit(0)) for y in (1, 0))
         odds = F.log((plus + 0.5) / (pos + 1.0)) - F.log((minus + 0.5) / (neg + 1.0))
-        kept = by_entry.where((plus >= max(3, 0.005 * pos)) & (odds >= 2.5)).select("entry", odds.alias("odds"), (odds * F.sqrt(plus)).alias("rank")).orderBy(F.desc("rank"), "entry").limit(most)
+        kept = by_entry.where((plus >= max(3, 0.005 * pos)) & (odds >= 2.5)).select("entry", odds.alias("odds"))
         out[name] = {bytes(r["entry"]): r["odds"] for r in kept.collect()}
     return out
 
@@ -131,9 +134,9 @@ def score(
     ``labels`` has the id and the 0/1 column ``label``; only rows for which the
     Column ``usable`` over the id holds are learned from, at most ``most_rows`` of
     them (those with the smallest hash of the id). Null labels are not used;
-    where an id has several, the largest counts. Without labelled rows of both kinds, all
+    where an id has several, the largest counts; where a labelled id has several texts, the smallest is learned from. Without labelled rows of both kinds, all
     scores are the share of toxic rows among them (0 without any). Null and empty
-    texts are scored as empty ones, repeated rows alike.
+    texts are scored as empty ones, repeated rows alike. No other column name can clash.
     """
     spark = df.sparkSession
     chosen = (
@@ -143,7 +146,8 @@ def score(
     )
     known = F.broadcast(materialize(chosen, "labelled"))  # at most most_rows pairs of numbers
     part = F.pmod(F.xxhash64(F.col("_id"), F.lit("part")), F.lit(20)).cast("int")
-    rows = materialize(df.select(F.col(id_column).alias("_id"), F.col(text).alias("text")).join(known, "_id").select("text", "label", (part % 2).alias("fold"), part.alias("part")), "training")
+    matched = df.select(F.col(id_column).alias("_id"), F.col(text).alias("text")).join(known, "_id").groupBy("_id", "label").agg(F.min("text").alias("text"))
+    rows = materialize(matched.select("text", "label", (part % 2).alias("fold"), part.alias("part")), "training")
     lexicons = learn_lexicon(rows)
     trained = materialize(with_features(rows, lexicons, "text", "features", "fold").select("label", "part", "features"), "features")
     count, toxic, fitted = (x or 0 for x in trained.agg(F.count("*"), F.sum("label"), F.sum(F.when(F.col("part") < 14, F.col("label")))).first())
@@ -158,18 +162,8 @@ def score(
     if held.agg(F.count_distinct("label")).first()[0] < 2:
         held = model.transform(ready).select("label", likely.alias("p"))
     curve = IsotonicRegression(featuresCol="p", labelCol="label", predictionCol="calibrated").fit(held)
-    x, y = curve.boundaries.toArray().tolist(), curve.predictions.toArray().tolist()
-    scored = with_features(base, {None: lexicons[None]}, text, "_features").withColumn("_v", array_to_vector("_features"))
-    model.setFeaturesCol("_v").setProbabilityCol("_probability").setRawPredictionCol("_raw").setPredictionCol("_prediction")
-    p = vector_to_array("_probability")[1]
-    done = model.transform(scored).withColumn("_p", p).withColumn("score", F.lit(0.999) * _interpolate(F.col("_p"), x, y) + F.lit(0.001) * F.col("_p"))
-    return done.withColumn("predicted", (F.col("score") >= threshold).cast("int")).drop("_features", "_v", "_raw", "_probability", "_prediction", "_p")
-
-
-def _interpolate(p, x: list[float], y: list[float]):
-    """The isotonic curve at ``p``: linear between its boundaries, constant outside; a share of the tree's own order breaks ties later."""
-    out = F.lit(float(y[-1]))
-    for k in range(len(x) - 2, -1, -1):
-        rise = F.lit(float(y[k])) if x[k + 1] <= x[k] or y[k + 1] == y[k] else F.lit(float(y[k])) + (p - F.lit(x[k])) * F.lit((y[k + 1] - y[k]) / (x[k + 1] - x[k]))
-        out = F.when(p < F.lit(x[k + 1]), rise).otherwise(out)
-    return F.when(p < F.lit(x[0]), F.lit(float(y[0]))).otherwise(out)
+    rows, back = packed(base, text)
+    scored = with_features(rows, {None: lexicons[None]}, "text", "dense").withColumn("features", array_to_vector("dense")).drop("dense")
+    marked = curve.transform(model.transform(scored).withColumn("p", likely))
+    # a little of the trees' own order breaks the ties of the calibrated steps
+    return marked.withColumn("score", 0.999 * F.col("calibrated") + 0.001 * F.col("p")).select(*back, "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
