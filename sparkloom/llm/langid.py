@@ -16,11 +16,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, materialize, slices
+from .common import append_columns, join_heavy, materialize, slices
 from .html_text import main_text
 
-#: Buckets of hashed trigrams; labelled texts that they are learned from at most; trigrams that a long text counts as at most, which keeps its evidence comparable to the rest; strength of the priors above.
-BUCKETS, MOST_ROWS, WEIGHT, STRENGTH = 1 << 14, 6_000, 60.0, 5.0
+#: Buckets of hashed trigrams; labelled texts that they are learned from at most; the power of its length with which a text's evidence grows, as neighbouring trigrams overlap and tell less than their number; strength of the priors above.
+BUCKETS, MOST_ROWS, GROWTH, STRENGTH = 1 << 14, 6_000, 0.75, 5.0
 
 
 def trigrams(text: str) -> np.ndarray:
@@ -64,7 +64,7 @@ def text_shares(df: DataFrame, model: dict[str, np.ndarray], text: str = "text",
             if not len(found):
                 return np.zeros(len(sent.value))
             sums = sent.value[:, found].sum(axis=1) if len(found) < BUCKETS else sent.value @ np.bincount(found, minlength=BUCKETS)
-            sums *= min(1.0, WEIGHT / len(found))
+            sums *= len(found) ** (GROWTH - 1)
             return sums - sums.max()
 
         def work(batch):
@@ -103,11 +103,12 @@ def fuse(pages: DataFrame, model: dict[str, np.ndarray], id_column: str = "page_
     rows = materialize(rows.withColumn("p", _normal(F.col("by_text"))), "pages")
 
     k = range(len(names))
-    sums = lambda by: rows.groupBy(by).agg(F.array(*(F.sum(F.get("p", i)) for i in k)).alias(f"n_{by}"))
+    sums = lambda by: rows.groupBy(by).agg(F.count("*").alias("n"), F.array(*(F.sum(F.get("p", i)) for i in k)).alias(f"n_{by}"))
     whole = rows.agg(F.array(*(F.coalesce(F.sum(F.get("p", i)), F.lit(0.0)) for i in k))).first()[0]
     met = rows
-    for by in ("host", "domain", "suffix", "declared"):
-        met = met.join(sums(by), by)
+    for by in ("host", "domain", "suffix", "declared"):  # a host or suffix may have a third of all pages
+        met = join_heavy(met, materialize(sums(by), by), by, "n")
+
     def judge(batches):
         every = np.array(whole)
         for batch in batches:

@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.llm import ann, html_text, langid, lm, token_files, toxicity
+from sparkloom.llm.common import join_heavy
 from sparkloom.llm.queries import remainder
 
 DOCS = "doc_id long, text string"
@@ -191,9 +192,28 @@ def test_language(spark):
     assert len(got) == len(rows) and all(found[i]["lang"] == y for i, y in truth.items())
     assert found[300]["lang"] == "de" and found[300]["host"] == "nur.beispiel.de" and found[None]["lang"] == "de"
     assert found[301]["host"] == "" and found[301]["lang"] in model and all(0 < r["confidence"] <= 1 for r in got)
+    long = [(1, "http://a.de", page("de", 200_000, "en"), "own"), (1, "http://a.de", page("de", 200_000, "en"), "own")]
+    assert [r["lang"] for r in langid.fuse(spark.createDataFrame(long, "page_id long, url string, html string, lang string"), model).collect()] == ["de", "de"]  # a long text outweighs what its markup says
+    tied = {y: np.zeros(langid.BUCKETS) for y in ("de", "en")}
+    assert {r["lang"] for r in langid.fuse(spark.createDataFrame(rows[:2], "page_id long, url string, html string, lang string"), tied).collect()} == {"de"}  # ties go to the first
+    assert langid.fuse(spark.createDataFrame(rows, "page_id long, url string, html string, lang string").limit(0), model).count() == 0
     assert langid.fuse(spark.createDataFrame(rows[:2], "page_id long, url string, html string, lang string"), {}).where("lang IS NULL").count() == 2
 
 
+def test_heavy_keys_stay(spark):
+    """Keys that many rows have are joined where they are, others by a shuffle; nothing is lost or doubled."""
+    rng = random.Random(13)
+    rows = [(i, "hot" if rng.random() < 0.4 else None if rng.random() < 0.05 else f"k{rng.randrange(3000)}") for i in range(6000)]
+    left = spark.createDataFrame(rows, "i long, k string")
+    right = left.where("k IS NOT NULL AND k <> 'k7'").groupBy("k").agg(F.count("*").alias("n"), F.min("i").alias("v"))
+    got = sorted(map(tuple, join_heavy(left, right, "k", "n", 50).collect()))
+    least: dict = {}
+    for i, k in rows:
+        least[k] = min(least.get(k, i), i)
+    assert got == [(i, k, least[k]) for i, k in rows if k not in (None, "k7")]
+    assert join_heavy(left.limit(0), right.limit(0), "k", "n").count() == 0
+
+
 def test_lm_scores(spark):
     rng = random.Random(4)
     words = ["w%d" % int(rng.paretovariate(0.7)) for _ in range(4000)]
@@ -272,10 +292,13 @@ def test_numbers_at_the_head(spark):
 
 def test_packed_token_files(spark, tmp_path):
     df = spark.createDataFrame([(7, [1, 2, 3]), (-9, []), (2**40, [50_000])], "n long, ids array<int>")
+    df = df.unionByName(spark.createDataFrame([(None, [4]), (-(2**63), [5, 6]), (2**63 - 1, [])], "n long, ids array<int>"))
     packed = F.udf(lambda ids: np.array(ids, "<u2").tobytes(), "binary")
     token_files.write_packed(df.select(F.concat(token_files.number_bytes(F.col("n")), packed("ids")).alias("v")), str(tmp_path / "t"), 50_256)
     got = token_files.scan(spark, str(tmp_path / "t"), 50_256, head=token_files.DIGITS).select(token_files.number_of(F.col("head")), F.col("n_tokens") - token_files.DIGITS)
-    assert sorted(map(tuple, got.collect())) == [(-9, 0), (7, 3), (2**40, 1)]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(-9, 0), (7, 3), (2**40, 1), (None, 1), (-(2**63), 2), (2**63 - 1, 0)], key=str)
+    token_files.write_packed(spark.createDataFrame([], "v binary"), str(tmp_path / "none"), 50_256)
+    assert token_files.scan(spark, str(tmp_path / "none"), 50_256).count() == 0
 
 
 def brute_nearest(rows, k):
