@@ -104,6 +104,22 @@ def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"), remainder("doc_id", 5) != 1)
 
 
+@query
+def lm_exact_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op8 SQL can say: counts, and the base score to three places."""
+    return op8_lm_score(spark, sf_dir).drop("score").withColumn("base_score", F.round("base_score", 3))
+
+
+# CRC-32 bit by bit: the register takes in a byte and is shifted eight times
+_CRC = "xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))))"
+ORACLES["lm_exact_columns"] = rf"""WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce({_CRC} % 5 <> 1, false) AS train, list_append(list_filter(string_split_regex({_LOW}, '[\x20\x09-\x0D]+'), lambda x: x <> ''), '') AS w FROM documents),
+toks AS (SELECT r, train, unnest(w) AS t FROM docs), counts AS (SELECT t, count(*) AS c FROM toks WHERE train GROUP BY t),
+whole AS (SELECT coalesce(sum(c), 0)::BIGINT AS n, count(*) AS v FROM counts)
+SELECT any_value(doc_id) AS doc_id, NOT any_value(toks.train) AS held_out, count(*) AS n_tokens, count(c) AS n_known, any_value(n) AS train_tokens,
+ round(sum(log10((coalesce(c, 0) + 0.5) / (n + 0.5 * (v + 1)))), 3) AS base_score
+FROM toks JOIN docs USING (r) LEFT JOIN counts ON counts.t = toks.t CROSS JOIN whole GROUP BY r"""
+
+
 @query
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every whole text and decode the ids again."""
@@ -126,10 +142,6 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.fuse(table(spark, sf_dir, "pages"), langid.learn(table(spark, sf_dir, "documents")))
 
 
-#: Stands for a null doc_id in a token file.
-_NO_ID = -(1 << 63)
-
-
 @query
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document, counted in flat files of byte-level BPE ids that are written first.
@@ -142,9 +154,9 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ids = bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, packed=2)
     path, end = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}", 50_256
-    token_files.write_packed(ids.select(F.concat(token_files.number_bytes(F.coalesce("doc_id", F.lit(_NO_ID))), "token_ids").alias("value")), path, end)
+    token_files.write_packed(ids.select(F.concat(token_files.number_bytes(F.col("doc_id")), "token_ids").alias("value")), path, end)
     found = token_files.scan(spark, path, end, head=token_files.DIGITS)
-    return found.select(F.nullif(token_files.number_of(F.col("head")), F.lit(_NO_ID)).alias("doc_id"), (F.col("n_tokens") - token_files.DIGITS).alias("n_tokens"))
+    return found.select(token_files.number_of(F.col("head")).alias("doc_id"), (F.col("n_tokens") - token_files.DIGITS).alias("n_tokens"))
 
 
 @query

@@ -3,7 +3,7 @@
 A flat file is a run of little-endian token ids in which an end-of-document
 id closes each document; nothing says where documents begin. The files are
 cut into blocks, each block is searched for the id in one vector operation, and
-a prefix scan over the blocks' separator counts numbers the documents, so
+a prefix scan over the blocks' separator counts, one row a block, numbers the documents, so
 pieces of a document in different blocks add up to one.
 """
 
@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: Bytes of a block.
 BLOCK_BYTES = 1 << 20
 
@@ -56,7 +58,7 @@ def scan(spark: SparkSession, path: str, end: int, width: int = 2, block_bytes:
     token, ``head`` holds the first ``head`` ids. Tokens after the last
     separator are a document too; an empty file has none, and neighbouring
     separators enclose empty documents. A file must be smaller than 2 GB, as for
-    Spark's binaryFile source, and hold whole ids. Only blocks and one row per piece of a document move.
+    Spark's binaryFile source, and hold whole ids; ``write`` leaves one file a task, far below that. Only blocks and one row per piece of a document move.
     """
     kind = {2: "<u2", 4: "<u4"}[width]
     step = max(width, block_bytes // width * width)
@@ -77,12 +79,13 @@ def scan(spark: SparkSession, path: str, end: int, width: int = 2, block_bytes:
                 kept = closed | (lengths > 0)
                 heads = [tokens[s : s + min(head, n)].tolist() for s, n in zip(starts[kept].tolist(), lengths[kept].tolist())] if head else [[]] * int(kept.sum())
                 n = int(kept.sum())
-                columns = [pa.array([file] * n, pa.string()), pa.array(starts[kept] + at // width), pa.array(lengths[kept]), pa.array(closed[kept]), pa.array(heads, pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["file", "start", "n", "closed", "head"])
+                columns = [pa.array([file] * n, pa.string()), pa.array(np.full(n, at)), pa.array(np.flatnonzero(kept)), pa.array(starts[kept] + at // width), pa.array(lengths[kept]), pa.array(closed[kept]), pa.array(heads, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["file", "at", "k", "start", "n", "closed", "head"])
 
-    pieces = blocks.mapInArrow(search, "file string, start long, n long, closed boolean, head array<int>")
-    before = F.coalesce(F.sum(F.col("closed").cast("long")).over(W.partitionBy("file").orderBy("start", "n").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    numbered = pieces.withColumn("doc_no", before.cast("long"))
+    pieces = materialize(blocks.mapInArrow(search, "file string, at long, k long, start long, n long, closed boolean, head array<int>"), "pieces")
+    counts = pieces.groupBy("file", "at").agg(F.count_if("closed").alias("ends"))
+    before = F.coalesce(F.sum("ends").over(W.partitionBy("file").orderBy("at").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row a block
+    numbered = pieces.join(counts.select("file", "at", before.alias("before")), ["file", "at"]).withColumn("doc_no", F.col("before") + F.col("k"))
     joined = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("start", "n", "head"))), lambda p: p["head"]))
     grouped = numbered.groupBy("file", "doc_no").agg(F.min("start").alias("start"), F.sum("n").alias("n_tokens"), *([F.slice(joined, 1, head).alias("head")] if head else []))
     return grouped
@@ -97,16 +100,20 @@ def number_ids(number):
     return F.array(*(F.shiftright(number, min(63, 15 * k)).bitwiseAND(F.lit(0x7FFF)).cast("int") for k in range(DIGITS)))
 
 
+#: The highest of the ids that stand for no number; no number of 64 bits has it.
+NONE = 0x5555
+
+
 def number_bytes(number):
-    """``number_ids`` as bytes, two an id, the lowest first."""
+    """``number_ids`` as bytes, two an id, the lowest first; a null has an id of its own that no number has."""
     digits = [F.shiftright(number, min(63, 15 * k)).bitwiseAND(F.lit(0x7FFF)) for k in range(DIGITS)]
     spelled = [F.lpad(F.hex(x), 2, "0") for d in digits for x in (d.bitwiseAND(F.lit(0xFF)), F.shiftright(d, 8))]
-    return F.unhex(F.concat(*spelled))
+    return F.coalesce(F.unhex(F.concat(*spelled)), F.unhex(F.lit("0000" * (DIGITS - 1) + f"{NONE:04X}")))
 
 
 def number_of(head):
-    """The number that ``number_ids`` put down."""
+    """The number that ``number_ids`` or ``number_bytes`` put down."""
     out = F.lit(0).cast("long")
     for k in range(DIGITS):
         out = out.bitwiseOR(F.shiftleft(F.get(head, k).cast("long"), 15 * k))
-    return out
+    return F.when(F.get(head, DIGITS - 1) != NONE, out)
