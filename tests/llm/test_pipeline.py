@@ -6,6 +6,7 @@ import re
 
 import public_tokenizers
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sparkloom.llm import bpe
@@ -44,3 +45,30 @@ def test_pipeline(spark, tmp_path):
         want[i] = (len(oracle.encode_ordinary(t)), hashlib.sha256(t.encode()).hexdigest())
     assert {i: (r["n_tokens"], r["decoded_sha256"]) for i, r in got.items()} == want
     assert [name for name, _ in corpus_pipeline.STAGES][0] == "toxicity" and len(corpus_pipeline.STAGES) == 5
+
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_the_survivor_is_defined(spark):
+    """Of a group the smallest id stays, nulls last; of one id with several texts each group's own; of equal rows one."""
+    a, b = "alpha beta gamma delta epsilon", "one two three four five six"
+    rows = [(7, a), (3, a), (None, a), (3, a), (3, b), (None, b), (None, "only null id here"), (None, "only null id here"), (9, None), (8, ""), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], COLUMNS)
+    got = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.keep_one_of_each(spark, docs, "").collect()), key=str)
+    assert got == sorted([(3, a), (3, b), (None, "only null id here"), (8, "")], key=str)
+    assert corpus_pipeline.keep_one_of_each(spark, docs, "").columns == docs.columns
+
+
+def test_stages_take_any_rows(spark, tmp_path):
+    """Null ids, repeated rows, very long texts, empty tables and more columns pass through every stage."""
+    spark.createDataFrame([(1, 0, 1), (2, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "some words of a test that nobody else has ever written down before now ok"), (None, "x")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(None, None), (None, "a"), (1, "token=abcdefgh " * 4000 + "é"), (1, "token=abcdefgh " * 4000 + "é"), (2, ""), (3, "w " * 100_000)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], COLUMNS)
+    for table in (docs, docs.limit(0), docs.withColumns({c: F.lit(1) for c in ("score", "spans", "row", "fingerprint", "n_hit")})):
+        now = table
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            now = stage(spark, now, str(tmp_path))
+            assert now.columns == table.columns and now.count() <= table.count(), name
+        assert corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path)).count() == now.count()
