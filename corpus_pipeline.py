@@ -1,7 +1,7 @@
 """The corpus pipeline: five stages over documents, each written as Parquet and read again by the next.
 
-Toxic documents go, of each group of near-duplicates the document with the
-smallest id stays, contaminated documents go, documents with secrets have
+Toxic documents go, of each group of near-duplicates the first document
+stays, contaminated documents go, documents with secrets have
 these blotted out, and what is left is encoded.
 """
 
@@ -25,10 +25,14 @@ def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of linked fingerprints; documents without id are all kept, and of repeated ids one row."""
-    kept = simhash.groups(docs.where(F.col("doc_id").isNotNull())).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    """The first document of each group of linked fingerprints: the one with the smallest id, nulls last, and of one id that with the smallest hash of all columns.
+
+    Rows are told apart by what they hold, so a task that is run again names them alike; rows that are equal in every column count as one.
+    """
+    hashed = docs.withColumn("_hash", F.xxhash64(*docs.columns))
+    named = hashed.select(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_hash").alias("name"), "text")
+    kept = simhash.groups(named, "name").where(F.col("name") == F.col("component_id")).select("name._hash").distinct()
+    return hashed.join(kept, "_hash", "left_semi").dropDuplicates().select(docs.columns)  # both meet by the hash
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
