@@ -36,8 +36,8 @@ def _with(table: str, one: bool = False) -> str:
     """The common table expressions texts, suf, bwt, alpha of a table; ``one``: as a single collection."""
     key, text, coll = _TABLES[table]
     reads = _READS.format(coll="0" if one else coll, key=f"({key})", enc=_ENC.format(text), table=table)
-    alpha = "SELECT comp, cnt, coalesce(sum(cnt) OVER (ORDER BY comp ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS c_before FROM (SELECT k AS comp, (SELECT count(*) FROM bwt WHERE c = k) AS cnt FROM unnest(range(0, 6)) x(k))"
-    return f"WITH texts AS ({reads}), suf AS ({_SUF}), bwt AS ({_BWT}), alpha AS ({alpha})"
+    alpha = "SELECT comp, cnt, coalesce(sum(cnt) OVER (ORDER BY comp ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS c_before FROM (SELECT k AS comp, coalesce(n, 0) AS cnt FROM unnest(range(0, 6)) x(k) LEFT JOIN (SELECT c, count(*) AS n FROM bwt GROUP BY c) ON c = k)"
+    return f"WITH texts AS ({reads}), suf AS ({_SUF}), bwt AS MATERIALIZED ({_BWT}), alpha AS MATERIALIZED ({alpha})"
 
 
 def texts(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -139,8 +139,11 @@ def q_block_samples(spark, sf_dir):
     return runs.samples_of(runs.blocks_of(transform.build(one(spark, sf_dir, "conversations"))))
 
 
-_RANKED = ", ".join(f"coalesce(count(*) FILTER (c = {k}) OVER w, 0) AS r{k}" for k in range(1, 6))
-_BEFORE = f"SELECT pos AS i, c AS own, {_RANKED} FROM bwt WINDOW w AS (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+# ranks before a position from running counts inside blocks of 1,024 and sums of the blocks before
+_IN = ", ".join(f"coalesce(sum((c = {k})::BIGINT) OVER w, 0) AS m{k}" for k in range(1, 6))
+_SUMS = ", ".join(f"coalesce(sum(s{k}) OVER (ORDER BY blk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s{k}" for k in range(1, 6))
+_OF = ", ".join(f"count(*) FILTER (c = {k}) AS s{k}" for k in range(1, 6))
+_BEFORE = f"SELECT i, " + ", ".join(f"(m{k} + s{k})::BIGINT AS r{k}" for k in range(1, 6)) + f" FROM (SELECT pos AS i, pos // 1024 AS blk, {_IN} FROM bwt WINDOW w AS (PARTITION BY pos // 1024 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) JOIN (SELECT blk, {_SUMS} FROM (SELECT pos // 1024 AS blk, {_OF} FROM bwt GROUP BY 1)) USING (blk)"
 
 
 @query(f"{C}, b AS ({_BEFORE}) SELECT i, (1 + i % 5)::INT AS c, CASE i % 5 WHEN 0 THEN r1 WHEN 1 THEN r2 WHEN 2 THEN r3 WHEN 3 THEN r4 ELSE r5 END AS rank FROM b")
@@ -206,7 +209,7 @@ def q_char_ranges(spark, sf_dir):
     return alphabet.char_ranges(index(spark, sf_dir).alphabet)
 
 
-@query(f"{C} SELECT pos, comp::INT AS comp FROM bwt JOIN alpha ON pos >= c_before AND pos < c_before + cnt")
+@query(f"{C} SELECT pos, CASE WHEN suf = '' THEN 0 ELSE substr(suf, 1, 1)::INT END AS comp FROM bwt")
 def q_find_char(spark, sf_dir):
     ix = index(spark, sf_dir)
     return alphabet.find_char(ix.bwt.select("pos"), ix.alphabet)

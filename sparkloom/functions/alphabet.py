@@ -74,8 +74,8 @@ def identify(alphabet: DataFrame) -> str:
 
 
 def compatible(alphabet: DataFrame, order: str) -> bool:
-    """Whether an alphabet can be written in a format of that order; ``any`` takes all."""
-    return order == "any" or identify(alphabet) == order
+    """Whether an alphabet can be written in a format of that order; ``any`` takes all, and an alphabet or order that is not known fits no other."""
+    return order == "any" or order in ORDERS and identify(alphabet) == order
 
 
 def is_sorted(alphabet: DataFrame) -> bool:

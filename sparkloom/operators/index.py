@@ -89,10 +89,10 @@ class Index:
     def save(self, path: str) -> None:
         """The engine's own format: runs, blocks and counts as Parquet."""
         spark: SparkSession = self.bwt.sparkSession
-        self.bwt.write.parquet(f"{path}/bwt")
-        self.blocks.write.parquet(f"{path}/blocks")
+        self.bwt.write.mode("overwrite").parquet(f"{path}/bwt")
+        self.blocks.write.mode("overwrite").parquet(f"{path}/blocks")
         meta = [(self.order, self.block_size, self.counts)]
-        spark.createDataFrame(meta, "order string, block_size int, counts array<long>").coalesce(1).write.parquet(f"{path}/meta")
+        spark.createDataFrame(meta, "order string, block_size int, counts array<long>").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "Index":

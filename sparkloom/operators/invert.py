@@ -1,4 +1,4 @@
-"""Texts back from a transform, by pointer doubling."""
+"""Texts back from a transform, and places in texts, by list ranking with pointer doubling."""
 
 from __future__ import annotations
 
@@ -11,22 +11,38 @@ from ..plans.shared import forget, materialize
 ROUNDS = 40
 
 
-def texts_of(lf: DataFrame, counts: list[int]) -> DataFrame:
-    """texts(seq_id, s) of lf(pos, c, r, lf): text i is spelled from position i, the last symbol first.
+def places_of(lf: DataFrame, counts: list[int]) -> DataFrame:
+    """(pos, c, seq_id, back) of lf(pos, c, r, lf): which text the suffix at each position is of, and how many symbols it has.
 
-    Every position carries the symbols from it on and where they stop; each
-    round joins a piece with the piece that goes on from there, so pieces double.
-    Only pieces that begin a text are kept in the end.
+    Text i ends at position i, where the suffix is empty. Every position knows the one
+    whose suffix is a symbol shorter; each round it asks what that one knows, so the distance doubles.
     """
-    piece = lf.select("pos", F.when(F.col("c") == 0, "").otherwise(F.col("c").cast("string")).alias("s"), F.when(F.col("c") == 0, None).otherwise(F.col("lf")).alias("next"))
-    now = materialize(piece, "pieces")
+    shorter = lf.where("c > 0").select(F.col("lf").alias("pos"), F.col("pos").alias("next"), F.lit(1).cast("long").alias("back"))
+    ends = lf.where(F.col("pos") < counts[0]).select("pos", F.col("pos").alias("next"), F.lit(0).cast("long").alias("back"))
+    now = materialize(ends.unionByName(shorter), "places")
     for _ in range(ROUNDS):
-        if now.where(F.col("next").isNotNull() & (F.col("pos") < counts[0])).isEmpty():
+        if now.where(F.col("next") >= counts[0]).isEmpty():
             break
-        ahead = now.select(F.col("pos").alias("next"), F.col("s").alias("s2"), F.col("next").alias("next2"))
-        open_ = now.where("next IS NOT NULL").join(ahead, "next").select("pos", F.concat("s2", "s").alias("s"), F.col("next2").alias("next"))
-        # pieces that have come to an end need only be kept where a text begins or others may still go on to them
-        after = materialize(open_.unionByName(now.where("next IS NULL")), "pieces")
+        ahead = now.select(F.col("pos").alias("next"), F.col("next").alias("next2"), F.col("back").alias("back2"))
+        open_ = now.where(F.col("next") >= counts[0]).join(ahead, "next").select("pos", F.col("next2").alias("next"), (F.col("back") + F.col("back2")).alias("back"))
+        after = materialize(open_.unionByName(now.where(F.col("next") < counts[0])), "places")
         forget(now)
         now = after
-    return now.where(F.col("pos") < counts[0]).select(F.col("pos").alias("seq_id"), "s")
+    return lf.select("pos", "c").join(now, "pos").select("pos", "c", F.col("next").alias("seq_id"), "back")
+
+
+def texts_of(lf: DataFrame, counts: list[int]) -> DataFrame:
+    """texts(seq_id, s) of lf(pos, c, r, lf): the symbol before each suffix, the longest suffix first. Only single symbols move; each text is put together once."""
+    symbols = F.array_sort(F.collect_list(F.when(F.col("c") > 0, F.struct((-F.col("back")).alias("at"), "c"))))
+    spelled = F.array_join(F.transform(symbols, lambda x: x["c"].cast("string")), "")
+    return places_of(lf, counts).groupBy("seq_id").agg(spelled.alias("s"))
+
+
+def locate(found: DataFrame, places: DataFrame, lengths: DataFrame, block: int = 1 << 12) -> DataFrame:
+    """(pattern_id, seq_id, off) of found(pattern_id, lo, hi) ranges: every place where a pattern occurs.
+
+    ``places``: places_of an index; ``lengths``(seq_id, n): the texts' lengths. Ranges are dealt out to blocks of positions, so the lookup is an equi-join.
+    """
+    cells = found.where("lo < hi").select("pattern_id", "lo", "hi", F.explode(F.sequence((F.col("lo") / block).cast("long"), ((F.col("hi") - 1) / block).cast("long"))).alias("blk"))
+    met = places.withColumn("blk", (F.col("pos") / block).cast("long")).join(cells, "blk").where("pos >= lo AND pos < hi")
+    return met.join(lengths, "seq_id").select("pattern_id", "seq_id", (F.col("n") - F.col("back")).alias("off"))

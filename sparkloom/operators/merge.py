@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.alphabet import SIGMA
 from ..plans.order import positions, running
 from ..plans.shared import materialize
-from . import invert, lookups, search, transform
+from . import lookups, search, transform
 
 
 def together(collections: list[DataFrame]) -> DataFrame:
@@ -20,7 +20,7 @@ def together(collections: list[DataFrame]) -> DataFrame:
 
 def build(texts: DataFrame, ranges: bool | None = None) -> DataFrame:
     """bwt(pos, c, coll, seq_id, off) of texts(coll, seq_id, s): all suffixes are sorted once, however many collections there are."""
-    return positions(transform.suffixes(texts), ["suf", "coll", "seq_id"], ["c", "coll", "seq_id", "off"], ranges=ranges).select("pos", "c", "coll", "seq_id", "off")
+    return positions(transform.suffixes(texts), [*transform.SUFFIX_ORDER, "coll", "seq_id"], ["c", "coll", "seq_id", "off"], ranges=ranges).select("pos", "c", "coll", "seq_id", "off")
 
 
 def merge(*collections: DataFrame) -> DataFrame:
@@ -28,10 +28,18 @@ def merge(*collections: DataFrame) -> DataFrame:
     return build(together(list(collections)))
 
 
-def merge_bwts(bwts: list[DataFrame], counts: list[list[int]]) -> DataFrame:
-    """The merged transform of transforms without texts: they are inverted and built together."""
-    texts = [invert.texts_of(lookups.edges(b, n) if "blk" in b.columns else b, n) for b, n in zip(bwts, counts)]
-    return merge(*texts)
+def merge_indexes(indexes: list):
+    """The index of all collections of indexes without texts, those of the first one first. Nothing is inverted or sorted again.
+
+    One after another is merged into what there is so far: the ranks of its suffixes
+    there say where its symbols go.
+    """
+    from .index import Index
+
+    whole = indexes[0]
+    for other in indexes[1:]:
+        whole = Index.of_bwt(interleave(whole.bwt, other.bwt, materialize(rank_array_of_indexes(whole, other), "ra")), whole.order, whole.block_size)
+    return whole
 
 
 def sources(merged: DataFrame, coll: int = 1) -> DataFrame:

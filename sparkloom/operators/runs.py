@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -79,15 +81,42 @@ def checksum(bwt: DataFrame) -> DataFrame:
     return bwt.agg(F.count("*").alias("rows"), F.sum(F.xxhash64("pos", "c").cast("decimal(38,0)")).alias("checksum"))
 
 
-def content_hash(runs: DataFrame) -> int:
-    """FNV-1a (64 bits) over the comp values in order, read run by run as a stream.
+# fixed values: offset basis and prime of 64-bit FNV-1a
+_BASIS, _PRIME = 0xCBF29CE484222325, 0x100000001B3
+#: Blocks that one task joins to one row.
+JOINED = 4096
 
-    The hash depends on order, so it is one fold; it is for comparison with
-    other tools, and ``checksum`` is for large transforms.
+
+def content_hash(blocks: DataFrame) -> int:
+    """FNV-1a (64 bits) over the comp values of blocks(blk, seq, ...) in order, for comparison with other tools.
+
+    Symbols are below 8, so a block's effect depends on the lowest three bits of the hash before it alone, and for each of
+    the eight states it is a factor and an addend. Tasks work these out and join JOINED blocks to one row; the driver reads those rows one after another.
     """
-    # fixed values: offset basis and prime of 64-bit FNV-1a
-    h, prime, mask = 0xCBF29CE484222325, 0x100000001B3, (1 << 64) - 1
-    for row in runs.orderBy("start").select("c", "len").toLocalIterator():
-        for _ in range(row["len"]):
-            h = ((h ^ row["c"]) * prime) & mask
+    schema = "g long, factor string, addends array<string>, states array<int>"
+
+    def work(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(table["blk"].to_pylist(), table["seq"].to_pylist()))
+        longest = max(len(s) for _, s in rows)
+        symbols = np.zeros((len(rows), longest), np.uint64)
+        for k, (_, s) in enumerate(rows):
+            symbols[k, : len(s)] = np.frombuffer(s.encode(), np.uint8) - 48
+        sizes = np.array([len(s) for _, s in rows])
+        prime, low = np.uint64(_PRIME), np.uint64(7)
+        state = np.tile(np.arange(8, dtype=np.uint64), (len(rows), 1))
+        addend, factor = np.zeros_like(state), np.ones(len(rows), np.uint64)
+        for j in range(longest):
+            on = (j < sizes)[:, None]
+            changed = state ^ symbols[:, j : j + 1]
+            addend = np.where(on, (addend + changed - state) * prime, addend)
+            state = np.where(on, (changed * prime) & low, state)
+            factor = np.where(on[:, 0], factor * prime, factor)
+        whole, sums, at = np.ones(1, np.uint64), np.zeros(8, np.uint64), np.arange(8)
+        for k in range(len(rows)):  # one block after another
+            sums, whole, at = sums * factor[k] + addend[k, at], whole * factor[k], state[k, at].astype(np.int64)
+        return pa.table({"g": table["g"][:1], "factor": [str(whole[0])], "addends": [[str(x) for x in sums]], "states": pa.array([at.tolist()], pa.list_(pa.int32()))})
+
+    h, mask = _BASIS, (1 << 64) - 1
+    for row in blocks.select((F.col("blk") / JOINED).cast("long").alias("g"), "blk", "seq").groupBy("g").applyInArrow(work, schema).orderBy("g").toLocalIterator():
+        h = (h * int(row["factor"]) + int(row["addends"][h & 7])) & mask
     return h

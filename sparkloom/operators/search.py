@@ -69,17 +69,26 @@ def totals(found: DataFrame) -> DataFrame:
     return found.agg(F.count("*").alias("patterns"), F.count_if(n > 0).alias("found"), F.coalesce(F.sum(n), F.lit(0)).alias("matches"))
 
 
+#: Symbols of a seed, and bytes of patterns that are sent to all workers at most.
+SEED, SENT_BYTES = 16, 32 << 20
+
+
 def in_texts(patterns: DataFrame, texts: DataFrame, order: str = "default") -> DataFrame:
-    """(pattern_id, matches): the same counts from the texts themselves, without an index.
+    """(pattern_id, matches): the same counts from the texts themselves, of any length, without an index.
 
-    Patterns of one length meet the substrings of that length, so each text is
-    cut once for every length among the patterns. Anchored and empty patterns are left to ``find`` and ``anchored``.
+    A pattern's first SEED symbols meet the substrings of that length, so each text is
+    cut at most SEED times however long the patterns are, and the rest of a pattern is compared where its seed
+    occurs. Small pattern tables are broadcast after a look at their size, others meet in a shuffle. Anchored and empty patterns are left to ``find`` and ``anchored``.
     """
-    named = patterns.select("pattern_id", encode_pattern(F.col("pattern"), order).alias("p")).where("p <> '' AND instr(p, '0') = 0")
-    lengths = F.broadcast(named.select(F.length("p").alias("n")).distinct())  # as many rows as there are lengths
+    named = materialize(patterns.select("pattern_id", encode_pattern(F.col("pattern"), order).alias("p")).where("p <> '' AND instr(p, '0') = 0"), "patterns")
+    asked = named.select("p").distinct().select("p", F.substr("p", F.lit(1), F.lit(SEED)).alias("seed"))
+    lengths = F.broadcast(asked.select(F.length("seed").alias("n")).distinct())  # SEED rows at most
+    size = named.agg(F.sum(F.length("p") + 64)).first()[0] or 0
     cut = spread(texts, "seq_id").join(lengths, F.length("s") >= F.col("n")).select("s", "n", F.explode(F.sequence(F.lit(1), F.length("s") - F.col("n") + 1)).alias("k"))
-    pieces = cut.select(F.substr("s", "k", "n").alias("p")).groupBy("p").agg(F.count("*").alias("matches"))
-    return named.join(pieces, "p", "left").select("pattern_id", F.coalesce("matches", F.lit(0)).alias("matches"))
+    pieces = cut.select("s", "k", F.substr("s", "k", "n").alias("seed"))
+    met = pieces.join(F.broadcast(asked) if size <= SENT_BYTES else asked, "seed").where((F.length("p") <= SEED) | (F.substr("s", F.col("k"), F.length("p")) == F.col("p")))
+    counts = met.groupBy("p").agg(F.count("*").alias("matches"))
+    return named.join(counts, "p", "left").select("pattern_id", F.coalesce("matches", F.lit(0)).alias("matches"))
 
 
 def anchored(patterns: DataFrame, texts: DataFrame, order: str = "default") -> DataFrame:

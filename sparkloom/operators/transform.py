@@ -25,27 +25,36 @@ def texts_of(df: DataFrame, seq_id: Column, text: Column, order: str = "default"
 
 
 def reads_of(texts: DataFrame, length: int = READ) -> DataFrame:
-    """Texts cut into reads, in order: read k of text i has seq_id i * 2**20 + k. An empty text is one empty read."""
+    """Texts cut into reads, in order: read k of text i has seq_id i * 2**20 + k. An empty text is one empty read; a text of more reads is an error."""
     others = [c for c in texts.columns if c not in ("seq_id", "s")]
     parts = F.sequence(F.lit(0), F.greatest(F.ceil(F.length("s") / length).cast("int") - 1, F.lit(0)))
     cut = texts.select(*others, "seq_id", "s", F.explode(parts).alias("k"))
-    return cut.select(*others, (F.col("seq_id") * (1 << 20) + F.col("k")).alias("seq_id"), F.substr("s", F.col("k") * length + 1, F.lit(length)).alias("s"))
+    return cut.select(*others, (F.col("seq_id") * (1 << 20) + F.when(F.col("k") < 1 << 20, F.col("k")).otherwise(F.raise_error(F.lit("a text of more than 2**20 reads")))).alias("seq_id"), F.substr("s", F.col("k") * length + 1, F.lit(length)).alias("s"))
+
+
+#: Symbols of a suffix that one long holds, as a number of base 6.
+PACKED = 24
+#: What orders suffixes: two numbers of PACKED symbols each, and the spelled rest of those that are longer.
+SUFFIX_ORDER = ["k1", "k2", "rest"]
 
 
 def suffixes(texts: DataFrame) -> DataFrame:
-    """(seq_id, off, suf, c) and other columns of ``texts``: every suffix, the empty one too, and the digit before it (0 at the start).
+    """(seq_id, off, k1, k2, rest, c) and other columns of ``texts``: every suffix, the empty one too, and the digit before it (0 at the start).
 
-    Made for reads: the characters of all suffixes grow with the square of a text's length.
+    Its first 48 symbols are two numbers, so sorting compares longs and moves 16 bytes for them. A shorter suffix has zeros
+    there, which no symbol is, and so comes first. Made for reads: what is spelled grows with the square of a text's length.
     """
     others = [c for c in texts.columns if c != "s"]
     cut = spread(texts, "seq_id").select(*others, "s", F.explode(F.sequence(F.lit(0), F.length("s"))).alias("off"))
     before = F.when(F.col("off") == 0, 0).otherwise(F.ascii(F.substr("s", F.col("off"), F.lit(1))) - 48)
-    return cut.select(*others, F.col("off").cast("long").alias("off"), F.substr("s", F.col("off") + 1).alias("suf"), before.alias("c"))
+    number = lambda k: F.conv(F.rpad(F.substr("s", F.col("off") + 1 + k * PACKED, F.lit(PACKED)), PACKED, "0"), 6, 10).cast("long").alias(f"k{k + 1}")
+    rest = F.substr("s", F.col("off") + 1 + 2 * PACKED).alias("rest")
+    return cut.select(*others, F.col("off").cast("long").alias("off"), number(0), number(1), rest, before.alias("c"))
 
 
 def build(texts: DataFrame, ranges: bool | None = None) -> DataFrame:
     """The transform of a collection with its lineage: bwt(pos, c, seq_id, off)."""
-    return positions(suffixes(texts), ["suf", "seq_id"], ["c", "seq_id", "off"], ranges=ranges).select("pos", "c", "seq_id", "off")
+    return positions(suffixes(texts), [*SUFFIX_ORDER, "seq_id"], ["c", "seq_id", "off"], ranges=ranges).select("pos", "c", "seq_id", "off")
 
 
 def build_long(texts: DataFrame, most_rounds: int = 40) -> DataFrame:

@@ -42,11 +42,16 @@ def positions(df: DataFrame, order: list, keep: list[str], name: str = "pos", ra
 def running(df: DataFrame, position: str, sums: dict[str, Column], block: int = BLOCK) -> DataFrame:
     """``df`` with exclusive running sums of the columns ``sums`` in the order of ``position``.
 
-    Sums run inside blocks of positions; the blocks' totals, a row each, are summed up before them.
+    Sums run inside blocks of positions. The blocks' totals, a row each, run inside
+    groups of as many blocks, and only the groups' totals, a row for each 2**32 positions, meet in one window.
     """
     marked = df.select("*", (F.col(position) / block).cast("long").alias("_block"), *(c.cast("long").alias(f"_{k}") for k, c in sums.items()))
     totals = marked.groupBy("_block").agg(*(F.sum(f"_{k}").alias(f"_t_{k}") for k in sums))
-    earlier = W.orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    bases = totals.select("_block", *(F.coalesce(F.sum(f"_t_{k}").over(earlier), F.lit(0)).alias(f"_b_{k}") for k in sums))
+    totals = totals.withColumn("_group", F.shiftright("_block", 16))
+    groups = totals.groupBy("_group").agg(*(F.sum(f"_t_{k}").alias(f"_g_{k}") for k in sums))
+    before = lambda name, window: F.coalesce(F.sum(name).over(window.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    heads = groups.select("_group", *(before(f"_g_{k}", W.orderBy("_group")).alias(f"_h_{k}") for k in sums))
+    near = totals.select("_block", "_group", *(before(f"_t_{k}", W.partitionBy("_group").orderBy("_block")).alias(f"_n_{k}") for k in sums))
+    bases = near.join(heads, "_group").select("_block", *((F.col(f"_h_{k}") + F.col(f"_n_{k}")).alias(f"_b_{k}") for k in sums))
     inside = W.partitionBy("_block").orderBy(position).rowsBetween(W.unboundedPreceding, -1)
     return marked.join(bases, "_block").select(*df.columns, *((F.col(f"_b_{k}") + F.coalesce(F.sum(f"_{k}").over(inside), F.lit(0))).cast("long").alias(k) for k in sums))

@@ -21,7 +21,9 @@ def shared_dir(spark: SparkSession) -> str:
         return found.rstrip("/")
     if not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return _local.setdefault("dir", tempfile.mkdtemp(prefix="sparkloom-"))
+    if "dir" not in _local:
+        _local["dir"] = tempfile.mkdtemp(prefix="sparkloom-")
+    return _local["dir"]
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
     python -m sparkloom.plans.tools convert [-i sga] [-o ropebwt] IN OUT
     python -m sparkloom.plans.tools inspect FILE...
-    python -m sparkloom.plans.tools merge [-i TAG[,TAG...]] [-o TAG] [-v PATTERNS] IN1 IN2 [...] OUT
+    python -m sparkloom.plans.tools merge [-i TAG[,TAG...]] [-o TAG] [-v PATTERNS] [-t CORES] [-s PARTITIONS] [-d FOLDER] [-r MB] [-b MB] [-m N] IN1 IN2 [...] OUT
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ import argparse
 import time
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import merge as merging
@@ -73,6 +73,18 @@ def save(index: Index, path: str, tag: str, force: bool = False) -> dict:
     return files.write_runs(index.runs(), path, tag, index.order, force)
 
 
+def described() -> Column:
+    """One line on a row of ``files.inspect``: what the file is and what it holds."""
+    held = F.concat(F.lit(": "), F.coalesce(F.col("sequences").cast("string"), F.lit("?")), F.lit(" sequences, "), F.coalesce(F.col("bases").cast("string"), F.lit("?")), F.lit(" bases"))
+    return F.concat("format", F.when(F.col("bases").isNull(), F.lit("")).otherwise(held), F.coalesce(F.concat(F.lit(", "), "alphabet", F.lit(" alphabet")), F.lit("")))
+
+
+def totals(headers: DataFrame) -> DataFrame:
+    """(files, known, sequences, bases) over inspected files; what is not known adds nothing."""
+    sum_of = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c)
+    return headers.agg(F.count("*").alias("files"), F.count_if(~F.col("format").isin("unknown", "unreadable")).alias("known"), sum_of("sequences"), sum_of("bases"))
+
+
 def report(spark: SparkSession, stages: list[tuple[str, float, int, int]]) -> DataFrame:
     """(stage, seconds, bytes, bases, bpc): bits per character of what each stage wrote."""
     rows = [(s, float(t), b, n, 8.0 * b / n if n else 0.0) for s, t, b, n in stages]
@@ -104,9 +116,7 @@ def merge(spark: SparkSession, sources: list[str], target: str, tags: list[str],
     parts = [load(spark, path, tag) for path, tag in zip(sources, tags)]
     if len({order for _, order in parts}) != 1:
         raise ValueError("the inputs' alphabets differ")
-    order = parts[0][1]
-    merged = merging.merge_bwts([p.edges for p, _ in parts], [p.counts for p, _ in parts])
-    whole = Index.of_bwt(merged.select("pos", "c"), order)
+    whole = merging.merge_indexes([p for p, _ in parts])
     save(whole, target, target_tag)
     return merging.verify(search.read_patterns(spark, patterns), [p for p, _ in parts], whole) if patterns else None
 
@@ -120,14 +130,17 @@ def main(arguments: list[str] | None = None) -> None:
     two.add_argument("paths", nargs="+")
     three = tools.add_parser("merge")
     three.add_argument("-i", default="sga"), three.add_argument("-o", default="parquet"), three.add_argument("-v"), three.add_argument("paths", nargs="+")
+    three.add_argument("-t", type=int), three.add_argument("-s", type=int), three.add_argument("-d")
+    three.add_argument("-r", type=int, default=128), three.add_argument("-b", type=int, default=256), three.add_argument("-m", type=int, default=6)
     a = parser.parse_args(arguments)
-    spark = SparkSession.builder.getOrCreate()
+    told = Parameters(a.r, a.b, a.m, a.t, a.s, a.d).settings() if a.tool == "merge" else {}
+    spark = SparkSession.builder.config(map=told).getOrCreate()
     if a.tool == "convert":
         convert(spark, *a.paths, a.i, a.o).show(truncate=False)
     elif a.tool == "inspect":
-        found = files.inspect(spark, *a.paths).cache()
-        found.show(truncate=False)
-        found.agg(F.sum("sequences").alias("sequences"), F.sum("bases").alias("bases")).show()
+        found = files.inspect(spark, *a.paths)
+        found.select("*", described().alias("report")).show(truncate=False)
+        totals(found).show()
     else:
         checked = merge(spark, a.paths[:-1], a.paths[-1], a.i.split(","), a.o, a.v)
         if checked is not None:

@@ -81,17 +81,26 @@ def write_varint(value: int) -> bytes:
 
 
 def decode_native(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Runs of the native code; a chunk of whole 64-byte blocks stands on its own, as no run crosses them."""
-    symbols, lengths, at = [], [], 0
-    while at < len(data):
-        symbol, length = data[at] % SIGMA, data[at] // SIGMA + 1
-        at += 1
-        if length >= BASIC:
-            more, at = read_varint(data, at)
-            length += more
-        symbols.append(symbol)
-        lengths.append(length)
-    return np.array(symbols, np.int64), np.array(lengths, np.int64)
+    """Runs of the native code; a chunk of whole 64-byte blocks stands on its own, as no run crosses them, so all blocks are decoded side by side."""
+    raw = np.frombuffer(data, np.uint8)
+    blocks = -(-len(raw) // NATIVE_BLOCK)
+    cells = np.zeros(blocks * NATIVE_BLOCK, np.int64)
+    cells[: len(raw)] = raw
+    held = np.arange(len(cells)).reshape(blocks, NATIVE_BLOCK) < len(raw)
+    cells = cells.reshape(blocks, NATIVE_BLOCK)
+    symbols, lengths = np.zeros_like(cells), np.zeros_like(cells)
+    within, shift, symbol, length = np.zeros(blocks, bool), np.zeros(blocks, np.int64), np.zeros(blocks, np.int64), np.zeros(blocks, np.int64)
+    for j in range(NATIVE_BLOCK):
+        b, head = cells[:, j], ~within & held[:, j]
+        symbol = np.where(head, b % SIGMA, symbol)
+        length = np.where(head, b // SIGMA + 1, np.where(within, length + ((b & 0x7F) << shift), length))
+        more = np.where(head, length >= BASIC, within & (b >= 0x80))
+        shift = np.where(within, shift + 7, 0)
+        done = (head | within) & ~more
+        symbols[done, j], lengths[done, j] = symbol[done], length[done]
+        within = more
+    kept = lengths > 0
+    return symbols[kept], lengths[kept]
 
 
 def encode_native(runs, at: int = 0) -> bytes:

@@ -27,8 +27,16 @@ def _known(tag: str) -> codecs.Format:
 
 
 def inspect(spark: SparkSession, *paths: str) -> DataFrame:
-    """headers(path, format, sequences, bases, bytes, alphabet) of files, by their first bytes; totals are plain sums over it."""
-    heads = spark.read.format("binaryFile").load(list(paths)).select("path", F.expr("substring(content, 1, 32)").alias("head"))
+    """headers(path, format, sequences, bases, bytes, alphabet) of files, by their first bytes; totals are plain sums over it.
+
+    A file that is missing or cannot be read has the format ``unreadable``, and the others are looked at all the same.
+    """
+    schema = "path string, format string, sequences long, bases long, bytes long, alphabet string"
+    there = [p for p in paths if _exists(spark, p)]
+    missing = spark.createDataFrame([(p, "unreadable", None, None, None, None) for p in paths if p not in there], schema)
+    if not there:
+        return missing
+    heads = spark.read.option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).format("binaryFile").load(there).select("path", F.expr("substring(content, 1, 32)").alias("head"))
 
     def look(batches):
         for batch in batches:
@@ -36,12 +44,16 @@ def inspect(spark: SparkSession, *paths: str) -> DataFrame:
             columns = [batch.column(0), *(pa.array([f[k] for f in found], kind) for k, kind in (("format", pa.string()), ("sequences", pa.int64()), ("bases", pa.int64()), ("bytes", pa.int64()), ("alphabet", pa.string())))]
             yield pa.RecordBatch.from_arrays(columns, names=["path", "format", "sequences", "bases", "bytes", "alphabet"])
 
-    schema = "path string, format string, sequences long, bases long, bytes long, alphabet string"
-    found = heads.mapInArrow(look, schema)
-    empty = [(p, "unknown", None, None, None, None) for p in _empty_files(spark, paths)]  # the source leaves these out
+    found = heads.mapInArrow(look, schema).unionByName(missing)
+    empty = [(p, "unknown", None, None, None, None) for p in _empty_files(spark, there)]  # the source leaves these out
     return found.unionByName(spark.createDataFrame(empty, schema)) if empty else found
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    name = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(name.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(name))
+
+
 def _empty_files(spark: SparkSession, paths) -> list[str]:
     """Those of the named files that hold no bytes."""
     out = []

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import merge as merging
-from ..operators import search, transform
+from ..operators import search
 from ..operators.index import Index
 
 
@@ -26,7 +26,7 @@ def index_stream(texts: DataFrame, path: str, checkpoint: str, order: str = "def
         folder = f"{path}/part-{number:08d}"
         batch.select("seq_id", "s").write.mode("overwrite").parquet(f"{folder}/texts")
         kept = batch.sparkSession.read.parquet(f"{folder}/texts")
-        transform.build(kept).write.mode("overwrite").parquet(f"{folder}/bwt")
+        Index.of_texts(kept, order).save(f"{folder}/index")
 
     return texts.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).start()
 
@@ -40,7 +40,7 @@ def parts(spark: SparkSession, path: str) -> list[str]:
 
 def count(spark: SparkSession, path: str, patterns: DataFrame) -> DataFrame:
     """(pattern_id, matches) over all parts."""
-    each = [search.counts(Index.of_bwt(spark.read.parquet(f"{p}/bwt")).find(patterns)).select("pattern_id", "matches") for p in parts(spark, path)]
+    each = [search.counts(Index.load(spark, f"{p}/index").find(patterns)).select("pattern_id", "matches") for p in parts(spark, path)]
     return reduce(DataFrame.unionByName, each).groupBy("pattern_id").agg(F.sum("matches").alias("matches"))
 
 

@@ -40,6 +40,7 @@ def test_native_code():
     for length, want in ((1, "01"), (41, "f1"), (42, "f700"), (43, "f701"), (169, "f77f"), (170, "f78001"), (16553, "f7ff8001"), (16554, "f7808101")):
         assert codecs.encode_native([(1, length)]).hex() == want
     assert codecs.encode_native([(1, 500)], 62).hex() == "f77ff7a102" and codecs.encode_native([(1, 500)], 63).hex() == "f1f7a103"
+    assert [x.tolist() for x in codecs.decode_native(bytes.fromhex("f78101"))] == [[1], [42 + 129]] and not len(codecs.decode_native(b"")[0])
     runs = [(k % 6, 1 + k * k % 70_000) for k in range(500)]
     symbols, lengths = codecs.decode_native(codecs.encode_native(runs))
     total = [0] * 6
@@ -69,6 +70,9 @@ def test_long_runs_are_split():
 def test_inspect_unknown(spark, tmp_path):
     for name, data in (("empty", b""), ("short", b"!BWT"), ("foreign", b"hello, this is a longer text file of no format"), ("rope", b"RLE\x06\x12")):
         (tmp_path / name).write_bytes(data)
+    more = files.inspect(spark, str(tmp_path / "gone"), str(tmp_path / "rope"))
+    assert {r["format"] for r in more.collect()} == {"unreadable", "ropebwt"} and files.inspect(spark, str(tmp_path / "gone")).first()["format"] == "unreadable"
+    assert tuple(tools.totals(more).first()) == (2, 1, 0, 0)
     got = {r["path"].rpartition("/")[2]: r["format"] for r in files.inspect(spark, *(str(tmp_path / n) for n in ("empty", "short", "foreign", "rope"))).collect()}
     assert got == {"empty": "unknown", "short": "unknown", "foreign": "unknown", "rope": "ropebwt"}
 
@@ -91,6 +95,10 @@ def test_tools(spark, tmp_path):
     (tmp_path / "p").write_text("AG\n\nCTA\r\nTCG\n")
     checked = tools.merge(spark, paths, str(tmp_path / "m"), ["sga"], "parquet", str(tmp_path / "p"))
     assert sorted((r["in_whole"], r["same"]) for r in checked.collect()) == [(1, True), (2, True), (3, True)]
+    tools.main(["merge", "-t", "2", "-s", "4", "-d", "/tmp", "-r", "64", "-b", "64", "-m", "5", *paths, str(tmp_path / "m2")])
+    assert spelled(Index.load(spark, str(tmp_path / "m2")).bwt) == "CCGGTTTCCAAGGT$$CAAAACCA"
+    tools.main(["inspect", *paths, str(tmp_path / "none")])
+    assert [r[0] for r in files.inspect(spark, paths[0]).select(tools.described()).collect()] == ["sga: 1 sequences, 12 bases, default alphabet"]
     merged = Index.load(spark, str(tmp_path / "m"))
     assert spelled(merged.bwt) == "CCGGTTTCCAAGGT$$CAAAACCA"
     done = tools.convert(spark, paths[0], str(tmp_path / "c"), "sga", "plain_default").first()

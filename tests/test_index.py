@@ -46,7 +46,7 @@ def test_golden_runs_and_samples(example):
     assert found == [("C", 2), ("G", 2), ("T", 3), ("C", 2), ("A", 2), ("G", 2), ("T", 1), ("$", 2), ("C", 1), ("A", 4), ("C", 2), ("A", 1)]
     samples = runs.samples_of(runs.blocks_of(example["RS"].bwt, 8)).orderBy("block").collect()
     assert [[r[f"n{k}"] for k in range(6)] for r in samples] == [[0, 0, 0, 0, 0, 0], [0, 0, 3, 2, 3, 0], [2, 2, 4, 4, 4, 0]]
-    assert runs.content_hash(example["RS"].runs()) == 0x79184F66DA5567A2
+    assert runs.content_hash(example["RS"].blocks) == 0x79184F66DA5567A2
 
 
 def test_golden_lf(example):
@@ -121,12 +121,42 @@ def test_merges_agree(spark):
     whole = spelled(transform.build(texts(spark, sum(parts, []))))
     assert spelled(merge.merge(*(texts(spark, p) for p in parts))) == whole
     ixs = [Index.of_texts(texts(spark, p)) for p in parts]
-    assert spelled(merge.merge_bwts([x.edges for x in ixs], [x.counts for x in ixs])) == whole
+    assert spelled(merge.merge_indexes(ixs).bwt) == whole
     first = Index.of_bwt(merge.merge(*(texts(spark, p) for p in parts[:2])).select("pos", "c"))
     ra = merge.rank_array_of_indexes(first, ixs[2])
     assert spelled(merge.interleave(first.bwt, ixs[2].bwt, ra)) == whole
 
 
+def test_long_patterns_and_texts(spark):
+    """Whole texts and patterns far longer than a seed or a read, against plain search."""
+    rng = random.Random(10)
+    rows = ["".join(rng.choices("AC", k=700)), "ACGT" * 200, "A" * 500, ""]
+    asked = [rows[0][40:240], rows[0], rows[1][:101], "A" * 300, "ACGT" * 3, "C", "A" * 501, "GTAC" * 20 + "G"]
+    p = spark.createDataFrame(list(enumerate(asked)), "pattern_id long, pattern string")
+    got = {r["pattern_id"]: r["matches"] for r in search.in_texts(p, texts(spark, rows)).collect()}
+    assert got == {k: sum(t.startswith(a, i) for t in rows for i in range(len(t))) for k, a in enumerate(asked)}
+
+
+def test_content_hash_of_many_blocks(spark):
+    rng = random.Random(14)
+    symbols = [rng.randrange(6) for _ in range(5000)]
+    bwt = spark.createDataFrame(list(enumerate(symbols)), "pos long, c int")
+    h = 0xCBF29CE484222325
+    for c in symbols:
+        h = (h ^ c) * 0x100000001B3 % (1 << 64)
+    assert runs.content_hash(runs.blocks_of(bwt, 64)) == h and runs.content_hash(runs.blocks_of(bwt.limit(0), 64)) == 0xCBF29CE484222325
+
+
+def test_locate(spark):
+    rows = ["ACACA", "", "CACAC", "GGA"]
+    ix = Index.of_texts(texts(spark, rows))
+    p = spark.createDataFrame(list(enumerate(["ACA", "A", "T", "GGA"])), "pattern_id long, pattern string")
+    places = invert.places_of(ix.edges, ix.counts)
+    lengths = places.groupBy("seq_id").agg(F.max("back").alias("n"))
+    got = sorted(map(tuple, invert.locate(ix.find(p), places, lengths).collect()))
+    assert got == sorted((k, i, o) for k, a in enumerate(["ACA", "A", "T", "GGA"]) for i, t in enumerate(rows) for o in range(len(t)) if t.startswith(a, o))
+
+
 def test_counts_from_texts(spark):
     rows = ["AAAA", "ACACA", "CACAC", ""]
     p = spark.createDataFrame(list(enumerate(["AA", "ACA", "G", "AAAAA", "C", "ACACA", ""])), "pattern_id long, pattern string")
@@ -144,6 +174,7 @@ def test_alphabets(spark):
     a = alphabet.of_counts(spark.createDataFrame([(1, 3), (4, 2)], "comp int, cnt long"))
     b = alphabet.of_counts(spark.createDataFrame([(1, 1)], "comp int, cnt long"), "sorted")
     assert (alphabet.identify(a), alphabet.identify(b), alphabet.is_sorted(a), alphabet.is_sorted(b)) == ("default", "sorted", False, True)
+    assert not alphabet.compatible(a.withColumn("ch", F.lit("x")), "unknown")
     assert alphabet.compatible(a, "any") and alphabet.compatible(a, "default") and not alphabet.compatible(a, "sorted")
     with pytest.raises(ValueError):
         alphabet.merged(a, b)
