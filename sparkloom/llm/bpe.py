@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from .common import append_columns, worker_cache
 
 #: Distinct pieces that a worker keeps; beyond it, only those of the latest texts stay, which bounds memory and changes no result.
-KEPT_PIECES = 300_000
+KEPT_PIECES = 150_000
 
 
 def byte_alphabet() -> list[str]:
