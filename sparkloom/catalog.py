@@ -1,18 +1,22 @@
 """The registered queries of the text index and their DuckDB counterparts.
 
-All read whole tables: prose is spelled as bases, and every text is cut into
-reads of 101 characters that together hold all of it. ``documents`` serves the build, ``conversations`` and
+All read whole tables: prose is spelled as bases. For the index of reads every text is cut into
+reads of 101 characters that together hold all of it; counts in texts and the build for texts of any length take texts uncut. ``documents`` serves the build, ``conversations`` and
 ``benchmark`` the lookups, ``part`` (names with many ties) the tie-breaking.
 """
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import alphabet
 from .operators import invert, lookups, merge, runs, search, transform
 from .operators.index import Index
+from .plans.shared import materialize, shared_dir
 from .sources import codecs, files
 
 QUERIES: dict = {}
@@ -26,7 +30,7 @@ _BWT = "SELECT row_number() OVER (ORDER BY suf, coll, seq_id) - 1 AS pos, c, col
 #: Tables by name: key column, text column and the collection of a row.
 _TABLES = {
     "documents": ("doc_id", "text", "CASE WHEN doc_id % 2 = 0 THEN 0 ELSE 1 END"),
-    "conversations": ("conv_id * 1024 + turn", "text", "CASE WHEN role = 'user' THEN 0 ELSE 1 END"),
+    "conversations": ("conv_id * 65536 + turn", "text", "CASE WHEN role = 'user' THEN 0 ELSE 1 END"),
     "benchmark": ("item_id", "text", "CASE WHEN item_id % 2 = 0 THEN 0 ELSE 1 END"),
     "part": ("p_partkey", "p_name", "p_partkey % 3"),
 }
@@ -48,6 +52,13 @@ def texts(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return transform.reads_of(spelled)
 
 
+def uncut(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """texts(seq_id, s): the whole texts of a table."""
+    key, text, _ = _TABLES[table]
+    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return rows.select(F.expr(key).cast("long").alias("seq_id"), alphabet.prose_as_bases(F.coalesce(F.col(text), F.lit(""))).alias("s"))
+
+
 def one(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return texts(spark, sf_dir, table).drop("coll")
 
@@ -66,6 +77,12 @@ def query(sql: str | None = None):
     return add
 
 
+def _whole(table: str) -> str:
+    """As ``_with`` for uncut texts, of which ``bwt`` and ``suf`` are made only where a query names them."""
+    key, text, _ = _TABLES[table]
+    return f"WITH texts AS (SELECT 0 AS coll, {key} AS seq_id, {_ENC.format(text)} AS s FROM {table}), suf AS ({_SUF}), bwt AS ({_BWT})"
+
+
 C, D, B, P = (_with(t, True) for t in ("conversations", "documents", "benchmark", "part"))
 C2, D2, P2 = (_with(t) for t in ("conversations", "documents", "part"))
 _PATTERNS = f"(SELECT item_id AS pattern_id, translate(substr({_ENC.format('text')}, 1, (3 + item_id % 6)::BIGINT), '12345', 'ACGTN') AS pattern, substr({_ENC.format('text')}, 1, (3 + item_id % 6)::BIGINT) AS p FROM benchmark)"
@@ -110,10 +127,10 @@ def q_bwt_build_ranges(spark, sf_dir):
     return transform.build(one(spark, sf_dir, "part"), ranges=True).select("pos", "c")
 
 
-@query(f"{P} SELECT pos, c FROM bwt")
+@query(f"{_whole('conversations')} SELECT pos, c FROM bwt")
 def q_bwt_build_long(spark, sf_dir):
-    """Prefix doubling, as for texts of any length."""
-    return transform.build_long(one(spark, sf_dir, "part")).select("pos", "c")
+    """Prefix doubling, as for texts of any length: whole conversations, uncut."""
+    return transform.build_long(uncut(spark, sf_dir, "conversations")).select("pos", "c")
 
 
 _RUNS = "runs AS (SELECT row_number() OVER (ORDER BY min(pos)) - 1 AS run_id, min(pos) AS start, c, count(*) AS len FROM (SELECT pos, c, pos - row_number() OVER (PARTITION BY c ORDER BY pos) AS g FROM bwt) GROUP BY c, g)"
@@ -221,10 +238,24 @@ def q_find_ranges(spark, sf_dir):
     return found.select("pattern_id", "matches", F.when(F.col("matches") > 0, F.col("lo")).otherwise(-1).alias("lo"))
 
 
-@query(f"{D}, pat AS {_PATTERNS}, sizes AS (SELECT DISTINCT length(p) AS n FROM pat), cut AS (SELECT substr(suf, 1, n) AS p, count(*) AS m FROM suf, sizes WHERE length(suf) >= n GROUP BY 1) SELECT pattern_id, coalesce(m, 0)::BIGINT AS matches FROM pat LEFT JOIN cut USING (p)")
+# substrings of texts by way of overlapping windows of 1,000 symbols, so that no long text is carried to each of its places
+_SEEDS = "sizes AS (SELECT DISTINCT least(length(p), 16) AS n FROM pat), win AS (SELECT seq_id, n, j * 1000 AS w0, substr(s, j * 1000 + 1, 1000 + n - 1) AS w FROM (SELECT *, unnest(range(0, (length(s) - 1) // 1000 + 1)) AS j FROM texts, sizes WHERE length(s) >= n)), cut AS (SELECT seq_id, w0 + k AS k, substr(w, k, n) AS seed FROM (SELECT *, unnest(range(1, length(w) - n + 2)) AS k FROM win))"
+_SHORT = _SEEDS + ", met AS (SELECT seed AS p, count(*) AS m FROM cut GROUP BY 1) SELECT pattern_id, coalesce(m, 0)::BIGINT AS matches FROM pat LEFT JOIN met USING (p)"
+_LONG = _SEEDS + ", hits AS (SELECT seq_id, k, p FROM cut JOIN (SELECT DISTINCT p, substr(p, 1, 16) AS seed FROM pat) USING (seed)), met AS (SELECT p, count(*) AS m FROM hits JOIN texts USING (seq_id) WHERE substr(s, k, length(p)) = p GROUP BY p) SELECT pattern_id, coalesce(m, 0)::BIGINT AS matches FROM pat LEFT JOIN met USING (p)"
+
+
+@query(f"{_whole('documents')}, pat AS {_PATTERNS}, {_SHORT}")
 def q_pattern_counts(spark, sf_dir):
-    """Counts in all documents, from the texts."""
-    return search.in_texts(patterns(spark, sf_dir), one(spark, sf_dir, "documents"))
+    """Counts of short patterns in all documents, uncut."""
+    return search.in_texts(patterns(spark, sf_dir), uncut(spark, sf_dir, "documents"))
+
+
+@query(f"{_whole('documents')}, pat AS (SELECT item_id AS pattern_id, {_ENC.format('text')} AS p FROM benchmark), {_LONG}")
+def q_whole_pattern_counts(spark, sf_dir):
+    """Counts of every whole benchmark text in all documents, uncut."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    asked = items.select(F.col("item_id").alias("pattern_id"), alphabet.decode(alphabet.prose_as_bases(F.coalesce("text", F.lit("")))).alias("pattern"))
+    return search.in_texts(asked, uncut(spark, sf_dir, "documents"))
 
 
 @query(f"{C}, pat AS {_PATTERNS} SELECT pattern_id, count(*) FILTER (ends_with(s, p)) AS ends, count(*) FILTER (starts_with(s, p)) AS starts, count(*) FILTER (s = p) AS equals FROM pat, texts GROUP BY pattern_id")
@@ -254,7 +285,7 @@ def q_merge_nway(spark, sf_dir):
     return merge.merge(*(t.where(F.col("coll") == k) for k in range(3))).select("pos", "c", "coll")
 
 
-_RA = "ra AS (SELECT pos - a_rank AS b_pos, a_rank FROM (SELECT pos, coll, coalesce(count(*) FILTER (coll = 0) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a_rank FROM bwt) WHERE coll > 0)"
+_RA = "ra AS (SELECT b_pos, pos - b_pos AS a_rank FROM (SELECT pos, row_number() OVER (ORDER BY pos) - 1 AS b_pos FROM bwt WHERE coll > 0))"
 
 
 @query(f"{C2}, {_RA} SELECT b_pos, a_rank FROM ra")
@@ -319,19 +350,96 @@ def q_format_catalog(spark, sf_dir):
     return files.formats(spark)
 
 
-@query(f"{C}, {_RUNS} SELECT tag, start, c, len FROM runs, (VALUES ('plain_default'), ('ropebwt'), ('sga')) t(tag)")
+_TAGS = ("plain_default", "plain_sorted", "rfm", "sdsl", "ropebwt", "sga")
+
+
+@query(f"{C}, {_RUNS} SELECT tag, start, (CASE WHEN tag IN ('plain_sorted', 'rfm', 'sdsl') AND c >= 4 THEN 9 - c ELSE c END)::INT AS c, len FROM runs, (VALUES " + ", ".join(f"('{t}')" for t in _TAGS) + ") t(tag)")
 def q_codec_roundtrip(spark, sf_dir):
-    """Runs written to files of three formats and read again."""
-    from .plans.shared import materialize, shared_dir
+    """Runs written to files of six formats, in the formats' alphabets, and read again."""
+    found = materialize(index(spark, sf_dir).runs(), "runs")
+    back = []
+    for tag in _TAGS:
+        path, order = f"{shared_dir(spark)}/codec-{tag}-{uuid.uuid4().hex}", codecs.FORMATS[tag].order
+        files.write_runs(files.recode(found, "default", order), path, tag, order)
+        back.append(files.read_runs(spark, path, tag).select(F.lit(tag).alias("tag"), "start", F.col("c").cast("int").alias("c"), "len"))
+    return reduce(DataFrame.unionByName, back)
 
+
+@query(f"{B}, {_RUNS} SELECT start, c::INT AS c, len FROM runs")
+def q_native_code(spark, sf_dir):
+    """Runs through the native code: encoded by block of positions and decoded again, its pieces joined."""
+    return files.through_native(runs.runs_of(transform.build(one(spark, sf_dir, "benchmark")))).select("start", F.col("c").cast("int").alias("c"), "len")
+
+
+@query(f"{C}, {_RUNS}, n AS (SELECT (count(*) FILTER (c = 0)) AS m, count(*) AS n FROM bwt), f AS (SELECT * FROM (VALUES ('ropebwt', 'ropebwt', false), ('sga', 'sga', true), ('plain_default', 'unknown', false), ('rfm', 'unknown', false)) t(tag, format, known)) SELECT tag, format, CASE WHEN known THEN m END AS sequences, CASE WHEN known THEN n END AS bases, CASE WHEN tag IN ('ropebwt', 'sga') THEN 'default' END AS alphabet FROM f, n")
+def q_inspect(spark, sf_dir):
+    """What the first bytes of written files say."""
     found = materialize(index(spark, sf_dir).runs(), "runs")
-    out = None
-    for tag in ("plain_default", "ropebwt", "sga"):
-        path = f"{shared_dir(spark)}/codec-{tag}-{abs(hash((tag, sf_dir)))}"
-        files.write_runs(found, path, tag)
-        back = files.read_runs(spark, path, tag).select(F.lit(tag).alias("tag"), "start", "c", "len")
-        out = back if out is None else out.unionByName(back)
-    return out
+    paths = {}
+    for tag in ("ropebwt", "sga", "plain_default", "rfm"):
+        order = codecs.FORMATS[tag].order
+        paths[tag] = f"{shared_dir(spark)}/inspect-{uuid.uuid4().hex}-{tag}"
+        files.write_runs(files.recode(found, "default", order), paths[tag], tag, order)
+    heads = files.inspect(spark, *paths.values())
+    return heads.select(F.regexp_extract("path", "-([a-z_]+)$", 1).alias("tag"), "format", "sequences", "bases", "alphabet")
+
+
+@query("SELECT * FROM (VALUES ('default', 'default', false, true, true, false), ('sorted', 'sorted', true, false, true, false), ('identity', 'unknown', true, false, true, false)) t(name, found, is_sorted, fits_default, fits_any, fits_unknown)")
+def q_alphabet_orders(spark, sf_dir):
+    """What the alphabet of each order is taken for, and where it may be written."""
+    ix = index(spark, sf_dir, "benchmark")
+    made = {order: alphabet.of_counts(ix.alphabet.select("comp", "cnt"), order) for order in alphabet.ORDERS} | {"identity": alphabet.identity(spark)}
+    rows = [(name, alphabet.identify(a), alphabet.is_sorted(a), alphabet.compatible(a, "default"), alphabet.compatible(a, "any"), alphabet.compatible(a, "unknown")) for name, a in made.items()]
+    return spark.createDataFrame(rows, "name string, found string, is_sorted boolean, fits_default boolean, fits_any boolean, fits_unknown boolean")
+
+
+@query(f"{C} SELECT comp::INT AS comp, cnt > 0 AS present FROM alpha")
+def q_has_char(spark, sf_dir):
+    return alphabet.has_char(index(spark, sf_dir).alphabet)
+
+
+@query(f"{C2}, a AS (SELECT c, count(*) AS n FROM bwt GROUP BY c) SELECT k::INT AS comp, substr('$ACGTN', k + 1, 1) AS ch, coalesce(n, 0)::BIGINT AS cnt, coalesce(sum(n) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS c_before FROM unnest(range(0, 6)) x(k) LEFT JOIN a ON c = k")
+def q_alphabet_merged(spark, sf_dir):
+    """Counts of two collections' alphabets add up to that of the merged one."""
+    t = texts(spark, sf_dir, "conversations")
+    return alphabet.merged(*(alphabet.of_bwt(transform.build(t.where(F.col("coll") == k).drop("coll"))) for k in (0, 1)))
+
+
+@query(f"{C}, pat AS {_PATTERNS}, m AS (SELECT pattern_id, count(pos) AS n FROM pat LEFT JOIN bwt ON starts_with(suf, p) GROUP BY pattern_id) SELECT count(*) AS patterns, count(*) FILTER (n > 0) AS found, coalesce(sum(n), 0)::BIGINT AS matches FROM m")
+def q_find_totals(spark, sf_dir):
+    return search.totals(index(spark, sf_dir).find(patterns(spark, sf_dir)))
+
+
+@query(f"{C}, pat AS (SELECT item_id AS pattern_id, substr({_ENC.format('text')}, 1, 2) || '5' AS p FROM benchmark) SELECT pattern_id, count(pos) AS matches FROM pat LEFT JOIN bwt ON starts_with(suf, p) GROUP BY pattern_id")
+def q_find_unknown_characters(spark, sf_dir):
+    """Characters outside the alphabet, here a ?, mean N."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    begin = F.substr(alphabet.prose_as_bases(F.coalesce("text", F.lit(""))), F.lit(1), F.lit(2))
+    asked = items.select(F.col("item_id").alias("pattern_id"), F.concat(alphabet.decode(begin), F.lit("?")).alias("pattern"))
+    return index(spark, sf_dir).count(asked).select("pattern_id", "matches")
+
+
+@query(f"{C}, pat AS {_PATTERNS}, numbered AS (SELECT seq_id, row_number() OVER (ORDER BY seq_id) - 1 AS r FROM texts) SELECT pattern_id, r AS seq_id, off FROM pat JOIN bwt ON starts_with(suf, p) JOIN numbered USING (seq_id) WHERE length(p) >= 6")
+def q_locate(spark, sf_dir):
+    """Every place of the longer patterns, by the number of the text and the offset there, from an index without texts."""
+    ix = index(spark, sf_dir)
+    places = materialize(invert.places_of(ix.edges, ix.counts), "places")
+    lengths = places.groupBy("seq_id").agg(F.max("back").alias("n"))
+    return invert.locate(ix.find(patterns(spark, sf_dir).where(F.length("pattern") >= 6)), places, lengths)
+
+
+@query(f"{C2}, {_RA}, x AS (SELECT a_rank, count(*) AS len FROM ra GROUP BY a_rank) SELECT a_rank, (2 * len)::BIGINT AS len FROM x")
+def q_rank_runs_merged(spark, sf_dir):
+    """Two lists of rank runs as one."""
+    found = materialize(merge.rank_runs(merge.rank_array(merge.build(texts(spark, sf_dir, "conversations")))), "ra_runs")
+    return merge.merge_rank_runs(found, found)
+
+
+@query(f"{P2} SELECT pos, c FROM bwt")
+def q_merge_indexes(spark, sf_dir):
+    """Three indexes without texts merged by rank arrays: nothing is sorted again."""
+    t = texts(spark, sf_dir, "part")
+    return merge.merge_indexes([Index.of_texts(t.where(F.col("coll") == k).drop("coll")) for k in range(3)]).bwt.select("pos", "c")
 
 
 @query(f"{C}, {_RUNS} SELECT run_id, part::INT AS part, c, least(len - part * 31, 31)::BIGINT AS len FROM (SELECT *, unnest(range(0, ceil(len / 31.0)::BIGINT)) AS part FROM runs)")
@@ -344,10 +452,10 @@ def q_sga_header(spark, sf_dir):
     return files.byte_counts(index(spark, sf_dir).runs())
 
 
-@query()
+@query(f"{B} SELECT printf('%016x', list_reduce(list_prepend(14695981039346656037::HUGEINT, list(c::HUGEINT ORDER BY pos)), lambda h, c: (xor(h, c) * 1099511628211) % 18446744073709551616)) AS fnv1a FROM bwt")
 def q_content_hash(spark, sf_dir):
-    """FNV-1a over the merged symbols, which depends on their order."""
-    value = runs.content_hash(runs.runs_of(transform.build(one(spark, sf_dir, "benchmark"))))
+    """FNV-1a over the symbols in order."""
+    value = runs.content_hash(index(spark, sf_dir, "benchmark").blocks)
     return spark.range(1).select(F.lit(f"{value:016x}").alias("fnv1a"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -162,3 +163,17 @@ def split_runs(runs: DataFrame) -> DataFrame:
     """Runs cut into pieces of at most 31, as one-byte codes hold them: (run_id, part, c, len)."""
     parts = runs.select("run_id", "c", "len", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("len") / codecs.LONGEST) - 1).cast("int"))).alias("part"))
     return parts.select("run_id", "part", "c", F.least(F.col("len") - F.col("part") * codecs.LONGEST, F.lit(codecs.LONGEST)).cast("long").alias("len"))
+
+
+def through_native(runs: DataFrame, bases_in_chunk: int = CHUNK) -> DataFrame:
+    """Maximal runs(run_id, start, c, len) after the native code and back; each chunk of positions begins at a block of its own."""
+    packed = chunks(runs, "native", bases_in_chunk)
+
+    def decode(batches):
+        for batch in batches:
+            for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                symbols, lengths = codecs.decode("native", data)
+                starts = k * bases_in_chunk + np.cumsum(lengths) - lengths
+                yield pa.RecordBatch.from_arrays([pa.array(starts), pa.array(symbols).cast(pa.int32()), pa.array(lengths)], names=["start", "c", "len"])
+
+    return run_operators.coalesce_runs(packed.mapInArrow(decode, "start long, c int, len long"))
