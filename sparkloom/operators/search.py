@@ -71,6 +71,8 @@ def totals(found: DataFrame) -> DataFrame:
 
 #: Symbols of a seed, and bytes of patterns that are sent to all workers at most.
 SEED, SENT_BYTES = 16, 32 << 20
+#: Symbols after which windows of a text begin, cut twice, as a place deep in a string is slow to reach.
+WINDOWS = (9600, 96)
 
 
 def in_texts(patterns: DataFrame, texts: DataFrame, order: str = "default") -> DataFrame:
@@ -84,13 +86,28 @@ def in_texts(patterns: DataFrame, texts: DataFrame, order: str = "default") -> D
     asked = named.select("p").distinct().select("p", F.substr("p", F.lit(1), F.lit(SEED)).alias("seed"))
     lengths = F.broadcast(asked.select(F.length("seed").alias("n")).distinct())  # SEED rows at most
     size = named.agg(F.sum(F.length("p") + 64)).first()[0] or 0
-    cut = spread(texts, "seq_id").join(lengths, F.length("s") >= F.col("n")).select("s", "n", F.explode(F.sequence(F.lit(1), F.length("s") - F.col("n") + 1)).alias("k"))
-    pieces = cut.select("s", "k", F.substr("s", "k", "n").alias("seed"))
-    met = pieces.join(F.broadcast(asked) if size <= SENT_BYTES else asked, "seed").where((F.length("p") <= SEED) | (F.substr("s", F.col("k"), F.length("p")) == F.col("p")))
+    whole = spread(texts, "seq_id").select("seq_id", F.lit(0).cast("long").alias("at"), F.col("s").alias("w"))
+    small = _windows(_windows(whole, WINDOWS[0]), WINDOWS[1], WINDOWS[0])
+    places = F.sequence(F.lit(1), F.least(F.length("w") - F.col("n") + 1, F.lit(WINDOWS[1])))
+    cut = small.join(lengths, F.length("w") >= F.col("n")).select("seq_id", "at", "w", "n", F.explode(places).alias("k"))
+    hits = cut.select("seq_id", (F.col("at") + F.col("k")).alias("k"), F.substr("w", "k", "n").alias("seed")).join(F.broadcast(asked) if size <= SENT_BYTES else asked, "seed")
+    brief = hits.where(F.length("p") <= SEED).select("p")
+    if named.where(F.length("p") > SEED).isEmpty():
+        met = brief
+    else:
+        longer = hits.where(F.length("p") > SEED).select("seq_id", "k", "p").join(texts.select("seq_id", "s"), "seq_id")
+        met = brief.unionByName(longer.where(F.substr("s", F.col("k").cast("int"), F.length("p")) == F.col("p")).select("p"))
     counts = met.groupBy("p").agg(F.count("*").alias("matches"))
     return named.join(counts, "p", "left").select("pattern_id", F.coalesce("matches", F.lit(0)).alias("matches"))
 
 
+def _windows(rows: DataFrame, step: int, own: int = 1 << 30) -> DataFrame:
+    """rows(seq_id, at, w) cut into windows that begin every ``step`` symbols and hold SEED - 1 more. Only the first ``own`` symbols of a row are its own, so each place begins in one window."""
+    parts = F.sequence(F.lit(0), F.greatest(F.ceil(F.least(F.length("w"), F.lit(own)) / step).cast("int") - 1, F.lit(0)))
+    cut = rows.select("seq_id", "at", "w", F.explode(parts).alias("j"))
+    return cut.select("seq_id", (F.col("at") + F.col("j") * step).alias("at"), F.substr("w", F.col("j") * step + 1, F.lit(step + SEED - 1)).alias("w"))
+
+
 def anchored(patterns: DataFrame, texts: DataFrame, order: str = "default") -> DataFrame:
     """(pattern_id, ends, starts, equals): texts that end with, start with and equal each pattern; all texts for the empty one."""
     named = patterns.select("pattern_id", F.coalesce(encode_pattern(F.col("pattern"), order), F.lit("")).alias("p"))

@@ -130,8 +130,8 @@ def test_merges_agree(spark):
 def test_long_patterns_and_texts(spark):
     """Whole texts and patterns far longer than a seed or a read, against plain search."""
     rng = random.Random(10)
-    rows = ["".join(rng.choices("AC", k=700)), "ACGT" * 200, "A" * 500, ""]
-    asked = [rows[0][40:240], rows[0], rows[1][:101], "A" * 300, "ACGT" * 3, "C", "A" * 501, "GTAC" * 20 + "G"]
+    rows = ["".join(rng.choices("AC", k=700)), "ACGT" * 200, "A" * 500, "", "".join(rng.choices("ACGT", k=29_000))]
+    asked = [rows[0][40:240], rows[0], rows[1][:101], "A" * 300, "ACGT" * 3, "C", "A" * 501, "GTAC" * 20 + "G", "GT", rows[4][9590:9630], rows[4][9580:19_300], rows[4][95:112]]
     p = spark.createDataFrame(list(enumerate(asked)), "pattern_id long, pattern string")
     got = {r["pattern_id"]: r["matches"] for r in search.in_texts(p, texts(spark, rows)).collect()}
     assert got == {k: sum(t.startswith(a, i) for t in rows for i in range(len(t))) for k, a in enumerate(asked)}
