@@ -32,24 +32,23 @@ def reads_of(texts: DataFrame, length: int = READ) -> DataFrame:
     return cut.select(*others, (F.col("seq_id") * (1 << 20) + F.when(F.col("k") < 1 << 20, F.col("k")).otherwise(F.raise_error(F.lit("a text of more than 2**20 reads")))).alias("seq_id"), F.substr("s", F.col("k") * length + 1, F.lit(length)).alias("s"))
 
 
-#: Symbols of a suffix that one long holds, as a number of base 6.
-PACKED = 24
-#: What orders suffixes: two numbers of PACKED symbols each, and the spelled rest of those that are longer.
-SUFFIX_ORDER = ["k1", "k2", "rest"]
+#: Symbols of a suffix that one long holds, as decimal digits.
+PACKED = 18
+#: What orders suffixes: a number of PACKED symbols, and the spelled rest of those that are longer.
+SUFFIX_ORDER = ["head", "rest"]
 
 
 def suffixes(texts: DataFrame) -> DataFrame:
-    """(seq_id, off, k1, k2, rest, c) and other columns of ``texts``: every suffix, the empty one too, and the digit before it (0 at the start).
+    """(seq_id, off, head, rest, c) and other columns of ``texts``: every suffix, the empty one too, and the digit before it (0 at the start).
 
-    Its first 48 symbols are two numbers, so sorting compares longs and moves 16 bytes for them. A shorter suffix has zeros
+    Its first 18 symbols are a number, so sorting mostly compares longs and moves 8 bytes for them. A shorter suffix has zeros
     there, which no symbol is, and so comes first. Made for reads: what is spelled grows with the square of a text's length.
     """
     others = [c for c in texts.columns if c != "s"]
-    cut = spread(texts, "seq_id").select(*others, "s", F.explode(F.sequence(F.lit(0), F.length("s"))).alias("off"))
+    cut = spread(texts, "seq_id").select(*others, "s", F.concat("s", F.lit("0" * PACKED)).alias("padded"), F.explode(F.sequence(F.lit(0), F.length("s"))).alias("off"))
     before = F.when(F.col("off") == 0, 0).otherwise(F.ascii(F.substr("s", F.col("off"), F.lit(1))) - 48)
-    number = lambda k: F.conv(F.rpad(F.substr("s", F.col("off") + 1 + k * PACKED, F.lit(PACKED)), PACKED, "0"), 6, 10).cast("long").alias(f"k{k + 1}")
-    rest = F.substr("s", F.col("off") + 1 + 2 * PACKED).alias("rest")
-    return cut.select(*others, F.col("off").cast("long").alias("off"), number(0), number(1), rest, before.alias("c"))
+    head = F.substr("padded", F.col("off") + 1, F.lit(PACKED)).cast("long").alias("head")
+    return cut.select(*others, F.col("off").cast("long").alias("off"), head, F.substr("s", F.col("off") + 1 + PACKED).alias("rest"), before.alias("c"))
 
 
 def build(texts: DataFrame, ranges: bool | None = None) -> DataFrame:
