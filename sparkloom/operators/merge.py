@@ -18,9 +18,9 @@ def together(collections: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, (t.select(F.lit(k).alias("coll"), "seq_id", "s") for k, t in enumerate(collections)))
 
 
-def build(texts: DataFrame, ranges: bool | None = None) -> DataFrame:
+def build(texts: DataFrame) -> DataFrame:
     """bwt(pos, c, coll, seq_id, off) of texts(coll, seq_id, s): all suffixes are sorted once, however many collections there are."""
-    return positions(transform.suffixes(texts), [*transform.SUFFIX_ORDER, "coll", "seq_id"], ["c", "coll", "seq_id", "off"], ranges=ranges).select("pos", "c", "coll", "seq_id", "off")
+    return positions(transform.suffixes(texts), [*transform.SUFFIX_ORDER, "coll", "seq_id"], ["c", "coll", "seq_id", "off"]).select("pos", "c", "coll", "seq_id", "off")
 
 
 def merge(*collections: DataFrame) -> DataFrame:

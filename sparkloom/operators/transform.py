@@ -51,9 +51,9 @@ def suffixes(texts: DataFrame) -> DataFrame:
     return cut.select(*others, F.col("off").cast("long").alias("off"), head, F.substr("s", F.col("off") + 1 + PACKED).alias("rest"), before.alias("c"))
 
 
-def build(texts: DataFrame, ranges: bool | None = None) -> DataFrame:
+def build(texts: DataFrame) -> DataFrame:
     """The transform of a collection with its lineage: bwt(pos, c, seq_id, off)."""
-    return positions(suffixes(texts), [*SUFFIX_ORDER, "seq_id"], ["c", "seq_id", "off"], ranges=ranges).select("pos", "c", "seq_id", "off")
+    return positions(suffixes(texts), [*SUFFIX_ORDER, "seq_id"], ["c", "seq_id", "off"]).select("pos", "c", "seq_id", "off")
 
 
 def build_long(texts: DataFrame, most_rounds: int = 40) -> DataFrame:
@@ -69,7 +69,7 @@ def build_long(texts: DataFrame, most_rounds: int = 40) -> DataFrame:
         ahead = now.select("seq_id", (F.col("off") - h).alias("off"), F.col("r").alias("r2"))
         pairs = now.join(ahead, ["seq_id", "off"], "left").withColumn("r2", F.coalesce("r2", F.lit(-1)))
         keys = pairs.groupBy("r", "r2").agg(F.count("*").alias("m"))
-        placed = positions(keys, ["r", "r2"], ["r", "r2", "m"], "k", None)
+        placed = positions(keys, ["r", "r2"], ["r", "r2", "m"], "k")
         ranked = running(placed, "k", {"before": F.col("m")}).select("r", "r2", F.col("before").alias("rank"), "m")
         after = materialize(pairs.join(ranked, ["r", "r2"]).select("seq_id", "off", "n", F.col("rank").alias("r"), "m"), "doubling")
         longest, tied = after.agg(F.max("n"), F.max(F.when(F.col("m") > 1, 1).otherwise(0))).first()

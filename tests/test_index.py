@@ -84,7 +84,7 @@ def test_random_collections(spark):
     rng = random.Random(5)
     for rows in (ROWS, ["".join(rng.choices("ACGTN", weights=(5, 2, 1, 2, 1), k=rng.randrange(0, 12))) for _ in range(30)]):
         want = brute(rows)
-        for bwt in (transform.build(texts(spark, rows)), transform.build(texts(spark, rows), ranges=True), transform.build_long(texts(spark, rows))):
+        for bwt in (transform.build(texts(spark, rows)), transform.build_long(texts(spark, rows))):
             assert [(r["c"], r["seq_id"], r["off"]) for r in bwt.orderBy("pos").collect()] == want
         ix = Index.of_texts(texts(spark, rows), block_size=7)
         symbols = [c for c, _, _ in want]
@@ -192,8 +192,7 @@ def test_reads_hold_all_of_a_text(spark):
 
 def test_order_helpers(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k"))
-    for how in (True, False):
-        assert all(r["k"] == r["pos"] for r in positions(df, ["k"], ["k"], ranges=how).collect())
+    assert all(r["k"] == r["pos"] for r in positions(df, ["k"], ["k"]).collect())
     sums = running(df, "k", {"s": F.col("k")}, 64).collect()
     assert all(r["s"] == r["k"] * (r["k"] - 1) // 2 for r in sums)
 
