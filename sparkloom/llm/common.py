@@ -38,7 +38,8 @@ def join_heavy(left: DataFrame, right: DataFrame, key: str, weight: str, share:
     """``left`` with the columns of ``right``, which has one row a key and says in ``weight`` how many rows of ``left`` have it.
 
     Keys with at least one in ``share`` of all rows are at most ``share``; they are broadcast, so
-    their rows stay where they are. The rest meet in a shuffle, in which no key is heavy; rows that are done are spread evenly there.
+    their rows stay where they are. The rest meet in a shuffle, in which no key is heavy; rows that are done are spread by the
+    partition they come from, which a task that is run again repeats.
     ``right`` is read three times, so it should be a written table. Keys without a row in ``right`` drop out, null keys too.
     """
     values = [c for c in right.columns if c not in (key, weight)]
@@ -46,7 +47,7 @@ def join_heavy(left: DataFrame, right: DataFrame, key: str, weight: str, share:
     heavy = F.col(weight) * share >= total
     one = right.where(heavy).select(key, F.struct(*values).alias("_one"))
     two = right.where(~heavy).select(key, F.lit(0).cast("long").alias("_salt"), F.struct(*values).alias("_two"))
-    met = left.join(F.broadcast(one), key, "left").withColumn("_salt", F.when(F.col("_one").isNotNull(), 1 + F.monotonically_increasing_id()).otherwise(0))
+    met = left.join(F.broadcast(one), key, "left").withColumn("_salt", F.when(F.col("_one").isNotNull(), 1 + F.spark_partition_id()).otherwise(0).cast("long"))
     found = F.coalesce("_one", "_two")
     return met.join(two, [key, "_salt"], "left").where(found.isNotNull()).select(*left.columns, *(found[v].alias(v) for v in values))
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontaminate, html_text, langid, lm, secrets, simhash, token_files, toxicity
+from . import ann, bpe, decontaminate, embedding_dedup, hard_negatives, html_text, langid, lm, resampling, secrets, simhash, token_files, toxicity
 from .common import shared_dir, table
 
 QUERIES: dict = {}
@@ -164,3 +165,67 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest vectors of every vector whose id is divisible by 20, among all others."""
     vectors = table(spark, sf_dir, "embeddings")
     return ann.search(vectors, vectors.where(F.col("vec_id") % 20 == 0)).select("query_id", "rank", "vec_id", "score")
+
+
+@query
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole document's weight towards the benchmark, and the twentieth of the documents that is drawn."""
+    docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("text")
+    weighed = resampling.weigh(docs, resampling.learn(docs, items)).drop("text")
+    return resampling.draw(weighed).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+# n-grams are spelled once each; the CRC takes in the bytes of their hexadecimal form, and what a byte does is the sum of what its bits do
+_WORDS = rf"regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_BITS = reduce(lambda x, y: f"xor({x}, {y})", (f"((xor(c, b) >> {i}) & 1) * {resampling.byte_effect(1 << i)}" for i in range(8)))
+_BUCKET = f"(xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)), lambda c, b: xor(c >> 8, {_BITS})), 4294967295) % 10000)"
+
+
+def _grams(rows: str) -> str:
+    """(r, g): all runs of one to three words of ``rows``(r, w)."""
+    word = f"SELECT r, unnest(w) AS a, unnest(range(0, len(w))) AS i FROM {rows}"
+    near = f"SELECT r, a, lead(a) OVER x AS b, lead(a, 2) OVER x AS c FROM ({word}) WINDOW x AS (PARTITION BY r ORDER BY i)"
+    return f"SELECT r, g FROM (SELECT r, unnest([a, a || ' ' || b, a || ' ' || b || ' ' || c]) AS g FROM ({near})) WHERE g IS NOT NULL"
+
+
+ORACLES["op11_importance_resampling"] = f"""WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents), items AS (SELECT row_number() OVER () AS r, {_WORDS} AS w FROM benchmark),
+raw AS MATERIALIZED ({_grams("docs")}), target AS MATERIALIZED ({_grams("items")}),
+spelled AS (SELECT g, hex(g) AS h FROM (SELECT g FROM raw UNION SELECT g FROM target)), known AS MATERIALIZED (SELECT g, {_BUCKET} AS b FROM spelled),
+s AS (SELECT b, count(*) AS n FROM raw JOIN known USING (g) GROUP BY b), t AS (SELECT b, count(*) AS n FROM target JOIN known USING (g) GROUP BY b),
+gains AS (SELECT k AS b, floor(1000 * ln(((coalesce(t.n, 0) + 1) * ((SELECT coalesce(sum(n), 0) FROM s) + 10000))::DOUBLE / ((coalesce(s.n, 0) + 1) * ((SELECT coalesce(sum(n), 0) FROM t) + 10000))::DOUBLE))::BIGINT AS gain FROM range(0, 10000) x(k) LEFT JOIN s ON s.b = k LEFT JOIN t ON t.b = k),
+added AS (SELECT r, count(*) AS n_features, sum(gain)::BIGINT AS weight FROM raw JOIN known USING (g) JOIN gains USING (b) GROUP BY r),
+scored AS (SELECT r, doc_id, len(w) AS n_words, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+ (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || doc_id::VARCHAR), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE))))::BIGINT AS score FROM docs LEFT JOIN added USING (r)),
+placed AS (SELECT r, row_number() OVER (ORDER BY score DESC NULLS LAST, doc_id NULLS LAST, n_words, n_features, weight) AS place FROM scored WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN score IS NOT NULL AND place <= (SELECT 5 * count(*) // 100 FROM placed) THEN place END::BIGINT AS rank FROM scored LEFT JOIN placed USING (r)"""
+
+
+@query
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of every vector with the others at a cosine of 0.95 or more, and its component."""
+    return embedding_dedup.groups(table(spark, sf_dir, "embeddings"))
+
+
+_USABLE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+# labels spread from smaller ids along links until nothing changes; every pair is compared, so recall is that of the whole table
+ORACLES["op12_embedding_dedup"] = f"""WITH RECURSIVE v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE {_USABLE} AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link AS MATERIALIZED (SELECT a.r AS a, a.vec_id AS a_id, b.r AS b, b.vec_id AS b_id FROM v a JOIN v b ON a.r <> b.r AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (SELECT r, r AS other, vec_id FROM v UNION SELECT reach.r, b, b_id FROM reach JOIN link ON other = a),
+least AS (SELECT r, min(vec_id) AS component_id FROM reach GROUP BY r), own AS (SELECT a AS r, count(*) AS n FROM link GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept FROM v JOIN least USING (r) LEFT JOIN own USING (r)
+UNION ALL SELECT vec_id, 0, vec_id, true FROM embeddings WHERE NOT coalesce({_USABLE} AND len(list_filter(embedding, lambda x: x <> 0)) > 0, false)"""
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every vector whose id is divisible by 100, among all rows; every seventh row's label is moved on first."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", moved.alias("label"), "embedding")
+    return hard_negatives.mine(rows, rows.where(F.col("vec_id") % 100 == 0))
+
+
+ORACLES["op13_hard_negatives"] = f"""WITH v AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND {_USABLE}),
+s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id AS id, list_inner_product(a.e, b.e)::BIGINT AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id))::INT AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score QUALIFY rank <= 5"""
