@@ -68,6 +68,10 @@ def append_columns(df: DataFrame, fields: T.StructType, make: Callable, size_of:
     bounds the memory of a worker however long single texts are.
     """
     base = df.drop(*fields.names)
+    names = base.columns
+    if any("." in c for c in names):  # Arrow functions cannot name these
+        plain = [f"_{k}_{c.replace('.', '_')}" if "." in c else c for k, c in enumerate(names)]
+        return append_columns(base.toDF(*plain), fields, make, size_of, slice_bytes).toDF(*names, *fields.names)
     out = T.StructType([*base.schema.fields, *fields.fields])
 
     def run(batches):

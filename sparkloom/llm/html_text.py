@@ -39,8 +39,11 @@ NAMES = frozenset(
 )
 COMMENTS = frozenset("comment comments disqus replies".split())
 _CUT = re.compile(r"[\s_-]+|(?<=[a-z])(?=[A-Z])")
-#: Scripts and styles as they stand; comments, which run to the page's end if nothing closes them; marked sections and instructions, which end at the next >.
-_BOGUS = re.compile(r"(<(script|style)\b[^>]*>.*?(?:</\2\b|\Z))|<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?](?!doctype)[^>]*(?:>|\Z)", re.S | re.I)
+#: What is markup where it stands: comments, which run to the page's end if nothing closes them; declarations, marked sections, instructions and ends of nothing, which end
+#: at the next >; and whole tags, in whose quoted values nothing is markup. Every part takes what it can and gives nothing back, so the time is in proportion to the page.
+_MARKUP = re.compile(r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<(?:[!?]|/(?![a-z]))[^>]*+>?|<(?P<end>/?)(?P<tag>[a-z][^\s/<>]*+)(?:[^<>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+>""", re.S | re.I)
+#: Elements that hold no markup but their own end; without one, the first two run to the page's end.
+RAW = ("script", "style", "textarea", "title", "iframe", "noembed", "noframes", "xmp")
 
 
 class Node:
@@ -289,10 +292,28 @@ def visible(node: Node) -> str:
     return " ".join(t for t in (" ".join(b.split()) for b in blocks) if t)
 
 
+def without_comments(html: str) -> str:
+    """A page without comments, declarations and instructions, and without elements that hold no markup, which are left out with all they hold."""
+    out, kept, at, endless = [], 0, 0, set()
+    while found := _MARKUP.search(html, at):
+        at, tag = found.end(), (found["tag"] or "").lower()
+        if tag in RAW and not found["end"] and not (tag in endless):
+            close = re.compile(rf"</{tag}(?=[\s/>])[^>]*+>?", re.I).search(html, at)
+            if close is None and tag not in RAW[:2]:
+                endless.add(tag)  # looked for once
+            else:
+                out.append(html[kept : found.start()])
+                kept = at = len(html) if close is None else close.end()
+        elif not tag:
+            out.append(html[kept : found.start()])
+            kept = at
+    return "".join([*out, html[kept:]])
+
+
 def extract(html: str) -> str:
     """The main text of one page; empty if it has none."""
     tree = _Tree()
-    html = _BOGUS.sub(lambda m: m[1] or "", html)
+    html = without_comments(html)
     try:
         tree.feed(html)
         if re.match(r"</?[A-Za-z]", tree.rawdata):  # a tag that the page's end cuts off is no text
@@ -308,7 +329,7 @@ def main_text(df: DataFrame, html: str = "html", text: str = "text") -> DataFram
     """``df`` with the main text of each whole page in ``text``, in place of any column of that name.
 
     Null and empty pages, and pages without text, have an empty text. Broken marked sections end at the next
-    angle bracket, comments that nothing closes at the page's end. Other columns pass unchanged; repeated rows stay repeated.
+    angle bracket, comments that nothing closes at the page's end; inside quoted values and raw elements none begins. Other columns pass unchanged; repeated rows stay repeated.
     """
 
     def make():

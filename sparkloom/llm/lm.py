@@ -250,16 +250,16 @@ def looked_up(sliced: DataFrame, filters: DataFrame, parts: int) -> DataFrame:
 def score(df: DataFrame, train: Column, id_column: str = "doc_id", text: str = "text", part: int = PART, slice_bytes: int = SLICE) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row.
 
-    ``train`` says which rows are learned from; a null counts as false. Null texts
+    ``train`` says which rows are learned from; rows for which it is false are held out, those for which it is null (no id) are neither. Null texts
     count as empty and consist of the end alone. Repeated rows and rows without
     id are scored one by one; other columns are dropped. With nothing to
     learn from, all counts are zero; an empty table gives no rows. The slice of a row
     follows from its id and text, so a task that is run again deals rows out alike.
     """
-    rows = df.select(F.col(id_column).alias("id"), F.col(text).cast("string").alias("text"), F.coalesce(~train, F.lit(True)).alias("held_out"))
+    rows = df.select(F.col(id_column).alias("id"), F.col(text).cast("string").alias("text"), F.coalesce(train, F.lit(False)).alias("train"), F.coalesce(~train, F.lit(False)).alias("held_out"))
     size = rows.agg(F.sum(F.octet_length("text")) + F.count("*")).first()[0] or 0
     parts, n_slices = 1 + size // part, 1 + size // slice_bytes
-    filters = materialize(build(counted(rows.where(~F.col("held_out")), parts)), "filter")
+    filters = materialize(build(counted(rows.where("train"), parts)), "filter")
     total, distinct = (x or 0 for x in filters.agg(F.sum("total"), F.sum("distinct")).first())
     means = {kind: np.zeros(MOST) for kind in ("word", "pair")}  # the mean count of each level
     for kind, mean in means.items():

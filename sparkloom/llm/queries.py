@@ -113,10 +113,10 @@ def lm_exact_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # CRC-32 bit by bit: the register takes in a byte and is shifted eight times
 _CRC = "xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))))"
-ORACLES["lm_exact_columns"] = rf"""WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce({_CRC} % 5 <> 1, false) AS train, list_append(list_filter(string_split_regex({_LOW}, '[\x20\x09-\x0D]+'), lambda x: x <> ''), '') AS w FROM documents),
-toks AS (SELECT r, train, unnest(w) AS t FROM docs), counts AS (SELECT t, count(*) AS c FROM toks WHERE train GROUP BY t),
+ORACLES["lm_exact_columns"] = rf"""WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce({_CRC} % 5 <> 1, false) AS train, coalesce({_CRC} % 5 = 1, false) AS held_out, list_append(list_filter(string_split_regex({_LOW}, '[\x20\x09-\x0D]+'), lambda x: x <> ''), '') AS w FROM documents),
+toks AS (SELECT r, train, held_out, unnest(w) AS t FROM docs), counts AS (SELECT t, count(*) AS c FROM toks WHERE train GROUP BY t),
 whole AS (SELECT coalesce(sum(c), 0)::BIGINT AS n, count(*) AS v FROM counts)
-SELECT any_value(doc_id) AS doc_id, NOT any_value(toks.train) AS held_out, count(*) AS n_tokens, count(c) AS n_known, any_value(n) AS train_tokens,
+SELECT any_value(doc_id) AS doc_id, any_value(toks.held_out) AS held_out, count(*) AS n_tokens, count(c) AS n_known, any_value(n) AS train_tokens,
  round(sum(log10((coalesce(c, 0) + 0.5) / (n + 0.5 * (v + 1)))), 3) AS base_score
 FROM toks JOIN docs USING (r) LEFT JOIN counts ON counts.t = toks.t CROSS JOIN whole GROUP BY r"""
 

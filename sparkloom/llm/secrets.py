@@ -178,8 +178,9 @@ def scan(df: DataFrame, rules=BASE_RULES + MORE_RULES, text: str = "text", spans
     scanned like any other; a column of ``df`` that has the name ``spans`` is
     replaced, and any other name may occur in ``df``. No row moves: one pass without a shuffle.
     """
-    base = df.drop(spans)
-    rows = postings(base.select(F.struct(*base.columns).alias("row"), F.col(text).cast("string").alias("text")), rules)
+    names = [c for c in df.columns if c != spans]
+    row = F.struct(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)))  # by number, so dots and clashes in names mean nothing
+    rows = postings(df.select(row.alias("row"), F.col(f"`{text}`").cast("string").alias("text")), rules)
     kind = "array<struct<kind:string,order:int,start:int,end:int>>"
 
     def of(k: int, rule: Rule) -> Column:
@@ -189,7 +190,7 @@ def scan(df: DataFrame, rules=BASE_RULES + MORE_RULES, text: str = "text", spans
 
     every = F.flatten(F.array(*(of(k, rule) for k, rule in enumerate(rules))))
     ordered = F.array_sort(every, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["order"] - b["order"]))
-    return rows.select("row.*", ordered.alias(spans))
+    return rows.select(*(F.col("row")[f"c{k}"].alias(c) for k, c in enumerate(names)), ordered.alias(spans))
 
 
 def listed(spans: str, kinds: list[str] | None = None) -> Column:

@@ -123,6 +123,37 @@ def test_broken_markup(html):
     assert html_text.extract(html) == BROKEN[html]
 
 
+def test_markup_in_values_and_raw_elements():
+    """Comments begin neither in quoted values nor in elements that hold no markup, and no page takes more than time in proportion to it."""
+    cases = {
+        '<p title="a <!-- b">one</p><p>two words here</p>': "one two words here",
+        '<p>one</p><img alt="see <!doctype <? x"><p>two</p>': "one two",
+        "<textarea><!-- </textarea><p>two</p>": "two",
+        '<script>if (a < b) "<!--"</script><p>x</p><style>/* <!-- */</style><p>y</p>': "x y",
+        "<p title=don't>a</p><p>b</p><!-- never closed <p>c</p>": "a b",
+        "<p>1 < 2</p></ nothing><p>and <b>3</b></p></><p>4</p>": "1 < 2 and 3 4",
+        "<p>a</p><textarea>never closed<p>b</p>": "a",
+    }
+    for html, want in cases.items():
+        assert html_text.extract(html) == want, html
+    for part in ("<script ", "<!--", '<a b="', "<p x='", "<textarea>", "</", "<!", "<a =\"' ", "</p "):
+        began = time.time()
+        html_text.extract(part * 100_000)
+        assert time.time() - began < 5, part
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_planted_articles(seed):
+    """Pages of known paragraphs between menus, notices, scripts and comments: the text is the paragraphs, whatever stands in values around them."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randrange(2, 9)))
+    noise = ["<nav><a href='/x'>home</a> <a href='/y'>more</a></nav>", "<!-- a > b -->", "<script>var a = '<!-- </p>';</script>", "<aside>by the way</aside>", "<div class=cookie-notice>we use cookies</div>", "<form><input value='<!--'>search</form>", "<footer>all rights</footer>"]
+    paragraphs = [" ".join(word() for _ in range(rng.randrange(20, 60))) for _ in range(8)]
+    body = "".join(f"<p title='a <!-- b' data-x=\"<? {k}\">{p}</p>{rng.choice(noise[1:3])}" for k, p in enumerate(paragraphs))
+    html = f"<!doctype html><html><body>{''.join(rng.sample(noise, 5))}<article>{body}</article>{''.join(rng.sample(noise, 5))}</body></html>"
+    assert html_text.extract(html) == " ".join(paragraphs)
+
+
 @pytest.mark.parametrize("opening", ["<div>", "<article><div class=menu-x>", "<div class=menu-x>", "<ul><li>", "<b><p>"])
 def test_deep_nesting(opening):
     began = time.time()

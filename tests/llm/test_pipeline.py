@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sparkloom.llm import bpe
+from sparkloom.llm.common import materialize
 from tests.llm.test_text_operators import brute_components, brute_fingerprint, brute_overlap, brute_spans
 
 
@@ -60,6 +61,23 @@ def test_the_survivor_is_defined(spark):
     assert corpus_pipeline.keep_one_of_each(spark, docs, "").columns == docs.columns
 
 
+def test_columns_of_the_user_come_back(spark, tmp_path):
+    """Columns with names that stages use themselves, and with dots, hold after every stage what they held before."""
+    spark.createDataFrame([(1, 0, 0), (2, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "some words of a test that nobody else has ever written down before now ok")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    names = ["_hash", "hash", "spans", "score", "predicted", "n_hit", "n_words", "item_ids", "row", "name", "fingerprint", "none", "c0", "held", "a.b", "doc_id.x"]
+    docs = spark.createDataFrame([(k, f"text number {k} token=abcdefgh{k}", "en", "s", 7) for k in range(6)], COLUMNS)
+    docs = docs.select("*", *((F.col("doc_id") * 100 + i).alias(n) for i, n in enumerate(names)))
+    now = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = materialize(stage(spark, now, str(tmp_path)), name)
+        assert now.columns == docs.columns, name
+        rows = now.collect()
+        assert rows and all([r[n] for n in names] == [r["doc_id"] * 100 + i for i, n in enumerate(names)] for r in rows), name
+    assert all(r["text"].endswith("[secret]") and r["n_chars"] == len(r["text"]) for r in rows)
+    assert "n_chars" not in corpus_pipeline.blot_secrets(spark, docs.drop("n_chars"), "").columns
+
+
 def test_stages_take_any_rows(spark, tmp_path):
     """Null ids, repeated rows, very long texts, empty tables and more columns pass through every stage."""
     spark.createDataFrame([(1, 0, 1), (2, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
@@ -69,6 +87,6 @@ def test_stages_take_any_rows(spark, tmp_path):
     for table in (docs, docs.limit(0), docs.withColumns({c: F.lit(1) for c in ("score", "spans", "row", "fingerprint", "n_hit")})):
         now = table
         for name, stage in corpus_pipeline.STAGES[:-1]:
-            now = stage(spark, now, str(tmp_path))
+            now = materialize(stage(spark, now, str(tmp_path)), name)
             assert now.columns == table.columns and now.count() <= table.count(), name
         assert corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path)).count() == now.count()
