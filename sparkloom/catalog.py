@@ -147,13 +147,27 @@ def q_run_histogram(spark, sf_dir):
     return runs.histogram(runs.runs_of(transform.build(one(spark, sf_dir, "documents"))))
 
 
+@query(f"{C}, piece AS (SELECT pos // 1024 AS blk, min(pos) AS start, c, count(*) AS len FROM (SELECT pos, c, pos - row_number() OVER (PARTITION BY c, pos // 1024 ORDER BY pos) AS g FROM bwt) GROUP BY pos // 1024, c, g), own AS (SELECT *, coalesce(sum(len) OVER (PARTITION BY blk, c ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM piece) SELECT blk, string_agg(c::VARCHAR, '' ORDER BY start) AS sym, string_agg((start - blk * 1024)::BIGINT || ':' || before::BIGINT, ',' ORDER BY start) AS at, sum(len)::BIGINT AS positions FROM own GROUP BY blk")
+def q_run_blocks(spark, sf_dir):
+    """The blocks of runs that the index keeps: each run's symbol, its start, and how many of its symbol come before it in the block."""
+    blocks = index(spark, sf_dir).blocks
+    at = F.transform(F.slice("at", F.lit(1), F.length("sym")), lambda e: F.concat_ws(":", runs.start_of(e), runs.before_in(e)))
+    return blocks.select("blk", "sym", F.array_join(at, ",").alias("at"), (F.col("end_pos") - F.col("start_pos")).alias("positions"))
+
+
+@query(f"{C}, r AS (SELECT pos // 1024 AS blk, CASE WHEN c = lag(c) OVER (PARTITION BY pos // 1024 ORDER BY pos) THEN 0 ELSE 1 END AS head FROM bwt) SELECT count(DISTINCT blk) AS blocks, count(*) AS positions, sum(head)::BIGINT AS runs, (5 * sum(head) + 4 * count(DISTINCT blk))::BIGINT AS bytes FROM r")
+def q_index_storage(spark, sf_dir):
+    """What the runs of an index take: five bytes each and four for each block."""
+    return runs.storage(index(spark, sf_dir).blocks)
+
+
 _COUNTS = ", ".join(f"coalesce(sum(m{k}) OVER (ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS n{k}" for k in range(6))
 _OWN = ", ".join(f"count(*) FILTER (c = {k}) AS m{k}" for k in range(6))
 
 
 @query(f"{C} SELECT block, start_pos, end_pos, {_COUNTS} FROM (SELECT pos // 256 AS block, min(pos) AS start_pos, max(pos) + 1 AS end_pos, {_OWN} FROM bwt GROUP BY 1)")
 def q_block_samples(spark, sf_dir):
-    return runs.samples_of(runs.blocks_of(transform.build(one(spark, sf_dir, "conversations"))))
+    return runs.samples_of(runs.blocks_of(runs.pieces_of(transform.build(one(spark, sf_dir, "conversations"))), 256))
 
 
 # ranks before a position from running counts inside blocks of 1,024 and sums of the blocks before
@@ -178,14 +192,14 @@ def q_ranks_all(spark, sf_dir):
 @query(f"{C} SELECT row_number() OVER (PARTITION BY c ORDER BY pos) AS i, c, pos FROM bwt")
 def q_select_batch(spark, sf_dir):
     ix = index(spark, sf_dir)
-    asked = runs.character_counts(ix.bwt).select("c", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("i"))
+    asked = ix.alphabet.select(F.col("comp").alias("c"), F.col("cnt").alias("n")).where("n > 0").select("c", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("i"))
     return ix.select(asked).select("i", "c", "pos")
 
 
 @query(f"{C} SELECT pos AS i, c, row_number() OVER (PARTITION BY c ORDER BY pos) - 1 AS r FROM bwt")
 def q_inverse_select(spark, sf_dir):
     ix = index(spark, sf_dir)
-    return lookups.inverse_select(ix.bwt.select(F.col("pos").alias("i")), ix.edges).select("i", "c", "r")
+    return ix.inverse_select(ix.bwt.select(F.col("pos").alias("i"))).select("i", "c", "r")
 
 
 _EDGES = "edges AS (SELECT pos, c, row_number() OVER (PARTITION BY c ORDER BY pos) - 1 AS r, c_before + row_number() OVER (PARTITION BY c ORDER BY pos) - 1 AS lf FROM bwt JOIN alpha ON c = comp)"
@@ -199,7 +213,7 @@ def q_lf_map(spark, sf_dir):
 @query(f"{C}, b AS ({_BEFORE}), k AS (SELECT " + ", ".join(f"(SELECT c_before FROM alpha WHERE comp = {k}) AS k{k}" for k in range(1, 6)) + ") SELECT i, " + ", ".join(f"k{k} + r{k} AS lf{k}" for k in range(1, 6)) + " FROM b, k")
 def q_lf_all(spark, sf_dir):
     ix = index(spark, sf_dir)
-    return lookups.lf_all(ix.bwt.select(F.col("pos").alias("i")), ix.blocks, ix.counts)
+    return lookups.lf_all(ix.bwt.select(F.col("pos").alias("i")), ix.blocks, ix.counts, size=ix.block_size)
 
 
 @query(f"{C}, {_EDGES} SELECT lf AS pos, pos AS psi FROM edges WHERE c > 0")
@@ -258,6 +272,22 @@ def q_whole_pattern_counts(spark, sf_dir):
     return search.in_texts(asked, uncut(spark, sf_dir, "documents"))
 
 
+_WHOLE = f"SELECT item_id * 1048576 AS pattern_id, {_ENC.format('text')} AS p FROM benchmark"
+
+
+def whole_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole benchmark text, and every stretch of 32 symbols of one: stretch k of text i has pattern_id i * 2**20 + k, the text itself k = 0."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", alphabet.decode(alphabet.prose_as_bases(F.coalesce("text", F.lit("")))).alias("t"))
+    places = items.select("item_id", "t", F.explode(F.sequence(F.lit(0), F.greatest(F.length("t") - 31, F.lit(0)))).alias("k"))
+    return places.select((F.col("item_id") * (1 << 20) + F.col("k")).alias("pattern_id"), F.when(F.col("k") == 0, F.col("t")).otherwise(F.substr("t", "k", F.lit(32))).alias("pattern"))
+
+
+@query(f"{D}, pat AS ({_WHOLE} UNION ALL SELECT pattern_id + k, substr(p, k, 32) FROM (SELECT *, unnest(range(1, length(p) - 30)) AS k FROM ({_WHOLE}))), {_LONG}")
+def q_find_whole(spark, sf_dir):
+    """Every whole benchmark text and all its stretches of 32 symbols, searched in the index of the reads of all documents."""
+    return index(spark, sf_dir, "documents").count(whole_patterns(spark, sf_dir)).select("pattern_id", "matches")
+
+
 @query(f"{C}, pat AS {_PATTERNS} SELECT pattern_id, count(*) FILTER (ends_with(s, p)) AS ends, count(*) FILTER (starts_with(s, p)) AS starts, count(*) FILTER (s = p) AS equals FROM pat, texts GROUP BY pattern_id")
 def q_anchored_counts(spark, sf_dir):
     return search.anchored(patterns(spark, sf_dir), one(spark, sf_dir, "conversations"))
@@ -428,6 +458,13 @@ def q_locate(spark, sf_dir):
     return invert.locate(ix.find(patterns(spark, sf_dir).where(F.length("pattern") >= 6)), places, lengths)
 
 
+@query(f"{C}, pat AS {_PATTERNS} SELECT pattern_id, seq_id, off FROM pat JOIN bwt ON starts_with(suf, p) WHERE length(p) >= 5")
+def q_locate_sampled(spark, sf_dir):
+    """Every place of the longer patterns, by steps back to the next sampled place: only the occurrences move."""
+    ix = Index.of_texts(one(spark, sf_dir, "conversations"), places=16)
+    return ix.locate(patterns(spark, sf_dir).where(F.length("pattern") >= 5), 16)
+
+
 @query(f"{C2}, {_RA}, x AS (SELECT a_rank, count(*) AS len FROM ra GROUP BY a_rank) SELECT a_rank, (2 * len)::BIGINT AS len FROM x")
 def q_rank_runs_merged(spark, sf_dir):
     """Two lists of rank runs as one."""
@@ -455,8 +492,7 @@ def q_sga_header(spark, sf_dir):
 @query(f"{B} SELECT printf('%016x', list_reduce(list_prepend(14695981039346656037::HUGEINT, list(c::HUGEINT ORDER BY pos)), lambda h, c: (xor(h, c) * 1099511628211) % 18446744073709551616)) AS fnv1a FROM bwt")
 def q_content_hash(spark, sf_dir):
     """FNV-1a over the symbols in order."""
-    value = runs.content_hash(index(spark, sf_dir, "benchmark").blocks)
-    return spark.range(1).select(F.lit(f"{value:016x}").alias("fnv1a"))
+    return runs.hash_of(runs.content_map(index(spark, sf_dir, "benchmark").blocks, 64))
 
 
 @query(f"{C} SELECT pos AS i, c::BIGINT AS v, coalesce(sum(c) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS sum FROM bwt")

@@ -8,15 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import alphabet as alphabets
-from ..plans.shared import materialize
-from . import lookups, runs, search, transform
+from ..plans.shared import forget, laid_out, materialize, opened
+from . import invert, lookups, runs, search, transform
 
 
 @dataclass(frozen=True)
 class Index:
-    """bwt(pos, c [, seq_id, off]), blocks, and the six symbol counts; ``order`` names the alphabet."""
+    """The blocks of runs of a transform, in buckets of their numbers, and the six symbol counts; ``order`` names the alphabet.
+
+    Nothing else is kept but what is asked for: the select directory, the maximal runs and the sampled places are made at first use.
+    """
 
-    bwt: DataFrame
     blocks: DataFrame
     counts: list[int]
     order: str = "default"
@@ -24,17 +26,25 @@ class Index:
     _kept: dict = field(default_factory=dict, repr=False)
 
     @classmethod
-    def of_bwt(cls, bwt: DataFrame, order: str = "default", block_size: int = runs.SAMPLE, keep: bool = True) -> "Index":
-        """Index a transform; with ``keep`` its tables are written to the shared folder, as many lookups will read them."""
-        bwt = materialize(bwt, "bwt") if keep else bwt
-        blocks = runs.blocks_of(bwt, block_size)
-        blocks = materialize(blocks, "blocks") if keep else blocks
-        found = {r["c"]: r["n"] for r in runs.character_counts(bwt).collect()}  # six rows at most
-        return cls(bwt, blocks, [int(found.get(k, 0)) for k in range(alphabets.SIGMA)], order, block_size)
+    def of_pieces(cls, pieces: DataFrame, order: str = "default", block_size: int = runs.SAMPLE, path: str | None = None) -> "Index":
+        """Index a transform that is given as runs, maximal or in pieces(start, c, len)."""
+        blocks = laid_out(runs.blocks_of(pieces, block_size), "blk", "blocks", path)
+        return cls(blocks, _counts(blocks), order, block_size)
+
+    @classmethod
+    def of_bwt(cls, bwt: DataFrame, order: str = "default", block_size: int = runs.SAMPLE) -> "Index":
+        """Index a transform bwt(pos, c), which is read once."""
+        return cls.of_pieces(runs.pieces_of(bwt, block_size), order, block_size)
 
     @classmethod
-    def of_texts(cls, texts: DataFrame, order: str = "default", **how) -> "Index":
-        return cls.of_bwt(transform.build(texts), order, **how)
+    def of_texts(cls, texts: DataFrame, order: str = "default", block_size: int = runs.SAMPLE, places: int = 0) -> "Index":
+        """Index texts(seq_id, s); with ``places``, also keep where every so many symbols of a text stand in the index, for ``locate``."""
+        bwt = transform.build(texts)
+        made = cls.of_bwt(bwt, order, block_size)
+        if places:
+            made._kept["places", places] = laid_out(invert.sampled(bwt, places), "pos", "places")
+        forget(bwt)
+        return made
 
     @property
     def sequences(self) -> int:
@@ -45,16 +55,33 @@ class Index:
         """Positions, end markers included."""
         return sum(self.counts)
 
+    @property
+    def bwt(self) -> DataFrame:
+        """bwt(pos, c), spelled out of the runs."""
+        return runs.expand(runs.run_rows(self.blocks))
+
     @property
     def alphabet(self) -> DataFrame:
-        spark = self.bwt.sparkSession
-        return alphabets.of_counts(spark.createDataFrame(list(enumerate(self.counts)), "comp int, cnt long"), self.order)
+        return alphabets.of_counts(self.blocks.sparkSession.createDataFrame(list(enumerate(self.counts)), "comp int, cnt long"), self.order)
 
     @property
     def edges(self) -> DataFrame:
-        if "edges" not in self._kept:
-            self._kept["edges"] = materialize(lookups.edges(self.blocks, self.counts), "edges")
-        return self._kept["edges"]
+        """lf(pos, c, r, lf) of every position, from the blocks as they lie."""
+        return lookups.edges(self.blocks, self.counts)
+
+    @property
+    def directory(self) -> DataFrame:
+        """The select directory, in buckets of its cells."""
+        return self._once("directory", lambda: laid_out(lookups.directory(self.blocks, self.counts), "cell", "directory"))
+
+    def places(self, step: int = 32) -> DataFrame:
+        """(pos, seq_id, off): every ``step``-th symbol of each text; texts are those that the index was made of, or numbered in their order where it was made without them."""
+        return self._once(("places", step), lambda: laid_out(invert.sampled_without_texts(self, step), "pos", "places"))
+
+    def _once(self, name, make) -> DataFrame:
+        if name not in self._kept:
+            self._kept[name] = make()
+        return self._kept[name]
 
     def rank(self, at: DataFrame, **names) -> DataFrame:
         return lookups.rank(at, self.blocks, self.counts, size=self.block_size, **names)
@@ -63,10 +90,13 @@ class Index:
         return lookups.ranks(at, self.blocks, self.counts, size=self.block_size, **names)
 
     def select(self, at: DataFrame, **names) -> DataFrame:
-        return lookups.select(at, self.edges, self.counts, **names)
+        return lookups.select(at, self.directory, self.blocks, self.counts, size=self.block_size, **names)
+
+    def inverse_select(self, at: DataFrame, **names) -> DataFrame:
+        return lookups.inverse_select(at, self.blocks, self.counts, size=self.block_size, **names)
 
     def access(self, at: DataFrame, **names) -> DataFrame:
-        return lookups.access(at, self.bwt, **names)
+        return lookups.access(at, self.blocks, self.counts, size=self.block_size, **names)
 
     def extract(self, ranges: DataFrame, **names) -> DataFrame:
         return lookups.extract(ranges, self.blocks, self.counts, size=self.block_size, **names)
@@ -78,7 +108,8 @@ class Index:
         return lookups.psi(self.edges)
 
     def runs(self) -> DataFrame:
-        return runs.runs_of(self.bwt)
+        """Maximal runs(run_id, start, c, len)."""
+        return self._once("runs", lambda: materialize(runs.coalesce_runs(runs.run_rows(self.blocks)), "runs"))
 
     def find(self, patterns: DataFrame) -> DataFrame:
         return search.find(patterns, self.blocks, self.counts, self.order, self.block_size)
@@ -86,15 +117,31 @@ class Index:
     def count(self, patterns: DataFrame) -> DataFrame:
         return search.counts(self.find(patterns))
 
+    def locate(self, patterns: DataFrame, step: int = 32) -> DataFrame:
+        """(pattern_id, seq_id, off): every place of every pattern, by at most ``step`` steps back from each occurrence."""
+        return invert.located(self.find(patterns), self, step)
+
+    def views(self, name: str) -> None:
+        """Temporary views of the index for SQL: name_bwt, name_runs, name_blocks and name_alphabet, and the functions name_rank(c, i), name_symbol(i) over them."""
+        from ..plans import sql
+
+        sql.register(self, name)
+
     def save(self, path: str) -> None:
-        """The engine's own format: runs, blocks and counts as Parquet."""
-        spark: SparkSession = self.bwt.sparkSession
-        self.bwt.write.mode("overwrite").parquet(f"{path}/bwt")
-        self.blocks.write.mode("overwrite").parquet(f"{path}/blocks")
-        meta = [(self.order, self.block_size, self.counts)]
-        spark.createDataFrame(meta, "order string, block_size int, counts array<long>").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
+        """The engine's own format: blocks in buckets, and counts, as Parquet."""
+        spark: SparkSession = self.blocks.sparkSession
+        laid_out(self.blocks, "blk", "blocks", f"{path}/blocks")
+        meta = [(self.order, self.block_size, self.counts, int(spark.conf.get("spark.sql.shuffle.partitions")))]
+        spark.createDataFrame(meta, "order string, block_size int, counts array<long>, buckets int").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "Index":
         meta = spark.read.parquet(f"{path}/meta").first()
-        return cls(spark.read.parquet(f"{path}/bwt"), spark.read.parquet(f"{path}/blocks"), list(meta["counts"]), meta["order"], meta["block_size"])
+        blocks = opened(spark, f"{path}/blocks", "blk", "blocks", meta["buckets"], runs.BLOCKS)
+        return cls(blocks, list(meta["counts"]), meta["order"], meta["block_size"])
+
+
+def _counts(blocks: DataFrame) -> list[int]:
+    """The six counts: those before the last block, and those in it."""
+    row = blocks.orderBy(F.desc("blk")).limit(1).select(*(F.col(f"n{k}") + lookups._counted(F.length("sym"), F.lit(str(k))) for k in range(alphabets.SIGMA))).first()
+    return list(row) if row else [0] * alphabets.SIGMA

@@ -1,11 +1,13 @@
-"""Texts back from a transform, and places in texts, by list ranking with pointer doubling."""
+"""Texts back from a transform, and places in texts, by list ranking with pointer doubling, or by walking back to the next sampled place."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.order import cell
 from ..plans.shared import forget, materialize
+from . import lookups
 
 #: Rounds at most: texts of up to 2**ROUNDS symbols.
 ROUNDS = 40
@@ -43,6 +45,63 @@ def locate(found: DataFrame, places: DataFrame, lengths: DataFrame, block: int =
 
     ``places``: places_of an index; ``lengths``(seq_id, n): the texts' lengths. Ranges are dealt out to blocks of positions, so the lookup is an equi-join.
     """
-    cells = found.where("lo < hi").select("pattern_id", "lo", "hi", F.explode(F.sequence((F.col("lo") / block).cast("long"), ((F.col("hi") - 1) / block).cast("long"))).alias("blk"))
-    met = places.withColumn("blk", (F.col("pos") / block).cast("long")).join(cells, "blk").where("pos >= lo AND pos < hi")
+    cells = found.where("lo < hi").select("pattern_id", "lo", "hi", F.explode(F.sequence(cell("lo", block), cell(F.col("hi") - 1, block))).alias("blk"))
+    met = places.withColumn("blk", cell("pos", block)).join(cells, "blk").where("pos >= lo AND pos < hi")
     return met.join(lengths, "seq_id").select("pattern_id", "seq_id", (F.col("n") - F.col("back")).alias("off"))
+
+
+def sampled(bwt: DataFrame, step: int) -> DataFrame:
+    """(pos, seq_id, off) of bwt(pos, c, seq_id, off): where every ``step``-th symbol of each text stands, its first one always."""
+    return bwt.where(F.pmod("off", F.lit(step)) == 0).select("pos", "seq_id", "off")
+
+
+def sampled_without_texts(index, step: int) -> DataFrame:
+    """As ``sampled`` for an index without texts, by list ranking once; texts are numbered in their order."""
+    places = materialize(places_of(index.edges, index.counts), "places")
+    lengths = places.groupBy("seq_id").agg(F.max("back").alias("n"))
+    found = places.join(lengths, "seq_id").select("pos", "seq_id", (F.col("n") - F.col("back")).alias("off"))
+    return found.where(F.pmod("off", F.lit(step)) == 0)
+
+
+def walked(at: DataFrame, index, step: int) -> DataFrame:
+    """``at``(pos, ...) with seq_id and off of the suffix at each position: a step back a round until a sampled place is met, ``step`` rounds at most.
+
+    Only positions that are asked for move; the blocks and the sampled places lie in buckets and stay.
+    """
+    names = [n for n in at.columns if n != "pos"]
+    places = index.places(step)
+    now, done = materialize(at.withColumn("_back", F.lit(0).cast("long")), "walk"), []
+    for _ in range(step):
+        n = now.count()
+        if not n:
+            break
+        few = n <= lookups.SENT
+        met = materialize(places.join(F.broadcast(now) if few else now, "pos"), "met")
+        done.append(met.select(*names, "seq_id", (F.col("off") + F.col("_back")).alias("off")))
+        ahead = now.join(met.select("pos").distinct(), "pos", "left_anti")
+        stepped = lookups.step_back(ahead, index.blocks, index.counts, size=index.block_size, few=few)
+        now = materialize(stepped.select("pos", (F.col("_back") + 1).alias("_back"), *names), "walk")
+    out = done[0] if done else now.select(*names, F.lit(0).cast("long").alias("seq_id"), F.lit(0).cast("long").alias("off"))
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def located(found: DataFrame, index, step: int = 32) -> DataFrame:
+    """(pattern_id, seq_id, off) of found(pattern_id, lo, hi): every place where a pattern occurs, from sampled places. Work grows with the occurrences asked for, not with the index."""
+    each = found.where("lo < hi").select("pattern_id", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("pos"))
+    return walked(each, index, step).select("pattern_id", "seq_id", "off")
+
+
+def extracted(at: DataFrame, index, most: int) -> DataFrame:
+    """``at``(pos, ...) with ``before``: up to ``most`` symbols that stand before the suffix at each position in its text, spelled left to right by as many steps back."""
+    names = [n for n in at.columns if n != "pos"]
+    now = materialize(at.withColumn("before", F.lit("")), "extract")
+    few = now.count() <= lookups.SENT
+    for _ in range(most):  # where a text begins, a step changes nothing
+        stepped = lookups.step_back(now, index.blocks, index.counts, size=index.block_size, few=few)
+        spelled = F.when(F.col("c") > 0, F.concat(F.col("c").cast("string"), "before")).otherwise(F.col("before"))
+        after = materialize(stepped.select("pos", spelled.alias("before"), *names), "extract")
+        forget(now)
+        now = after
+    return now

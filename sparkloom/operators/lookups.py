@@ -1,30 +1,25 @@
 """Rank, select, access and the mappings between positions, for whole tables of questions.
 
-Questions meet blocks(blk, start_pos, end_pos, seq, n0..n5) by an equi-join on
-the block of their position, so each reads one block, however long the transform is.
+Questions meet blocks(blk, start_pos, end_pos, n0..n5, sym, at) by an equi-join on
+the block of their position, so each reads one block, however long the transform is. The blocks lie in
+buckets of their number (``Index`` writes them so), so only questions move: to the blocks' buckets, or to all workers where
+there are few. Inside a block the run of a position is found by halving.
 Ranges are half-open. ``counts`` are the six symbol counts of the transform.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.alphabet import SIGMA
-from .runs import SAMPLE
+from ..plans.order import cell
+from .runs import SAMPLE, before_in, run_rows, start_of
 
-
-def _occurrences(text: Column, digit: Column) -> Column:
-    return (F.length(text) - F.length(F.replace(text, digit, F.lit("")))).cast("long")
-
-
-def _before(c: Column) -> Column:
-    """n of the symbol ``c`` among n0 to n5."""
-    out = F.lit(0).cast("long")
-    for k in range(SIGMA):
-        out = F.when(c == k, F.coalesce(F.col(f"n{k}"), F.lit(0))).otherwise(out)
-    return out
+#: Questions that are sent to all workers at most, a few numbers each.
+SENT = 1 << 17
+#: Occurrences of a symbol that a cell of the select directory covers.
+STRIDE = 256
 
 
 def smaller(counts: list[int]) -> list[int]:
@@ -32,59 +27,117 @@ def smaller(counts: list[int]) -> list[int]:
     return [sum(counts[:k]) for k in range(len(counts))]
 
 
-def _smaller(c: Column, counts: list[int]) -> Column:
+def _one_of(c: Column, values: list) -> Column:
+    """The value for the symbol ``c``; 0 for other symbols."""
     out = F.lit(0).cast("long")
-    for k, n in enumerate(smaller(counts)):
-        out = F.when(c == k, F.lit(n).cast("long")).otherwise(out)
+    for k, v in enumerate(values):
+        out = F.when(c == k, v if isinstance(v, Column) else F.lit(v).cast("long")).otherwise(out)
     return out
 
 
-def _meet(at: DataFrame, blocks: DataFrame, counts: list[int], pos: str, size: int) -> DataFrame:
-    """Each question with its block; a position past the end meets the last block."""
+def _question(at: DataFrame) -> Column:
+    """A question's columns as one, so that no name of theirs clashes with a block's."""
+    return F.struct(*(F.col(f"`{n}`").alias(n) for n in at.columns)).alias("_q")
+
+
+def _asked(name: str) -> Column:
+    return F.col("_q")[name]
+
+
+def meet(at: DataFrame, blocks: DataFrame, counts: list[int], pos: str, size: int, few: bool = False) -> DataFrame:
+    """Each question, in the struct ``_q``, with its block, and in ``_o`` its place there; a position past the end meets the end of the last block, one before 0 the start of the first.
+
+    The join is an inner one, so the blocks may stay where they are: ``few`` says that at most SENT questions are there, which go to all workers.
+    Nothing is met in an empty transform.
+    """
     total = sum(counts)
-    asked = at.withColumn("_i", F.least(F.greatest(F.col(pos), F.lit(0)), F.lit(total)).cast("long"))
-    asked = asked.withColumn("blk", F.least((F.col("_i") / size).cast("long"), F.lit(max(0, (total - 1) // size)).cast("long")))
-    return asked.join(blocks, "blk", "left").withColumn("_head", F.coalesce(F.substr("seq", F.lit(1), (F.col("_i") - F.col("start_pos")).cast("int")), F.lit("")))
+    asked = at.select(_question(at), F.least(F.greatest(F.col(pos), F.lit(0)), F.lit(total)).cast("long").alias("_i"))
+    asked = asked.withColumn("blk", F.least(cell("_i", size), F.lit(max(0, (total - 1) // size))).cast("long"))
+    return blocks.join(F.broadcast(asked) if few else asked, "blk").withColumn("_o", (F.col("_i") - F.col("start_pos")).cast("int"))
+
+
+def _run(offset: Column, size: int) -> Column:
+    """How many runs of the block start before ``offset``: found by halving."""
+    steps = F.array(*(F.lit(1 << k) for k in range(size.bit_length() - 1, -1, -1)))
+    return F.aggregate(steps, F.lit(0), lambda k, step: F.when((k + step <= F.length("sym")) & (start_of(F.get("at", k + step - 1)) < offset), k + step).otherwise(k))
+
 
+def _after_last(digits: Column, c: Column) -> Column:
+    """What stands behind the last ``c``; all of it without one."""
+    return F.call_function("substring_index", digits, c, F.lit(-1))
 
-def _tidy(df: DataFrame) -> DataFrame:
-    return df.drop("blk", "_i", "_head", "start_pos", "end_pos", "seq", *(f"n{k}" for k in range(SIGMA)))
 
+def _inside(c: Column) -> Column:
+    """How often ``c`` (a digit) occurs in the block before place ``_o``, of which ``_k`` runs start before it: what its last run before counts, and as much of that run as lies before."""
+    head = F.substr("sym", F.lit(1), F.col("_k"))
+    j = F.col("_k") - F.length(_after_last(head, c))  # the last run of c among them, from 1
+    entry = F.get("at", j - 1)
+    return F.when(j > 0, before_in(entry) + F.least(F.col("_o"), start_of(F.get("at", j))) - start_of(entry)).otherwise(0).cast("long")
 
-def rank(at: DataFrame, blocks: DataFrame, counts: list[int], pos: str = "i", c: str = "c", out: str = "rank", size: int = SAMPLE) -> DataFrame:
-    """``at`` with how often symbol ``c`` occurs before position ``pos``; 0 for other symbols; positions past the end count as the end."""
-    met = _meet(at, blocks, counts, pos, size)
-    return _tidy(met.withColumn(out, _before(F.col(c)) + F.when(F.col(c).between(0, SIGMA - 1), _occurrences(F.col("_head"), F.col(c).cast("string"))).otherwise(0)))
 
+def _counted(runs: Column, c: Column) -> Column:
+    """How often ``c`` (a digit) occurs in the first ``runs`` runs of the block."""
+    j = runs - F.length(_after_last(F.substr("sym", F.lit(1), runs), c))
+    return F.when(j > 0, before_in(F.get("at", j - 1)) + start_of(F.get("at", j)) - start_of(F.get("at", j - 1))).otherwise(0)
 
-def ranks(at: DataFrame, blocks: DataFrame, counts: list[int], pos: str = "i", size: int = SAMPLE) -> DataFrame:
+
+def _tidy(met: DataFrame, at: DataFrame, *more) -> DataFrame:
+    return met.select(*(_asked(n).alias(n) for n in at.columns), *more)
+
+
+def _whole(found: DataFrame, at: DataFrame, counts: list[int], out: list[str]) -> DataFrame:
+    """Answers; in an empty transform all are 0."""
+    return found if sum(counts) else at.select("*", *(F.lit(0).cast("long").alias(n) for n in out))
+
+
+def rank(at: DataFrame, blocks: DataFrame, counts: list[int], pos: str = "i", c: str = "c", out: str = "rank", size: int = SAMPLE, few: bool = False) -> DataFrame:
+    """``at`` with how often symbol ``c`` occurs before position ``pos``; 0 for other symbols and null ones; positions past the end count as the end."""
+    met = meet(at, blocks, counts, pos, size, few).withColumn("_k", _run(F.col("_o"), size))
+    value = F.when(_asked(c).between(0, SIGMA - 1), _one_of(_asked(c), [F.col(f"n{k}") for k in range(SIGMA)]) + _inside(_asked(c).cast("string"))).otherwise(0)
+    return _whole(_tidy(met, at, value.alias(out)), at, counts, [out])
+
+
+def ranks(at: DataFrame, blocks: DataFrame, counts: list[int], pos: str = "i", size: int = SAMPLE, few: bool = False) -> DataFrame:
     """``at`` with r1 to r5: the ranks of all symbols but the end marker, from one look at the block."""
-    met = _meet(at, blocks, counts, pos, size)
-    return _tidy(met.select("*", *((F.coalesce(F.col(f"n{k}"), F.lit(0)) + _occurrences(F.col("_head"), F.lit(str(k)))).alias(f"r{k}") for k in range(1, SIGMA))))
+    met = meet(at, blocks, counts, pos, size, few).withColumn("_k", _run(F.col("_o"), size))
+    names = [f"r{k}" for k in range(1, SIGMA)]
+    return _whole(_tidy(met, at, *((F.col(f"n{k}") + _inside(F.lit(str(k)))).alias(f"r{k}") for k in range(1, SIGMA))), at, counts, names)
 
 
-def range_ranks(at: DataFrame, blocks: DataFrame, counts: list[int], lo: str = "lo", hi: str = "hi", size: int = SAMPLE) -> DataFrame:
+def range_ranks(at: DataFrame, blocks: DataFrame, counts: list[int], lo: str = "lo", hi: str = "hi", size: int = SAMPLE, few: bool = False) -> DataFrame:
     """``at`` with r1_lo, r1_hi to r5_lo, r5_hi: the ranks of all symbols at both ends of a half-open range."""
-    first = ranks(at, blocks, counts, lo, size).withColumnsRenamed({f"r{k}": f"r{k}_lo" for k in range(1, SIGMA)})
-    return ranks(first, blocks, counts, hi, size).withColumnsRenamed({f"r{k}": f"r{k}_hi" for k in range(1, SIGMA)})
+    first = ranks(at, blocks, counts, lo, size, few).withColumnsRenamed({f"r{k}": f"r{k}_lo" for k in range(1, SIGMA)})
+    return ranks(first, blocks, counts, hi, size, few).withColumnsRenamed({f"r{k}": f"r{k}_hi" for k in range(1, SIGMA)})
 
 
-def access(at: DataFrame, bwt: DataFrame, pos: str = "i", out: str = "c") -> DataFrame:
+def inverse_select(at: DataFrame, blocks: DataFrame, counts: list[int], pos: str = "i", size: int = SAMPLE, few: bool = False) -> DataFrame:
+    """``at`` with c and r: the symbol at each position and its rank there, from one look at the block; both 0 outside."""
+    met = meet(at, blocks, counts, pos, size, few).withColumn("_k", _run(F.col("_o") + 1, size))
+    outside = (_asked(pos) < 0) | (_asked(pos) >= sum(counts)) | _asked(pos).isNull()
+    symbol, entry = F.ascii(F.substr("sym", "_k", F.lit(1))) - 48, F.get("at", F.col("_k") - 1)
+    found = met.withColumn("_c", symbol)
+    value = _one_of(F.col("_c"), [F.col(f"n{k}") for k in range(SIGMA)]) + before_in(entry) + F.col("_o") - start_of(entry)
+    done = _tidy(found, at, F.when(outside, 0).otherwise(F.col("_c")).alias("c"), F.when(outside, 0).otherwise(value).cast("long").alias("r"))
+    return done if sum(counts) else at.select("*", F.lit(0).alias("c"), F.lit(0).cast("long").alias("r"))
+
+
+def access(at: DataFrame, blocks: DataFrame, counts: list[int], pos: str = "i", out: str = "c", size: int = SAMPLE, few: bool = False) -> DataFrame:
     """``at`` with the symbol at each position; 0 outside."""
-    return at.join(bwt.select(F.col("pos").alias(pos), F.col("c").alias(out)), pos, "left").withColumn(out, F.coalesce(out, F.lit(0)))
+    names = [n for n in at.columns if n != out]
+    return inverse_select(at.select(*names), blocks, counts, pos, size, few).select(*names, F.col("c").alias(out))
 
 
 def extract(ranges: DataFrame, blocks: DataFrame, counts: list[int], lo: str = "lo", hi: str = "hi", out: str = "digits", size: int = SAMPLE) -> DataFrame:
     """``ranges`` with the symbols of each half-open range as digits; null where it is empty or passes the end."""
     keys = ranges.columns
     good = ranges.where((F.col(lo) >= 0) & (F.col(lo) < F.col(hi)) & (F.col(hi) <= sum(counts))).distinct()
-    cells = good.withColumn("blk", F.explode(F.sequence((F.col(lo) / size).cast("long"), ((F.col(hi) - 1) / size).cast("long"))))
-    met = cells.join(blocks.select("blk", "start_pos", "end_pos", "seq"), "blk")
-    begin = F.greatest(F.col(lo) - F.col("start_pos"), F.lit(0))
-    piece = F.substr("seq", (begin + 1).cast("int"), (F.least(hi, "end_pos") - F.col("start_pos") - begin).cast("int"))
+    cells = good.select(_question(good), F.explode(F.sequence(cell(lo, size), cell(F.col(hi) - 1, size))).alias("blk"))
+    met = blocks.join(cells, "blk")
+    low, high = F.greatest(_asked(lo) - F.col("start_pos"), F.lit(0)), F.least(_asked(hi) - F.col("start_pos"), F.lit(size))
+    held = lambda j: F.least(start_of(F.get("at", j)), high) - F.greatest(start_of(F.get("at", j - 1)), low)
+    piece = F.array_join(F.transform(F.sequence(F.lit(1), F.length("sym")), lambda j: F.repeat(F.substr("sym", j, F.lit(1)), held(j).cast("int"))), "")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("blk", piece.alias("p")))), lambda x: x["p"]), "")
-    found = met.groupBy(*keys).agg(joined.alias(out))
-    found = found.withColumnsRenamed({k: f"_{k}" for k in keys})
+    found = met.groupBy("_q").agg(joined.alias(out)).select(*(_asked(k).alias(f"_{k}") for k in keys), out)
     same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
     return ranges.join(found, same, "left").select(*keys, out)
 
@@ -92,32 +145,52 @@ def extract(ranges: DataFrame, blocks: DataFrame, counts: list[int], lo: str = "
 def edges(blocks: DataFrame, counts: list[int]) -> DataFrame:
     """lf(pos, c, r, lf): for each position its symbol, the symbol's rank there, and where it maps to. For the end marker lf only names a row.
 
-    Ranks come from the counts before a block and the order inside it.
+    The rank of a run's first symbol lies in its block, so nothing moves and nothing is sorted.
     """
-    cells = blocks.select("blk", "start_pos", F.posexplode(F.split("seq", "")).alias("k", "ch"), *(f"n{k}" for k in range(SIGMA))).where("ch <> ''")
-    rows = cells.select("blk", (F.col("start_pos") + F.col("k")).alias("pos"), (F.ascii("ch") - 48).alias("c"), *(f"n{k}" for k in range(SIGMA)))
-    inside = F.row_number().over(W.partitionBy("blk", "c").orderBy("pos")) - 1
-    ranked = rows.select("pos", "c", (_before(F.col("c")) + inside).cast("long").alias("r"))
-    return ranked.select("pos", "c", "r", (_smaller(F.col("c"), counts) + F.col("r")).alias("lf"))
+    each = run_rows(blocks).select("start", "c", "r", F.explode(F.sequence(F.lit(0).cast("long"), F.col("len") - 1)).alias("j"))
+    ranked = each.select((F.col("start") + F.col("j")).alias("pos"), "c", (F.col("r") + F.col("j")).alias("r"))
+    return ranked.select("pos", "c", "r", (_one_of(F.col("c"), smaller(counts)) + F.col("r")).alias("lf"))
 
 
-def inverse_select(at: DataFrame, lf: DataFrame, pos: str = "i") -> DataFrame:
-    """``at`` with c and r: the symbol at each position and its rank there; both 0 outside."""
-    met = at.join(lf.select(F.col("pos").alias(pos), "c", "r"), pos, "left")
-    return met.withColumn("c", F.coalesce("c", F.lit(0))).withColumn("r", F.coalesce("r", F.lit(0).cast("long")))
+def directory(blocks: DataFrame, counts: list[int]) -> DataFrame:
+    """dir(cell, held): for every STRIDE occurrences of a symbol the blocks that hold some of them, held: array<(before, blk)>, sorted; before: occurrences of the symbol before the block.
 
+    The number of a cell is that of its stretch of occurrences, times 8, and the symbol. A cell has STRIDE blocks at most.
+    """
+    each = F.array(*(F.struct(F.lit(k).alias("c"), F.col(f"n{k}").alias("n"), _counted(F.length("sym"), F.lit(str(k))).alias("m")) for k in range(SIGMA)))
+    rows = blocks.select("blk", F.explode(each).alias("x")).where("x.m > 0")
+    first, last = cell("x.n", STRIDE), cell(F.col("x.n") + F.col("x.m") - 1, STRIDE)
+    cells = rows.select("x.c", "x.n", "blk", F.explode(F.sequence(first, last)).alias("g")).select((F.col("g") * 8 + F.col("c")).alias("cell"), F.struct(F.col("n").alias("before"), "blk").alias("b"))
+    return cells.groupBy("cell").agg(F.array_sort(F.collect_list("b")).alias("held"))
 
-def select(at: DataFrame, lf: DataFrame, counts: list[int], i: str = "i", c: str = "c", out: str = "pos") -> DataFrame:
-    """``at`` with the position of the i-th ``c`` (from 1): 0 for i = 0, the size past the last one."""
-    found = lf.select(F.col("c").alias(c), (F.col("r") + 1).alias(i), F.col("pos").alias(out))
-    met = at.join(found, [i, c], "left")
-    return met.withColumn(out, F.when(F.col(i) <= 0, 0).otherwise(F.coalesce(out, F.lit(sum(counts)))).cast("long"))
 
+def select(at: DataFrame, directory: DataFrame, blocks: DataFrame, counts: list[int], i: str = "i", c: str = "c", out: str = "pos", size: int = SAMPLE) -> DataFrame:
+    """``at`` with the position of the i-th ``c`` (from 1): 0 for i = 0, the size past the last one or for another symbol.
 
-def lf(at: DataFrame, blocks: DataFrame, counts: list[int], pos: str = "i", c: str = "c", out: str = "lf", size: int = SAMPLE) -> DataFrame:
+    The directory names the block by an equi-join on the stretch of occurrences, and a second one looks into that block. Both tables stay where they are.
+    """
+    total = sum(counts)
+    names = at.columns
+    good = (F.col(i) >= 1) & (F.col(i) <= _one_of(F.col(c), counts))
+    there = at.where(good).select(_question(at), (F.col(i) - 1).cast("long").alias("_z"), F.col(c).alias("_c"))
+    there = there.withColumn("cell", cell("_z", STRIDE) * 8 + F.col("_c"))
+    steps = F.array(*(F.lit(1 << k) for k in range(STRIDE.bit_length() - 1, -1, -1)))
+    place = F.aggregate(steps, F.lit(0), lambda k, step: F.when(F.get("held", k + step - 1)["before"] <= F.col("_z"), k + step).otherwise(k))
+    named = directory.join(there, "cell").select("_q", "_z", "_c", F.get("held", place - 1)["blk"].alias("blk"))
+    met = blocks.join(named, "blk").withColumn("_in", (F.col("_z") - _one_of(F.col("_c"), [F.col(f"n{k}") for k in range(SIGMA)])).cast("int"))
+    digit = F.col("_c").cast("string")
+    halves = F.array(*(F.lit(1 << k) for k in range(size.bit_length() - 1, -1, -1)))
+    run = F.aggregate(halves, F.lit(0), lambda k, step: F.when((k + step <= F.length("sym")) & (_counted(k + step, digit) <= F.col("_in")), k + step).otherwise(k))
+    entry = F.get("at", F.col("_run"))  # the runs before hold fewer, so the occurrence stands in this one
+    found = _tidy(met.withColumn("_run", run), at, (F.col("start_pos") + start_of(entry) + F.col("_in") - before_in(entry)).cast("long").alias(out))
+    rest = at.where(~F.coalesce(good, F.lit(False))).select(*names, F.when(F.col(i) <= 0, 0).otherwise(total).cast("long").alias(out))
+    return found.unionByName(rest)
+
+
+def lf(at: DataFrame, blocks: DataFrame, counts: list[int], pos: str = "i", c: str = "c", out: str = "lf", size: int = SAMPLE, few: bool = False) -> DataFrame:
     """``at`` with the position that ``c`` before position ``pos`` maps to: the symbols smaller than c, and c's rank."""
-    ranked = rank(at, blocks, counts, pos, c, "_rank", size)
-    return ranked.withColumn(out, _smaller(F.col(c), counts) + F.col("_rank")).drop("_rank")
+    ranked = rank(at, blocks, counts, pos, c, "_rank", size, few)
+    return ranked.withColumn(out, _one_of(F.col(c), smaller(counts)) + F.col("_rank")).drop("_rank")
 
 
 def lf_all(at: DataFrame, blocks: DataFrame, counts: list[int], pos: str = "i", size: int = SAMPLE) -> DataFrame:
@@ -126,6 +199,13 @@ def lf_all(at: DataFrame, blocks: DataFrame, counts: list[int], pos: str = "i",
     return found.select(*at.columns, *((F.col(f"r{k}") + smaller(counts)[k]).alias(f"lf{k}") for k in range(1, SIGMA)))
 
 
+def step_back(at: DataFrame, blocks: DataFrame, counts: list[int], pos: str = "pos", size: int = SAMPLE, few: bool = False) -> DataFrame:
+    """``at`` with ``c``, the symbol before the suffix at each position, and ``pos`` of the suffix that begins with it (unchanged where c is the end marker)."""
+    names = [n for n in at.columns if n not in ("c", "r")]
+    found = inverse_select(at.select(*names), blocks, counts, pos, size, few)
+    return found.select(*(n for n in names if n != pos), "c", F.when(F.col("c") > 0, _one_of(F.col("c"), smaller(counts)) + F.col("r")).otherwise(F.col(pos)).alias(pos))
+
+
 def psi(lf_edges: DataFrame) -> DataFrame:
     """(pos, psi): the inverse of lf, for suffixes that do not begin with an end marker."""
     return lf_edges.where("c > 0").select(F.col("lf").alias("pos"), F.col("pos").alias("psi"))
@@ -144,7 +224,7 @@ def cumulative_inverse(at: DataFrame, array: DataFrame, pos: str = "k", block: i
     Spans are dealt out to the blocks of places that they cover, so the range lookup is an equi-join on blocks.
     """
     spans = array.where("v > 0").select("i", "sum", (F.col("sum") + F.col("v")).alias("stop"))
-    cells = spans.withColumn("_b", F.explode(F.sequence((F.col("sum") / block).cast("long"), ((F.col("stop") - 1) / block).cast("long"))))
-    asked = at.withColumn("_b", (F.col(pos) / block).cast("long"))
+    cells = spans.withColumn("_b", F.explode(F.sequence(cell("sum", block), cell(F.col("stop") - 1, block))))
+    asked = at.withColumn("_b", cell(pos, block))
     inside = (asked["_b"] == cells["_b"]) & (asked[pos] >= cells["sum"]) & (asked[pos] < cells["stop"])
     return asked.join(cells, inside).select(*at.columns, "i", (F.col(pos) == F.col("stop") - 1).alias("is_last"))

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.alphabet import SIGMA
-from ..plans.order import positions, running
+from ..plans.order import cell, positions, running
 from ..plans.shared import materialize
 from . import lookups, search, transform
+from .runs import start_of
 
 
 def together(collections: list[DataFrame]) -> DataFrame:
@@ -31,15 +32,58 @@ def merge(*collections: DataFrame) -> DataFrame:
 def merge_indexes(indexes: list):
     """The index of all collections of indexes without texts, those of the first one first. Nothing is inverted or sorted again.
 
-    One after another is merged into what there is so far: the ranks of its suffixes
-    there say where its symbols go.
+    One traversal of all indexes together says where the symbols of each go, however many there are.
     """
     from .index import Index
 
-    whole = indexes[0]
-    for other in indexes[1:]:
-        whole = Index.of_bwt(interleave(whole.bwt, other.bwt, materialize(rank_array_of_indexes(whole, other), "ra")), whole.order, whole.block_size)
-    return whole
+    spans = materialize(spans_of_indexes(indexes), "spans")
+    parts = [spans.where(F.col("coll") == k).select("lo", "hi", "to") for k in range(len(indexes))]
+    moved = [placed(index, part) for index, part in zip(indexes, parts)]
+    return Index.of_pieces(reduce(DataFrame.unionByName, moved), indexes[0].order, indexes[0].block_size)
+
+
+def spans_of_indexes(indexes: list) -> DataFrame:
+    """(coll, lo, hi, to): positions [lo, hi) of index ``coll`` go to ``to`` and on in the merged transform.
+
+    All suffixes of all indexes are spelled right to left, level by level; a suffix is its range in each index. Before the rows of a suffix come
+    the rows before its range in every index, and those of it in the indexes before. Rounds: one more than the longest
+    text. Each round asks every index once and maps each suffix by every symbol; suffixes that no index has drop out.
+    """
+    spark = indexes[0].blocks.sparkSession
+    every = range(len(indexes))
+    level = spark.createDataFrame([tuple(x for index in indexes for x in (0, index.sequences))], ", ".join(f"lo{i} long, hi{i} long" for i in every))
+    levels = []
+    below = [lookups.smaller(index.counts) for index in indexes]
+    while True:
+        level = materialize(level, "level")
+        count = level.count()
+        if not count:
+            break
+        levels.append(level)
+        asked, few = level, count <= lookups.SENT
+        for i, index in enumerate(indexes):
+            asked = lookups.range_ranks(asked, index.blocks, index.counts, f"lo{i}", f"hi{i}", index.block_size, few)
+            asked = asked.withColumnsRenamed({f"r{k}_{e}": f"r{i}_{k}_{e}" for k in range(1, SIGMA) for e in ("lo", "hi")})
+        steps = F.array(*(F.struct(*((F.col(f"r{i}_{k}_{e}") + below[i][k]).alias(f"{e}{i}") for i in every for e in ("lo", "hi"))) for k in range(1, SIGMA)))
+        any_left = reduce(lambda x, y: x | y, (F.col(f"lo{i}") < F.col(f"hi{i}") for i in every))
+        level = asked.select(F.explode(steps).alias("x")).select("x.*").where(any_left)
+    before = reduce(lambda x, y: x + y, (F.col(f"lo{i}") for i in every))
+    rows, ahead = [], before
+    for i in every:
+        rows.append(F.struct(F.lit(i).alias("coll"), F.col(f"lo{i}").alias("lo"), F.col(f"hi{i}").alias("hi"), ahead.alias("to")))
+        ahead = ahead + F.col(f"hi{i}") - F.col(f"lo{i}")
+    return reduce(DataFrame.unionByName, levels).select(F.explode(F.array(*rows)).alias("x")).select("x.*").where("lo < hi")
+
+
+def placed(index, spans: DataFrame) -> DataFrame:
+    """(start, c, len): the runs of an index, cut at the bounds of spans(lo, hi, to) and moved there. Spans are dealt out to the blocks that they cover; the blocks stay."""
+    size = index.block_size
+    cells = spans.withColumn("blk", F.explode(F.sequence(cell("lo", size), cell(F.col("hi") - 1, size))))
+    met = index.blocks.select("blk", "start_pos", "sym", "at").join(cells, "blk")
+    low, high = F.greatest(F.col("lo") - F.col("start_pos"), F.lit(0)), F.col("hi") - F.col("start_pos")
+    each = F.transform(F.sequence(F.lit(1), F.length("sym")), lambda j: F.struct(F.greatest(start_of(F.get("at", j - 1)), low).alias("a"), F.least(start_of(F.get("at", j)), high).alias("b"), (F.ascii(F.substr("sym", j, F.lit(1))) - 48).alias("c")))
+    kept = met.select("start_pos", "lo", "to", F.explode(F.filter(each, lambda x: x["a"] < x["b"])).alias("x"))
+    return kept.select((F.col("to") + F.col("start_pos") + F.col("x.a") - F.col("lo")).alias("start"), "x.c", (F.col("x.b") - F.col("x.a")).cast("long").alias("len"))
 
 
 def sources(merged: DataFrame, coll: int = 1) -> DataFrame:
@@ -74,25 +118,9 @@ def interleave(a: DataFrame, b: DataFrame, ra: DataFrame) -> DataFrame:
 
 
 def rank_array_of_indexes(a, b) -> DataFrame:
-    """ra(b_pos, a_rank) of two indexes without texts: all suffixes of b are spelled right to left, level by level, as ranges of b with their rank in a.
-
-    Rounds: one more than b's longest text. Each round maps every range by every symbol; empty ones drop out.
-    """
-    spark = b.blocks.sparkSession
-    level = spark.createDataFrame([(a.sequences, 0, b.sequences)], "a_rank long, lo long, hi long")
-    levels = []
-    below_a, below_b = lookups.smaller(a.counts), lookups.smaller(b.counts)
-    while True:
-        level = materialize(level, "frontier")
-        if level.isEmpty():
-            break
-        levels.append(level)
-        one = lookups.ranks(level, a.blocks, a.counts, "a_rank", a.block_size).withColumnsRenamed({f"r{k}": f"a{k}" for k in range(1, SIGMA)})
-        two = lookups.range_ranks(one, b.blocks, b.counts, "lo", "hi", b.block_size)
-        steps = F.array(*(F.struct((F.col(f"a{k}") + below_a[k]).alias("a_rank"), (F.col(f"r{k}_lo") + below_b[k]).alias("lo"), (F.col(f"r{k}_hi") + below_b[k]).alias("hi")) for k in range(1, SIGMA)))
-        level = two.select(F.explode(steps).alias("x")).select("x.*").where("lo < hi")
-    every = reduce(DataFrame.unionByName, levels)
-    return every.where("lo < hi").select(F.explode(F.sequence("lo", F.col("hi") - 1)).alias("b_pos"), "a_rank")
+    """ra(b_pos, a_rank) of two indexes without texts: for each suffix of b, how many of a are smaller or equal, from the traversal of both."""
+    spans = spans_of_indexes([a, b]).where("coll = 1")  # such a span goes behind as many of a as it moves by
+    return spans.select((F.col("to") - F.col("lo")).alias("a_rank"), F.explode(F.sequence("lo", F.col("hi") - 1)).alias("b_pos")).select("b_pos", "a_rank")
 
 
 def verify(patterns: DataFrame, parts: list, whole) -> DataFrame:

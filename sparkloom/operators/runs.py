@@ -1,41 +1,68 @@
-"""Runs of equal symbols, and samples of symbol counts by block."""
+"""Runs of equal symbols, and blocks of runs with the counts before them."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.alphabet import SIGMA
-from ..plans.order import BLOCK, running
+from ..plans.order import BLOCK, before_blocks, cell
 from ..plans.shared import materialize
 
-#: Positions of a sample block.
-SAMPLE = 256
+#: Positions of a block of the index; at most 2**14.
+SAMPLE = 1024
 
 
-def runs_of(bwt: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Maximal runs of bwt(pos, c), with positions from 0 without gaps: runs(run_id, start, c, len).
+def pieces_of(bwt: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(start, c, len): runs of bwt(pos, c) in pieces, none of which crosses a multiple of ``block``.
 
-    A run starts where the symbol before, found inside the block or in the block before, differs.
+    Every batch of rows gives the runs inside it and nothing moves; a transform lies in order, so most runs stay whole.
     """
-    rows = bwt.select("pos", "c", (F.col("pos") / block).cast("long").alias("blk"))
-    edge = rows.groupBy((F.col("blk") + 1).alias("blk")).agg(F.max_by("c", "pos").alias("last"))
-    own = F.lag("c").over(W.partitionBy("blk").orderBy("pos"))
-    marked = rows.withColumn("prev", own).join(edge, "blk", "left")
-    prev = F.when(F.col("pos") % block == 0, F.col("last")).otherwise(F.col("prev"))
-    starts = materialize(marked.where(prev.isNull() | (prev != F.col("c"))).select(F.col("pos").alias("start"), "c", "blk"), "starts")
-    # for each block the runs before it and the first start behind it; behind the last block that is the number of positions
-    per = starts.groupBy("blk").agg(F.count("*").alias("n"), F.min("start").alias("first"))
-    end = rows.agg(F.count("*").alias("first")).select(F.lit(1 << 62).alias("blk"), F.lit(0).cast("long").alias("n"), "first")
-    every = W.orderBy("blk")
-    bases = per.unionByName(end).select("blk", F.coalesce(F.sum("n").over(every.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"), F.lead("first").over(every).alias("behind"))
+
+    def encode(batches):
+        for batch in batches:
+            pos, c = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if len(pos) > 1 and (np.diff(pos) < 0).any():
+                order = np.argsort(pos)
+                pos, c = pos[order], c[order]
+            if len(pos):
+                cut = np.concatenate(([0], np.flatnonzero((np.diff(pos) != 1) | (np.diff(c) != 0) | (pos[1:] % block == 0)) + 1))
+                yield pa.RecordBatch.from_arrays([pa.array(pos[cut]), pa.array(c[cut].astype(np.int32)), pa.array(np.diff(np.append(cut, len(pos))))], names=["start", "c", "len"])
+
+    return bwt.select(F.col("pos").cast("long").alias("pos"), F.col("c").cast("int").alias("c")).mapInArrow(encode, "start long, c int, len long")
+
+
+def cut_at(parts: DataFrame, block: int) -> DataFrame:
+    """(blk, start, c, len): pieces of runs(start, c, len) cut at multiples of ``block``, with the number of their block. Empty pieces vanish."""
+    first, last = cell("start", block), cell(F.col("start") + F.col("len") - 1, block)
+    spread = parts.where("len > 0").select("start", "c", (F.col("start") + F.col("len")).alias("stop"), F.explode(F.sequence(first, last)).alias("blk"))
+    low = F.greatest("start", F.col("blk") * block)
+    return spread.select("blk", low.alias("start"), "c", (F.least("stop", (F.col("blk") + 1) * block) - low).alias("len"))
+
+
+def coalesce_runs(parts: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Maximal runs(run_id, start, c, len) of runs in pieces, parts(start, c, len), which cover positions from 0 on without gaps: neighbours of one symbol become one.
+
+    A piece begins a run where the symbol before, found inside its block of positions or at the end of the block before,
+    differs. Beginnings are numbered inside blocks and by the blocks' sums.
+    """
+    rows = materialize(cut_at(parts, block), "pieces")
+    edge = rows.groupBy((F.col("blk") + 1).alias("blk")).agg(F.max_by("c", "start").alias("last"))  # a row a block
     inside = W.partitionBy("blk").orderBy("start")
-    met = starts.join(bases, "blk")
-    run_id = (F.col("base") + F.row_number().over(inside) - 1).alias("run_id")
-    return met.select(run_id, "start", "c", (F.coalesce(F.lead("start").over(inside), "behind") - F.col("start")).alias("len"))
+    prev = F.when(F.col("start") % block == 0, F.col("last")).otherwise(F.lag("c").over(inside))
+    marked = rows.join(edge, "blk", "left").withColumn("head", F.when(prev == F.col("c"), 0).otherwise(1))
+    numbered = materialize(marked.select("blk", "start", "c", "len", F.sum("head").over(inside).alias("g")), "heads")
+    bases = before_blocks(numbered.groupBy("blk").agg(F.max("g").alias("n")), {"base": "n"}, "blk")
+    whole = numbered.join(bases, "blk").groupBy((F.col("base") + F.col("g") - 1).alias("run_id"))
+    return whole.agg(F.min("start").alias("start"), F.max("c").alias("c"), F.sum("len").alias("len")).select("run_id", "start", "c", "len")
+
+
+def runs_of(bwt: DataFrame) -> DataFrame:
+    """Maximal runs of bwt(pos, c), with positions from 0 without gaps: runs(run_id, start, c, len). The transform is read once."""
+    return coalesce_runs(pieces_of(bwt))
 
 
 def expand(runs: DataFrame) -> DataFrame:
@@ -43,16 +70,6 @@ def expand(runs: DataFrame) -> DataFrame:
     return runs.where("len > 0").select(F.explode(F.sequence("start", F.col("start") + F.col("len") - 1)).alias("pos"), "c")
 
 
-def coalesce_runs(parts: DataFrame) -> DataFrame:
-    """Maximal runs of runs in pieces, parts(start, c, len): neighbours of one symbol become one. Empty pieces vanish."""
-    rows = parts.where("len > 0").select("start", "c", "len", (F.col("start") + F.col("len")).alias("stop"))
-    before = rows.select(F.col("stop").alias("start"), F.col("c").alias("prev"))
-    heads = rows.join(before, "start", "left").select("start", "len", "c", F.when(F.col("prev") == F.col("c"), 0).otherwise(1).alias("head"))
-    marked = running(heads, "start", {"g": F.col("head")})
-    whole = marked.groupBy((F.col("g") + F.col("head") - 1).alias("run_id")).agg(F.min("start").alias("start"), F.max("c").alias("c"), F.sum("len").alias("len"))
-    return whole.select("run_id", "start", "c", "len")
-
-
 def histogram(runs: DataFrame) -> DataFrame:
     """(c, len, n): how many runs of each symbol have each length."""
     return runs.groupBy("c", "len").agg(F.count("*").alias("n"))
@@ -63,12 +80,75 @@ def character_counts(bwt: DataFrame) -> DataFrame:
     return bwt.groupBy("c").agg(F.count("*").alias("n"))
 
 
-def blocks_of(bwt: DataFrame, size: int = SAMPLE) -> DataFrame:
-    """blocks(blk, start_pos, end_pos, seq, n0..n5): the symbols of each block of positions as digits, and how many of each come before it."""
-    rows = bwt.select((F.col("pos") / size).cast("long").alias("blk"), "pos", "c")
-    seq = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "c"))), lambda x: x["c"].cast("string")), "")
-    own = rows.groupBy("blk").agg(F.min("pos").alias("start_pos"), (F.max("pos") + 1).alias("end_pos"), seq.alias("seq"), *(F.count_if(F.col("c") == k).alias(f"m{k}") for k in range(SIGMA)))
-    return running(own, "blk", {f"n{k}": F.col(f"m{k}") for k in range(SIGMA)}).drop(*(f"m{k}" for k in range(SIGMA)))
+#: What a block holds. ``sym`` has a digit for each of its runs; ``at`` has for each run its start in the block, times 2**16, and how many of its
+#: symbol come before it in the block; a last entry has the block's length.
+BLOCKS = "blk long, start_pos long, end_pos long, n0 long, n1 long, n2 long, n3 long, n4 long, n5 long, sym string, at array<int>"
+
+
+def blocks_of(pieces: DataFrame, size: int = SAMPLE) -> DataFrame:
+    """blocks(blk, start_pos, end_pos, n0..n5, sym, at) of runs in pieces(start, c, len): the runs of each block of ``size`` positions, with what a search needs to rank and to access inside it.
+
+    n0 to n5: how many of each symbol come before the block. Pieces are dealt out and sorted by block; each block is put together once.
+    """
+    ordered = cut_at(pieces, size).repartition("blk").sortWithinPartitions("blk", "start")
+
+    def assemble(batches):
+        kept: list = []
+        for batch in batches:
+            if batch.num_rows:
+                columns = [np.concatenate(x) for x in zip(*kept, [batch.column(k).to_numpy() for k in range(4)])]
+                done = int(np.searchsorted(columns[0], columns[0][-1]))
+                yield from _assemble([x[:done] for x in columns])
+                kept = [[x[done:] for x in columns]]
+        if kept:
+            yield from _assemble(kept[0])
+
+    def _assemble(columns):
+        blk, start, c, length = columns
+        if not len(blk):
+            return
+        new = np.concatenate(([True], (np.diff(blk) != 0) | (np.diff(c) != 0)))  # pieces of one run inside a block become one
+        first = np.flatnonzero(new)
+        length = np.add.reduceat(length, first)
+        blk, start, c = blk[first], start[first], c[first]
+        edge = np.concatenate(([0], np.flatnonzero(np.diff(blk)) + 1, [len(blk)]))
+        total, before = np.zeros((len(edge) - 1, SIGMA), np.int64), np.zeros(len(blk), np.int64)
+        for k in range(SIGMA):
+            own = np.where(c == k, length, 0)
+            sums = np.concatenate(([0], np.cumsum(own)))
+            total[:, k] = sums[edge[1:]] - sums[edge[:-1]]
+            before = np.where(c == k, sums[:-1] - np.repeat(sums[edge[:-1]], np.diff(edge)), before)
+        blocks = blk[edge[:-1]]
+        ends = start[edge[1:] - 1] + length[edge[1:] - 1]
+        entries = np.insert((start - blk * size) << 16 | before, edge[1:], (ends - blocks * size) << 16).astype(np.int32)
+        offsets = edge + np.arange(len(edge))
+        digits = (c + 48).astype(np.uint8).tobytes().decode()
+        sym = [digits[a:b] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())]
+        at = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(entries))
+        yield pa.RecordBatch.from_arrays([pa.array(blocks), pa.array(blocks * size), pa.array(ends), *(pa.array(total[:, k]) for k in range(SIGMA)), pa.array(sym), at], names=[f.split()[0] for f in made.split(", ")])
+
+    made = BLOCKS.replace(" n", " m")
+    own = materialize(ordered.mapInArrow(assemble, made), "runs-of-blocks")
+    bases = before_blocks(own.select("blk", *(f"m{k}" for k in range(SIGMA))), {f"n{k}": f"m{k}" for k in range(SIGMA)}, "blk")
+    return own.join(bases, "blk").select(*(f.split()[0] for f in BLOCKS.split(", ")))
+
+
+def start_of(entry: Column) -> Column:
+    """Where a run starts in its block."""
+    return F.shiftright(entry, 16)
+
+
+def before_in(entry: Column) -> Column:
+    """How many of a run's symbol come before it in its block."""
+    return entry.bitwiseAND(F.lit(0xFFFF))
+
+
+def run_rows(blocks: DataFrame) -> DataFrame:
+    """(start, c, len, r): the runs of each block, and the rank of each one's first symbol in the whole transform."""
+    each = F.transform(F.sequence(F.lit(1), F.length("sym")), lambda j: F.struct(F.get("at", j - 1).alias("e"), start_of(F.get("at", j)).alias("stop"), (F.ascii(F.substr("sym", j, F.lit(1))) - 48).alias("c")))
+    rows = blocks.where("sym <> ''").select("start_pos", *(f"n{k}" for k in range(SIGMA)), F.explode(each).alias("x"))
+    before = F.coalesce(*(F.when(F.col("x.c") == k, F.col(f"n{k}")) for k in range(SIGMA)))
+    return rows.select((F.col("start_pos") + start_of(F.col("x.e"))).alias("start"), F.col("x.c").alias("c"), (F.col("x.stop") - start_of(F.col("x.e"))).cast("long").alias("len"), (before + before_in(F.col("x.e"))).alias("r"))
 
 
 def samples_of(blocks: DataFrame) -> DataFrame:
@@ -76,6 +156,12 @@ def samples_of(blocks: DataFrame) -> DataFrame:
     return blocks.select(F.col("blk").alias("block"), "start_pos", "end_pos", *(f"n{k}" for k in range(SIGMA)))
 
 
+def storage(blocks: DataFrame) -> DataFrame:
+    """One row: blocks, positions, runs, and the bytes that the runs take, five for each and four for each block."""
+    n = F.sum(F.length("sym"))
+    return blocks.agg(F.count("*").alias("blocks"), F.sum(F.col("end_pos") - F.col("start_pos")).alias("positions"), n.alias("runs"), (n + 4 * F.sum(F.size("at"))).alias("bytes"))
+
+
 def checksum(bwt: DataFrame) -> DataFrame:
     """(rows, checksum): a hash of all (pos, c) that any order of adding up gives."""
     return bwt.agg(F.count("*").alias("rows"), F.sum(F.xxhash64("pos", "c").cast("decimal(38,0)")).alias("checksum"))
@@ -83,40 +169,70 @@ def checksum(bwt: DataFrame) -> DataFrame:
 
 # fixed values: offset basis and prime of 64-bit FNV-1a
 _BASIS, _PRIME = 0xCBF29CE484222325, 0x100000001B3
-#: Blocks that one task joins to one row.
+#: Maps that one task joins to one.
 JOINED = 4096
+_MAPS = "g long, factor string, addends array<string>, states array<int>"
 
 
-def content_hash(blocks: DataFrame) -> int:
-    """FNV-1a (64 bits) over the comp values of blocks(blk, seq, ...) in order, for comparison with other tools.
+def content_map(blocks: DataFrame, joined: int = JOINED) -> DataFrame:
+    """One row (g, factor, addends, states), or none for no blocks: what FNV-1a (64 bits) over the comp values of the blocks in order does to a hash.
 
-    Symbols are below 8, so a block's effect depends on the lowest three bits of the hash before it alone, and for each of
-    the eight states it is a factor and an addend. Tasks work these out and join JOINED blocks to one row; the driver reads those rows one after another.
+    Symbols are below 8, so a block's effect depends on the lowest three bits of the hash before it alone; for each of
+    the eight states it is a factor and an addend. Such maps follow each other associatively, so tasks join
+    ``joined`` neighbours to one, again and again, until a single map is left.
     """
-    schema = "g long, factor string, addends array<string>, states array<int>"
-
-    def work(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(table["blk"].to_pylist(), table["seq"].to_pylist()))
-        longest = max(len(s) for _, s in rows)
-        symbols = np.zeros((len(rows), longest), np.uint64)
-        for k, (_, s) in enumerate(rows):
-            symbols[k, : len(s)] = np.frombuffer(s.encode(), np.uint8) - 48
-        sizes = np.array([len(s) for _, s in rows])
+
+    def encode(batches):
         prime, low = np.uint64(_PRIME), np.uint64(7)
-        state = np.tile(np.arange(8, dtype=np.uint64), (len(rows), 1))
-        addend, factor = np.zeros_like(state), np.ones(len(rows), np.uint64)
-        for j in range(longest):
-            on = (j < sizes)[:, None]
-            changed = state ^ symbols[:, j : j + 1]
-            addend = np.where(on, (addend + changed - state) * prime, addend)
-            state = np.where(on, (changed * prime) & low, state)
-            factor = np.where(on[:, 0], factor * prime, factor)
-        whole, sums, at = np.ones(1, np.uint64), np.zeros(8, np.uint64), np.arange(8)
-        for k in range(len(rows)):  # one block after another
-            sums, whole, at = sums * factor[k] + addend[k, at], whole * factor[k], state[k, at].astype(np.int64)
-        return pa.table({"g": table["g"][:1], "factor": [str(whole[0])], "addends": [[str(x) for x in sums]], "states": pa.array([at.tolist()], pa.list_(pa.int32()))})
-
-    h, mask = _BASIS, (1 << 64) - 1
-    for row in blocks.select((F.col("blk") / JOINED).cast("long").alias("g"), "blk", "seq").groupBy("g").applyInArrow(work, schema).orderBy("g").toLocalIterator():
-        h = (h * int(row["factor"]) + int(row["addends"][h & 7])) & mask
-    return h
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sizes = [np.diff(np.array(a) >> 16) for a in batch.column(2).to_pylist()]
+            spelled = [np.repeat(np.frombuffer(s.encode(), np.uint8) - 48, n) for s, n in zip(batch.column(1).to_pylist(), sizes)]
+            lengths = np.array([len(s) for s in spelled])
+            symbols = np.zeros((len(spelled), lengths.max()), np.uint64)
+            for k, s in enumerate(spelled):
+                symbols[k, : len(s)] = s
+            state = np.tile(np.arange(8, dtype=np.uint64), (len(spelled), 1))
+            addend, factor = np.zeros_like(state), np.ones(len(spelled), np.uint64)
+            for j in range(symbols.shape[1]):
+                on = (j < lengths)[:, None]
+                changed = state ^ symbols[:, j : j + 1]
+                addend = np.where(on, (addend + changed - state) * prime, addend)
+                state = np.where(on, (changed * prime) & low, state)
+                factor = np.where(on[:, 0], factor * prime, factor)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(factor.astype(str).tolist()), pa.array(addend.astype(str).tolist(), pa.list_(pa.string())), pa.array(state.astype(np.int32).tolist(), pa.list_(pa.int32()))], names=["g", "factor", "addends", "states"])
+
+    def join(key, table):
+        rows = sorted(zip(*(table[c].to_pylist() for c in ("g", "factor", "addends", "states"))))
+        factor, sums, at, mask = 1, [0] * 8, list(range(8)), (1 << 64) - 1
+        for _, f, a, states in rows:
+            f = int(f)
+            sums, factor, at = [(s * f + int(a[k])) & mask for s, k in zip(sums, at)], factor * f & mask, [states[k] for k in at]
+        return pa.table({"g": [key[0].as_py()], "factor": [str(factor)], "addends": [[str(x) for x in sums]], "states": pa.array([at], pa.list_(pa.int32()))})
+
+    now = blocks.select("blk", "sym", "at").mapInArrow(encode, _MAPS)
+    last = blocks.agg(F.max("blk")).first()[0] or 0
+    while True:
+        now, last = now.groupBy(cell("g", joined).alias("k")).applyInArrow(join, _MAPS), last // joined
+        if not last:
+            return now
+
+
+def hash_of(maps: DataFrame) -> DataFrame:
+    """One row with ``fnv1a``, 16 hexadecimal digits: the hash that a content map gives; that of nothing without one."""
+    mask, low = (1 << 64) - 1, _BASIS & 7
+
+    def apply(batches):
+        h = _BASIS
+        for batch in batches:
+            for factor, addends in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                h = (h * int(factor) + int(addends[low])) & mask
+        yield pa.RecordBatch.from_arrays([pa.array([f"{h:016x}"])], names=["fnv1a"])
+
+    return maps.select("factor", "addends").coalesce(1).mapInArrow(apply, "fnv1a string")  # a row at most
+
+
+def content_hash(blocks: DataFrame) -> int:
+    """FNV-1a (64 bits) over the comp values of blocks in order, for comparison with other tools."""
+    return int(hash_of(content_map(blocks)).first()[0], 16)

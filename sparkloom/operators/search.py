@@ -7,57 +7,94 @@ inside a pattern has no meaning.
 
 from __future__ import annotations
 
+from functools import reduce
+from os.path import commonprefix
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.alphabet import encode_pattern
 from ..plans.order import spread
-from ..plans.shared import forget, materialize
+from ..plans.shared import materialize
 from . import lookups
 from .runs import SAMPLE
 
-#: Rounds of a search between two written states.
-ROUNDS = 4
-
-
 def read_patterns(spark, path: str) -> DataFrame:
     """One pattern a line, empty lines and carriage returns left out; a missing file is an error. Ids are places in the file's order of lines."""
     lines = spark.read.text(path).select(F.regexp_replace("value", "\r$", "").alias("pattern"), F.monotonically_increasing_id().alias("pattern_id"))
     return lines.where("pattern <> ''").select("pattern_id", "pattern")
 
 
+def reverse_tree(strings: DataFrame) -> DataFrame:
+    """(key, p, n, parts, origin) of distinct strings(p) of n symbols: strings that end alike share that end.
+
+    Read from the right, a string leaves the one with the number ``origin`` after ``parts`` symbols (null and 0 where it shares nothing), so all its ends of
+    up to ``parts`` symbols are ends of that one. Strings are dealt out and sorted from the right; those of different tasks share nothing, which costs lookups only.
+    """
+    ordered = strings.select("p", F.reverse("p").alias("back")).repartitionByRange("back").sortWithinPartitions("back").select("p", "back", F.monotonically_increasing_id().alias("key"))
+
+    def walk(batches):
+        before, path = "", []  # the string before, and whose its ends are: (from how many symbols on, key)
+        for batch in batches:
+            parts, origins = [], []
+            for back, key in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                n = len(commonprefix((before, back)))
+                while path and path[-1][0] >= n:
+                    path.pop()
+                parts.append(n)
+                origins.append(path[-1][1] if path and n else None)
+                path.append((n, key))
+                before = back
+            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(0), pa.array([len(p) for p in batch.column(0).to_pylist()], pa.int32()), pa.array(parts, pa.int32()), pa.array(origins, pa.int64())], names=["key", "p", "n", "parts", "origin"])
+
+    return materialize(ordered.mapInArrow(walk, "key long, p string, n int, parts int, origin long"), "patterns")
+
+
 def find(patterns: DataFrame, blocks: DataFrame, counts: list[int], order: str = "default", size: int = SAMPLE) -> DataFrame:
     """``patterns`` with the half-open suffix range [lo, hi) of each, by backward search over all patterns at once.
 
-    Each round takes the last symbol of every pattern whose range is not empty
-    and maps both ends of its range. An empty pattern has the whole range;
+    Round d takes the d-th symbol from the right of every pattern that is as long, whose range is not empty and that shares those
+    d symbols with no pattern before it; the others join in where they part. Patterns that end or occur no more leave. So what is asked is
+    a node of the patterns' reverse tree, once, and only questions move: the blocks stay in their buckets. An empty pattern has the whole range;
     null patterns too count as empty. Patterns that do not occur have an empty range (lo = hi).
     """
-    named = patterns.select("pattern_id", F.coalesce(encode_pattern(F.col("pattern"), order), F.lit("")).alias("rest")).distinct()
+    named = patterns.select("pattern_id", F.coalesce(encode_pattern(F.col("pattern"), order), F.lit("")).alias("p")).distinct()
+    tree = reverse_tree(named.select("p").distinct())
     total, below = sum(counts), lookups.smaller(counts)
-    state = materialize(named.withColumn("key", F.col("rest")).select("key", "rest").distinct().select("key", "rest", F.lit(0).cast("long").alias("lo"), F.lit(total).cast("long").alias("hi")), "search")
-    longest = state.agg(F.max(F.length("rest"))).first()[0] or 0
-    done = 0
-    while done < longest:
-        now = state
-        for k in range(min(ROUNDS, longest - done)):
-            active = (F.col("rest") != "") & (F.col("lo") < F.col("hi"))
-            asked = now.withColumn("c", F.when(active, F.ascii(F.substr("rest", F.length("rest"))) - 48))
-            if done == k == 0:  # the first symbol's range follows from the counts alone
-                start = lambda n: F.element_at(F.array(*(F.lit(x).cast("long") for x in n)), F.col("c") + 1)
-                mapped = asked.withColumn("lo2", start(below)).withColumn("hi2", start([b + n for b, n in zip(below, counts)]))
-            else:
-                mapped = lookups.lf(lookups.lf(asked, blocks, counts, "lo", "c", "lo2", size), blocks, counts, "hi", "c", "hi2", size)
-            stay = F.col("c").isNull()
-            rest = F.when(stay, F.col("rest")).otherwise(F.substr("rest", F.lit(1), F.length("rest") - 1))
-            now = mapped.select("key", rest.alias("rest"), F.when(stay, F.col("lo")).otherwise(F.col("lo2")).alias("lo"), F.when(stay, F.col("hi")).otherwise(F.col("hi2")).alias("hi"))
-        after = materialize(now, "search")
-        forget(state)
-        state, done = after, done + ROUNDS
-    found = named.join(state.select(F.col("key").alias("rest"), "lo", F.greatest("lo", "hi").alias("hi")), "rest").select("pattern_id", "lo", "hi")
+    lengths = {r[0] for r in tree.select("n").distinct().collect()}  # numbers up to the longest pattern's
+    leaves = {r[0] for r in tree.where("parts > 0").select("parts").distinct().collect()}
+    live = tree.where("parts = 0").select("key", "p", "n", F.lit(0).cast("long").alias("lo"), F.lit(total).cast("long").alias("hi"))
+    done = [live.where("n = 0").select("p", "lo", "hi")]
+    for d in range(1, max(lengths, default=0) + 1):
+        asked = live.where(F.col("n") >= d).withColumn("c", F.ascii(F.substr("p", F.col("n") - (d - 1), F.lit(1))) - 48)
+        if d == 1:  # the first symbol's range follows from the counts alone
+            start = lambda n: F.element_at(F.array(*(F.lit(x).cast("long") for x in n)), F.col("c") + 1)
+            mapped = asked.select("key", "p", "n", start(below).alias("lo"), start([b + n for b, n in zip(below, counts)]).alias("hi"))
+        else:
+            mapped = mapped_ends(asked, blocks, counts, size, size_of_live <= lookups.SENT // 2)
+        after = materialize(mapped.where("lo < hi"), "search")
+        kept = [after]
+        if d in leaves:
+            joining = tree.where(F.col("parts") == d).select("key", "p", "n", F.col("origin").alias("_origin"))
+            kept.append(materialize(joining.join(after.select(F.col("key").alias("_origin"), "lo", "hi"), "_origin").select("key", "p", "n", "lo", "hi"), "search"))
+        if d in lengths:
+            done.append(after.where(F.col("n") == d).select("p", "lo", "hi"))
+        live = reduce(DataFrame.unionByName, kept).where(F.col("n") > d)
+        size_of_live = live.count()
+        if not size_of_live:
+            break
+    found = named.join(reduce(DataFrame.unionByName, done), "p", "left").select("pattern_id", F.coalesce("lo", F.lit(0)).alias("lo"), F.coalesce("hi", F.lit(0)).alias("hi"))
     return patterns.join(found, "pattern_id", "left")
 
 
+def mapped_ends(asked: DataFrame, blocks: DataFrame, counts: list[int], size: int, few: bool) -> DataFrame:
+    """(key, p, n, lo, hi) of asked(key, p, n, lo, hi, c): both ends of each range mapped by c, in one pass by the blocks."""
+    ends = asked.select("key", "p", "n", "c", F.explode(F.array("lo", "hi")).alias("end"))
+    mapped = lookups.lf(ends, blocks, counts, "end", "c", "to", size, few)
+    return mapped.groupBy("key").agg(F.any_value("p").alias("p"), F.any_value("n").alias("n"), F.min("to").alias("lo"), F.max("to").alias("hi"))
+
+
 def counts(found: DataFrame) -> DataFrame:
     """``found`` with ``matches``: how often each pattern occurs, overlaps included."""
     return found.withColumn("matches", F.col("hi") - F.col("lo"))

@@ -24,12 +24,19 @@ def texts_of(df: DataFrame, seq_id: Column, text: Column, order: str = "default"
     return df.select(seq_id.cast("long").alias("seq_id"), encode(F.coalesce(text, F.lit("")), order).alias("s"))
 
 
+#: Reads of a stretch: long texts are cut into stretches first, as places deep in a string are slow to reach.
+STRETCH = 96
+
+
 def reads_of(texts: DataFrame, length: int = READ) -> DataFrame:
     """Texts cut into reads, in order: read k of text i has seq_id i * 2**20 + k. An empty text is one empty read; a text of more reads is an error."""
-    others = [c for c in texts.columns if c not in ("seq_id", "s")]
-    parts = F.sequence(F.lit(0), F.greatest(F.ceil(F.length("s") / length).cast("int") - 1, F.lit(0)))
-    cut = texts.select(*others, "seq_id", "s", F.explode(parts).alias("k"))
-    return cut.select(*others, (F.col("seq_id") * (1 << 20) + F.when(F.col("k") < 1 << 20, F.col("k")).otherwise(F.raise_error(F.lit("a text of more than 2**20 reads")))).alias("seq_id"), F.substr("s", F.col("k") * length + 1, F.lit(length)).alias("s"))
+    others = [c for c in texts.columns if c not in ("s", "seq_id")]
+    parts = lambda n: F.sequence(F.lit(0), F.greatest(F.ceil(F.length("s") / n).cast("int") - 1, F.lit(0)))
+    far = texts.select(*others, "seq_id", "s", F.explode(parts(length * STRETCH)).alias("j")).select(*others, "seq_id", "j", F.substr("s", F.col("j") * (length * STRETCH) + 1, F.lit(length * STRETCH)).alias("s"))
+    near = far.select(*others, "seq_id", "j", "s", F.explode(parts(length)).alias("i"))
+    k = F.col("j") * STRETCH + F.col("i")
+    number = F.when(k < 1 << 20, k).otherwise(F.raise_error(F.lit("a text of more than 2**20 reads")))
+    return near.select(*others, (F.col("seq_id") * (1 << 20) + number).alias("seq_id"), F.substr("s", F.col("i") * length + 1, F.lit(length)).alias("s"))
 
 
 #: Symbols of a suffix that one long holds, as decimal digits.

@@ -48,16 +48,16 @@ def running(df: DataFrame, position: str, sums: dict[str, Column], block: int =
     """
     marked = df.select("*", cell(position, block).alias("_block"), *(c.cast("long").alias(f"_{k}") for k, c in sums.items()))
     totals = marked.groupBy("_block").agg(*(F.sum(f"_{k}").alias(f"_t_{k}") for k in sums))
-    bases = _before_blocks(totals, {f"_b_{k}": f"_t_{k}" for k in sums})
+    bases = before_blocks(totals, {f"_b_{k}": f"_t_{k}" for k in sums})
     inside = W.partitionBy("_block").orderBy(position).rowsBetween(W.unboundedPreceding, -1)
     return marked.join(bases, "_block").select(*df.columns, *((F.col(f"_b_{k}") + F.coalesce(F.sum(f"_{k}").over(inside), F.lit(0))).cast("long").alias(k) for k in sums))
 
 
-def _before_blocks(totals: DataFrame, sums: dict[str, str]) -> DataFrame:
-    """(_block, a column for each of ``sums``): the totals of all blocks before each, by groups of 65,536 blocks."""
-    totals = totals.withColumn("_group", F.shiftright("_block", 16))
+def before_blocks(totals: DataFrame, sums: dict[str, str], block: str = "_block") -> DataFrame:
+    """(block, a column for each of ``sums``): the totals of all blocks before each, by groups of 65,536 blocks; only the groups' sums meet in one window."""
+    totals = totals.withColumn("_group", F.shiftright(block, 16))
     groups = totals.groupBy("_group").agg(*(F.sum(t).alias(f"_g{t}") for t in sums.values()))
     before = lambda name, window: F.coalesce(F.sum(name).over(window.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     heads = groups.select("_group", *(before(f"_g{t}", W.orderBy("_group")).alias(f"_h{t}") for t in sums.values()))
-    near = totals.select("_block", "_group", *(before(t, W.partitionBy("_group").orderBy("_block")).alias(f"_n{t}") for t in sums.values()))
-    return near.join(heads, "_group").select("_block", *((F.col(f"_h{t}") + F.col(f"_n{t}")).cast("long").alias(n) for n, t in sums.items()))
+    near = totals.select(block, "_group", *(before(t, W.partitionBy("_group").orderBy(block)).alias(f"_n{t}") for t in sums.values()))
+    return near.join(heads, "_group").select(block, *((F.col(f"_h{t}") + F.col(f"_n{t}")).cast("long").alias(n) for n, t in sums.items()))

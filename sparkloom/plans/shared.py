@@ -19,7 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if "dir" not in _local:
         _local["dir"] = tempfile.mkdtemp(prefix="sparkloom-")
@@ -34,6 +35,27 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def laid_out(df: DataFrame, key: str, name: str, path: str | None = None) -> DataFrame:
+    """Write ``df`` once in buckets of ``key`` and read it back as a table that knows them.
+
+    A join on the key then moves the other side only. There are as many buckets as the session has shuffle partitions, so
+    neither side of such a join is dealt out again for more parallelism.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"sparkloom_{name}_{uuid.uuid4().hex}"
+    where = path or f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.repartition(n, key).sortWithinPartitions(key).write.bucketBy(n, key).sortBy(key).format("parquet").option("path", where).mode("overwrite").saveAsTable(table)
+    return spark.table(table)
+
+
+def opened(spark: SparkSession, path: str, key: str, name: str, buckets: int, schema: str) -> DataFrame:
+    """A table that ``laid_out`` wrote to ``path``, also in another session."""
+    table = f"sparkloom_{name}_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE TABLE {table} ({schema}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return spark.table(table)
+
+
 def forget(df: DataFrame) -> None:
     """Delete the files of a table that ``materialize`` wrote and nothing reads any more."""
     spark = df.sparkSession

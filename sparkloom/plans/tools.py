@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import merge as merging
-from ..operators import runs as run_operators
 from ..operators import search
 from ..operators.index import Index
 from ..sources import files
@@ -62,8 +61,7 @@ def load(spark: SparkSession, path: str, tag: str) -> tuple[Index, str]:
     if order == "any":
         head = files.inspect(spark, path).first()
         order = head["alphabet"] if head["alphabet"] in ("default", "sorted") else "default"
-    runs = files.read_runs(spark, path, tag)
-    return Index.of_bwt(run_operators.expand(runs), order), order
+    return Index.of_pieces(files.read_pieces(spark, path, tag), order), order
 
 
 def save(index: Index, path: str, tag: str, force: bool = False) -> dict:

@@ -67,7 +67,12 @@ def _empty_files(spark: SparkSession, paths) -> list[str]:
 
 
 def read_runs(spark: SparkSession, path: str, tag: str) -> DataFrame:
-    """Maximal runs(run_id, start, c, len) of one file, decoded chunk by chunk in parallel; the file must be under 2 GB."""
+    """Maximal runs(run_id, start, c, len) of one file."""
+    return run_operators.coalesce_runs(read_pieces(spark, path, tag))
+
+
+def read_pieces(spark: SparkSession, path: str, tag: str) -> DataFrame:
+    """Runs in pieces(start, c, len) as a file holds them, decoded chunk by chunk in parallel; the file must be under 2 GB."""
     _known(tag)
     # native arrays may end in free space, so the span comes from the header
     spans = spark.read.format("binaryFile").load(path).select("content", "length")
@@ -89,7 +94,7 @@ def read_runs(spark: SparkSession, path: str, tag: str) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"at": pa.array([k * CHUNK + i for i in range(len(symbols))], pa.int64()), "c": pa.array(symbols).cast(pa.int32()), "len": pa.array(lengths)})
 
     pieces = spans.mapInArrow(cut, "k long, data binary").repartition("k").mapInArrow(decode, "at long, c int, len long")
-    return run_operators.coalesce_runs(running(pieces, "at", {"start": F.col("len")}, CHUNK).select("start", "c", "len"))
+    return running(pieces, "at", {"start": F.col("len")}, CHUNK).select("start", "c", "len")
 
 
 def recode(runs: DataFrame, source: str, target: str) -> DataFrame:

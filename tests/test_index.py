@@ -44,7 +44,7 @@ def test_golden_transforms(example):
 def test_golden_runs_and_samples(example):
     found = [("$ACGTN"[r["c"]], r["len"]) for r in example["RS"].runs().orderBy("start").collect()]
     assert found == [("C", 2), ("G", 2), ("T", 3), ("C", 2), ("A", 2), ("G", 2), ("T", 1), ("$", 2), ("C", 1), ("A", 4), ("C", 2), ("A", 1)]
-    samples = runs.samples_of(runs.blocks_of(example["RS"].bwt, 8)).orderBy("block").collect()
+    samples = runs.samples_of(runs.blocks_of(example["RS"].runs(), 8)).orderBy("block").collect()
     assert [[r[f"n{k}"] for k in range(6)] for r in samples] == [[0, 0, 0, 0, 0, 0], [0, 0, 3, 2, 3, 0], [2, 2, 4, 4, 4, 0]]
     assert runs.content_hash(example["RS"].blocks) == 0x79184F66DA5567A2
 
@@ -144,7 +144,9 @@ def test_content_hash_of_many_blocks(spark):
     h = 0xCBF29CE484222325
     for c in symbols:
         h = (h ^ c) * 0x100000001B3 % (1 << 64)
-    assert runs.content_hash(runs.blocks_of(bwt, 64)) == h and runs.content_hash(runs.blocks_of(bwt.limit(0), 64)) == 0xCBF29CE484222325
+    blocks = runs.blocks_of(runs.pieces_of(bwt), 64)
+    assert runs.content_hash(blocks) == h and runs.content_hash(blocks.limit(0)) == 0xCBF29CE484222325
+    assert runs.hash_of(runs.content_map(blocks, 3)).first()[0] == f"{h:016x}"  # joined in many rounds
 
 
 def test_locate(spark):
