@@ -143,5 +143,5 @@ class Index:
 
 def _counts(blocks: DataFrame) -> list[int]:
     """The six counts: those before the last block, and those in it."""
-    row = blocks.orderBy(F.desc("blk")).limit(1).select(*(F.col(f"n{k}") + lookups._counted(F.length("sym"), F.lit(str(k))) for k in range(alphabets.SIGMA))).first()
+    row = blocks.orderBy(F.desc("blk")).limit(1).select(*(F.expr(f"n{k} + " + lookups.counted("length(sym)", repr(str(k)))) for k in range(alphabets.SIGMA))).first()
     return list(row) if row else [0] * alphabets.SIGMA

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.order import cell
-from ..plans.shared import forget, materialize
+from ..plans.shared import forget, materialize, materialize_counted
 from . import lookups
 
 #: Rounds at most: texts of up to 2**ROUNDS symbols.
@@ -70,17 +70,16 @@ def walked(at: DataFrame, index, step: int) -> DataFrame:
     """
     names = [n for n in at.columns if n != "pos"]
     places = index.places(step)
-    now, done = materialize(at.withColumn("_back", F.lit(0).cast("long")), "walk"), []
-    for _ in range(step):
-        n = now.count()
-        if not n:
-            break
+    (now, n), done = materialize_counted(at.withColumn("_back", F.lit(0).cast("long")), "walk"), []
+    while n:
         few = n <= lookups.SENT
-        met = materialize(places.join(F.broadcast(now) if few else now, "pos"), "met")
+        met, hits = materialize_counted(places.join(F.broadcast(now) if few else now, "pos"), "met")
         done.append(met.select(*names, "seq_id", (F.col("off") + F.col("_back")).alias("off")))
+        if hits == n:
+            break
         ahead = now.join(met.select("pos").distinct(), "pos", "left_anti")
         stepped = lookups.step_back(ahead, index.blocks, index.counts, size=index.block_size, few=few)
-        now = materialize(stepped.select("pos", (F.col("_back") + 1).alias("_back"), *names), "walk")
+        now, n = materialize_counted(stepped.select("pos", (F.col("_back") + 1).alias("_back"), *names), "walk")
     out = done[0] if done else now.select(*names, F.lit(0).cast("long").alias("seq_id"), F.lit(0).cast("long").alias("off"))
     for part in done[1:]:
         out = out.unionByName(part)

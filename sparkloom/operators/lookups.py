@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.alphabet import SIGMA
 from ..plans.order import cell
-from .runs import SAMPLE, before_in, run_rows, start_of
+from .runs import SAMPLE, run_rows, start_of
 
 #: Questions that are sent to all workers at most, a few numbers each.
 SENT = 1 << 17
@@ -27,12 +27,44 @@ def smaller(counts: list[int]) -> list[int]:
     return [sum(counts[:k]) for k in range(len(counts))]
 
 
-def _one_of(c: Column, values: list) -> Column:
+# What is asked inside a block is written as SQL text: it says the same for every lookup, and the session parses it faster than columns can be put together.
+
+
+def _one_of(c: str, values: list) -> str:
     """The value for the symbol ``c``; 0 for other symbols."""
-    out = F.lit(0).cast("long")
-    for k, v in enumerate(values):
-        out = F.when(c == k, v if isinstance(v, Column) else F.lit(v).cast("long")).otherwise(out)
-    return out
+    return f"CASE {c} " + " ".join(f"WHEN {k} THEN {v if isinstance(v, str) else f'{v}L'}" for k, v in enumerate(values)) + " ELSE 0L END"
+
+
+#: Counts before the block by symbol.
+_BEFORE = [f"n{k}" for k in range(SIGMA)]
+
+
+def _halved(most: int, holds: str, size: str) -> str:
+    """The largest k up to ``size`` (at most ``most``) for which ``holds`` of ``m`` = k does, or 0, if it holds up to some k only: found by halving."""
+    steps = ", ".join(str(1 << k) for k in range(most.bit_length() - 1, -1, -1))
+    return f"aggregate(array({steps}), 0, (k, step) -> if(k + step <= {size} AND get(transform(array(k + step), m -> {holds}), 0), k + step, k))"
+
+
+def _run(offset: str, size: int) -> str:
+    """How many runs of the block start before ``offset``."""
+    return _halved(size, f"shiftright(get(at, m - 1), 16) < {offset}", "length(sym)")
+
+
+def _last(runs: str, c: str) -> str:
+    """Which of the first ``runs`` runs of the block is the last of ``c`` (a digit), from 1; 0 without one."""
+    return f"{runs} - length(substring_index(substr(sym, 1, {runs}), {c}, -1))"
+
+
+def _inside(c: str) -> str:
+    """How often ``c`` (a digit) occurs in the block before place ``_o``, of which ``_k`` runs start before it: what its last run before counts, and as much of that run as lies before."""
+    within = "if(j > 0, (get(at, j - 1) & 65535) + least(_o, shiftright(get(at, j), 16)) - shiftright(get(at, j - 1), 16), 0)"
+    return f"cast(get(transform(array({_last('_k', c)}), j -> {within}), 0) AS LONG)"
+
+
+def counted(runs: str, c: str) -> str:
+    """How often ``c`` (a digit) occurs in the first ``runs`` runs of the block."""
+    within = "if(j > 0, (get(at, j - 1) & 65535) + shiftright(get(at, j), 16) - shiftright(get(at, j - 1), 16), 0)"
+    return f"get(transform(array({_last(runs, c)}), j -> {within}), 0)"
 
 
 def _question(at: DataFrame) -> Column:
@@ -40,8 +72,8 @@ def _question(at: DataFrame) -> Column:
     return F.struct(*(F.col(f"`{n}`").alias(n) for n in at.columns)).alias("_q")
 
 
-def _asked(name: str) -> Column:
-    return F.col("_q")[name]
+def _asked(name: str) -> str:
+    return f"_q.`{name}`"
 
 
 def meet(at: DataFrame, blocks: DataFrame, counts: list[int], pos: str, size: int, few: bool = False) -> DataFrame:
@@ -56,33 +88,8 @@ def meet(at: DataFrame, blocks: DataFrame, counts: list[int], pos: str, size: in
     return blocks.join(F.broadcast(asked) if few else asked, "blk").withColumn("_o", (F.col("_i") - F.col("start_pos")).cast("int"))
 
 
-def _run(offset: Column, size: int) -> Column:
-    """How many runs of the block start before ``offset``: found by halving."""
-    steps = F.array(*(F.lit(1 << k) for k in range(size.bit_length() - 1, -1, -1)))
-    return F.aggregate(steps, F.lit(0), lambda k, step: F.when((k + step <= F.length("sym")) & (start_of(F.get("at", k + step - 1)) < offset), k + step).otherwise(k))
-
-
-def _after_last(digits: Column, c: Column) -> Column:
-    """What stands behind the last ``c``; all of it without one."""
-    return F.call_function("substring_index", digits, c, F.lit(-1))
-
-
-def _inside(c: Column) -> Column:
-    """How often ``c`` (a digit) occurs in the block before place ``_o``, of which ``_k`` runs start before it: what its last run before counts, and as much of that run as lies before."""
-    head = F.substr("sym", F.lit(1), F.col("_k"))
-    j = F.col("_k") - F.length(_after_last(head, c))  # the last run of c among them, from 1
-    entry = F.get("at", j - 1)
-    return F.when(j > 0, before_in(entry) + F.least(F.col("_o"), start_of(F.get("at", j))) - start_of(entry)).otherwise(0).cast("long")
-
-
-def _counted(runs: Column, c: Column) -> Column:
-    """How often ``c`` (a digit) occurs in the first ``runs`` runs of the block."""
-    j = runs - F.length(_after_last(F.substr("sym", F.lit(1), runs), c))
-    return F.when(j > 0, before_in(F.get("at", j - 1)) + start_of(F.get("at", j)) - start_of(F.get("at", j - 1))).otherwise(0)
-
-
 def _tidy(met: DataFrame, at: DataFrame, *more) -> DataFrame:
-    return met.select(*(_asked(n).alias(n) for n in at.columns), *more)
+    return met.select(*(F.expr(_asked(n)).alias(n) for n in at.columns), *more)
 
 
 def _whole(found: DataFrame, at: DataFrame, counts: list[int], out: list[str]) -> DataFrame:
@@ -92,16 +99,24 @@ def _whole(found: DataFrame, at: DataFrame, counts: list[int], out: list[str]) -
 
 def rank(at: DataFrame, blocks: DataFrame, counts: list[int], pos: str = "i", c: str = "c", out: str = "rank", size: int = SAMPLE, few: bool = False) -> DataFrame:
     """``at`` with how often symbol ``c`` occurs before position ``pos``; 0 for other symbols and null ones; positions past the end count as the end."""
-    met = meet(at, blocks, counts, pos, size, few).withColumn("_k", _run(F.col("_o"), size))
-    value = F.when(_asked(c).between(0, SIGMA - 1), _one_of(_asked(c), [F.col(f"n{k}") for k in range(SIGMA)]) + _inside(_asked(c).cast("string"))).otherwise(0)
-    return _whole(_tidy(met, at, value.alias(out)), at, counts, [out])
+    met = meet(at, blocks, counts, pos, size, few).withColumn("_k", F.expr(_run("_o", size)))
+    value = f"if({_asked(c)} BETWEEN 0 AND {SIGMA - 1}, {_one_of(_asked(c), _BEFORE)} + {_inside(f'string({_asked(c)})')}, 0L)"
+    return _whole(_tidy(met, at, F.expr(value).alias(out)), at, counts, [out])
 
 
 def ranks(at: DataFrame, blocks: DataFrame, counts: list[int], pos: str = "i", size: int = SAMPLE, few: bool = False) -> DataFrame:
     """``at`` with r1 to r5: the ranks of all symbols but the end marker, from one look at the block."""
-    met = meet(at, blocks, counts, pos, size, few).withColumn("_k", _run(F.col("_o"), size))
+    met = meet(at, blocks, counts, pos, size, few).withColumn("_k", F.expr(_run("_o", size)))
     names = [f"r{k}" for k in range(1, SIGMA)]
-    return _whole(_tidy(met, at, *((F.col(f"n{k}") + _inside(F.lit(str(k)))).alias(f"r{k}") for k in range(1, SIGMA))), at, counts, names)
+    return _whole(_tidy(met, at, *(F.expr(f"n{k} + {_inside(repr(str(k)))}").alias(f"r{k}") for k in range(1, SIGMA))), at, counts, names)
+
+
+def ranks_together(at: DataFrame, blocks: DataFrame, n: int, size: int = SAMPLE, few: bool = False) -> DataFrame:
+    """``at``(coll, pos, total, ...) with r1 to r5, for the blocks of ``n`` transforms laid out together: block b of transform ``coll`` has the number b * n + coll. total: positions of that transform, more than none."""
+    asked = at.select(_question(at), F.least(F.greatest(F.col("pos"), F.lit(0)), F.col("total")).cast("long").alias("_i"), "total", "coll")
+    asked = asked.select("_q", "_i", (F.least(cell("_i", size), cell(F.col("total") - 1, size)) * n + F.col("coll")).alias("blk"))
+    met = blocks.join(F.broadcast(asked) if few else asked, "blk").withColumn("_o", (F.col("_i") - F.col("start_pos")).cast("int")).withColumn("_k", F.expr(_run("_o", size)))
+    return _tidy(met, at, *(F.expr(f"n{k} + {_inside(repr(str(k)))}").alias(f"r{k}") for k in range(1, SIGMA)))
 
 
 def range_ranks(at: DataFrame, blocks: DataFrame, counts: list[int], lo: str = "lo", hi: str = "hi", size: int = SAMPLE, few: bool = False) -> DataFrame:
@@ -112,12 +127,10 @@ def range_ranks(at: DataFrame, blocks: DataFrame, counts: list[int], lo: str = "
 
 def inverse_select(at: DataFrame, blocks: DataFrame, counts: list[int], pos: str = "i", size: int = SAMPLE, few: bool = False) -> DataFrame:
     """``at`` with c and r: the symbol at each position and its rank there, from one look at the block; both 0 outside."""
-    met = meet(at, blocks, counts, pos, size, few).withColumn("_k", _run(F.col("_o") + 1, size))
-    outside = (_asked(pos) < 0) | (_asked(pos) >= sum(counts)) | _asked(pos).isNull()
-    symbol, entry = F.ascii(F.substr("sym", "_k", F.lit(1))) - 48, F.get("at", F.col("_k") - 1)
-    found = met.withColumn("_c", symbol)
-    value = _one_of(F.col("_c"), [F.col(f"n{k}") for k in range(SIGMA)]) + before_in(entry) + F.col("_o") - start_of(entry)
-    done = _tidy(found, at, F.when(outside, 0).otherwise(F.col("_c")).alias("c"), F.when(outside, 0).otherwise(value).cast("long").alias("r"))
+    met = meet(at, blocks, counts, pos, size, few).withColumn("_k", F.expr(_run("_o + 1", size))).withColumn("_c", F.expr("ascii(substr(sym, _k, 1)) - 48"))
+    outside = f"coalesce({_asked(pos)} < 0 OR {_asked(pos)} >= {sum(counts)}, true)"
+    value = f"{_one_of('_c', _BEFORE)} + (get(at, _k - 1) & 65535) + _o - shiftright(get(at, _k - 1), 16)"
+    done = _tidy(met, at, F.expr(f"if({outside}, 0, _c)").alias("c"), F.expr(f"if({outside}, 0L, {value})").alias("r"))
     return done if sum(counts) else at.select("*", F.lit(0).alias("c"), F.lit(0).cast("long").alias("r"))
 
 
@@ -133,11 +146,11 @@ def extract(ranges: DataFrame, blocks: DataFrame, counts: list[int], lo: str = "
     good = ranges.where((F.col(lo) >= 0) & (F.col(lo) < F.col(hi)) & (F.col(hi) <= sum(counts))).distinct()
     cells = good.select(_question(good), F.explode(F.sequence(cell(lo, size), cell(F.col(hi) - 1, size))).alias("blk"))
     met = blocks.join(cells, "blk")
-    low, high = F.greatest(_asked(lo) - F.col("start_pos"), F.lit(0)), F.least(_asked(hi) - F.col("start_pos"), F.lit(size))
+    low, high = F.expr(f"greatest({_asked(lo)} - start_pos, 0L)"), F.expr(f"least({_asked(hi)} - start_pos, {size}L)")
     held = lambda j: F.least(start_of(F.get("at", j)), high) - F.greatest(start_of(F.get("at", j - 1)), low)
     piece = F.array_join(F.transform(F.sequence(F.lit(1), F.length("sym")), lambda j: F.repeat(F.substr("sym", j, F.lit(1)), held(j).cast("int"))), "")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("blk", piece.alias("p")))), lambda x: x["p"]), "")
-    found = met.groupBy("_q").agg(joined.alias(out)).select(*(_asked(k).alias(f"_{k}") for k in keys), out)
+    found = met.groupBy("_q").agg(joined.alias(out)).select(*(F.expr(_asked(k)).alias(f"_{k}") for k in keys), out)
     same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
     return ranges.join(found, same, "left").select(*keys, out)
 
@@ -149,7 +162,7 @@ def edges(blocks: DataFrame, counts: list[int]) -> DataFrame:
     """
     each = run_rows(blocks).select("start", "c", "r", F.explode(F.sequence(F.lit(0).cast("long"), F.col("len") - 1)).alias("j"))
     ranked = each.select((F.col("start") + F.col("j")).alias("pos"), "c", (F.col("r") + F.col("j")).alias("r"))
-    return ranked.select("pos", "c", "r", (_one_of(F.col("c"), smaller(counts)) + F.col("r")).alias("lf"))
+    return ranked.select("pos", "c", "r", F.expr(f"{_one_of('c', smaller(counts))} + r").alias("lf"))
 
 
 def directory(blocks: DataFrame, counts: list[int]) -> DataFrame:
@@ -157,7 +170,7 @@ def directory(blocks: DataFrame, counts: list[int]) -> DataFrame:
 
     The number of a cell is that of its stretch of occurrences, times 8, and the symbol. A cell has STRIDE blocks at most.
     """
-    each = F.array(*(F.struct(F.lit(k).alias("c"), F.col(f"n{k}").alias("n"), _counted(F.length("sym"), F.lit(str(k))).alias("m")) for k in range(SIGMA)))
+    each = F.array(*(F.struct(F.lit(k).alias("c"), F.col(f"n{k}").alias("n"), F.expr(counted("length(sym)", repr(str(k)))).alias("m")) for k in range(SIGMA)))
     rows = blocks.select("blk", F.explode(each).alias("x")).where("x.m > 0")
     first, last = cell("x.n", STRIDE), cell(F.col("x.n") + F.col("x.m") - 1, STRIDE)
     cells = rows.select("x.c", "x.n", "blk", F.explode(F.sequence(first, last)).alias("g")).select((F.col("g") * 8 + F.col("c")).alias("cell"), F.struct(F.col("n").alias("before"), "blk").alias("b"))
@@ -170,27 +183,21 @@ def select(at: DataFrame, directory: DataFrame, blocks: DataFrame, counts: list[
     The directory names the block by an equi-join on the stretch of occurrences, and a second one looks into that block. Both tables stay where they are.
     """
     total = sum(counts)
-    names = at.columns
-    good = (F.col(i) >= 1) & (F.col(i) <= _one_of(F.col(c), counts))
+    good = F.expr(f"coalesce(`{i}` >= 1 AND `{i}` <= {_one_of(f'`{c}`', counts)}, false)")
     there = at.where(good).select(_question(at), (F.col(i) - 1).cast("long").alias("_z"), F.col(c).alias("_c"))
     there = there.withColumn("cell", cell("_z", STRIDE) * 8 + F.col("_c"))
-    steps = F.array(*(F.lit(1 << k) for k in range(STRIDE.bit_length() - 1, -1, -1)))
-    place = F.aggregate(steps, F.lit(0), lambda k, step: F.when(F.get("held", k + step - 1)["before"] <= F.col("_z"), k + step).otherwise(k))
-    named = directory.join(there, "cell").select("_q", "_z", "_c", F.get("held", place - 1)["blk"].alias("blk"))
-    met = blocks.join(named, "blk").withColumn("_in", (F.col("_z") - _one_of(F.col("_c"), [F.col(f"n{k}") for k in range(SIGMA)])).cast("int"))
-    digit = F.col("_c").cast("string")
-    halves = F.array(*(F.lit(1 << k) for k in range(size.bit_length() - 1, -1, -1)))
-    run = F.aggregate(halves, F.lit(0), lambda k, step: F.when((k + step <= F.length("sym")) & (_counted(k + step, digit) <= F.col("_in")), k + step).otherwise(k))
-    entry = F.get("at", F.col("_run"))  # the runs before hold fewer, so the occurrence stands in this one
-    found = _tidy(met.withColumn("_run", run), at, (F.col("start_pos") + start_of(entry) + F.col("_in") - before_in(entry)).cast("long").alias(out))
-    rest = at.where(~F.coalesce(good, F.lit(False))).select(*names, F.when(F.col(i) <= 0, 0).otherwise(total).cast("long").alias(out))
-    return found.unionByName(rest)
+    place = _halved(STRIDE, "get(held, m - 1).before <= _z", "size(held)")
+    named = directory.join(there, "cell").select("_q", "_z", "_c", F.expr(f"get(held, {place} - 1).blk").alias("blk"))
+    met = blocks.join(named, "blk").withColumn("_in", F.expr(f"int(_z - {_one_of('_c', _BEFORE)})"))
+    run = _halved(size, f"{counted('m', 'string(_c)')} <= _in", "length(sym)")  # the runs before hold fewer, so the occurrence stands in the one behind them
+    found = _tidy(met.withColumn("_e", F.expr(f"get(at, {run})")), at, F.expr("start_pos + shiftright(_e, 16) + _in - (_e & 65535)").alias(out))
+    return found.unionByName(at.where(~good).select("*", F.when(F.col(i) <= 0, 0).otherwise(total).cast("long").alias(out)))
 
 
 def lf(at: DataFrame, blocks: DataFrame, counts: list[int], pos: str = "i", c: str = "c", out: str = "lf", size: int = SAMPLE, few: bool = False) -> DataFrame:
     """``at`` with the position that ``c`` before position ``pos`` maps to: the symbols smaller than c, and c's rank."""
     ranked = rank(at, blocks, counts, pos, c, "_rank", size, few)
-    return ranked.withColumn(out, _one_of(F.col(c), smaller(counts)) + F.col("_rank")).drop("_rank")
+    return ranked.withColumn(out, F.expr(f"{_one_of(f'`{c}`', smaller(counts))} + _rank")).drop("_rank")
 
 
 def lf_all(at: DataFrame, blocks: DataFrame, counts: list[int], pos: str = "i", size: int = SAMPLE) -> DataFrame:
@@ -203,7 +210,7 @@ def step_back(at: DataFrame, blocks: DataFrame, counts: list[int], pos: str = "p
     """``at`` with ``c``, the symbol before the suffix at each position, and ``pos`` of the suffix that begins with it (unchanged where c is the end marker)."""
     names = [n for n in at.columns if n not in ("c", "r")]
     found = inverse_select(at.select(*names), blocks, counts, pos, size, few)
-    return found.select(*(n for n in names if n != pos), "c", F.when(F.col("c") > 0, _one_of(F.col("c"), smaller(counts)) + F.col("r")).otherwise(F.col(pos)).alias(pos))
+    return found.select(*(n for n in names if n != pos), "c", F.expr(f"if(c > 0, {_one_of('c', smaller(counts))} + r, `{pos}`)").alias(pos))
 
 
 def psi(lf_edges: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.alphabet import SIGMA
 from ..plans.order import cell, positions, running
-from ..plans.shared import materialize
+from ..plans.shared import laid_out, materialize, materialize_counted
 from . import lookups, search, transform
 from .runs import start_of
 
@@ -47,32 +47,35 @@ def spans_of_indexes(indexes: list) -> DataFrame:
 
     All suffixes of all indexes are spelled right to left, level by level; a suffix is its range in each index. Before the rows of a suffix come
     the rows before its range in every index, and those of it in the indexes before. Rounds: one more than the longest
-    text. Each round asks every index once and maps each suffix by every symbol; suffixes that no index has drop out.
+    text. The blocks of all indexes are laid out together once, so a round asks them all in one join that does not move
+    them, and maps each suffix by every symbol; suffixes that no index has drop out.
     """
-    spark = indexes[0].blocks.sparkSession
-    every = range(len(indexes))
+    spark, every, n = indexes[0].blocks.sparkSession, range(len(indexes)), len(indexes)
+    size = indexes[0].block_size
+    if any(index.block_size != size for index in indexes):
+        raise ValueError("the indexes' blocks differ in size")
+    together = laid_out(reduce(DataFrame.unionByName, (x.blocks.withColumn("blk", F.col("blk") * n + i) for i, x in enumerate(indexes))), "blk", "together")
     level = spark.createDataFrame([tuple(x for index in indexes for x in (0, index.sequences))], ", ".join(f"lo{i} long, hi{i} long" for i in every))
-    levels = []
-    below = [lookups.smaller(index.counts) for index in indexes]
-    while True:
-        level = materialize(level, "level")
-        count = level.count()
-        if not count:
-            break
+    level, count = materialize_counted(level.withColumn("id", F.monotonically_increasing_id()), "level")
+    below, levels = [lookups.smaller(index.counts) for index in indexes], []
+    while count:
         levels.append(level)
-        asked, few = level, count <= lookups.SENT
-        for i, index in enumerate(indexes):
-            asked = lookups.range_ranks(asked, index.blocks, index.counts, f"lo{i}", f"hi{i}", index.block_size, few)
-            asked = asked.withColumnsRenamed({f"r{k}_{e}": f"r{i}_{k}_{e}" for k in range(1, SIGMA) for e in ("lo", "hi")})
-        steps = F.array(*(F.struct(*((F.col(f"r{i}_{k}_{e}") + below[i][k]).alias(f"{e}{i}") for i in every for e in ("lo", "hi"))) for k in range(1, SIGMA)))
+        ends = F.array(*(F.struct(F.lit(i).alias("coll"), F.lit(e).alias("end"), F.col(f"{e}{i}").alias("pos"), F.lit(index.bases).cast("long").alias("total")) for i, index in enumerate(indexes) for e in ("lo", "hi") if index.bases))
+        asked = level.select("id", F.explode(ends).alias("x")).select("id", "x.*")
+        found = lookups.ranks_together(asked, together, n, size, 2 * n * count <= lookups.SENT)
+        values = [F.any_value(F.when((F.col("coll") == i) & (F.col("end") == e), F.array(*(F.col(f"r{k}") for k in range(1, SIGMA)))), ignoreNulls=True).alias(f"{e}{i}") for i in every for e in ("lo", "hi")]
+        at = lambda i, e, k: F.coalesce(F.get(f"{e}{i}", F.lit(k - 1)), F.lit(0)) + below[i][k]
+        steps = F.array(*(F.struct(*(at(i, e, k).alias(f"{e}{i}") for i in every for e in ("lo", "hi"))) for k in range(1, SIGMA)))
         any_left = reduce(lambda x, y: x | y, (F.col(f"lo{i}") < F.col(f"hi{i}") for i in every))
-        level = asked.select(F.explode(steps).alias("x")).select("x.*").where(any_left)
+        following = found.groupBy("id").agg(*values).select(F.explode(steps).alias("x")).select("x.*").where(any_left)
+        level, count = materialize_counted(following.withColumn("id", F.monotonically_increasing_id()), "level")
     before = reduce(lambda x, y: x + y, (F.col(f"lo{i}") for i in every))
     rows, ahead = [], before
     for i in every:
         rows.append(F.struct(F.lit(i).alias("coll"), F.col(f"lo{i}").alias("lo"), F.col(f"hi{i}").alias("hi"), ahead.alias("to")))
         ahead = ahead + F.col(f"hi{i}") - F.col(f"lo{i}")
-    return reduce(DataFrame.unionByName, levels).select(F.explode(F.array(*rows)).alias("x")).select("x.*").where("lo < hi")
+    whole = reduce(DataFrame.unionByName, levels) if levels else level
+    return whole.select(F.explode(F.array(*rows)).alias("x")).select("x.*").where("lo < hi")
 
 
 def placed(index, spans: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.alphabet import encode_pattern
 from ..plans.order import spread
-from ..plans.shared import materialize
+from ..plans.shared import materialize, materialize_counted
 from . import lookups
 from .runs import SAMPLE
 
@@ -73,16 +73,18 @@ def find(patterns: DataFrame, blocks: DataFrame, counts: list[int], order: str =
             mapped = asked.select("key", "p", "n", start(below).alias("lo"), start([b + n for b, n in zip(below, counts)]).alias("hi"))
         else:
             mapped = mapped_ends(asked, blocks, counts, size, size_of_live <= lookups.SENT // 2)
-        after = materialize(mapped.where("lo < hi"), "search")
+        after, left = materialize_counted(mapped.where("lo < hi"), "search")
         kept = [after]
         if d in leaves:
             joining = tree.where(F.col("parts") == d).select("key", "p", "n", F.col("origin").alias("_origin"))
-            kept.append(materialize(joining.join(after.select(F.col("key").alias("_origin"), "lo", "hi"), "_origin").select("key", "p", "n", "lo", "hi"), "search"))
+            whose = after.select(F.col("key").alias("_origin"), "lo", "hi")
+            joined, more = materialize_counted(joining.join(F.broadcast(whose) if left <= lookups.SENT else whose, "_origin").select("key", "p", "n", "lo", "hi"), "search")
+            kept.append(joined)
+            left += more
         if d in lengths:
-            done.append(after.where(F.col("n") == d).select("p", "lo", "hi"))
-        live = reduce(DataFrame.unionByName, kept).where(F.col("n") > d)
-        size_of_live = live.count()
-        if not size_of_live:
+            done += [part.where(F.col("n") == d).select("p", "lo", "hi") for part in kept]
+        live, size_of_live = reduce(DataFrame.unionByName, kept).where(F.col("n") > d), left
+        if not left:
             break
     found = named.join(reduce(DataFrame.unionByName, done), "p", "left").select("pattern_id", F.coalesce("lo", F.lit(0)).alias("lo"), F.coalesce("hi", F.lit(0)).alias("hi"))
     return patterns.join(found, "pattern_id", "left")

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _local: dict[str, str] = {}
 
@@ -35,6 +36,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """As ``materialize``, and how many rows were written, observed on the way."""
+    seen = Observation()
+    written = materialize(df.observe(seen, F.count(F.lit(1)).alias("rows")), name)
+    return written, int(seen.get["rows"])
+
+
 def laid_out(df: DataFrame, key: str, name: str, path: str | None = None) -> DataFrame:
     """Write ``df`` once in buckets of ``key`` and read it back as a table that knows them.
 

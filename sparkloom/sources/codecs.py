@@ -16,6 +16,10 @@ from ..functions.alphabet import ORDERS, SIGMA
 LONGEST, BASIC, NATIVE_BLOCK = 31, 256 // SIGMA, 64
 
 
+#: The formats whose bytes are runs; in the others every byte is a symbol.
+RUN_CODES = ("ropebwt", "sga")
+
+
 @dataclass(frozen=True)
 class Format:
     """A file format: its tag, name, alphabet order, bytes of its header, and the file's first bytes where these tell it."""
@@ -125,7 +129,7 @@ def decode(tag: str, data: bytes) -> tuple[np.ndarray, np.ndarray]:
     if tag == "native":
         return decode_native(data)
     raw = np.frombuffer(data, np.uint8)
-    if tag in ("ropebwt", "sga"):
+    if tag in RUN_CODES:
         symbols, lengths = (raw & 7, raw >> 3) if tag == "ropebwt" else (raw >> 5, raw & 31)
         if (symbols >= SIGMA).any():
             raise ValueError(f"{tag}: a symbol beyond {SIGMA - 1}")
@@ -139,7 +143,7 @@ def encode(tag: str, symbols: np.ndarray, lengths: np.ndarray) -> bytes:
     """The bytes of runs; for one-byte codes, long runs are split."""
     if tag == "native":
         return encode_native(zip(symbols.tolist(), lengths.tolist()))
-    if tag in ("ropebwt", "sga"):
+    if tag in RUN_CODES:
         pieces = -(-lengths // LONGEST)
         symbol = np.repeat(symbols, pieces)
         length = np.full(len(symbol), LONGEST)

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.alphabet import ORDERS
 from ..operators import runs as run_operators
-from ..plans.order import running
-from . import codecs
+from ..plans.order import before_blocks, cell
+from ..plans.shared import materialize
+from . import codecs, splits
 
 #: Bytes of a chunk that a task decodes or encodes at a time; a multiple of the native block.
 CHUNK = 1 << 20
@@ -71,10 +72,41 @@ def read_runs(spark: SparkSession, path: str, tag: str) -> DataFrame:
     return run_operators.coalesce_runs(read_pieces(spark, path, tag))
 
 
-def read_pieces(spark: SparkSession, path: str, tag: str) -> DataFrame:
-    """Runs in pieces(start, c, len) as a file holds them, decoded chunk by chunk in parallel; the file must be under 2 GB."""
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with the scheme of the file system that Spark takes it to be on."""
+    name = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return name.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(name).toString()
+
+
+def read_pieces(spark: SparkSession, path: str, tag: str, split: int = splits.SPLIT) -> DataFrame:
+    """Runs in pieces(start, c, len) as a file of any size holds them: splits of ``split`` bytes are decoded in parallel, and where each chunk starts follows from the lengths in those before.
+
+    File systems that Arrow does not know (see ``splits.arrow_file``) are read through Spark, a file as a whole, and must hold less than 2 GB in each.
+    """
     _known(tag)
-    # native arrays may end in free space, so the span comes from the header
+    place = qualified(spark, path)
+    try:
+        system, name = splits.arrow_file(place)
+        length = system.get_file_info(name).size
+        if length is None:
+            raise FileNotFoundError(path)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError) as problem:
+        if isinstance(problem, FileNotFoundError):
+            raise
+        return _read_whole(spark, path, tag)
+    with system.open_input_file(name) as data:
+        begin, end = codecs.data_span(tag, data.read(32), length)  # native arrays may end in free space
+    if end > length:
+        raise ValueError(f"{path}: the file is shorter than its header says")
+    splits.register(spark)
+    options = {"path": place, "tag": tag, "begin": begin, "end": end, "split": split}
+    pieces = materialize(spark.read.format("sparkloom_runs").options(**options).load(), "pieces")
+    bases = before_blocks(pieces.groupBy("chunk").agg(F.sum("len").alias("n")), {"base": "n"}, "chunk")
+    return pieces.join(bases, "chunk").select((F.col("base") + F.col("inside")).alias("start"), "c", "len")
+
+
+def _read_whole(spark: SparkSession, path: str, tag: str) -> DataFrame:
+    """As ``read_pieces`` by Spark's source of whole files, whose limit is 2 GB."""
     spans = spark.read.format("binaryFile").load(path).select("content", "length")
 
     def cut(batches):
@@ -91,10 +123,11 @@ def read_pieces(spark: SparkSession, path: str, tag: str) -> DataFrame:
         for batch in batches:
             for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 symbols, lengths = codecs.decode(tag, data)
-                yield pa.RecordBatch.from_pydict({"at": pa.array([k * CHUNK + i for i in range(len(symbols))], pa.int64()), "c": pa.array(symbols).cast(pa.int32()), "len": pa.array(lengths)})
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(symbols), k)), pa.array(np.cumsum(lengths) - lengths), pa.array(symbols).cast(pa.int32()), pa.array(lengths)], names=["chunk", "inside", "c", "len"])
 
-    pieces = spans.mapInArrow(cut, "k long, data binary").repartition("k").mapInArrow(decode, "at long, c int, len long")
-    return running(pieces, "at", {"start": F.col("len")}, CHUNK).select("start", "c", "len")
+    pieces = materialize(spans.mapInArrow(cut, "k long, data binary").repartition("k").mapInArrow(decode, splits.PIECES), "pieces")
+    bases = before_blocks(pieces.groupBy("chunk").agg(F.sum("len").alias("n")), {"base": "n"}, "chunk")
+    return pieces.join(bases, "chunk").select((F.col("base") + F.col("inside")).alias("start"), "c", "len")
 
 
 def recode(runs: DataFrame, source: str, target: str) -> DataFrame:
@@ -110,27 +143,32 @@ def recode(runs: DataFrame, source: str, target: str) -> DataFrame:
 
 
 def chunks(runs: DataFrame, tag: str, bases_in_chunk: int = CHUNK) -> DataFrame:
-    """(k, data): the bytes of runs(start, c, len) in a format, as chunks whose order is that of ``k``."""
+    """(k, at, data): the bytes of runs(start, c, len) in a format, as chunks in the order of ``k``; at: where each begins behind the header. For native chunks, whose sizes their bytes decide, at is null."""
     _known(tag)
-    split = runs.where("len > 0").select("start", "c", "len", F.explode(F.sequence((F.col("start") / bases_in_chunk).cast("long"), ((F.col("start") + F.col("len") - 1) / bases_in_chunk).cast("long"))).alias("k"))
-    low = F.greatest("start", F.col("k") * bases_in_chunk)
-    pieces = split.select("k", low.alias("start"), "c", (F.least(F.col("start") + F.col("len"), (F.col("k") + 1) * bases_in_chunk) - low).alias("len")) if tag not in ("ropebwt", "sga") else runs.where("len > 0").select((F.col("start") / bases_in_chunk).cast("long").alias("k"), "start", "c", "len")
+    if tag in codecs.RUN_CODES:
+        pieces = runs.where("len > 0").select(cell("start", bases_in_chunk).alias("k"), "start", "c", "len")
+        sizes = pieces.groupBy("k").agg(F.sum(F.ceil(F.col("len") / codecs.LONGEST)).alias("n"))
+        at = before_blocks(sizes, {"at": "n"}, "k")
+    else:
+        pieces = run_operators.cut_at(runs, bases_in_chunk).select(F.col("blk").alias("k"), "start", "c", "len")
+        at = None
     ordered = pieces.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("start", "c", "len"))).alias("r"))  # at most bases_in_chunk runs
+    place = ordered.join(at, "k") if at is not None else ordered.withColumn("at", F.lit(None).cast("long") if tag == "native" else F.col("k") * bases_in_chunk)
 
     def encode(batches):
         for batch in batches:
-            rows = [codecs.encode(tag, *(r.values.field(n).to_numpy().astype("int64") for n in ("c", "len"))) for r in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["k", "data"])
+            rows = [codecs.encode(tag, *(r.values.field(n).to_numpy().astype("int64") for n in ("c", "len"))) for r in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], names=["k", "at", "data"])
 
-    return ordered.mapInArrow(encode, "k long, data binary")
+    return place.select("k", "at", "r").mapInArrow(encode, "k long, at long, data binary")
 
 
 def write_runs(runs: DataFrame, path: str, tag: str, order: str = "default", force: bool = False) -> dict:
     """Write runs to one file of an interchange format; returns sequences, bases and bytes.
 
-    The alphabet order must be the format's, unless ``force``. Tasks encode the
-    chunks; a single file has a single writer, so the driver puts one chunk after
-    another into it, with one in memory at a time. The engine's own format has no such file: see Index.save.
+    The alphabet order must be the format's, unless ``force``. On a local or mounted file system tasks write the
+    chunks that they encode, each at its place, and no bytes pass through the driver; elsewhere, where a file cannot be written in
+    places, the driver puts one chunk after another into it, with one in memory at a time. The engine's own format has no such file: see Index.save.
     """
     found = _known(tag)
     if tag == "native":
@@ -138,21 +176,23 @@ def write_runs(runs: DataFrame, path: str, tag: str, order: str = "default", for
     if found.order not in ("any", order) and not force:
         raise ValueError(f"{tag} holds the {found.order} alphabet, not {order}")
     spark = runs.sparkSession
-    long = F.ceil(F.col("len") / codecs.LONGEST)
-    bases, sequences, run_bytes = (int(x or 0) for x in runs.agg(F.sum("len"), F.sum(F.when(F.col("c") == 0, F.col("len"))), F.sum(long)).first())
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
-    size = 0
-    try:
-        for data in (codecs.header(tag, sequences, bases, run_bytes), None, codecs.padding(tag, bases)):
-            parts = [data] if data is not None else (bytes(r["data"]) for r in chunks(runs, tag).orderBy("k").select("data").toLocalIterator())
-            for part in parts:
-                if part:
-                    out.write(part)
-                    size += len(part)
-    finally:
-        out.close()
-    return {"sequences": sequences, "bases": bases, "bytes": size}
+    bases, sequences, run_bytes = (byte_counts(runs).select("bases", "sequences", "run_bytes")).first()
+    head, tail = codecs.header(tag, sequences, bases, run_bytes), codecs.padding(tag, bases)
+    size = run_bytes if tag in codecs.RUN_CODES else bases
+    place = qualified(spark, path)
+    if place.startswith("file:"):
+        splits.write_bytes(chunks(runs, tag), place, head, tail, size)
+    else:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+        try:
+            out.write(head)
+            for r in chunks(runs, tag).orderBy("k").select("data").toLocalIterator():
+                out.write(bytes(r["data"]))
+            out.write(tail)
+        finally:
+            out.close()
+    return {"sequences": sequences, "bases": bases, "bytes": len(head) + size + len(tail)}
 
 
 def byte_counts(runs: DataFrame) -> DataFrame:
@@ -176,7 +216,7 @@ def through_native(runs: DataFrame, bases_in_chunk: int = CHUNK) -> DataFrame:
 
     def decode(batches):
         for batch in batches:
-            for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for k, data in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
                 symbols, lengths = codecs.decode("native", data)
                 starts = k * bases_in_chunk + np.cumsum(lengths) - lengths
                 yield pa.RecordBatch.from_arrays([pa.array(starts), pa.array(symbols).cast(pa.int32()), pa.array(lengths)], names=["start", "c", "len"])
