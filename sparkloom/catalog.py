@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 from .functions import alphabet
 from .operators import invert, lookups, merge, runs, search, transform
 from .operators.index import Index
+from .plans import tools
 from .plans.shared import materialize, shared_dir
 from .sources import codecs, files
+from .streaming import incremental
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -108,7 +110,7 @@ def q_reads_encode(spark, sf_dir):
 
 @query(f"{C} SELECT comp::INT AS comp, substr('$ACGTN', comp + 1, 1) AS ch, cnt::BIGINT AS cnt, c_before FROM alpha")
 def q_alphabet_c(spark, sf_dir):
-    return alphabet.of_bwt(transform.build(one(spark, sf_dir, "conversations")))
+    return alphabet.of_texts(one(spark, sf_dir, "conversations"))
 
 
 @query(f"{P} SELECT pos, seq_id, off FROM bwt")
@@ -414,6 +416,49 @@ def q_inspect(spark, sf_dir):
     return heads.select(F.regexp_extract("path", "-([a-z_]+)$", 1).alias("tag"), "format", "sequences", "bases", "alphabet")
 
 
+def _files(spark: SparkSession, sf_dir: str, table: str) -> list[str]:
+    """The collections of a table, each written as a file of runs."""
+    t, paths = texts(spark, sf_dir, table), []
+    for k in (0, 1):
+        paths.append(f"{shared_dir(spark)}/tool-{uuid.uuid4().hex}-{k}")
+        tools.save(Index.of_texts(t.where(F.col("coll") == k).drop("coll")), paths[-1], "sga")
+    return paths
+
+
+@query(f"{C2} SELECT count(DISTINCT coll) AS files, count(DISTINCT coll) AS known, (count(*) FILTER (c = 0))::BIGINT AS sequences, count(*)::BIGINT AS bases FROM bwt")
+def q_tool_totals(spark, sf_dir):
+    """Totals of what the headers of several files say."""
+    return tools.totals(files.inspect(spark, *_files(spark, sf_dir, "conversations")))
+
+
+@query(f"{_with('benchmark')}, {_RUNS} SELECT start, c::INT AS c, len FROM runs")
+def q_tool_merge(spark, sf_dir):
+    """Two files merged into a third by the merge tool, which is read again."""
+    target = f"{shared_dir(spark)}/merged-{uuid.uuid4().hex}"
+    tools.merge(spark, _files(spark, sf_dir, "benchmark"), target, ["sga"], "ropebwt")
+    return files.read_runs(spark, target, "ropebwt").select("start", "c", "len")
+
+
+@query(f"{C2} SELECT start, (CASE WHEN c >= 4 THEN 9 - c ELSE c END)::INT AS c, len FROM (SELECT min(p) AS start, c, count(*) AS len FROM (SELECT p, c, p - row_number() OVER (PARTITION BY c ORDER BY p) AS g FROM (SELECT row_number() OVER (ORDER BY pos) - 1 AS p, c FROM bwt WHERE coll = 0)) GROUP BY c, g)")
+def q_tool_convert(spark, sf_dir):
+    """A file converted by the tool into a format of another alphabet, and read again."""
+    target = f"{shared_dir(spark)}/converted-{uuid.uuid4().hex}"
+    tools.convert(spark, _files(spark, sf_dir, "conversations")[0], target, "sga", "sdsl", recode=True)
+    return files.read_runs(spark, target, "sdsl").select("start", "c", "len")
+
+
+@query(f"{P} SELECT pos, c FROM bwt ORDER BY pos")
+def q_stream_levels(spark, sf_dir):
+    """Batches added one after another, merged by levels and at last into one index."""
+    rows, path = uncut(spark, sf_dir, "part"), f"{shared_dir(spark)}/levels-{uuid.uuid4().hex}"
+    ends = [r[0] for r in rows.select(F.expr("explode(approx_percentile(seq_id, array(0.33, 0.66, 1.0)))")).collect()]
+    for k, end in enumerate(ends):
+        low = ends[k - 1] if k else None
+        batch = rows.where((F.col("seq_id") <= end) & (F.lit(True) if low is None else F.col("seq_id") > low))
+        incremental.add(spark, path, transform.reads_of(batch), k, fan=2)
+    return incremental.compact(spark, path).bwt
+
+
 @query("SELECT * FROM (VALUES ('default', 'default', false, true, true, false), ('sorted', 'sorted', true, false, true, false), ('identity', 'unknown', true, false, true, false)) t(name, found, is_sorted, fits_default, fits_any, fits_unknown)")
 def q_alphabet_orders(spark, sf_dir):
     """What the alphabet of each order is taken for, and where it may be written."""
@@ -432,7 +477,7 @@ def q_has_char(spark, sf_dir):
 def q_alphabet_merged(spark, sf_dir):
     """Counts of two collections' alphabets add up to that of the merged one."""
     t = texts(spark, sf_dir, "conversations")
-    return alphabet.merged(*(alphabet.of_bwt(transform.build(t.where(F.col("coll") == k).drop("coll"))) for k in (0, 1)))
+    return alphabet.merged(*(alphabet.of_texts(t.where(F.col("coll") == k)) for k in (0, 1)))
 
 
 @query(f"{C}, pat AS {_PATTERNS}, m AS (SELECT pattern_id, count(pos) AS n FROM pat LEFT JOIN bwt ON starts_with(suf, p) GROUP BY pattern_id) SELECT count(*) AS patterns, count(*) FILTER (n > 0) AS found, coalesce(sum(n), 0)::BIGINT AS matches FROM m")
@@ -465,11 +510,12 @@ def q_locate_sampled(spark, sf_dir):
     return ix.locate(patterns(spark, sf_dir).where(F.length("pattern") >= 5), 16)
 
 
-@query(f"{C2}, {_RA}, x AS (SELECT a_rank, count(*) AS len FROM ra GROUP BY a_rank) SELECT a_rank, (2 * len)::BIGINT AS len FROM x")
+@query(f"{P2}, ra AS (SELECT coll, sum((coll = 0)::BIGINT) OVER (ORDER BY pos) AS a_rank FROM bwt) SELECT a_rank::BIGINT AS a_rank, count(*) AS len FROM ra WHERE coll > 0 GROUP BY a_rank")
 def q_rank_runs_merged(spark, sf_dir):
-    """Two lists of rank runs as one."""
-    found = materialize(merge.rank_runs(merge.rank_array(merge.build(texts(spark, sf_dir, "conversations")))), "ra_runs")
-    return merge.merge_rank_runs(found, found)
+    """The rank runs of two collections among a third, as one list."""
+    t = texts(spark, sf_dir, "part")
+    lists = [merge.rank_runs(merge.rank_array(merge.build(t.where(F.col("coll").isin(0, k))))) for k in (1, 2)]
+    return merge.merge_rank_runs(*lists)
 
 
 @query(f"{P2} SELECT pos, c FROM bwt")

@@ -51,6 +51,13 @@ def of_bwt(bwt: DataFrame, order: str = "default") -> DataFrame:
     return of_counts(bwt.groupBy(F.col("c").alias("comp")).agg(F.count("*").alias("cnt")), order)
 
 
+def of_texts(texts: DataFrame, order: str = "default") -> DataFrame:
+    """The alphabet of the transform of texts(s), without making it: its symbols are those of the texts, and an end marker for each."""
+    held = [F.count("*").alias("n0"), *(F.sum(F.length("s") - F.length(F.replace("s", F.lit(str(k)), F.lit("")))).alias(f"n{k}") for k in range(1, SIGMA))]
+    each = F.array(*(F.struct(F.lit(k).alias("comp"), F.col(f"n{k}").cast("long").alias("cnt")) for k in range(SIGMA)))
+    return of_counts(texts.agg(*held).select(F.explode(each).alias("x")).select("x.*"), order)
+
+
 def merged(*alphabets: DataFrame) -> DataFrame:
     """The alphabet of merged collections: counts add up. Their characters must be the same."""
     names = [identify(a) for a in alphabets]

@@ -178,6 +178,8 @@ def test_alphabets(spark):
     assert (alphabet.identify(a), alphabet.identify(b), alphabet.is_sorted(a), alphabet.is_sorted(b)) == ("default", "sorted", False, True)
     assert not alphabet.compatible(a.withColumn("ch", F.lit("x")), "unknown")
     assert alphabet.compatible(a, "any") and alphabet.compatible(a, "default") and not alphabet.compatible(a, "sorted")
+    rows = texts(spark, [R, S, "", "NNA"])
+    assert sorted(map(tuple, alphabet.of_texts(rows).collect())) == sorted(map(tuple, alphabet.of_bwt(transform.build(rows)).collect()))
     with pytest.raises(ValueError):
         alphabet.merged(a, b)
     assert [r["cnt"] for r in alphabet.merged(a, a).orderBy("comp").collect()] == [0, 6, 0, 0, 4, 0]
