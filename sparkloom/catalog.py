@@ -431,11 +431,11 @@ def q_tool_totals(spark, sf_dir):
     return tools.totals(files.inspect(spark, *_files(spark, sf_dir, "conversations")))
 
 
-@query(f"{_with('benchmark')}, {_RUNS} SELECT start, c::INT AS c, len FROM runs")
+@query(f"{P2}, kept AS (SELECT row_number() OVER (ORDER BY pos) - 1 AS p, c FROM bwt WHERE coll < 2) SELECT min(p) AS start, c, count(*) AS len FROM (SELECT p, c, p - row_number() OVER (PARTITION BY c ORDER BY p) AS g FROM kept) GROUP BY c, g")
 def q_tool_merge(spark, sf_dir):
     """Two files merged into a third by the merge tool, which is read again."""
     target = f"{shared_dir(spark)}/merged-{uuid.uuid4().hex}"
-    tools.merge(spark, _files(spark, sf_dir, "benchmark"), target, ["sga"], "ropebwt")
+    tools.merge(spark, _files(spark, sf_dir, "part"), target, ["sga"], "ropebwt")
     return files.read_runs(spark, target, "ropebwt").select("start", "c", "len")
 
 
