@@ -17,6 +17,7 @@ from .functions import alphabet
 from .operators import invert, lookups, merge, runs, search, transform
 from .operators.index import Index
 from .plans import tools
+from .plans.order import spread
 from .plans.shared import materialize, shared_dir
 from .sources import codecs, files
 from .streaming import incremental
@@ -49,16 +50,15 @@ def _with(table: str, one: bool = False) -> str:
 def texts(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """texts(coll, seq_id, s): the reads of a whole table."""
     key, text, coll = _TABLES[table]
-    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
-    spelled = rows.select(F.expr(coll).cast("int").alias("coll"), F.expr(key).cast("long").alias("seq_id"), alphabet.prose_as_bases(F.coalesce(F.col(text), F.lit(""))).alias("s"))
-    return transform.reads_of(spelled)
+    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet").select(F.expr(coll).cast("int").alias("coll"), F.expr(key).cast("long").alias("seq_id"), F.col(text).alias("t"))
+    return transform.reads_of(spread(rows, "seq_id").select("coll", "seq_id", alphabet.prose_as_bases(F.coalesce("t", F.lit(""))).alias("s")))
 
 
 def uncut(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """texts(seq_id, s): the whole texts of a table."""
     key, text, _ = _TABLES[table]
-    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
-    return rows.select(F.expr(key).cast("long").alias("seq_id"), alphabet.prose_as_bases(F.coalesce(F.col(text), F.lit(""))).alias("s"))
+    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet").select(F.expr(key).cast("long").alias("seq_id"), F.col(text).alias("t"))
+    return spread(rows, "seq_id").select("seq_id", alphabet.prose_as_bases(F.coalesce("t", F.lit(""))).alias("s"))
 
 
 def one(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

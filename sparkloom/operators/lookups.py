@@ -40,14 +40,14 @@ _BEFORE = [f"n{k}" for k in range(SIGMA)]
 
 
 def _halved(most: int, holds: str, size: str) -> str:
-    """The largest k up to ``size`` (at most ``most``) for which ``holds`` of ``m`` = k does, or 0, if it holds up to some k only: found by halving."""
+    """The largest k up to ``size`` (at most ``most``) for which ``holds``, with k in place of its braces, does, or 0, if it holds up to some k only: found by halving."""
     steps = ", ".join(str(1 << k) for k in range(most.bit_length() - 1, -1, -1))
-    return f"aggregate(array({steps}), 0, (k, step) -> if(k + step <= {size} AND get(transform(array(k + step), m -> {holds}), 0), k + step, k))"
+    return f"aggregate(array({steps}), 0, (k, step) -> if(k + step <= {size} AND {holds.replace('{}', '(k + step)')}, k + step, k))"
 
 
 def _run(offset: str, size: int) -> str:
     """How many runs of the block start before ``offset``."""
-    return _halved(size, f"shiftright(get(at, m - 1), 16) < {offset}", "length(sym)")
+    return _halved(size, f"shiftright(get(at, {{}} - 1), 16) < {offset}", "size(at) - 1")
 
 
 def _last(runs: str, c: str) -> str:
@@ -186,10 +186,10 @@ def select(at: DataFrame, directory: DataFrame, blocks: DataFrame, counts: list[
     good = F.expr(f"coalesce(`{i}` >= 1 AND `{i}` <= {_one_of(f'`{c}`', counts)}, false)")
     there = at.where(good).select(_question(at), (F.col(i) - 1).cast("long").alias("_z"), F.col(c).alias("_c"))
     there = there.withColumn("cell", cell("_z", STRIDE) * 8 + F.col("_c"))
-    place = _halved(STRIDE, "get(held, m - 1).before <= _z", "size(held)")
+    place = _halved(STRIDE, "get(held, {} - 1).before <= _z", "size(held)")
     named = directory.join(there, "cell").select("_q", "_z", "_c", F.expr(f"get(held, {place} - 1).blk").alias("blk"))
     met = blocks.join(named, "blk").withColumn("_in", F.expr(f"int(_z - {_one_of('_c', _BEFORE)})"))
-    run = _halved(size, f"{counted('m', 'string(_c)')} <= _in", "length(sym)")  # the runs before hold fewer, so the occurrence stands in the one behind them
+    run = _halved(size, f"{counted('{}', 'string(_c)')} <= _in", "size(at) - 1")  # the runs before hold fewer, so the occurrence stands in the one behind them
     found = _tidy(met.withColumn("_e", F.expr(f"get(at, {run})")), at, F.expr("start_pos + shiftright(_e, 16) + _in - (_e & 65535)").alias(out))
     return found.unionByName(at.where(~good).select("*", F.when(F.col(i) <= 0, 0).otherwise(total).cast("long").alias(out)))
 
