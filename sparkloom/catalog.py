@@ -10,7 +10,7 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import alphabet
@@ -18,6 +18,7 @@ from .operators import invert, lookups, merge, runs, search, transform
 from .operators.index import Index
 from .plans import tools
 from .plans.order import spread
+from .plans.report import Meter
 from .plans.shared import materialize, shared_dir
 from .sources import codecs, files
 from .streaming import incremental
@@ -87,14 +88,22 @@ def _whole(table: str) -> str:
 
 C, D, B, P = (_with(t, True) for t in ("conversations", "documents", "benchmark", "part"))
 C2, D2, P2 = (_with(t) for t in ("conversations", "documents", "part"))
-_PATTERNS = f"(SELECT item_id AS pattern_id, translate(substr({_ENC.format('text')}, 1, (3 + item_id % 6)::BIGINT), '12345', 'ACGTN') AS pattern, substr({_ENC.format('text')}, 1, (3 + item_id % 6)::BIGINT) AS p FROM benchmark)"
+_STRETCHES = f"SELECT item_id * 1048576 + k AS pattern_id, n, substr(t, k + 1, n) AS p FROM (SELECT *, unnest(range(0, greatest(length(t) - n + 1, 1))) AS k FROM (SELECT item_id, {_ENC.format('text')} AS t, {{n}} AS n FROM benchmark))"
+_PATTERNS = f"({_STRETCHES.format(n='(3 + item_id % 6)::BIGINT')})"
+#: Every place of every pattern, by the suffixes' beginnings of each length of a pattern.
+_HITS = "hits AS (SELECT pattern_id, pos, seq_id, off FROM pat JOIN (SELECT pos, seq_id, off, substr(suf, 1, size) AS p FROM bwt, (SELECT DISTINCT length(p) AS size FROM pat) WHERE length(suf) >= size) USING (p))"
+
+
+def stretches(spark: SparkSession, sf_dir: str, size: Column) -> DataFrame:
+    """(pattern_id, pattern): every stretch of ``size`` symbols of every whole benchmark text (shorter texts: the text); stretch k of text i has pattern_id i * 2**20 + k."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", alphabet.decode(alphabet.prose_as_bases(F.coalesce("text", F.lit("")))).alias("t"), size.cast("int").alias("n"))
+    places = items.select("*", F.explode(F.sequence(F.lit(0), F.greatest(F.length("t") - F.col("n"), F.lit(0)))).alias("k"))
+    return places.select((F.col("item_id") * (1 << 20) + F.col("k")).alias("pattern_id"), F.substr("t", F.col("k") + 1, F.col("n")).alias("pattern"))
 
 
 def patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A pattern of three to eight symbols for every benchmark item: how its text begins."""
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    spelled = alphabet.prose_as_bases(F.coalesce("text", F.lit("")))
-    return items.select(F.col("item_id").alias("pattern_id"), alphabet.decode(F.substr(spelled, F.lit(1), (3 + F.col("item_id") % 6).cast("int"))).alias("pattern"))
+    """Every stretch of three to eight symbols (by the item) of every benchmark text."""
+    return stretches(spark, sf_dir, 3 + F.col("item_id") % 6)
 
 
 def questions(bwt: DataFrame) -> DataFrame:
@@ -248,7 +257,7 @@ def q_find_char(spark, sf_dir):
     return alphabet.find_char(ix.bwt.select("pos"), ix.alphabet)
 
 
-@query(f"{C}, pat AS {_PATTERNS} SELECT pattern_id, count(pos) AS matches, coalesce(min(pos), -1) AS lo FROM pat LEFT JOIN bwt ON starts_with(suf, p) GROUP BY pattern_id")
+@query(f"{C}, pat AS {_PATTERNS}, {_HITS} SELECT pattern_id, count(pos) AS matches, coalesce(min(pos), -1) AS lo FROM pat LEFT JOIN hits USING (pattern_id) GROUP BY pattern_id")
 def q_find_ranges(spark, sf_dir):
     found = search.counts(index(spark, sf_dir).find(patterns(spark, sf_dir)))
     return found.select("pattern_id", "matches", F.when(F.col("matches") > 0, F.col("lo")).otherwise(-1).alias("lo"))
@@ -279,9 +288,8 @@ _WHOLE = f"SELECT item_id * 1048576 AS pattern_id, {_ENC.format('text')} AS p FR
 
 def whole_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole benchmark text, and every stretch of 32 symbols of one: stretch k of text i has pattern_id i * 2**20 + k, the text itself k = 0."""
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", alphabet.decode(alphabet.prose_as_bases(F.coalesce("text", F.lit("")))).alias("t"))
-    places = items.select("item_id", "t", F.explode(F.sequence(F.lit(0), F.greatest(F.length("t") - 31, F.lit(0)))).alias("k"))
-    return places.select((F.col("item_id") * (1 << 20) + F.col("k")).alias("pattern_id"), F.when(F.col("k") == 0, F.col("t")).otherwise(F.substr("t", "k", F.lit(32))).alias("pattern"))
+    whole = stretches(spark, sf_dir, F.length(F.coalesce("text", F.lit(""))))
+    return whole.unionByName(stretches(spark, sf_dir, F.lit(32)).where(F.col("pattern_id") % (1 << 20) > 0))
 
 
 @query(f"{D}, pat AS ({_WHOLE} UNION ALL SELECT pattern_id + k, substr(p, k, 32) FROM (SELECT *, unnest(range(1, length(p) - 30)) AS k FROM ({_WHOLE}))), {_LONG}")
@@ -351,7 +359,7 @@ def q_interleave(spark, sf_dir):
     return merge.interleave(a, b, merge.rank_array(whole))
 
 
-@query(f"{C2}, pat AS {_PATTERNS} SELECT pattern_id, count(pos) AS in_parts, count(pos) AS in_whole, true AS same FROM pat LEFT JOIN bwt ON starts_with(suf, p) GROUP BY pattern_id")
+@query(f"{C2}, pat AS {_PATTERNS}, {_HITS} SELECT pattern_id, count(pos) AS in_parts, count(pos) AS in_whole, true AS same FROM pat LEFT JOIN hits USING (pattern_id) GROUP BY pattern_id")
 def q_merge_verify(spark, sf_dir):
     t = texts(spark, sf_dir, "conversations")
     parts = [Index.of_texts(t.where(F.col("coll") == k).drop("coll")) for k in (0, 1)]
@@ -377,9 +385,13 @@ def q_invert_bwt(spark, sf_dir):
     return invert.texts_of(ix.edges, ix.counts)
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{f.tag}', '{f.name}', '{f.order}')" for f in codecs.FORMATS.values()) + ") t(tag, name, alphabet)")
+_SIZES = {"ropebwt": "4 + parts", "sga": "30 + parts", "rfm": "8 + (bases + 7) // 8 * 8", "sdsl": "8 + (bases + 7) // 8 * 8", "plain_default": "bases", "plain_sorted": "bases"}
+
+
+@query(f"{B}, {_RUNS}, n AS (SELECT sum(len)::BIGINT AS bases, sum(ceil(len / 31.0))::BIGINT AS parts FROM runs), f AS (SELECT * FROM (VALUES " + ", ".join(f"('{f.tag}', '{f.name}', '{f.order}')" for f in codecs.FORMATS.values()) + ") t(tag, name, alphabet)) SELECT tag, name, alphabet, (CASE tag " + " ".join(f"WHEN '{t}' THEN {size}" for t, size in _SIZES.items()) + " END)::BIGINT AS bytes FROM f, n")
 def q_format_catalog(spark, sf_dir):
-    return files.formats(spark)
+    """The formats, and the bytes that a transform takes in each; those of the native code follow from its bytes only."""
+    return files.sizes(index(spark, sf_dir, "benchmark").runs())
 
 
 _TAGS = ("plain_default", "plain_sorted", "rfm", "sdsl", "ropebwt", "sga")
@@ -447,6 +459,20 @@ def q_tool_convert(spark, sf_dir):
     return files.read_runs(spark, target, "sdsl").select("start", "c", "len")
 
 
+_RUNS_OF = "SELECT {part} AS coll, c, count(*) AS len FROM (SELECT c, p - row_number() OVER (PARTITION BY c ORDER BY p) AS g FROM (SELECT c, row_number() OVER (ORDER BY pos) - 1 AS p FROM bwt WHERE {which})) GROUP BY c, g"
+_STAGE = "(sum(len) FILTER (c = 0))::BIGINT AS sequences, sum(len)::BIGINT AS bases, {runs}::BIGINT AS runs, {bytes}::BIGINT AS bytes"
+_IN_FILE = "sum(ceil(len / 31.0))"
+
+
+@query(f"{P2}, parts AS ({_RUNS_OF.format(part=0, which='coll = 0')} UNION ALL {_RUNS_OF.format(part=1, which='coll = 1')}), whole AS ({_RUNS_OF.format(part=0, which='coll < 2')}), cut AS (SELECT c, count(*) AS len FROM (SELECT c, b, p - row_number() OVER (PARTITION BY c, b ORDER BY p) AS g FROM (SELECT *, p // 1024 AS b FROM (SELECT c, row_number() OVER (ORDER BY pos) - 1 AS p FROM bwt WHERE coll < 2))) GROUP BY c, b, g) "
+       f"SELECT 'read ' || coll AS stage, {_STAGE.format(runs=_IN_FILE, bytes='30 + ' + _IN_FILE)} FROM parts GROUP BY coll UNION ALL SELECT 'merge', {_STAGE.format(runs='count(*)', bytes='NULL')} FROM cut UNION ALL SELECT 'write', {_STAGE.format(runs='count(*)', bytes='4 + ' + _IN_FILE)} FROM whole")
+def q_stage_report(spark, sf_dir):
+    """What the merge tool observes of each of its stages; times are left out."""
+    meter = Meter(spark)
+    tools.merge(spark, _files(spark, sf_dir, "part"), f"{shared_dir(spark)}/reported-{uuid.uuid4().hex}", ["sga"], "ropebwt", meter=meter)
+    return meter.report().drop("seconds", "bpc", "rate")
+
+
 @query(f"{P} SELECT pos, c FROM bwt ORDER BY pos")
 def q_stream_levels(spark, sf_dir):
     """Batches added one after another, merged by levels and at last into one index."""
@@ -459,13 +485,16 @@ def q_stream_levels(spark, sf_dir):
     return incremental.compact(spark, path).bwt
 
 
-@query("SELECT * FROM (VALUES ('default', 'default', false, true, true, false), ('sorted', 'sorted', true, false, true, false), ('identity', 'unknown', true, false, true, false)) t(name, found, is_sorted, fits_default, fits_any, fits_unknown)")
+@query(f"{B}, f AS (SELECT * FROM (VALUES ('default', 'default', '$ACGTN', false, true, true, false), ('sorted', 'sorted', '$ACGNT', true, false, true, false), ('identity', 'unknown', '012345', true, false, true, false)) t(name, found, letters, is_sorted, fits_default, fits_any, fits_unknown)), o AS (SELECT name, k, substr(letters, k + 1, 1) AS ch, CASE WHEN name = 'sorted' AND k >= 4 THEN 9 - k ELSE k END AS was FROM f, unnest(range(0, 6)) x(k)) SELECT name, found, is_sorted, fits_default, fits_any, fits_unknown, string_agg(ch || ':' || cnt, ',' ORDER BY k) AS counts FROM f JOIN o USING (name) JOIN alpha ON comp = was GROUP BY ALL")
 def q_alphabet_orders(spark, sf_dir):
-    """What the alphabet of each order is taken for, and where it may be written."""
-    ix = index(spark, sf_dir, "benchmark")
-    made = {order: alphabet.of_counts(ix.alphabet.select("comp", "cnt"), order) for order in alphabet.ORDERS} | {"identity": alphabet.identity(spark)}
-    rows = [(name, alphabet.identify(a), alphabet.is_sorted(a), alphabet.compatible(a, "default"), alphabet.compatible(a, "any"), alphabet.compatible(a, "unknown")) for name, a in made.items()]
-    return spark.createDataFrame(rows, "name string, found string, is_sorted boolean, fits_default boolean, fits_any boolean, fits_unknown boolean")
+    """The alphabet of a transform in each order: what it is taken for, where it may be written, and how often each character occurs."""
+    held = files.recoded(index(spark, sf_dir, "benchmark").alphabet.select("comp", "cnt"), "comp", "default")
+    made = {order: alphabet.of_counts(held(order), order) for order in alphabet.ORDERS} | {"identity": alphabet.identity(held("default"))}
+    found = [(name, alphabet.identify(a), alphabet.is_sorted(a), *(alphabet.compatible(a, o) for o in ("default", "any", "unknown"))) for name, a in made.items()]
+    rows = spark.createDataFrame(found, "name string, found string, is_sorted boolean, fits_default boolean, fits_any boolean, fits_unknown boolean")
+    each = reduce(DataFrame.unionByName, (a.withColumn("name", F.lit(name)) for name, a in made.items()))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("comp", "ch", "cnt"))), lambda x: F.concat_ws(":", x["ch"], x["cnt"])), ",")
+    return rows.join(each.groupBy("name").agg(listed.alias("counts")), "name")
 
 
 @query(f"{C} SELECT comp::INT AS comp, cnt > 0 AS present FROM alpha")
@@ -480,21 +509,19 @@ def q_alphabet_merged(spark, sf_dir):
     return alphabet.merged(*(alphabet.of_texts(t.where(F.col("coll") == k)) for k in (0, 1)))
 
 
-@query(f"{C}, pat AS {_PATTERNS}, m AS (SELECT pattern_id, count(pos) AS n FROM pat LEFT JOIN bwt ON starts_with(suf, p) GROUP BY pattern_id) SELECT count(*) AS patterns, count(*) FILTER (n > 0) AS found, coalesce(sum(n), 0)::BIGINT AS matches FROM m")
+@query(f"{C}, pat AS {_PATTERNS}, {_HITS}, m AS (SELECT pattern_id, count(pos) AS n FROM pat LEFT JOIN hits USING (pattern_id) GROUP BY pattern_id) SELECT count(*) AS patterns, count(*) FILTER (n > 0) AS found, coalesce(sum(n), 0)::BIGINT AS matches FROM m")
 def q_find_totals(spark, sf_dir):
     return search.totals(index(spark, sf_dir).find(patterns(spark, sf_dir)))
 
 
-@query(f"{C}, pat AS (SELECT item_id AS pattern_id, substr({_ENC.format('text')}, 1, 2) || '5' AS p FROM benchmark) SELECT pattern_id, count(pos) AS matches FROM pat LEFT JOIN bwt ON starts_with(suf, p) GROUP BY pattern_id")
+@query(f"{C}, pat AS (SELECT pattern_id, p || '5' AS p FROM ({_STRETCHES.format(n='2')})), {_HITS} SELECT pattern_id, count(pos) AS matches FROM pat LEFT JOIN hits USING (pattern_id) GROUP BY pattern_id")
 def q_find_unknown_characters(spark, sf_dir):
-    """Characters outside the alphabet, here a ?, mean N."""
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    begin = F.substr(alphabet.prose_as_bases(F.coalesce("text", F.lit(""))), F.lit(1), F.lit(2))
-    asked = items.select(F.col("item_id").alias("pattern_id"), F.concat(alphabet.decode(begin), F.lit("?")).alias("pattern"))
+    """Characters outside the alphabet, here a ? behind every two symbols of every benchmark text, mean N."""
+    asked = stretches(spark, sf_dir, F.lit(2)).withColumn("pattern", F.concat("pattern", F.lit("?")))
     return index(spark, sf_dir).count(asked).select("pattern_id", "matches")
 
 
-@query(f"{C}, pat AS {_PATTERNS}, numbered AS (SELECT seq_id, row_number() OVER (ORDER BY seq_id) - 1 AS r FROM texts) SELECT pattern_id, r AS seq_id, off FROM pat JOIN bwt ON starts_with(suf, p) JOIN numbered USING (seq_id) WHERE length(p) >= 6")
+@query(f"{C}, pat AS (SELECT * FROM {_PATTERNS} WHERE length(p) >= 6), {_HITS}, numbered AS (SELECT seq_id, row_number() OVER (ORDER BY seq_id) - 1 AS r FROM texts) SELECT pattern_id, r AS seq_id, off FROM hits JOIN numbered USING (seq_id)")
 def q_locate(spark, sf_dir):
     """Every place of the longer patterns, by the number of the text and the offset there, from an index without texts."""
     ix = index(spark, sf_dir)
@@ -503,7 +530,7 @@ def q_locate(spark, sf_dir):
     return invert.locate(ix.find(patterns(spark, sf_dir).where(F.length("pattern") >= 6)), places, lengths)
 
 
-@query(f"{C}, pat AS {_PATTERNS} SELECT pattern_id, seq_id, off FROM pat JOIN bwt ON starts_with(suf, p) WHERE length(p) >= 5")
+@query(f"{C}, pat AS (SELECT * FROM {_PATTERNS} WHERE length(p) >= 5), {_HITS} SELECT pattern_id, seq_id, off FROM hits")
 def q_locate_sampled(spark, sf_dir):
     """Every place of the longer patterns, by steps back to the next sampled place: only the occurrences move."""
     ix = Index.of_texts(one(spark, sf_dir, "conversations"), places=16)

@@ -69,9 +69,9 @@ def merged(*alphabets: DataFrame) -> DataFrame:
     return of_counts(every.select("comp", "cnt"), names[0])
 
 
-def identity(spark: SparkSession, sigma: int = SIGMA) -> DataFrame:
-    """An alphabet whose characters are the comp values themselves, with counts of zero."""
-    return spark.createDataFrame([(k, str(k), 0, 0) for k in range(sigma)], SCHEMA)
+def identity(counts: DataFrame) -> DataFrame:
+    """The alphabet of (comp, cnt) rows whose characters are the comp values themselves."""
+    return of_counts(counts).withColumn("ch", F.col("comp").cast("string"))
 
 
 def identify(alphabet: DataFrame) -> str:

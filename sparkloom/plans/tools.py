@@ -8,17 +8,18 @@
 from __future__ import annotations
 
 import argparse
-import time
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import merge as merging
+from ..operators import runs as run_operators
 from ..operators import search
 from ..operators.index import Index
 from ..sources import files
 from ..sources.codecs import FORMATS
+from .report import Meter, memory, path_bytes
 
 
 @dataclass
@@ -52,23 +53,44 @@ def bounds(lo: int, hi: int, blocks: int) -> list[tuple[int, int]]:
     return list(zip(cuts, cuts[1:]))
 
 
-def load(spark: SparkSession, path: str, tag: str) -> tuple[Index, str]:
-    """An index of a file; for the engine's own format, of a saved Index."""
+def load(spark: SparkSession, path: str, tag: str, meter: Meter | None = None, name: str = "read") -> tuple[Index, str]:
+    """An index of a file; for the engine's own format, of a saved Index. A ``meter`` is told what the file holds."""
+    meter = meter or Meter(spark)
     if tag == "parquet":
-        index = Index.load(spark, path)
+        with meter.stage(name) as made:
+            index = Index.load(spark, path)
+            told(made, index, path_bytes(spark, path))
         return index, index.order
+    order = file_order(spark, path, tag)
+    return Index.of_pieces(meter.written(files.read_pieces(spark, path, tag), name, path_bytes(spark, path)), order), order
+
+
+def file_order(spark: SparkSession, path: str, tag: str) -> str:
+    """The alphabet order of a file: its format's, or what its header says where the format holds any."""
     order = FORMATS[tag].order if tag in FORMATS else ""
     if order == "any":
         head = files.inspect(spark, path).first()
         order = head["alphabet"] if head["alphabet"] in ("default", "sorted") else "default"
-    return Index.of_pieces(files.read_pieces(spark, path, tag), order), order
+    return order
 
 
-def save(index: Index, path: str, tag: str, force: bool = False) -> dict:
-    if tag == "parquet":
-        index.save(path)
-        return {"sequences": index.sequences, "bases": index.bases}
-    return files.write_runs(index.runs(), path, tag, index.order, force)
+def save(index: Index, path: str, tag: str, force: bool = False, meter: Meter | None = None) -> dict:
+    """Write an index as a file of a format, or in the engine's own; a ``meter`` is told what was written."""
+    spark = index.blocks.sparkSession
+    with (meter or Meter(spark)).stage("write") as made:
+        if tag == "parquet":
+            index.save(path)
+            told(made, index, path_bytes(spark, path))
+            return {"sequences": made.sequences, "bases": made.bases, "bytes": made.bytes}
+        done = files.write_runs(index.runs(), path, tag, index.order, force)
+        made.runs, made.sequences, made.bases, made.bytes = index.runs().count(), done["sequences"], done["bases"], done["bytes"]
+    return done
+
+
+def told(stage, index: Index, size: int | None = None) -> None:
+    """Put into a stage what an index holds: its runs are those of its blocks."""
+    stage.sequences, stage.bases, stage.bytes = index.sequences, index.bases, size
+    stage.runs = int(run_operators.storage(index.blocks).first()["runs"] or 0)
 
 
 def described() -> Column:
@@ -83,39 +105,39 @@ def totals(headers: DataFrame) -> DataFrame:
     return headers.agg(F.count("*").alias("files"), F.count_if(~F.col("format").isin("unknown", "unreadable")).alias("known"), sum_of("sequences"), sum_of("bases"))
 
 
-def report(spark: SparkSession, stages: list[tuple[str, float, int, int]]) -> DataFrame:
-    """(stage, seconds, bytes, bases, bpc): bits per character of what each stage wrote."""
-    rows = [(s, float(t), b, n, 8.0 * b / n if n else 0.0) for s, t, b, n in stages]
-    return spark.createDataFrame(rows, "stage string, seconds double, bytes long, bases long, bpc double")
-
-
 def convert(spark: SparkSession, source: str, target: str, source_tag: str = "sga", target_tag: str = "parquet", recode: bool = False) -> DataFrame:
-    """Read one format and write another. Orders of alphabets must agree unless ``recode``, which keeps characters and changes their codes."""
-    began = time.time()
+    """Read one format and write another; returns the report of the stages. Orders of alphabets must agree unless ``recode``, which keeps characters and changes their codes."""
+    meter = Meter(spark)
     if target_tag == "parquet":
-        index, _ = load(spark, source, source_tag)
-        save(index, target, "parquet")
-        return report(spark, [("convert", time.time() - began, 0, index.bases)])
-    runs = files.read_runs(spark, source, source_tag)
-    order = FORMATS[source_tag].order
-    order = (files.inspect(spark, source).first()["alphabet"] or "default") if order == "any" else order
+        index, _ = load(spark, source, source_tag, meter)
+        save(index, target, "parquet", meter=meter)
+        return meter.report()
+    order = file_order(spark, source, source_tag)
     want = FORMATS[target_tag].order if target_tag in FORMATS else order
+    pieces = meter.written(files.read_pieces(spark, source, source_tag), "read", path_bytes(spark, source))
+    runs = run_operators.coalesce_runs(pieces)
     if recode and want != order and want != "any":
         runs, order = files.recode(runs, order, want), want
-    done = files.write_runs(runs, target, target_tag, order)
-    return report(spark, [("convert", time.time() - began, done["bytes"], done["bases"])])
+    runs = meter.written(runs, "runs")
+    with meter.stage("write") as made:
+        done = files.write_runs(runs, target, target_tag, order)
+        made.sequences, made.bases, made.bytes, made.runs = done["sequences"], done["bases"], done["bytes"], meter.stages[-1].runs
+    return meter.report()
 
 
-def merge(spark: SparkSession, sources: list[str], target: str, tags: list[str], target_tag: str = "parquet", patterns: str | None = None) -> DataFrame | None:
-    """Merge files in the order given; with ``patterns``, return how their counts compare before and after."""
+def merge(spark: SparkSession, sources: list[str], target: str, tags: list[str], target_tag: str = "parquet", patterns: str | None = None, meter: Meter | None = None) -> DataFrame | None:
+    """Merge files in the order given; with ``patterns``, return how their counts compare before and after. A ``meter`` is told of every stage."""
     tags = tags * len(sources) if len(tags) == 1 else tags
     if len(tags) != len(sources):
         raise ValueError("give one format, or one for each input")
-    parts = [load(spark, path, tag) for path, tag in zip(sources, tags)]
+    meter = meter or Meter(spark)
+    parts = [load(spark, path, tag, meter, f"read {k}") for k, (path, tag) in enumerate(zip(sources, tags))]
     if len({order for _, order in parts}) != 1:
         raise ValueError("the inputs' alphabets differ")
-    whole = merging.merge_indexes([p for p, _ in parts])
-    save(whole, target, target_tag)
+    with meter.stage("merge") as made:
+        whole = merging.merge_indexes([p for p, _ in parts])
+        told(made, whole)
+    save(whole, target, target_tag, meter=meter)
     return merging.verify(search.read_patterns(spark, patterns), [p for p, _ in parts], whole) if patterns else None
 
 
@@ -135,12 +157,16 @@ def main(arguments: list[str] | None = None) -> None:
     spark = SparkSession.builder.config(map=told).getOrCreate()
     if a.tool == "convert":
         convert(spark, *a.paths, a.i, a.o).show(truncate=False)
+        memory(spark).show(truncate=False)
     elif a.tool == "inspect":
         found = files.inspect(spark, *a.paths)
         found.select("*", described().alias("report")).show(truncate=False)
         totals(found).show()
     else:
-        checked = merge(spark, a.paths[:-1], a.paths[-1], a.i.split(","), a.o, a.v)
+        meter = Meter(spark)
+        checked = merge(spark, a.paths[:-1], a.paths[-1], a.i.split(","), a.o, a.v, meter)
+        meter.report().show(truncate=False)
+        memory(spark).show(truncate=False)
         if checked is not None:
             checked.agg(F.count("*").alias("patterns"), F.count_if(~F.col("same")).alias("mismatches")).show()
 

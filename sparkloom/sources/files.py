@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.alphabet import ORDERS
@@ -22,6 +24,20 @@ def formats(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(f.tag, f.name, f.order) for f in codecs.FORMATS.values()], "tag string, name string, alphabet string")
 
 
+def sizes(runs: DataFrame) -> DataFrame:
+    """(tag, name, alphabet, bytes) of all formats, with the bytes that a file of runs(c, len) takes; null for the native code, where they do not follow from counts."""
+
+    def size(tag: str) -> Column:
+        if tag == "native":
+            return F.lit(None).cast("long")
+        data = F.col("run_bytes") if tag in codecs.RUN_CODES else F.col("bases")
+        padding = F.pmod(-F.col("bases"), F.lit(8)) if codecs.padding(tag, 1) else F.lit(0)
+        return (data + padding + len(codecs.header(tag, 0, 0, 0))).cast("long")
+
+    each = (F.struct(*(F.lit(x).alias(n) for n, x in (("tag", f.tag), ("name", f.name), ("alphabet", f.order))), size(f.tag).alias("bytes")) for f in codecs.FORMATS.values())
+    return byte_counts(runs).select(F.inline(F.array(*each)))
+
+
 def _known(tag: str) -> codecs.Format:
     if tag not in codecs.FORMATS:
         raise ValueError(f"no such format: {tag}; there are {', '.join(codecs.FORMATS)}")
@@ -132,14 +148,20 @@ def _read_whole(spark: SparkSession, path: str, tag: str) -> DataFrame:
 
 def recode(runs: DataFrame, source: str, target: str) -> DataFrame:
     """Runs whose symbols change from one alphabet order to another: T and N trade places. The order of suffixes is not touched."""
-    if source == target:
-        return runs
-    moved = {k: ORDERS[target].index(ch) for k, ch in enumerate(ORDERS[source])}
-    c = F.col("c")
-    for k, n in moved.items():
-        if k != n:
-            c = F.when(F.col("c") == k, n).otherwise(c)
-    return runs.withColumn("c", c)
+    return runs if source == target else recoded(runs, "c", source)(target)
+
+
+def recoded(df: DataFrame, column: str, source: str) -> Callable[[str], DataFrame]:
+    """``df`` as a function of the alphabet order to which the symbols in ``column`` change."""
+
+    def to(target: str) -> DataFrame:
+        c = F.col(column)
+        for k, ch in enumerate(ORDERS[source]):
+            if ORDERS[target].index(ch) != k:
+                c = F.when(F.col(column) == k, ORDERS[target].index(ch)).otherwise(c)
+        return df.withColumn(column, c)
+
+    return to
 
 
 def chunks(runs: DataFrame, tag: str, bases_in_chunk: int = CHUNK) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.operators import transform
 from sparkloom.operators.index import Index
-from sparkloom.plans import tools
+from sparkloom.plans import report, tools
 from sparkloom.sources import codecs, files
 from sparkloom.streaming import incremental
 from tests.test_index import R, S, spelled, texts
@@ -32,6 +32,7 @@ def test_round_trip(spark, example, tag, tmp_path):
         assert data.hex() == GOLDEN[tag]
     else:
         assert data == (bytes.fromhex("c000000000000000") if tag == "sdsl" else b"") + b"CCGGTTTCCAAGGT$$CAAAACCA"
+    assert files.sizes(runs).where(F.col("tag") == tag).first()["bytes"] == len(data)
     back = files.read_runs(spark, path, tag)
     assert sorted(map(tuple, back.select("start", "c", "len").collect())) == sorted(map(tuple, runs.select("start", "c", "len").collect()))
 
@@ -101,13 +102,46 @@ def test_tools(spark, tmp_path):
     assert [r[0] for r in files.inspect(spark, paths[0]).select(tools.described()).collect()] == ["sga: 1 sequences, 12 bases, default alphabet"]
     merged = Index.load(spark, str(tmp_path / "m"))
     assert spelled(merged.bwt) == "CCGGTTTCCAAGGT$$CAAAACCA"
-    done = tools.convert(spark, paths[0], str(tmp_path / "c"), "sga", "plain_default").first()
-    assert done["bytes"] == 12 and (tmp_path / "c").read_bytes() == b"CGTCAGT$CACA"
+    done = {r["stage"]: r for r in tools.convert(spark, paths[0], str(tmp_path / "c"), "sga", "plain_default").collect()}
+    assert done["write"]["bytes"] == 12 and done["write"]["bpc"] == 8 and done["read"]["bytes"] == 30 + done["read"]["runs"] and (tmp_path / "c").read_bytes() == b"CGTCAGT$CACA"
     tools.convert(spark, paths[0], str(tmp_path / "s"), "sga", "plain_sorted", recode=True)
     assert (tmp_path / "s").read_bytes() == b"CGTCAGT$CACA"
     assert tools.bounds(0, 10, 3) == [(0, 3), (3, 6), (6, 10)] and tools.bounds(0, 2, 5) == [(0, 1), (1, 2)] and tools.bounds(3, 3, 2) == []
 
 
+def test_reports(spark, tmp_path):
+    runs, paths = Index.of_texts(texts(spark, ["AC", "A"])).runs(), [str(tmp_path / n) for n in ("a", "b")]
+    for path in paths:
+        files.write_runs(runs, path, "ropebwt")
+    meter = report.Meter(spark)
+    tools.merge(spark, paths, str(tmp_path / "m"), ["ropebwt"], "parquet", meter=meter)
+    got = {r["stage"]: r for r in meter.report().collect()}
+    assert list(got) == ["read 0", "read 1", "merge", "write"]
+    whole = Index.load(spark, str(tmp_path / "m"))
+    assert [(got[s]["sequences"], got[s]["bases"]) for s in got] == [(2, 5), (2, 5), (4, 10), (4, 10)]
+    assert got["read 0"]["bytes"] == (tmp_path / "a").stat().st_size == 4 + got["read 0"]["runs"] and got["merge"]["bytes"] is None
+    assert got["write"]["bytes"] == sum(f.stat().st_size for f in (tmp_path / "m").rglob("*") if f.is_file() and f.suffix != ".crc" and not f.name.startswith(".")) > 0
+    assert got["write"]["runs"] == whole.runs().count()  # all in one block
+    assert all(r["seconds"] > 0 and r["rate"] == r["bases"] / r["seconds"] for r in got.values())
+    assert all(r["bpc"] == 8 * r["bytes"] / r["bases"] for r in got.values() if r["bytes"] is not None)
+    again = report.Meter(spark)
+    tools.load(spark, str(tmp_path / "m"), "parquet", again)
+    assert again.report().first()["bytes"] == got["write"]["bytes"]
+
+
+def test_meter_of_any_runs(spark):
+    meter = report.Meter(spark)
+    rows = [(k, k % 6, 1 + k % 50) for k in range(5_000)]
+    meter.written(spark.createDataFrame(rows, "start long, c int, len long").repartition(7).sort("start"), "many")
+    empty = meter.written(spark.createDataFrame([], "start long, c int, len long"), "none")
+    assert not empty.count()
+    many, none = meter.report().collect()
+    assert (many["sequences"], many["bases"], many["runs"]) == (sum(n for _, c, n in rows if c == 0), sum(n for _, _, n in rows), 5_000)
+    assert (none["sequences"], none["bases"], none["runs"], none["bpc"]) == (0, 0, 0, None)
+    peaks = report.memory(spark).collect()
+    assert "driver" in {r["executor"] for r in peaks} and all(r["heap"] is None or r["heap"] >= 0 for r in peaks)
+
+
 def test_stream(spark, tmp_path):
     source = tmp_path / "in"
     for k, row in enumerate((R, S)):
