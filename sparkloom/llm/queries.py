@@ -27,8 +27,8 @@ def digest_of(text):
 
 @query
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Secrets of every whole text: the base kinds and the further ones of the method."""
-    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Secrets of every whole text, through the inverted index: the base kinds and the further ones of the method."""
+    found = secrets.search(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = [r.kind for r in secrets.BASE_RULES]
     return found.select(
         "doc_id",

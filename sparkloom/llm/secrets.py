@@ -1,10 +1,15 @@
 """Secret scans with a trigram inverted index, in DataFrame operations only.
 
 Each rule's regular expression is turned into a Boolean query over trigrams
-that every match must hold (a disjunction of conjunctions). ``postings`` indexes
-the texts by the trigrams that the rules ask for, as one bitmap over the rows of a partition for
-each trigram; ``candidate`` intersects and unites the lists; ``scan`` runs the expressions on the
-candidates and returns the spans. A rule without mandatory trigrams scans every text.
+that every match must hold (a disjunction of conjunctions). ``index`` inverts the texts: for each trigram that the
+rules ask for, sorted posting lists of the texts that hold it, in blocks of texts. ``candidates`` intersects the lists of a clause
+and unites clauses; ``search`` runs the expressions on the texts found there and returns the spans. A rule
+without mandatory trigrams scans every text.
+
+Posting lists name a text by its hash, so copies share an entry and a shared hash only means one more text to verify.
+The candidates go back to the texts as a bitmap of bounded size: a bit that two texts share again only means
+verifying more, so no text moves at any size. ``scan`` gives the same spans in one pass
+without an index, from the trigrams of each row alone, for texts that are read only once.
 """
 
 from __future__ import annotations
@@ -17,6 +22,8 @@ from re import _parser as sre_parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.shared import materialize_counted
+
 #: Alternatives beyond this many make a part of an expression count as unknown; the query stays right, only weaker.
 MOST_STRINGS = 64
 
@@ -142,6 +149,52 @@ def candidate(rule: Rule, rules, held: str = "held") -> Column:
     return reduce(Column.__or__, map(both, clauses)) if clauses else F.lit(True)
 
 
+#: Texts of a block of the index.
+BLOCK_TEXTS = 4096
+#: The candidates' bitmap: the log of the bits of a chunk (what Spark's bitmap functions take), bits for each candidate, and the most chunks (64 MB).
+CHUNK, BITS_EACH, MOST_CHUNKS = 15, 16, 1 << 14
+
+
+def index(df: DataFrame, rules, text: str = "text", blocks: int = 1) -> DataFrame:
+    """postings(trigram, block, keys): for each trigram that the rules ask for the sorted keys of the texts that hold it, by blocks of texts.
+
+    A text's key is its XXH64, so copies are one entry, which is merged before the shuffle; null and empty texts have none.
+    """
+    low = df.select(F.xxhash64(text).alias("key"), F.lower(text).alias("low"))
+    held = F.array(*(F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in wanted(rules))).cast("array<string>")
+    each = low.select("key", F.explode(F.array_compact(held)).alias("trigram"))
+    return each.groupBy("trigram", F.pmod("key", F.lit(blocks)).alias("block")).agg(F.sort_array(F.collect_set("key")).alias("keys"))
+
+
+def candidates(postings: DataFrame, rules) -> DataFrame:
+    """(kind, key): the texts whose posting lists meet the trigram query of a rule: lists intersected inside clauses, clauses united, block by block.
+
+    Rules without mandatory trigrams have no rows: every text is a candidate of theirs.
+    """
+    blocks = postings.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("trigram", "keys"))).alias("lists"))
+    none = F.array().cast("array<bigint>")
+
+    def of(rule: Rule) -> Column:
+        lists = ([F.coalesce(F.try_element_at("lists", F.lit(t)), none) for t in sorted(clause)] for clause in trigram_query(rule.pattern))
+        return reduce(F.array_union, (reduce(F.array_intersect, clause) for clause in lists), none)
+
+    each = F.array(*(F.struct(F.lit(r.kind).alias("kind"), of(r).alias("keys")) for r in rules))
+    return blocks.select(F.explode(each).alias("found")).select("found.kind", F.explode("found.keys").alias("key"))
+
+
+def _in_bitmap(rows: DataFrame, keys: DataFrame, n: int, text: str, name: str) -> DataFrame:
+    """``rows`` with whether the bit of their text is set in a bitmap of ``n`` keys, which is broadcast."""
+    chunks = min(MOST_CHUNKS, 1 + (n * BITS_EACH >> CHUNK))
+    slot = lambda key: F.pmod(key, F.lit(chunks << CHUNK))
+    inside = F.col("slot").bitwiseAND(F.lit((1 << CHUNK) - 1))
+    chunk = F.shiftright("slot", CHUNK).alias("chunk")
+    bitmap = keys.select(slot(F.col("key")).alias("slot")).groupBy(chunk).agg(F.bitmap_construct_agg(inside).alias("bits"))
+    byte = F.conv(F.hex(F.substring("bits", (F.shiftright(inside, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    bit = F.coalesce(F.getbit(byte, inside.bitwiseAND(F.lit(7)).cast("int")) == 1, F.lit(False))
+    placed = rows.select("*", slot(F.xxhash64(text)).alias("slot")).withColumn("chunk", chunk)
+    return placed.join(F.broadcast(bitmap), "chunk", "left").select(*rows.columns, bit.alias(name))
+
+
 #: Steps of a running total over up to 2**30 elements.
 _STEPS = [1 << k for k in range(30)]
 
@@ -178,19 +231,42 @@ def scan(df: DataFrame, rules=BASE_RULES + MORE_RULES, text: str = "text", spans
     scanned like any other; a column of ``df`` that has the name ``spans`` is
     replaced, and any other name may occur in ``df``. No row moves: one pass without a shuffle.
     """
+    rows, back = _aside(df, text, spans)
+    return postings(rows, rules).select(*back, _ordered_spans(rules, lambda rule: candidate(rule, rules)).alias(spans))
+
+
+def search(df: DataFrame, rules=BASE_RULES + MORE_RULES, text: str = "text", spans: str = "spans") -> DataFrame:
+    """As ``scan``, through the inverted index: the same rows, with the same spans.
+
+    Reads ``df`` three times (its number of rows, the index, the verification), so it should be a table. What moves are
+    posting lists, and the candidates' bitmap of at most 64 MB, which all workers get; no text does. With more candidates than that
+    has bits for, more texts are verified and none is lost.
+    """
+    rows, back = _aside(df, text, spans)
+    lists = index(rows, rules, blocks=1 + rows.count() // BLOCK_TEXTS)
+    found, n = materialize_counted(candidates(lists, rules), "candidates")
+    marked = _in_bitmap(rows, found, n, "text", "listed")
+    may = lambda rule: F.col("listed") if trigram_query(rule.pattern) else F.lit(True)
+    return marked.select(*back, _ordered_spans(rules, may).alias(spans))
+
+
+def _aside(df: DataFrame, text: str, spans: str) -> tuple[DataFrame, list]:
+    """(row, text) of ``df``, and the columns that give ``df`` back without ``spans``."""
     names = [c for c in df.columns if c != spans]
     row = F.struct(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)))  # by number, so dots and clashes in names mean nothing
-    rows = postings(df.select(row.alias("row"), F.col(f"`{text}`").cast("string").alias("text")), rules)
+    return df.select(row.alias("row"), F.col(f"`{text}`").cast("string").alias("text")), [F.col("row")[f"c{k}"].alias(c) for k, c in enumerate(names)]
+
+
+def _ordered_spans(rules, may) -> Column:
+    """The spans of all rules in the column text, sorted by start, then rule; ``may(rule)`` says of which texts a rule is verified."""
     kind = "array<struct<kind:string,order:int,start:int,end:int>>"
 
     def of(k: int, rule: Rule) -> Column:
         spans_of = F.transform(_matches(F.col("text"), rule), lambda s: F.struct(F.lit(rule.kind).alias("kind"), F.lit(k).alias("order"), s["start"].alias("start"), s["end"].alias("end")))
-        possible = F.regexp(F.col("text"), F.lit(rule.pattern)) & candidate(rule, rules)
-        return F.when(candidate(rule, rules) & possible, spans_of).otherwise(F.array().cast(kind))
+        return F.when(may(rule) & F.regexp(F.col("text"), F.lit(rule.pattern)), spans_of).otherwise(F.array().cast(kind))
 
     every = F.flatten(F.array(*(of(k, rule) for k, rule in enumerate(rules))))
-    ordered = F.array_sort(every, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["order"] - b["order"]))
-    return rows.select(*(F.col("row")[f"c{k}"].alias(c) for k, c in enumerate(names)), ordered.alias(spans))
+    return F.array_sort(every, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["order"] - b["order"]))
 
 
 def listed(spans: str, kinds: list[str] | None = None) -> Column:

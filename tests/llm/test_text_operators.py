@@ -70,6 +70,40 @@ def test_many_matches_and_rules(spark):
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString() and "Python" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_inverted_index(spark, monkeypatch):
+    """Posting lists, what their intersections give, and spans found through them, against brute force; with many blocks, and with a bitmap so full that it tells little."""
+    rng = random.Random(5)
+    parts = ["pass", "word", "wd", "secret", "tok", "en", "api", "_", "key", "AKIA", "ABCDEFGH12345678", "ghp_" + "a1" * 18, "xoxb-", "1234567890ab", "=", ": ", "abc123", "deadbeef" * 3, "é", "😀", " "]
+    rows = EDGES + [(100 + i, "".join(rng.choices(parts, k=rng.randrange(1, 15)))) for i in range(400)] + [(900, "token=abcdefgh")] * 300
+    df = spark.createDataFrame([(i, t, "own", 1, 2) for i, t in rows], DOCS + ", spans string, slot int, `a.b` int")
+    rules = secrets.BASE_RULES + secrets.MORE_RULES
+    text_of = {r["k"]: r["text"] for r in df.select("text", F.xxhash64("text").alias("k")).where("text IS NOT NULL").collect()}
+    lists = secrets.index(df, rules, blocks=7).collect()
+    got = {}
+    for r in lists:
+        assert r["keys"] == sorted(set(r["keys"])) and all(k % 7 == r["block"] for k in r["keys"])
+        got.setdefault(r["trigram"], set()).update(r["keys"])
+    holding = {t: {k for k, x in text_of.items() if t in x.lower()} for t in secrets.wanted(rules)}
+    assert got == {t: ks for t, ks in holding.items() if ks}
+    found = {(r["kind"], r["key"]) for r in secrets.candidates(secrets.index(df, rules, blocks=7), rules).collect()}
+    assert found == {(r.kind, k) for r in rules for clause in secrets.trigram_query(r.pattern) for k in set.intersection(*(holding[t] for t in clause))}
+    assert {r.kind for r in rules} - {kind for kind, _ in found} == {"hex", "private_key"} and len({k for _, k in found}) < len(text_of)
+    want = sorted((str(i), t or "", brute_spans(t)) for i, t in rows)
+    for few in (False, True):
+        if few:
+            monkeypatch.setattr(secrets, "BLOCK_TEXTS", 16)
+            monkeypatch.setattr(secrets, "CHUNK", 3)
+            monkeypatch.setattr(secrets, "MOST_CHUNKS", 2)
+        done = secrets.search(df)
+        assert done.columns == ["doc_id", "text", "slot", "a.b", "spans"]
+        assert sorted((str(r["doc_id"]), r["text"] or "", r["s"]) for r in done.select("doc_id", "text", secrets.listed("spans").alias("s")).collect()) == want
+        plan = done._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "text" not in "".join(line for line in plan.splitlines() if "Exchange hash" in line)
+    assert secrets.search(df.limit(0)).count() == 0
+    assert [r["spans"] for r in secrets.search(df.where("text IS NULL")).collect()] == [[]]
+    assert secrets.candidates(secrets.index(df, rules[2:3]), rules[2:3]).count() == 0  # a rule without trigrams
+
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
 
