@@ -41,21 +41,23 @@ def reads_of(texts: DataFrame, length: int = READ) -> DataFrame:
 
 #: Symbols of a suffix that one long holds, as decimal digits.
 PACKED = 18
-#: What orders suffixes: a number of PACKED symbols, and the spelled rest of those that are longer.
+#: What orders suffixes: a number of PACKED symbols, and the rest of those that are longer, two symbols a byte.
 SUFFIX_ORDER = ["head", "rest"]
 
 
 def suffixes(texts: DataFrame) -> DataFrame:
     """(seq_id, off, head, rest, c) and other columns of ``texts``: every suffix, the empty one too, and the digit before it (0 at the start).
 
-    Its first 18 symbols are a number, so sorting mostly compares longs and moves 8 bytes for them. A shorter suffix has zeros
+    Its first 18 symbols are a number, so sorting mostly compares longs and moves 8 bytes for them; the rest are half bytes. A shorter suffix has zeros
     there, which no symbol is, and so comes first. Made for reads: what is spelled grows with the square of a text's length.
     """
     others = [c for c in texts.columns if c != "s"]
     cut = spread(texts, "seq_id").select(*others, "s", F.concat("s", F.lit("0" * PACKED)).alias("padded"), F.explode(F.sequence(F.lit(0), F.length("s"))).alias("off"))
     before = F.when(F.col("off") == 0, 0).otherwise(F.ascii(F.substr("s", F.col("off"), F.lit(1))) - 48)
     head = F.substr("padded", F.col("off") + 1, F.lit(PACKED)).cast("long").alias("head")
-    return cut.select(*others, F.col("off").cast("long").alias("off"), head, F.substr("s", F.col("off") + 1 + PACKED).alias("rest"), before.alias("c"))
+    far = F.length("s") - F.col("off") - PACKED  # symbols beyond the head; with one zero where they are odd
+    rest = F.unhex(F.substr("padded", F.col("off") + 1 + PACKED, F.greatest(far + far % 2, F.lit(0)))).alias("rest")
+    return cut.select(*others, F.col("off").cast("long").alias("off"), head, rest, before.alias("c"))
 
 
 def build(texts: DataFrame) -> DataFrame:
