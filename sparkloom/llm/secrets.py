@@ -199,10 +199,15 @@ def _in_bitmap(rows: DataFrame, keys: DataFrame, n: int, text: str, name: str) -
 _STEPS = [1 << k for k in range(30)]
 
 
+def _let(value: Column, make) -> Column:
+    """``make`` of a value that is computed once, however often it is named."""
+    return F.get(F.transform(F.array(value), make), F.lit(0))
+
+
 def _running(values: Column, both, least: Column) -> Column:
     """Inclusive running totals of an array under ``both``, by doubling: element i takes in the one 1, 2, 4, ... places before."""
-    steps = F.filter(F.array(*map(F.lit, _STEPS)), lambda d: d < F.size(values))
-    return F.aggregate(steps, values, lambda now, d: F.transform(now, lambda x, i: both(x, F.coalesce(F.get(now, (i - d).cast("int")), least))))
+    steps = lambda v: F.filter(F.array(*map(F.lit, _STEPS)), lambda d: d < F.size(v))
+    return _let(values, lambda v: F.aggregate(steps(v), v, lambda now, d: F.transform(now, lambda x, i: both(x, F.coalesce(F.get(now, (i - d).cast("int")), least)))))
 
 
 def _matches(text: Column, rule: Rule) -> Column:
@@ -214,7 +219,8 @@ def _matches(text: Column, rule: Rule) -> Column:
     whole = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), F.length)
     part = F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), F.length) if rule.group else whole
     gaps = F.transform(F.split(text, rule.pattern, -1), F.length)
-    rows = F.arrays_zip(whole.alias("long"), part.alias("part"), F.slice(gaps, 1, F.size(whole)).alias("gap"))
+    before = _let(gaps, lambda g: F.slice(g, F.lit(1), F.size(g) - 1))  # a gap before each match, and one behind the last
+    rows = F.arrays_zip(whole.alias("long"), part.alias("part"), before.alias("gap"))
     # the running total rides in ``end``, so each expression is run once
     spans = F.transform(rows, lambda r: F.struct((r["gap"] + r["long"]).alias("end"), r["long"].alias("long"), r["part"].alias("part")))
     none = F.struct(F.lit(0).alias("end"), F.lit(0).alias("long"), F.lit(0).alias("part"))
