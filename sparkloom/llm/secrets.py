@@ -158,12 +158,20 @@ CHUNK, BITS_EACH, MOST_CHUNKS = 15, 16, 1 << 14
 def index(df: DataFrame, rules, text: str = "text", blocks: int = 1) -> DataFrame:
     """postings(trigram, block, keys): for each trigram that the rules ask for the sorted keys of the texts that hold it, by blocks of texts.
 
-    A text's key is its XXH64, so copies are one entry, which is merged before the shuffle; null and empty texts have none.
+    A text's key is its XXH64, so copies are one entry, which is merged before the shuffle; texts without any such trigram have none, null and empty ones too.
+    What moves, once by key and once by block, are keys and a bit for each trigram; lists are made where a block lies.
     """
-    low = df.select(F.xxhash64(text).alias("key"), F.lower(text).alias("low"))
-    held = F.array(*(F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in wanted(rules))).cast("array<string>")
-    each = low.select("key", F.explode(F.array_compact(held)).alias("trigram"))
-    return each.groupBy("trigram", F.pmod("key", F.lit(blocks)).alias("block")).agg(F.sort_array(F.collect_set("key")).alias("keys"))
+    terms = wanted(rules)
+    words = [terms[i : i + 62] for i in range(0, len(terms), 62)]
+    bit = lambda i, t: F.when(F.contains("low", F.lit(t)), F.lit(1 << i)).otherwise(F.lit(0)).cast("long")
+    held = [reduce(Column.__add__, (bit(i, t) for i, t in enumerate(ts))).alias(f"w{k}") for k, ts in enumerate(words)]
+    some = reduce(Column.__or__, (F.col(f"w{k}") != 0 for k in range(len(words))), F.lit(False))
+    low = df.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("key"), F.lower(text).alias("low")).select("key", *held)
+    texts = low.groupBy("key").agg(F.lit(0).alias("none"), *(F.bit_or(f"w{k}").alias(f"w{k}") for k in range(len(words))))
+    near = texts.where(some).withColumn("block", F.pmod("key", F.lit(blocks))).repartition("block")
+    has = [F.when(F.getbit(f"w{k}", F.lit(i)) == 1, F.lit(t)) for k, ts in enumerate(words) for i, t in enumerate(ts)]
+    each = near.select("key", "block", F.explode(F.array(*has).cast("array<string>")).alias("trigram")).where("trigram IS NOT NULL")
+    return each.groupBy("trigram", "block").agg(F.sort_array(F.collect_list("key")).alias("keys"))
 
 
 def candidates(postings: DataFrame, rules) -> DataFrame:
