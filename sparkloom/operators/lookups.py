@@ -77,15 +77,23 @@ def _asked(name: str) -> str:
 
 
 def meet(at: DataFrame, blocks: DataFrame, counts: list[int], pos: str, size: int, few: bool = False) -> DataFrame:
-    """Each question, in the struct ``_q``, with its block, and in ``_o`` its place there; a position past the end meets the end of the last block, one before 0 the start of the first.
+    """Each question, in the struct ``_q``, with its block, and in ``_o`` its place there; a position outside (``_i`` is null) meets some block, as any will do, and place 0.
 
+    So questions from outside, however many, do not crowd at the first or the last block. Questions pass by their block, one row, and are not gathered beside it.
     The join is an inner one, so the blocks may stay where they are: ``few`` says that at most SENT questions are there, which go to all workers.
     Nothing is met in an empty transform.
     """
     total = sum(counts)
-    asked = at.select(_question(at), F.least(F.greatest(F.col(pos), F.lit(0)), F.lit(total)).cast("long").alias("_i"))
-    asked = asked.withColumn("blk", F.least(cell("_i", size), F.lit(max(0, (total - 1) // size))).cast("long"))
-    return blocks.join(F.broadcast(asked) if few else asked, "blk").withColumn("_o", (F.col("_i") - F.col("start_pos")).cast("int"))
+    inside = F.coalesce((F.col(pos) >= 0) & (F.col(pos) < total), F.lit(False))
+    asked = at.select(_question(at), F.when(inside, F.col(pos)).cast("long").alias("_i"))
+    some = F.pmod(F.xxhash64("_q"), F.lit(max(1, -(-total // size))))
+    asked = asked.withColumn("blk", F.when(F.col("_i").isNull(), some).otherwise(cell("_i", size)).cast("long"))
+    return (F.broadcast(asked) if few else asked).join(blocks, "blk").withColumn("_o", F.expr("int(coalesce(_i - start_pos, 0L))"))
+
+
+def _or_outside(inside: str, past: str, pos: str, counts: list[int]) -> str:
+    """A rank at a position inside, ``past`` at one past the end, and 0 before the start and for null."""
+    return f"CASE WHEN _i IS NOT NULL THEN {inside} WHEN {_asked(pos)} >= {sum(counts)} THEN {past} ELSE 0L END"
 
 
 def _tidy(met: DataFrame, at: DataFrame, *more) -> DataFrame:
@@ -101,6 +109,7 @@ def rank(at: DataFrame, blocks: DataFrame, counts: list[int], pos: str = "i", c:
     """``at`` with how often symbol ``c`` occurs before position ``pos``; 0 for other symbols and null ones; positions past the end count as the end."""
     met = meet(at, blocks, counts, pos, size, few).withColumn("_k", F.expr(_run("_o", size)))
     value = f"if({_asked(c)} BETWEEN 0 AND {SIGMA - 1}, {_one_of(_asked(c), _BEFORE)} + {_inside(f'string({_asked(c)})')}, 0L)"
+    value = _or_outside(value, _one_of(_asked(c), counts), pos, counts)
     return _whole(_tidy(met, at, F.expr(value).alias(out)), at, counts, [out])
 
 
@@ -108,7 +117,7 @@ def ranks(at: DataFrame, blocks: DataFrame, counts: list[int], pos: str = "i", s
     """``at`` with r1 to r5: the ranks of all symbols but the end marker, from one look at the block."""
     met = meet(at, blocks, counts, pos, size, few).withColumn("_k", F.expr(_run("_o", size)))
     names = [f"r{k}" for k in range(1, SIGMA)]
-    return _whole(_tidy(met, at, *(F.expr(f"n{k} + {_inside(repr(str(k)))}").alias(f"r{k}") for k in range(1, SIGMA))), at, counts, names)
+    return _whole(_tidy(met, at, *(F.expr(_or_outside(f"n{k} + {_inside(repr(str(k)))}", f"{counts[k]}L", pos, counts)).alias(f"r{k}") for k in range(1, SIGMA))), at, counts, names)
 
 
 def ranks_together(at: DataFrame, blocks: DataFrame, n: int, size: int = SAMPLE, few: bool = False) -> DataFrame:
@@ -128,9 +137,8 @@ def range_ranks(at: DataFrame, blocks: DataFrame, counts: list[int], lo: str = "
 def inverse_select(at: DataFrame, blocks: DataFrame, counts: list[int], pos: str = "i", size: int = SAMPLE, few: bool = False) -> DataFrame:
     """``at`` with c and r: the symbol at each position and its rank there, from one look at the block; both 0 outside."""
     met = meet(at, blocks, counts, pos, size, few).withColumn("_k", F.expr(_run("_o + 1", size))).withColumn("_c", F.expr("ascii(substr(sym, _k, 1)) - 48"))
-    outside = f"coalesce({_asked(pos)} < 0 OR {_asked(pos)} >= {sum(counts)}, true)"
     value = f"{_one_of('_c', _BEFORE)} + (get(at, _k - 1) & 65535) + _o - shiftright(get(at, _k - 1), 16)"
-    done = _tidy(met, at, F.expr(f"if({outside}, 0, _c)").alias("c"), F.expr(f"if({outside}, 0L, {value})").alias("r"))
+    done = _tidy(met, at, F.expr("if(_i IS NULL, 0, _c)").alias("c"), F.expr(f"if(_i IS NULL, 0L, {value})").alias("r"))
     return done if sum(counts) else at.select("*", F.lit(0).alias("c"), F.lit(0).cast("long").alias("r"))
 
 

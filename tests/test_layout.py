@@ -85,6 +85,16 @@ def test_lookups_in_small_blocks(spark, whole):
         assert r["pos"] == (0 if r["i"] <= 0 else own[r["i"] - 1] if r["i"] <= len(own) else n)
 
 
+def test_questions_from_outside_do_not_crowd(spark, whole):
+    """Positions past the end, or before the start, are not all put to one block."""
+    far = spark.range(4000).select((F.col("id") + whole.bases).alias("i"), F.lit(1).alias("c"))
+    for at in (far, far.withColumn("i", -F.col("i")), far.withColumn("i", F.when(F.col("c") > 1, F.col("i")))):
+        at = at.withColumn("held", F.monotonically_increasing_id())
+        met = lookups.meet(at, whole.blocks, whole.counts, "i", 64).groupBy("blk").count().collect()
+        assert sum(r["count"] for r in met) == 4000 and max(r["count"] for r in met) < 2000
+    assert {r["rank"] for r in whole.rank(far).collect()} == {whole.counts[1]} and {r["c"] for r in whole.access(far.select("i")).collect()} == {0}
+
+
 def test_reverse_tree(spark, whole):
     asked = ["", *(t[i:j] for t in ROWS[:12] for i in (0, 3) for j in (5, 9, 40)), "ACAC", "CACAC", "AAAAAA", "ACGTACGT", "TTTTTTTTTT", "A", "$A", "A$"]
     p = spark.createDataFrame(list(enumerate(asked)), "pattern_id long, pattern string")
