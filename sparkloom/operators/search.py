@@ -10,11 +10,12 @@ from __future__ import annotations
 from functools import reduce
 from os.path import commonprefix
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.alphabet import encode_pattern
+from ..functions.alphabet import SIGMA, encode_pattern
 from ..plans.order import spread
 from ..plans.shared import materialize, materialize_counted
 from . import lookups
@@ -110,41 +111,78 @@ def totals(found: DataFrame) -> DataFrame:
 
 #: Symbols of a seed, and bytes of patterns that are sent to all workers at most.
 SEED, SENT_BYTES = 16, 32 << 20
-#: Symbols after which windows of a text begin, cut twice, as a place deep in a string is slow to reach.
-WINDOWS = (9600, 96)
+#: Symbols that are looked at together; and symbols of a stretch up to which all numbers are counted.
+WINDOW, SHORT = 1 << 20, 8
 
 
 def in_texts(patterns: DataFrame, texts: DataFrame, order: str = "default") -> DataFrame:
     """(pattern_id, matches): the same counts from the texts themselves, of any length, without an index.
 
-    A pattern's first SEED symbols meet the substrings of that length, so each text is
-    cut at most SEED times however long the patterns are, and the rest of a pattern is compared where its seed
-    occurs. Small pattern tables are broadcast after a look at their size, others meet in a shuffle. Anchored and empty patterns are left to ``find`` and ``anchored``.
+    A stretch of up to SEED symbols is a number. Stretches of up to SHORT symbols are counted in the tasks that read the texts, all numbers at once, and a task gives
+    a row for each that occurs, so their work does not grow with the patterns and only counts move. Longer ones, and the first SEED symbols of longer patterns,
+    meet the patterns by a join on the number, and the rest of a pattern is compared where its seed occurs. Small pattern tables are broadcast after a look at
+    their size, others meet in a shuffle. Anchored and empty patterns are left to ``find`` and ``anchored``.
     """
     named = materialize(patterns.select("pattern_id", encode_pattern(F.col("pattern"), order).alias("p")).where("p <> '' AND instr(p, '0') = 0"), "patterns")
     asked = named.select("p").distinct().select("p", F.substr("p", F.lit(1), F.lit(SEED)).alias("seed"))
-    lengths = F.broadcast(asked.select(F.length("seed").alias("n")).distinct())  # SEED rows at most
-    size = named.agg(F.sum(F.length("p") + 64)).first()[0] or 0
-    whole = spread(texts, "seq_id").select("seq_id", F.lit(0).cast("long").alias("at"), F.col("s").alias("w"))
-    small = _windows(_windows(whole, WINDOWS[0]), WINDOWS[1], WINDOWS[0])
-    places = F.sequence(F.lit(1), F.least(F.length("w") - F.col("n") + 1, F.lit(WINDOWS[1])))
-    cut = small.join(lengths, F.length("w") >= F.col("n")).select("seq_id", "at", "w", "n", F.explode(places).alias("k"))
-    hits = cut.select("seq_id", (F.col("at") + F.col("k")).alias("k"), F.substr("w", "k", "n").alias("seed")).join(F.broadcast(asked) if size <= SENT_BYTES else asked, "seed")
-    brief = hits.where(F.length("p") <= SEED).select("p")
-    if named.where(F.length("p") > SEED).isEmpty():
-        met = brief
-    else:
-        longer = hits.where(F.length("p") > SEED).select("seq_id", "k", "p").join(texts.select("seq_id", "s"), "seq_id")
-        met = brief.unionByName(longer.where(F.substr("s", F.col("k").cast("int"), F.length("p")) == F.col("p")).select("p"))
-    counts = met.groupBy("p").agg(F.count("*").alias("matches"))
+    sizes = sorted(r[0] for r in asked.select(F.length("seed")).distinct().collect())  # SEED rows at most
+    brief = [n for n in sizes if n <= SHORT]
+    whole = spread(texts, "seq_id")
+
+    def count(batches):
+        sums = {n: np.zeros(SIGMA**n, np.int64) for n in brief}
+        for batch in batches:
+            for _, symbols, own in _windows(batch.column(0), max(brief)):
+                for n in brief:
+                    sums[n] += np.bincount(_codes(symbols, n, own, SIGMA), minlength=SIGMA**n)
+        for n, held in sums.items():
+            found = np.flatnonzero(held)
+            yield pa.RecordBatch.from_arrays([pa.array([np.base_repr(x, SIGMA).zfill(n) for x in found.tolist()], pa.string()), pa.array(held[found])], names=["p", "m"])
+
+    met = []
+    if brief:
+        met.append(whole.select("s").mapInArrow(count, "p string, m long"))
+    longer = [n for n in sizes if n > SHORT]
+    if longer:
+        size = named.agg(F.sum(F.length("p") + 64)).first()[0] or 0
+
+        def cut(batches):
+            for batch in batches:
+                keys = batch.column(0).to_numpy()
+                starts = np.cumsum([0, *(len(t) + 1 for t in batch.column(1).to_pylist())])[:-1]
+                for at, symbols, own in _windows(batch.column(1), SEED):
+                    ends = np.cumsum(np.append(0, symbols == 0))
+                    for n in longer:
+                        codes = _codes(symbols, n, own, 8)
+                        k = np.flatnonzero(ends[n : n + len(codes)] == ends[: len(codes)])  # stretches of one text
+                        text = np.searchsorted(starts, at + k, "right") - 1
+                        yield pa.RecordBatch.from_arrays([pa.array(keys[text]), pa.array(at + k - starts[text] + 1), pa.array(codes[k]), pa.array(np.full(len(k), n, np.int32))], names=["seq_id", "k", "code", "n"])
+
+        seeds = asked.where(F.length("seed") > SHORT).select("p", F.conv(F.substr("p", F.lit(1), F.lit(SEED)), 8, 10).cast("long").alias("code"), F.length("seed").alias("n"))
+        hits = whole.select("seq_id", "s").mapInArrow(cut, "seq_id long, k long, code long, n int").join(F.broadcast(seeds) if size <= SENT_BYTES else seeds, ["code", "n"])
+        met.append(hits.where(F.length("p") <= SEED).select("p", F.lit(1).cast("long").alias("m")))
+        if not named.where(F.length("p") > SEED).isEmpty():
+            far = hits.where(F.length("p") > SEED).select("seq_id", "k", "p").join(texts.select("seq_id", "s"), "seq_id")
+            met.append(far.where(F.substr("s", F.col("k").cast("int"), F.length("p")) == F.col("p")).select("p", F.lit(1).cast("long").alias("m")))
+    if not met:
+        return named.select("pattern_id", F.lit(0).cast("long").alias("matches"))
+    counts = reduce(DataFrame.unionByName, met).groupBy("p").agg(F.sum("m").alias("matches"))
     return named.join(counts, "p", "left").select("pattern_id", F.coalesce("matches", F.lit(0)).alias("matches"))
 
 
-def _windows(rows: DataFrame, step: int, own: int = 1 << 30) -> DataFrame:
-    """rows(seq_id, at, w) cut into windows that begin every ``step`` symbols and hold SEED - 1 more. Only the first ``own`` symbols of a row are its own, so each place begins in one window."""
-    parts = F.sequence(F.lit(0), F.greatest(F.ceil(F.least(F.length("w"), F.lit(own)) / step).cast("int") - 1, F.lit(0)))
-    cut = rows.select("seq_id", "at", "w", F.explode(parts).alias("j"))
-    return cut.select("seq_id", (F.col("at") + F.col("j") * step).alias("at"), F.substr("w", F.col("j") * step + 1, F.lit(step + SEED - 1)).alias("w"))
+def _windows(texts: pa.Array, most: int):
+    """(at, symbols, own): the texts of a batch, a 0 behind each, in windows that begin every WINDOW symbols and hold ``most`` - 1 more, so that a stretch of up to ``most`` symbols lies whole in the one whose first ``own`` places it begins in."""
+    digits = np.frombuffer("".join(f"{t}0" for t in texts.to_pylist()).encode(), np.uint8)
+    for at in range(0, len(digits), WINDOW):
+        yield at, digits[at : at + WINDOW + most - 1].astype(np.int64) - 48, min(WINDOW, len(digits) - at)
+
+
+def _codes(symbols: np.ndarray, n: int, own: int, base: int) -> np.ndarray:
+    """The stretches of ``n`` symbols that begin at the first ``own`` places, as numbers in ``base``; those that pass the end are left out."""
+    codes = np.zeros(max(0, min(len(symbols) - n + 1, own)), np.int64)
+    for k in range(n):
+        codes = codes * base + symbols[k : k + len(codes)]
+    return codes
 
 
 def anchored(patterns: DataFrame, texts: DataFrame, order: str = "default") -> DataFrame:

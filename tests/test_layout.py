@@ -3,6 +3,8 @@
 import os
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,6 +97,25 @@ def test_questions_from_outside_do_not_crowd(spark, whole):
     assert {r["rank"] for r in whole.rank(far).collect()} == {whole.counts[1]} and {r["c"] for r in whole.access(far.select("i")).collect()} == {0}
 
 
+def test_short_patterns_are_counted_where_the_texts_lie(spark):
+    """Stretches of up to eight symbols leave the tasks as counts, not as rows of their own; windows cut none."""
+    rows = [*ROWS, None, "", "ACGT" * 300]
+    asked = ["A", "AC", "GTAC", "ACGTACGT", "NNN", "ACGTACGTA", "ACGT" * 4, "ACGT" * 5, "TA" * 9, "ACGTACGT"]
+    p, held = spark.createDataFrame(list(enumerate(asked)), "pattern_id long, pattern string"), texts(spark, [t or "" for t in rows])
+    want = {k: sum((t or "").startswith(a, i) for t in rows for i in range(len(t or ""))) for k, a in enumerate(asked)}
+    assert {r["pattern_id"]: r["matches"] for r in search.in_texts(p, held).collect()} == want
+    plan = search.in_texts(p.where("length(pattern) <= 8"), held)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "MapInArrow" in plan
+
+
+def test_windows_cut_no_stretch(monkeypatch):
+    monkeypatch.setattr(search, "WINDOW", 7)
+    rows = [digits(t) for t in ROWS] + [""]
+    for n in (1, 3, 8):
+        found = [np.base_repr(c, 6).zfill(n) for _, symbols, own in search._windows(pa.array(rows), 8) for c in search._codes(symbols, n, own, 6).tolist()]
+        assert sorted(x for x in found if "0" not in x) == sorted(t[i : i + n] for t in rows for i in range(len(t) - n + 1))
+
+
 def test_reverse_tree(spark, whole):
     asked = ["", *(t[i:j] for t in ROWS[:12] for i in (0, 3) for j in (5, 9, 40)), "ACAC", "CACAC", "AAAAAA", "ACGTACGT", "TTTTTTTTTT", "A", "$A", "A$"]
     p = spark.createDataFrame(list(enumerate(asked)), "pattern_id long, pattern string")
