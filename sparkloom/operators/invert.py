@@ -86,10 +86,17 @@ def walked(at: DataFrame, index, step: int) -> DataFrame:
     return out
 
 
-def located(found: DataFrame, index, step: int = 32) -> DataFrame:
-    """(pattern_id, seq_id, off) of found(pattern_id, lo, hi): every place where a pattern occurs, from sampled places. Work grows with the occurrences asked for, not with the index."""
-    each = found.where("lo < hi").select("pattern_id", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("pos"))
-    return walked(each, index, step).select("pattern_id", "seq_id", "off")
+def located(found: DataFrame, index, step: int = 32, block: int = 1 << 12) -> DataFrame:
+    """(pattern_id, seq_id, off) of found(pattern_id, lo, hi): every place where a pattern occurs, from sampled places.
+
+    A position is walked back from once, in however many patterns' ranges it lies; ranges meet the places by blocks of positions, an equi-join.
+    Work grows with the positions asked for, which the index bounds, and with the rows that are returned.
+    """
+    ranges = found.where("lo < hi")
+    each = ranges.select("lo", "hi").distinct().select(F.explode(F.sequence("lo", F.col("hi") - 1)).alias("pos")).distinct()
+    places = materialize(walked(each.withColumn("_at", F.col("pos")), index, step), "located")
+    cells = ranges.select("pattern_id", "lo", "hi", F.explode(F.sequence(cell("lo", block), cell(F.col("hi") - 1, block))).alias("blk"))
+    return places.withColumn("blk", cell("_at", block)).join(cells, "blk").where("_at >= lo AND _at < hi").select("pattern_id", "seq_id", "off")
 
 
 def extracted(at: DataFrame, index, most: int) -> DataFrame:

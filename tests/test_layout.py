@@ -146,6 +146,15 @@ def test_sampled_places(spark, whole):
     assert got == {i: digits(t)[-6:] for i, t in enumerate(ROWS)}
 
 
+def test_positions_are_walked_once(spark, whole, monkeypatch):
+    """However many patterns have a position in their range, it is walked back from once."""
+    walks, walked = [], invert.walked
+    monkeypatch.setattr(invert, "walked", lambda at, *more: walks.append(at.count()) or walked(at, *more))
+    p = spark.createDataFrame([(k, "AC"[: 1 + k % 2]) for k in range(8)], "pattern_id long, pattern string")
+    want = sorted((k, i, o) for k in range(8) for i, t in enumerate(ROWS) for o in range(len(t)) if t.startswith("AC"[: 1 + k % 2], o))
+    assert sorted(map(tuple, whole.locate(p, 8).collect())) == want and walks == [sum(t.count("A") for t in ROWS)]
+
+
 def test_many_indexes_merge_at_once(spark):
     parts = [ROWS[:9], [], ROWS[9:30], ROWS[30:31], ROWS[:9]]
     made = merge.merge_indexes([Index.of_texts(texts(spark, p), block_size=16) for p in parts])
