@@ -3,14 +3,18 @@
 Questions meet blocks(blk, start_pos, end_pos, n0..n5, sym, at) by an equi-join on
 the block of their position, so each reads one block, however long the transform is. The blocks lie in
 buckets of their number (``Index`` writes them so), so only questions move: to the blocks' buckets, or to all workers where
-there are few. Inside a block the run of a position is found by halving.
+there are few. Few questions find the run of a position by halving; many meet their block in a task that spells it once for all of its questions.
 Ranges are half-open. ``counts`` are the six symbol counts of the transform.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.alphabet import SIGMA
 from ..plans.order import cell
@@ -76,6 +80,80 @@ def _asked(name: str) -> str:
     return f"_q.`{name}`"
 
 
+class _Spelled:
+    """A block as its symbols, with how many of each come before each of its places and its end, in the whole transform."""
+
+    def __init__(self, block: dict):
+        self.start, runs = block["start_pos"], np.array(block["at"]) >> 16
+        self.symbols = np.repeat(np.frombuffer(block["sym"].encode(), np.uint8) - 48, np.diff(runs))
+        self.before = np.zeros((len(self.symbols) + 1, SIGMA), np.int64)
+        self.before[np.arange(1, len(self.symbols) + 1), self.symbols] = 1
+        self.before[0] = [block[n] for n in _BEFORE]
+        np.cumsum(self.before, axis=0, out=self.before)
+
+
+def _told(asked: DataFrame, blocks: DataFrame, look, out: str) -> DataFrame:
+    """asked(_q, _i, _c, blk) as ``_q`` and the columns ``out``: what ``look`` tells of a spelled block, places _i and symbols _c.
+
+    A task has the questions in the order of their blocks. Only the first one of a block carries it, so a block passes once, however many
+    questions it has, and a task holds one.
+    """
+    numbered = asked.withColumn("_n", F.row_number().over(W.partitionBy("blk").orderBy("_i")))
+    carried = F.when(F.col("_n") == 1, F.struct("start_pos", *_BEFORE, "sym", "at")).alias("_b")
+    rows = numbered.join(blocks, "blk").select("_q", F.col("_i").cast("long"), F.col("_c").cast("long"), "blk", "_n", carried).sortWithinPartitions("blk", "_n")
+    names = [f.split()[0] for f in out.split(", ")]
+    kinds = [pa.int32() if f.endswith(" int") else pa.int64() for f in out.split(", ")]
+
+    def tell(batches):
+        block = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            i, c, blk, nth = (batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2, 3, 4))
+            edge = np.append(np.flatnonzero(np.append(True, np.diff(blk) != 0)), len(blk)).tolist()
+            found = []
+            for a, b in zip(edge, edge[1:]):
+                if nth[a] == 1:
+                    block = _Spelled(batch.column(5)[a].as_py())
+                found.append(look(block, i[a:b], c[a:b]))
+            told = [np.concatenate(x) for x in zip(*found)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x).cast(kind) for x, kind in zip(told, kinds))], names=["_q", *names])
+
+    return rows.mapInArrow(tell, StructType([asked.schema["_q"], *StructType.fromDDL(out).fields]))
+
+
+def _asked_of(at: DataFrame, counts: list[int], pos: str, c: str | None, size: int) -> DataFrame:
+    """asked(_q, _i, _c, blk) as ``meet`` deals questions out: one outside, with some block and place 0, is answered beside it."""
+    total = sum(counts)
+    inside = F.coalesce((F.col(pos) >= 0) & (F.col(pos) < total), F.lit(False))
+    asked = at.select(_question(at), F.when(inside, F.col(pos)).cast("long").alias("_p"), (F.coalesce(F.col(c), F.lit(-1)) if c else F.lit(0)).alias("_c"))
+    some = F.pmod(F.xxhash64("_q"), F.lit(max(1, -(-total // size))))
+    blk = F.when(F.col("_p").isNull(), some).otherwise(cell("_p", size)).cast("long")
+    return asked.select("_q", F.coalesce("_p", F.lit(-1).cast("long")).alias("_i"), "_c", blk.alias("blk"))
+
+
+def _rank_at(block: _Spelled, i: np.ndarray, c: np.ndarray) -> tuple:
+    known = (c >= 0) & (c < SIGMA)
+    return (np.where(known, block.before[np.maximum(i - block.start, 0), np.where(known, c, 0)], 0),)
+
+
+def _ranks_at(block: _Spelled, i: np.ndarray, c: np.ndarray) -> list:
+    return list(block.before[np.maximum(i - block.start, 0), 1:].T)
+
+
+def _symbol_at(block: _Spelled, i: np.ndarray, c: np.ndarray) -> tuple:
+    o = np.maximum(i - block.start, 0)
+    own = block.symbols[o]
+    return own.astype(np.int64), block.before[o, own]
+
+
+def _place_of(block: _Spelled, i: np.ndarray, c: np.ndarray) -> tuple:
+    """Where occurrences ``i`` (from 0, in the whole transform) of symbols ``c`` stand."""
+    sorted_ = np.argsort(block.symbols, kind="stable")
+    first = np.cumsum(np.bincount(block.symbols, minlength=SIGMA)) - np.bincount(block.symbols, minlength=SIGMA)
+    return (block.start + sorted_[first[c] + i - block.before[0, c]],)
+
+
 def meet(at: DataFrame, blocks: DataFrame, counts: list[int], pos: str, size: int, few: bool = False) -> DataFrame:
     """Each question, in the struct ``_q``, with its block, and in ``_o`` its place there; a position outside (``_i`` is null) meets some block, as any will do, and place 0.
 
@@ -93,7 +171,7 @@ def meet(at: DataFrame, blocks: DataFrame, counts: list[int], pos: str, size: in
 
 def _or_outside(inside: str, past: str, pos: str, counts: list[int]) -> str:
     """A rank at a position inside, ``past`` at one past the end, and 0 before the start and for null."""
-    return f"CASE WHEN _i IS NOT NULL THEN {inside} WHEN {_asked(pos)} >= {sum(counts)} THEN {past} ELSE 0L END"
+    return f"CASE WHEN {_asked(pos)} BETWEEN 0 AND {sum(counts) - 1} THEN {inside} WHEN {_asked(pos)} >= {sum(counts)} THEN {past} ELSE 0L END"
 
 
 def _tidy(met: DataFrame, at: DataFrame, *more) -> DataFrame:
@@ -107,6 +185,10 @@ def _whole(found: DataFrame, at: DataFrame, counts: list[int], out: list[str]) -
 
 def rank(at: DataFrame, blocks: DataFrame, counts: list[int], pos: str = "i", c: str = "c", out: str = "rank", size: int = SAMPLE, few: bool = False) -> DataFrame:
     """``at`` with how often symbol ``c`` occurs before position ``pos``; 0 for other symbols and null ones; positions past the end count as the end."""
+    if not few:
+        found = _told(_asked_of(at, counts, pos, c, size), blocks, _rank_at, "_v long")
+        value = _or_outside("_v", _one_of(_asked(c), counts), pos, counts)
+        return _whole(_tidy(found, at, F.expr(value).alias(out)), at, counts, [out])
     met = meet(at, blocks, counts, pos, size, few).withColumn("_k", F.expr(_run("_o", size)))
     value = f"if({_asked(c)} BETWEEN 0 AND {SIGMA - 1}, {_one_of(_asked(c), _BEFORE)} + {_inside(f'string({_asked(c)})')}, 0L)"
     value = _or_outside(value, _one_of(_asked(c), counts), pos, counts)
@@ -115,8 +197,12 @@ def rank(at: DataFrame, blocks: DataFrame, counts: list[int], pos: str = "i", c:
 
 def ranks(at: DataFrame, blocks: DataFrame, counts: list[int], pos: str = "i", size: int = SAMPLE, few: bool = False) -> DataFrame:
     """``at`` with r1 to r5: the ranks of all symbols but the end marker, from one look at the block."""
-    met = meet(at, blocks, counts, pos, size, few).withColumn("_k", F.expr(_run("_o", size)))
     names = [f"r{k}" for k in range(1, SIGMA)]
+    if not few:
+        found = _told(_asked_of(at, counts, pos, None, size), blocks, _ranks_at, ", ".join(f"_v{k} long" for k in range(1, SIGMA)))
+        value = lambda k: _or_outside(f"_v{k}", f"{counts[k]}L", pos, counts)
+        return _whole(_tidy(found, at, *(F.expr(value(k)).alias(f"r{k}") for k in range(1, SIGMA))), at, counts, names)
+    met = meet(at, blocks, counts, pos, size, few).withColumn("_k", F.expr(_run("_o", size)))
     return _whole(_tidy(met, at, *(F.expr(_or_outside(f"n{k} + {_inside(repr(str(k)))}", f"{counts[k]}L", pos, counts)).alias(f"r{k}") for k in range(1, SIGMA))), at, counts, names)
 
 
@@ -136,6 +222,11 @@ def range_ranks(at: DataFrame, blocks: DataFrame, counts: list[int], lo: str = "
 
 def inverse_select(at: DataFrame, blocks: DataFrame, counts: list[int], pos: str = "i", size: int = SAMPLE, few: bool = False) -> DataFrame:
     """``at`` with c and r: the symbol at each position and its rank there, from one look at the block; both 0 outside."""
+    if not few:
+        found = _told(_asked_of(at, counts, pos, None, size), blocks, _symbol_at, "_c int, _r long")
+        inside = lambda v: F.expr(f"if({_asked(pos)} BETWEEN 0 AND {sum(counts) - 1}, {v}, 0)")
+        done = _tidy(found, at, inside("_c").alias("c"), inside("_r").cast("long").alias("r"))
+        return done if sum(counts) else at.select("*", F.lit(0).alias("c"), F.lit(0).cast("long").alias("r"))
     met = meet(at, blocks, counts, pos, size, few).withColumn("_k", F.expr(_run("_o + 1", size))).withColumn("_c", F.expr("ascii(substr(sym, _k, 1)) - 48"))
     value = f"{_one_of('_c', _BEFORE)} + (get(at, _k - 1) & 65535) + _o - shiftright(get(at, _k - 1), 16)"
     done = _tidy(met, at, F.expr("if(_i IS NULL, 0, _c)").alias("c"), F.expr(f"if(_i IS NULL, 0L, {value})").alias("r"))
@@ -196,9 +287,7 @@ def select(at: DataFrame, directory: DataFrame, blocks: DataFrame, counts: list[
     there = there.withColumn("cell", cell("_z", STRIDE) * 8 + F.col("_c"))
     place = _halved(STRIDE, "get(held, {} - 1).before <= _z", "size(held)")
     named = directory.join(there, "cell").select("_q", "_z", "_c", F.expr(f"get(held, {place} - 1).blk").alias("blk"))
-    met = blocks.join(named, "blk").withColumn("_in", F.expr(f"int(_z - {_one_of('_c', _BEFORE)})"))
-    run = _halved(size, f"{counted('{}', 'string(_c)')} <= _in", "size(at) - 1")  # the runs before hold fewer, so the occurrence stands in the one behind them
-    found = _tidy(met.withColumn("_e", F.expr(f"get(at, {run})")), at, F.expr("start_pos + shiftright(_e, 16) + _in - (_e & 65535)").alias(out))
+    found = _tidy(_told(named.withColumnRenamed("_z", "_i"), blocks, _place_of, "_v long"), at, F.col("_v").alias(out))
     return found.unionByName(at.where(~good).select("*", F.when(F.col(i) <= 0, 0).otherwise(total).cast("long").alias(out)))
 
 

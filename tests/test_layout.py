@@ -236,3 +236,17 @@ def test_sql_over_an_index(spark, whole):
     assert all(r["r"] == symbols[: max(0, r["id"])].count(r["id"] % 7) for r in got if r["id"] >= 0)
     assert all(r["s"] == (symbols[r["id"]] if 0 <= r["id"] < n else 0) for r in got)
     assert spark.sql("SELECT sum(len) FROM reads_runs").first()[0] == n == spark.sql("SELECT sum(cnt) FROM reads_alphabet").first()[0]
+
+
+def test_a_block_passes_once_for_all_its_questions(spark, whole):
+    """Many questions, also of one place and with names of any kind, meet a block that one of them carries."""
+    symbols = [r["c"] for r in whole.bwt.orderBy("pos").collect()]
+    at = spark.range(-3, len(symbols) + 3).select(F.when(F.col("id") % 7 == 0, F.lit(70)).otherwise(F.col("id")).alias("i"), F.col("id").alias("a name"))
+    for df in (whole.ranks(at), whole.inverse_select(at), whole.rank(at.withColumn("c", F.lit(1))), whole.select(at.withColumn("c", F.lit(1)))):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" in plan and "aggregate(array" not in plan.split("MapInArrow")[0]
+    inside = lambda i: 0 <= i < len(symbols)
+    for r in whole.ranks(at).collect():
+        assert [r[f"r{k}"] for k in range(1, 6)] == [symbols[: max(0, r["i"])].count(k) for k in range(1, 6)]
+    for r in whole.inverse_select(at).collect():
+        assert (r["c"], r["r"]) == ((symbols[r["i"]], symbols[: r["i"]].count(symbols[r["i"]])) if inside(r["i"]) else (0, 0))
