@@ -382,8 +382,7 @@ def q_merge_compression(spark, sf_dir):
 
 @query(f"{C} SELECT row_number() OVER (ORDER BY seq_id) - 1 AS seq_id, s FROM texts")
 def q_invert_bwt(spark, sf_dir):
-    ix = index(spark, sf_dir)
-    return invert.texts_of(ix.edges, ix.counts)
+    return invert.texts_of_index(index(spark, sf_dir))
 
 
 _SIZES = {"ropebwt": "4 + parts", "sga": "30 + parts", "rfm": "8 + (bases + 7) // 8 * 8", "sdsl": "8 + (bases + 7) // 8 * 8", "plain_default": "bases", "plain_sorted": "bases"}
@@ -526,9 +525,7 @@ def q_find_unknown_characters(spark, sf_dir):
 def q_locate(spark, sf_dir):
     """Every place of the longer patterns, by the number of the text and the offset there, from an index without texts."""
     ix = index(spark, sf_dir)
-    places = materialize(invert.places_of(ix.edges, ix.counts), "places")
-    lengths = places.groupBy("seq_id").agg(F.max("back").alias("n"))
-    return invert.locate(ix.find(patterns(spark, sf_dir).where(F.length("pattern") >= 6)), places, lengths)
+    return invert.located_in_index(ix.find(patterns(spark, sf_dir).where(F.length("pattern") >= 6)), ix)
 
 
 @query(f"{C}, pat AS (SELECT * FROM {_PATTERNS} WHERE length(p) >= 5), {_HITS} SELECT pattern_id, seq_id, off FROM hits")

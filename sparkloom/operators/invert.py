@@ -1,18 +1,141 @@
-"""Texts back from a transform, and places in texts, by list ranking with pointer doubling, or by walking back to the next sampled place."""
+"""Texts back from a transform, and places in texts, by walking back from all texts' ends at once, by list ranking with pointer doubling, or by walking back to the next sampled place."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from ..functions.alphabet import SIGMA
 from ..plans.order import cell
-from ..plans.shared import forget, materialize, materialize_counted
-from . import lookups
+from ..plans.shared import forget, laid_out, materialize, materialize_counted, shared_dir
+from . import lookups, runs
+from .spelled import HEAD, _pack, _unpack
 
 #: Rounds at most: texts of up to 2**ROUNDS symbols.
 ROUNDS = 40
 
 
+#: Positions of a chunk of a walk, and steps of a walk at most: indexes of longer texts go by list ranking.
+CHUNK, STEPS = 1 << 18, 1 << 10
+_WALK = "chunk long, n long, at binary, seqs binary, words binary"
+
+
+def walk(index, steps: int = STEPS) -> DataFrame | None:
+    """(chunk, n, at, seqs, words, round) of an index: after ``round`` steps back from its end, where each text is, packed by chunks of positions; None if a text has more than ``steps`` symbols.
+
+    A round moves one place a text, sorted, its number and the symbols met since the last word, to the chunks, which lie in buckets and stay, so
+    all rounds together move a few bytes a position. Where the words of HEAD symbols are full and where texts begin there are rows of chunk -1, with the words of texts, the last symbol first.
+    """
+    spark, counts, per = index.blocks.sparkSession, index.counts, max(1, CHUNK // index.block_size)
+    size, below = per * index.block_size, lookups.smaller(index.counts)
+    parts = runs.spelled_of(index.blocks).groupBy(cell("blk", per).alias("chunk")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("blk", "s"))), lambda x: x["s"]), "").alias("s"))
+    heads = index.blocks.where(F.col("blk") % per == 0).select(cell("blk", per).alias("chunk"), F.array(*(F.col(f"n{k}") for k in range(SIGMA))).alias("before"))
+    chunks = laid_out(parts.join(heads, "chunk"), "chunk", "chunks")
+
+    def begin(batches):
+        for batch in batches:
+            for chunk in batch.column(0).to_pylist():
+                at = np.arange(chunk * size, min(counts[0], (chunk + 1) * size))
+                yield pa.RecordBatch.from_pylist([{"chunk": chunk, "n": len(at), "at": _pack(at, True), "seqs": _pack(at), "words": b""}], _fields())
+
+    def step(k):
+        def stepped(key, there, held):
+            if not there.num_rows:
+                return _fields().empty_table()
+            chunk, rows, out = key[0].as_py(), there.to_pylist(), []
+            at, seqs = np.concatenate([_unpack(r["at"], True) for r in rows]), np.concatenate([_unpack(r["seqs"]) for r in rows])
+            words = np.concatenate([_unpack(r["words"]) if r["words"] else np.zeros(r["n"], np.int64) for r in rows])
+            order = np.argsort(at)
+            at, seqs, words = at[order] - chunk * size, seqs[order], words[order]
+            symbols, before = np.frombuffer(held.column("s")[0].as_py().encode(), np.uint8) - 48, held.column("before")[0].as_py()
+            own = symbols[at].astype(np.int64)
+            words = np.where(own > 0, words * SIGMA + own, words)
+            full = (k + 1) % HEAD == 0
+            told = np.ones(len(at), bool) if full else own == 0
+            if told.any():
+                out.append({"chunk": -1, "n": int(told.sum()), "at": b"", "seqs": _pack(seqs[told]), "words": _pack(words[told])})
+            for c in range(1, SIGMA):
+                mine = np.flatnonzero(own == c)
+                to = below[c] + before[c] + np.searchsorted(np.flatnonzero(symbols == c), at[mine])
+                for part in np.split(np.arange(len(mine)), np.flatnonzero(np.diff(to // size)) + 1):
+                    if len(part):
+                        out.append({"chunk": int(to[part[0]] // size), "n": len(part), "at": _pack(to[part], True), "seqs": _pack(seqs[mine[part]]), "words": b"" if full else _pack(words[mine[part]])})
+            return pa.Table.from_pylist(out, _fields())
+
+        return stepped
+
+    path = f"{shared_dir(spark)}/walk-{uuid.uuid4().hex}"
+    now = spark.range(-(-counts[0] // size)).mapInArrow(begin, _WALK)
+    for k in range(steps + 2):
+        seen = Observation()
+        now.observe(seen, F.count(F.when(F.col("chunk") >= 0, 1)).alias("open")).write.parquet(f"{path}/round={k}", compression="zstd")
+        if not seen.get["open"]:
+            return spark.read.schema(f"{_WALK}, round int").parquet(path)
+        level = spark.read.schema(_WALK).parquet(f"{path}/round={k}").where("chunk >= 0")
+        now = level.groupBy("chunk").cogroup(chunks.groupBy("chunk")).applyInArrow(step(k), _WALK)
+    return None
+
+
+def _fields() -> pa.Schema:
+    return pa.schema([("chunk", pa.int64()), ("n", pa.int64()), ("at", pa.binary()), ("seqs", pa.binary()), ("words", pa.binary())])
+
+
+def words_of(walked: DataFrame) -> DataFrame:
+    """(seq_id, round, s) of a walk: stretches of texts as they stand there, the last one of a text first."""
+
+    def told(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                seqs, words, lines = _unpack(row["seqs"]), _unpack(row["words"]), []
+                for _ in range(HEAD):
+                    lines.append((words % SIGMA + 48).astype(np.uint8))
+                    words = words // SIGMA
+                spelled = np.stack(lines, 1).tobytes().decode()
+                s = [spelled[a : a + HEAD].rstrip("0") for a in range(0, len(spelled), HEAD)]
+                yield pa.RecordBatch.from_arrays([pa.array(seqs), pa.array(np.full(len(seqs), row["round"], np.int32)), pa.array(s, pa.string())], names=["seq_id", "round", "s"])
+
+    return walked.where("chunk < 0").select("seqs", "words", "round").mapInArrow(told, "seq_id long, round int, s string")
+
+
+def texts_of_index(index) -> DataFrame:
+    """texts(seq_id, s) of an index without texts; texts are numbered in their order."""
+    walked = walk(index)
+    if walked is None:
+        return texts_of(index.edges, index.counts)
+    parts = F.sort_array(F.collect_list(F.struct("round", "s")), asc=False)
+    return words_of(walked).groupBy("seq_id").agg(F.array_join(F.transform(parts, lambda x: x["s"]), "").alias("s"))
+
+
+def located_in_index(found: DataFrame, index) -> DataFrame:
+    """(pattern_id, seq_id, off) of found(pattern_id, lo, hi), from an index without texts or sampled places: every place of a pattern. Ranges meet the walk by its chunks."""
+    walked, size = walk(index), max(1, CHUNK // index.block_size) * index.block_size
+    if walked is None:
+        places = materialize(places_of(index.edges, index.counts), "places")
+        return locate(found, places, places.groupBy("seq_id").agg(F.max("back").alias("n")))
+    ranges = found.where("lo < hi").select("pattern_id", "lo", "hi", F.explode(F.sequence(cell("lo", size), cell(F.col("hi") - 1, size))).alias("chunk"))
+
+    def meet(key, there, asked):
+        if not there.num_rows or not asked.num_rows:
+            return pa.schema([("pattern_id", pa.int64()), ("seq_id", pa.int64()), ("back", pa.int32())]).empty_table()
+        rows = there.to_pylist()
+        at, seqs = np.concatenate([_unpack(r["at"], True) for r in rows]), np.concatenate([_unpack(r["seqs"]) for r in rows])
+        back = np.repeat(np.array([r["round"] for r in rows], np.int32), [r["n"] for r in rows])
+        order = np.argsort(at)  # every position of the chunk, once
+        start = key[0].as_py() * size
+        low, high = (np.clip(asked.column(e).to_numpy() - start, 0, len(at)) for e in ("lo", "hi"))
+        n = high - low
+        pick = order[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        return pa.table({"pattern_id": pa.array(np.repeat(asked.column("pattern_id").to_numpy(), n)), "seq_id": pa.array(seqs[pick]), "back": pa.array(back[pick])})
+
+    met = walked.where("chunk >= 0").select("chunk", "n", "at", "seqs", "round").groupBy("chunk").cogroup(ranges.groupBy("chunk")).applyInArrow(meet, "pattern_id long, seq_id long, back int")
+    lengths = words_of(walked).groupBy("seq_id").agg(F.sum(F.length("s")).alias("n"))
+    return met.join(lengths, "seq_id").select("pattern_id", "seq_id", (F.col("n") - F.col("back")).alias("off"))
+
+
 def places_of(lf: DataFrame, counts: list[int]) -> DataFrame:
     """(pos, c, seq_id, back) of lf(pos, c, r, lf): which text the suffix at each position is of, and how many symbols it has.
 
