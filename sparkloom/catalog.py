@@ -400,11 +400,11 @@ _TAGS = ("plain_default", "plain_sorted", "rfm", "sdsl", "ropebwt", "sga")
 @query(f"{C}, {_RUNS} SELECT tag, start, (CASE WHEN tag IN ('plain_sorted', 'rfm', 'sdsl') AND c >= 4 THEN 9 - c ELSE c END)::INT AS c, len FROM runs, (VALUES " + ", ".join(f"('{t}')" for t in _TAGS) + ") t(tag)")
 def q_codec_roundtrip(spark, sf_dir):
     """Runs written to files of six formats, in the formats' alphabets, and read again."""
-    found = materialize(index(spark, sf_dir).runs(), "runs")
+    held = files.packed(index(spark, sf_dir).runs())
     back = []
     for tag in _TAGS:
         path, order = f"{shared_dir(spark)}/codec-{tag}-{uuid.uuid4().hex}", codecs.FORMATS[tag].order
-        files.write_runs(files.recode(found, "default", order), path, tag, order)
+        files.write_packed(held, path, tag, order, source="default")
         back.append(files.read_runs(spark, path, tag).select(F.lit(tag).alias("tag"), "start", F.col("c").cast("int").alias("c"), "len"))
     return reduce(DataFrame.unionByName, back)
 

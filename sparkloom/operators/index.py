@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import alphabet as alphabets
-from ..plans.shared import forget, laid_out, materialize, opened
+from ..plans.shared import forget, laid_out, opened
 from . import invert, lookups, runs, search, spelled, transform
 
 
@@ -114,7 +114,7 @@ class Index:
 
     def runs(self) -> DataFrame:
         """Maximal runs(run_id, start, c, len)."""
-        return self._once("runs", lambda: materialize(runs.runs_of_spelled(runs.spelled_of(self.blocks), self.block_size), "runs"))
+        return self._once("runs", lambda: runs.runs_of_blocks(self.blocks))
 
     def find(self, patterns: DataFrame) -> DataFrame:
         return search.find(patterns, self.blocks, self.counts, self.order, self.block_size)
@@ -148,5 +148,6 @@ class Index:
 
 def _counts(blocks: DataFrame) -> list[int]:
     """The six counts: those before the last block, and those in it."""
-    row = blocks.orderBy(F.desc("blk")).limit(1).select(*(F.expr(f"n{k} + " + lookups.counted("length(sym)", repr(str(k)))) for k in range(alphabets.SIGMA))).first()
+    last = blocks.agg(F.max("blk")).first()[0]  # reads that column only
+    row = None if last is None else blocks.where(F.col("blk") == last).select(*(F.expr(f"n{k} + " + lookups.counted("length(sym)", repr(str(k)))) for k in range(alphabets.SIGMA))).first()
     return list(row) if row else [0] * alphabets.SIGMA

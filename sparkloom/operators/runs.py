@@ -205,20 +205,26 @@ def histogram_of_spelled(spelled: DataFrame, size: int) -> DataFrame:
     return spelled.mapInArrow(count, "c int, len long, n long").unionByName(edges).groupBy("c", "len").agg(F.sum("n").alias("n"))
 
 
+def _numbers(ends: DataFrame) -> DataFrame:
+    """(blk, base, on) of ends(blk, m, first, last), a row a block with its number of runs and the symbols it begins and ends with: the number of the first run that begins in the block, and 1 where the block goes on with the run before."""
+    ends = materialize(ends, "ends")
+    behind = ends.select((F.col("blk") + 1).alias("blk"), F.col("last").alias("_last"))
+    on = F.coalesce((F.col("first") == F.col("_last")).cast("long"), F.lit(0)).alias("on")
+    starts = materialize(ends.join(behind, "blk", "left").select("blk", on, "m").select("blk", "on", (F.col("m") - F.col("on")).alias("m")), "starts")
+    return before_blocks(starts, {"base": "m"}, "blk").join(starts.select("blk", "on"), "blk")
+
+
 def runs_of_spelled(spelled: DataFrame, size: int) -> DataFrame:
     """Maximal runs(run_id, start, c, len) of spelled(blk, s) in blocks of ``size``. Runs inside a block are final there; those that meet its ends are put together by their numbers, two rows a block."""
-    first, last = F.substr("s", F.lit(1), F.lit(1)), F.substr("s", F.length("s"), F.lit(1))
 
     def number(batches):
         for batch in batches:
-            row, blk = _runs_in(batch)[0], batch.column(0).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(blk), pa.array(np.bincount(row, minlength=len(blk)))], names=["blk", "m"])
+            row, _, c, _, last = _runs_in(batch)
+            first = np.append(True, np.diff(row) != 0)[: len(row)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[first])), pa.array(np.diff(np.append(np.flatnonzero(first), len(row)))), pa.array(c[first]), pa.array(c[last])], names=["blk", "m", "first", "last"])
 
-    behind = spelled.select((F.col("blk") + 1).alias("blk"), last.alias("_last"))
-    goes_on = spelled.select("blk", first.alias("_first")).join(behind, "blk", "left").select("blk", F.coalesce((F.col("_first") == F.col("_last")).cast("long"), F.lit(0)).alias("on"))
-    starts = spelled.mapInArrow(number, "blk long, m long").join(goes_on, "blk").select("blk", "on", (F.col("m") - F.col("on")).alias("m"))
-    bases = before_blocks(materialize(starts, "starts"), {"base": "m"}, "blk")
-    named = spelled.join(bases, "blk").join(goes_on, "blk").select("blk", "s", "base", "on")
+    bases = _numbers(spelled.mapInArrow(number, "blk long, m long, first int, last int"))
+    named = spelled.join(bases, "blk").select("blk", "s", "base", "on")
 
     def emit(batches):
         for batch in batches:
@@ -233,6 +239,42 @@ def runs_of_spelled(spelled: DataFrame, size: int) -> DataFrame:
     return each.where("NOT edge").drop("edge").unionByName(edges)
 
 
+def held_in(sym: pa.Array, at: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, c, length, before) of the runs that columns ``sym`` and ``at`` of blocks hold: the row each is in, where it starts there, its symbol, and how many of that come before it in the block."""
+    entries, sizes = at.flatten().to_numpy(zero_copy_only=False), at.value_lengths().to_numpy(zero_copy_only=False)
+    kept = np.ones(len(entries), bool)
+    kept[np.cumsum(sizes)[sizes > 0] - 1] = False  # a block's length, behind its runs
+    start = (entries >> 16).astype(np.int64)
+    length = np.append(start[1:], 0)[: len(start)] - start
+    digits = np.frombuffer("".join(sym.to_pylist()).encode(), np.uint8) - 48
+    return np.repeat(np.arange(len(sizes)), np.maximum(sizes - 1, 0)), start[kept], digits.astype(np.int32), length[kept], (entries[kept] & 0xFFFF).astype(np.int64)
+
+
+def runs_of_blocks(blocks: DataFrame) -> DataFrame:
+    """Maximal runs(run_id, start, c, len) of the blocks of an index, which stay where they lie. How they are numbered follows from their ends, a row a block; only runs that meet these ends are put together."""
+    held = blocks.where("sym <> ''").select("blk", "start_pos", "sym", "at")
+    digit = lambda at: F.ascii(F.substr("sym", at, F.lit(1))) - 48
+    m = F.length("sym")
+    bases = materialize(_numbers(held.select("blk", m.cast("long").alias("m"), digit(F.lit(1)).alias("first"), digit(m).alias("last"))), "bases")
+    named = held.join(bases, "blk")
+    run = lambda number, k, at: F.struct((F.col("base") - F.col("on") + number).alias("run_id"), (F.col("start_pos") + start_of(F.get("at", k))).alias("start"), digit(at).alias("c"), (start_of(F.get("at", k + 1)) - start_of(F.get("at", k))).cast("long").alias("len"))
+    first, last = run(F.lit(0), F.lit(0), F.lit(1)), run(m - 1, m - 1, m)
+    ends = named.select(F.explode(F.when(m == 1, F.array(first)).otherwise(F.array(first, last))).alias("x")).select("x.*")
+    edges = materialize(ends.groupBy("run_id").agg(F.min("start").alias("start"), F.max("c").alias("c"), F.sum("len").alias("len")), "edges")
+
+    def emit(batches):
+        for batch in batches:
+            row, start, c, length, _ = held_in(batch.column(1), batch.column(2))
+            first = np.append(True, np.diff(row) != 0)[: len(row)]
+            inside = ~first & np.append(~first[1:], False)[: len(row)]
+            nth = np.arange(len(row)) - np.flatnonzero(first)[np.cumsum(first) - 1]
+            number, position = (batch.column(k).to_numpy()[row][inside] for k in (3, 0))
+            yield pa.RecordBatch.from_arrays([pa.array(number + nth[inside]), pa.array(position + start[inside]), pa.array(c[inside]), pa.array(length[inside])], names=["run_id", "start", "c", "len"])
+
+    inner = named.select("start_pos", "sym", "at", (F.col("base") - F.col("on")).alias("number")).mapInArrow(emit, "run_id long, start long, c int, len long")
+    return inner.unionByName(edges)
+
+
 def start_of(entry: Column) -> Column:
     """Where a run starts in its block."""
     return F.shiftright(entry, 16)

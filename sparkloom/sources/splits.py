@@ -21,6 +21,27 @@ from . import codecs
 #: Bytes that are decoded at a time, and bytes of a split; multiples of the native block.
 CHUNK, SPLIT = 1 << 20, 64 << 20
 PIECES = "chunk long, inside long, c int, len long"
+#: What a file is read as besides its pieces: maximal runs of each chunk, numbered there, and one row for each chunk, with the first and the last of them.
+SHAPES = {
+    "pieces": PIECES,
+    "runs": "chunk long, inside long, c int, len long, nth long, final boolean",
+    "ends": "chunk long, bases long, sequences long, pieces long, m long, first int, last int, first_len long",
+}
+
+
+def _columns(shape: str, chunk: int, symbols: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
+    """The columns of a shape for one chunk."""
+    if shape == "pieces":
+        return [np.full(len(symbols), chunk), np.cumsum(lengths) - lengths, symbols.astype(np.int32), lengths]
+    pieces, kept = len(symbols), lengths > 0
+    symbols, lengths = symbols[kept].astype(np.int32), lengths[kept]
+    begins = np.flatnonzero(np.append(True, np.diff(symbols) != 0)[: len(symbols)])
+    c, size = symbols[begins], np.add.reduceat(lengths, begins) if len(begins) else lengths
+    if shape == "runs":
+        n = len(c)
+        return [np.full(n, chunk), np.cumsum(size) - size, c, size, np.arange(n), np.arange(n) == n - 1]
+    row = [chunk, size.sum(), size[c == 0].sum(), pieces, len(c), c[0], c[-1], size[0]] if len(c) else []
+    return [np.array([x], np.int32 if k in (5, 6) else np.int64) for k, x in enumerate(row)]
 
 
 def arrow_file(path: str) -> tuple[fs.FileSystem, str]:
@@ -40,8 +61,8 @@ class Split(InputPartition):
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str, tag: str, begin: int, end: int, split: int):
-        self.path, self.tag, self.begin, self.end, self.split = path, tag, begin, end, split
+    def __init__(self, path: str, tag: str, begin: int, end: int, split: int, shape: str = "pieces"):
+        self.path, self.tag, self.begin, self.end, self.split, self.shape = path, tag, begin, end, split, shape
 
     def partitions(self):
         """Splits of whole chunks; one empty split for a file without data."""
@@ -53,8 +74,9 @@ class _Reader(DataSourceReader):
         with system.open_input_file(path) as data:
             for k, at in enumerate(range(part.begin, part.end, CHUNK)):
                 symbols, lengths = codecs.decode(self.tag, data.read_at(min(CHUNK, part.end - at), at))
-                n = len(symbols)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part.first + k)), pa.array(np.cumsum(lengths) - lengths), pa.array(symbols.astype(np.int32)), pa.array(lengths)], names=["chunk", "inside", "c", "len"])
+                found = _columns(self.shape, part.first + k, symbols, lengths)
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=[f.split()[0] for f in SHAPES[self.shape].split(", ")])
 
 
 class RunFile(DataSource):
@@ -72,6 +94,19 @@ class RunFile(DataSource):
         return _Reader(o["path"], o["tag"], int(o["begin"]), int(o["end"]), int(o.get("split", SPLIT)))
 
 
+def shaped(spark, shape: str, path: str, tag: str, begin: int, end: int, split: int):
+    """The chunks of a file in one of SHAPES, a task for each split; at least four a core, as far as there are chunks."""
+    reader = _Reader(path, tag, begin, end, min(split, (end - begin) // (4 * spark.sparkContext.defaultParallelism)), shape)
+    parts = reader.partitions()
+
+    def read(batches):
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                yield from reader.read(parts[k])
+
+    return spark.range(0, len(parts), 1, len(parts)).mapInArrow(read, SHAPES[shape])
+
+
 @dataclass
 class Written(WriterCommitMessage):
     """What a task says of what it wrote: chunks and bytes."""

@@ -250,3 +250,25 @@ def test_a_block_passes_once_for_all_its_questions(spark, whole):
         assert [r[f"r{k}"] for k in range(1, 6)] == [symbols[: max(0, r["i"])].count(k) for k in range(1, 6)]
     for r in whole.inverse_select(at).collect():
         assert (r["c"], r["r"]) == ((symbols[r["i"]], symbols[: r["i"]].count(symbols[r["i"]])) if inside(r["i"]) else (0, 0))
+
+
+@pytest.mark.parametrize("tag", ["ropebwt", "plain_default"])
+def test_runs_of_a_file_do_not_move(spark, tmp_path, tag, monkeypatch):
+    """Runs that go on over many chunks are put together from a row a chunk; runs pass packed when they are written."""
+    pairs = [(k % 5 + k // 5 % 2, RNG.choice((1, 2, 40, 9000))) for k in range(300)]
+    pairs = [p for k, p in enumerate(pairs) if not k or p[0] != pairs[k - 1][0]]
+    pairs = [p for k, p in enumerate(pairs) if not k or p[0] != pairs[k - 1][0]]
+    want, at = [], 0
+    for k, (c, n) in enumerate(pairs):
+        want.append((k, at, c, n))
+        at += n
+    rows = spark.createDataFrame(want, "run_id long, start long, c int, len long").repartition(5)
+    done = files.write_runs(rows, str(tmp_path / "f"), tag)
+    assert (done["runs"], done["bases"], done["bytes"]) == (len(want), at, os.path.getsize(tmp_path / "f"))
+    monkeypatch.setattr(splits, "CHUNK", 128)
+    for split in (1 << 30, 128):
+        read = files.read_runs(spark, str(tmp_path / "f"), tag, split)
+        assert [tuple(r) for r in read.orderBy("run_id").collect()] == want
+        assert "Exchange hashpartitioning" not in read._jdf.queryExecution().executedPlan().toString()
+    held = files.packed(rows)
+    assert held.agg(F.sum("runs")).first()[0] == len(want) and held.count() <= at // files.CELL + 1 + 5
