@@ -19,7 +19,7 @@ from .operators.index import Index
 from .plans import tools
 from .plans.order import spread
 from .plans.report import Meter
-from .plans.shared import materialize, shared_dir
+from .plans.shared import shared_dir
 from .sources import codecs, files
 from .streaming import incremental
 
@@ -418,20 +418,20 @@ def q_native_code(spark, sf_dir):
 @query(f"{C}, {_RUNS}, n AS (SELECT (count(*) FILTER (c = 0)) AS m, count(*) AS n FROM bwt), f AS (SELECT * FROM (VALUES ('ropebwt', 'ropebwt', false), ('sga', 'sga', true), ('plain_default', 'unknown', false), ('rfm', 'unknown', false)) t(tag, format, known)) SELECT tag, format, CASE WHEN known THEN m END AS sequences, CASE WHEN known THEN n END AS bases, CASE WHEN tag IN ('ropebwt', 'sga') THEN 'default' END AS alphabet FROM f, n")
 def q_inspect(spark, sf_dir):
     """What the first bytes of written files say."""
-    found = materialize(index(spark, sf_dir).runs(), "runs")
+    held = files.packed(index(spark, sf_dir).runs())
     paths = {}
     for tag in ("ropebwt", "sga", "plain_default", "rfm"):
         order = codecs.FORMATS[tag].order
         paths[tag] = f"{shared_dir(spark)}/inspect-{uuid.uuid4().hex}-{tag}"
-        files.write_runs(files.recode(found, "default", order), paths[tag], tag, order)
+        files.write_packed(held, paths[tag], tag, order, source="default")
     heads = files.inspect(spark, *paths.values())
     return heads.select(F.regexp_extract("path", "-([a-z_]+)$", 1).alias("tag"), "format", "sequences", "bases", "alphabet")
 
 
-def _files(spark: SparkSession, sf_dir: str, table: str) -> list[str]:
-    """The collections of a table, each written as a file of runs."""
+def _files(spark: SparkSession, sf_dir: str, table: str, collections: tuple[int, ...] = (0, 1)) -> list[str]:
+    """Collections of a table, each written as a file of runs."""
     t, paths = texts(spark, sf_dir, table), []
-    for k in (0, 1):
+    for k in collections:
         paths.append(f"{shared_dir(spark)}/tool-{uuid.uuid4().hex}-{k}")
         tools.save(Index.of_texts(t.where(F.col("coll") == k).drop("coll")), paths[-1], "sga")
     return paths
@@ -455,7 +455,7 @@ def q_tool_merge(spark, sf_dir):
 def q_tool_convert(spark, sf_dir):
     """A file converted by the tool into a format of another alphabet, and read again."""
     target = f"{shared_dir(spark)}/converted-{uuid.uuid4().hex}"
-    tools.convert(spark, _files(spark, sf_dir, "conversations")[0], target, "sga", "sdsl", recode=True)
+    tools.convert(spark, _files(spark, sf_dir, "conversations", (0,))[0], target, "sga", "sdsl", recode=True)
     return files.read_runs(spark, target, "sdsl").select("start", "c", "len")
 
 

@@ -19,7 +19,7 @@ from ..operators import search
 from ..operators.index import Index
 from ..sources import files
 from ..sources.codecs import FORMATS
-from .report import Meter, memory, path_bytes
+from .report import Meter, memory, path_bytes, table_bytes
 
 
 @dataclass
@@ -83,7 +83,7 @@ def save(index: Index, path: str, tag: str, force: bool = False, meter: Meter |
             told(made, index, path_bytes(spark, path))
             return {"sequences": made.sequences, "bases": made.bases, "bytes": made.bytes}
         done = files.write_runs(index.runs(), path, tag, index.order, force)
-        made.runs, made.sequences, made.bases, made.bytes = index.runs().count(), done["sequences"], done["bases"], done["bytes"]
+        made.runs, made.sequences, made.bases, made.bytes = done["runs"], done["sequences"], done["bases"], done["bytes"]
     return done
 
 
@@ -114,14 +114,17 @@ def convert(spark: SparkSession, source: str, target: str, source_tag: str = "sg
         return meter.report()
     order = file_order(spark, source, source_tag)
     want = FORMATS[target_tag].order if target_tag in FORMATS else order
-    pieces = meter.written(files.read_pieces(spark, source, source_tag), "read", path_bytes(spark, source))
-    runs = run_operators.coalesce_runs(pieces)
-    if recode and want != order and want != "any":
-        runs, order = files.recode(runs, order, want), want
-    runs = meter.written(runs, "runs")
+    with meter.stage("read") as made:
+        found, told_of = files.read_told(spark, source, source_tag)
+        made.sequences, made.bases, made.runs, made.bytes = told_of["sequences"], told_of["bases"], told_of["runs"], path_bytes(spark, source)
+    was, order = order, want if recode and want != "any" else order
+    with meter.stage("runs") as made:
+        held = files.packed(found)
+        made.sequences, made.bases, made.runs = held.agg(F.sum("sequences"), F.sum("bases"), F.sum("runs")).first()
+        made.bytes = table_bytes(held)
     with meter.stage("write") as made:
-        done = files.write_runs(runs, target, target_tag, order)
-        made.sequences, made.bases, made.bytes, made.runs = done["sequences"], done["bases"], done["bytes"], meter.stages[-1].runs
+        done = files.write_packed(held, target, target_tag, order, source=was)
+        made.sequences, made.bases, made.bytes, made.runs = done["sequences"], done["bases"], done["bytes"], done["runs"]
     return meter.report()
 
 
