@@ -63,7 +63,7 @@ class Index:
     @property
     def bwt(self) -> DataFrame:
         """bwt(pos, c), spelled out of the runs."""
-        return runs.expand(runs.run_rows(self.blocks))
+        return runs.expand_blocks(self.blocks)
 
     @property
     def alphabet(self) -> DataFrame:

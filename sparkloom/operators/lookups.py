@@ -18,12 +18,15 @@ from pyspark.sql.types import StructType
 
 from ..functions.alphabet import SIGMA
 from ..plans.order import cell
-from .runs import SAMPLE, run_rows, start_of
+from ..plans.shared import materialize
+from .runs import SAMPLE, held_in
 
 #: Questions that are sent to all workers at most, a few numbers each.
 SENT = 1 << 17
 #: Occurrences of a symbol that a cell of the select directory covers.
 STRIDE = 256
+#: Runs of blocks that are spelled together.
+SPELLED = 1 << 12
 
 
 def smaller(counts: list[int]) -> list[int]:
@@ -240,28 +243,57 @@ def access(at: DataFrame, blocks: DataFrame, counts: list[int], pos: str = "i",
 
 
 def extract(ranges: DataFrame, blocks: DataFrame, counts: list[int], lo: str = "lo", hi: str = "hi", out: str = "digits", size: int = SAMPLE) -> DataFrame:
-    """``ranges`` with the symbols of each half-open range as digits; null where it is empty or passes the end."""
+    """``ranges`` with the symbols of each half-open range as digits; null where it is empty or passes the end.
+
+    A range goes to the blocks that it covers, in one row a block with all of that block's ranges; a task spells a block once and cuts them out of it. What
+    lies in one block is done there, and only the parts of ranges over several blocks are put together.
+    """
     keys = ranges.columns
-    good = ranges.where((F.col(lo) >= 0) & (F.col(lo) < F.col(hi)) & (F.col(hi) <= sum(counts))).distinct()
-    cells = good.select(_question(good), F.explode(F.sequence(cell(lo, size), cell(F.col(hi) - 1, size))).alias("blk"))
-    met = blocks.join(cells, "blk")
-    low, high = F.expr(f"greatest({_asked(lo)} - start_pos, 0L)"), F.expr(f"least({_asked(hi)} - start_pos, {size}L)")
-    held = lambda j: F.least(start_of(F.get("at", j)), high) - F.greatest(start_of(F.get("at", j - 1)), low)
-    piece = F.array_join(F.transform(F.sequence(F.lit(1), F.length("sym")), lambda j: F.repeat(F.substr("sym", j, F.lit(1)), held(j).cast("int"))), "")
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("blk", piece.alias("p")))), lambda x: x["p"]), "")
-    found = met.groupBy("_q").agg(joined.alias(out)).select(*(F.expr(_asked(k)).alias(f"_{k}") for k in keys), out)
-    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-    return ranges.join(found, same, "left").select(*keys, out)
+    good = F.coalesce((F.col(lo) >= 0) & (F.col(lo) < F.col(hi)) & (F.col(hi) <= sum(counts)), F.lit(False))
+    asked = ranges.where(good).select(_question(ranges), F.col(lo).cast("long").alias("_lo"), F.col(hi).cast("long").alias("_hi"), F.monotonically_increasing_id().alias("_id"))
+    asked = materialize(asked, "ranges") if sum(counts) else asked  # ids are given once
+    first, last = cell("_lo", size), cell(F.col("_hi") - 1, size)
+    cells = asked.select("_id", "_lo", "_hi", F.explode(F.sequence(first, last)).alias("blk"))
+    numbered = cells.withColumn("_n", F.row_number().over(W.partitionBy("blk").orderBy("_lo")))
+    carried = [F.when(F.col("_n") == 1, F.col(n)).alias(n) for n in ("sym", "at")]  # by a block's first range only
+    rows = numbered.join(blocks, "blk").select("_id", (F.col("_lo") - F.col("start_pos")).alias("a"), (F.col("_hi") - F.col("start_pos")).alias("b"), "blk", "_n", *carried).sortWithinPartitions("blk", "_n")
+
+    def cut(batches):
+        text = ""
+        for batch in batches:
+            parts = []
+            for a, b, sym, at in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(5).to_pylist(), batch.column(6)):
+                if sym is not None:
+                    text = np.repeat(np.frombuffer(sym.encode(), np.uint8), np.diff(at.values.to_numpy(zero_copy_only=False) >> 16)).tobytes().decode()
+                parts.append(text[max(a, 0) : b])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(parts, pa.string())], names=["_id", "blk", "p"])
+
+    found = rows.mapInArrow(cut, "_id long, blk long, p string").join(asked, "_id").withColumn("_one", first == last)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("blk", "p"))), lambda x: x["p"]), "").alias(out)
+    whole = found.where("_one").select("_q", F.col("p").alias(out)).unionByName(found.where("NOT _one").groupBy("_id").agg(F.any_value("_q").alias("_q"), joined).drop("_id"))
+    return _tidy(whole, ranges, out).unionByName(ranges.where(~good).select(*keys, F.lit(None).cast("string").alias(out)))
 
 
 def edges(blocks: DataFrame, counts: list[int]) -> DataFrame:
     """lf(pos, c, r, lf): for each position its symbol, the symbol's rank there, and where it maps to. For the end marker lf only names a row.
 
-    The rank of a run's first symbol lies in its block, so nothing moves and nothing is sorted.
+    The rank of a run's first symbol lies in its block, so nothing moves and nothing is sorted; a batch of blocks is spelled at once.
     """
-    each = run_rows(blocks).select("start", "c", "r", F.explode(F.sequence(F.lit(0).cast("long"), F.col("len") - 1)).alias("j"))
-    ranked = each.select((F.col("start") + F.col("j")).alias("pos"), "c", (F.col("r") + F.col("j")).alias("r"))
-    return ranked.select("pos", "c", "r", F.expr(f"{_one_of('c', smaller(counts))} + r").alias("lf"))
+    below = np.array(smaller(counts), np.int64)
+
+    def spell(batches):
+        for batch in batches:
+            row, start, c, length, before = held_in(batch.column(1), batch.column(2))
+            own = np.stack([batch.column(3 + k).to_numpy() for k in range(SIGMA)])
+            position, rank = batch.column(0).to_numpy()[row] + start, own[c, row] + before
+            for a in range(0, len(row), SPELLED):
+                part = slice(a, a + SPELLED)
+                n = length[part]
+                j = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                symbol, r = np.repeat(c[part], n), np.repeat(rank[part], n) + j
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(position[part], n) + j), pa.array(symbol), pa.array(r), pa.array(below[symbol] + r)], names=["pos", "c", "r", "lf"])
+
+    return blocks.where("sym <> ''").select("start_pos", "sym", "at", *_BEFORE).mapInArrow(spell, "pos long, c int, r long, lf long")
 
 
 def directory(blocks: DataFrame, counts: list[int]) -> DataFrame:

@@ -70,6 +70,21 @@ def expand(runs: DataFrame) -> DataFrame:
     return runs.where("len > 0").select(F.explode(F.sequence("start", F.col("start") + F.col("len") - 1)).alias("pos"), "c")
 
 
+def expand_blocks(blocks: DataFrame) -> DataFrame:
+    """bwt(pos, c) of the blocks of an index, a few of which are spelled at once."""
+
+    def spell(batches):
+        for batch in batches:
+            row, start, c, length, _ = held_in(batch.column(1), batch.column(2))
+            position = batch.column(0).to_numpy()[row] + start
+            for a in range(0, len(row), 1 << 12):
+                n = length[a : a + (1 << 12)]
+                j = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(position[a : a + (1 << 12)], n) + j), pa.array(np.repeat(c[a : a + (1 << 12)], n))], names=["pos", "c"])
+
+    return blocks.where("sym <> ''").select("start_pos", "sym", "at").mapInArrow(spell, "pos long, c int")
+
+
 def histogram(runs: DataFrame) -> DataFrame:
     """(c, len, n): how many runs of each symbol have each length."""
     return runs.groupBy("c", "len").agg(F.count("*").alias("n"))

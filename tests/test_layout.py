@@ -272,3 +272,16 @@ def test_runs_of_a_file_do_not_move(spark, tmp_path, tag, monkeypatch):
         assert "Exchange hashpartitioning" not in read._jdf.queryExecution().executedPlan().toString()
     held = files.packed(rows)
     assert held.agg(F.sum("runs")).first()[0] == len(want) and held.count() <= at // files.CELL + 1 + 5
+
+
+def test_blocks_are_spelled_at_once(spark, whole):
+    """Positions are spelled a batch of blocks at a time, not exploded run by run; a range is cut out of a block that is spelled once."""
+    for df in (whole.bwt, whole.edges, whole.extract(spark.createDataFrame([(0, 5)], "lo long, hi long"))):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "explode(transform" not in plan
+    symbols = "".join(str(r["c"]) for r in whole.bwt.orderBy("pos").collect())
+    n = len(symbols)
+    asked = [(0, n), (0, 1), (63, 64), (63, 65), (10, 300), (10, 300), (n - 1, n), (n, n), (5, 5), (7, 3), (-1, 4), (n - 1, n + 1), (None, 4), *((a, a + 7) for a in range(0, n - 7, 5))]
+    got = whole.extract(spark.createDataFrame(asked, "lo long, hi long")).collect()
+    want = [(a, b, symbols[a:b] if a is not None and 0 <= a < b <= n else None) for a, b in asked]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
