@@ -122,21 +122,18 @@ def read_told(spark: SparkSession, path: str, tag: str, split: int = splits.SPLI
         return run_operators.coalesce_runs(pieces), sums(pieces, sequences="sum(if(c = 0, len, 0))", bases="sum(len)", runs="count(*)")
     ends = materialize(splits.shaped(spark, "ends", **options), "ends")
     bases = materialize(_chunk_bases(ends), "chunks")
-    parts = splits.shaped(spark, "runs", **options).join(bases, "chunk").where("NOT (nth = 0 AND on = 1)")
-    length = (F.col("len") + F.when(F.col("final"), F.col("tail")).otherwise(0)).alias("len")
-    found = parts.select((F.col("number") + F.col("nth") - F.col("on")).alias("run_id"), (F.col("base") + F.col("inside")).alias("start"), "c", length)
-    return found, sums(ends, sequences="sum(sequences)", bases="sum(bases)", runs="sum(pieces)")
+    return splits.placed(bases, options["path"], tag), sums(ends, sequences="sum(sequences)", bases="sum(bases)", runs="sum(pieces)")
 
 
 def _chunk_bases(ends: DataFrame) -> DataFrame:
-    """(chunk, base, number, on, tail): positions and runs before each chunk, 1 where its first run began before it, and by how much its last one goes on behind it. One window holds all chunks, a row for each megabyte of a file."""
+    """(chunk, at, stop, base, number, on, tail): the bytes of each chunk, positions and runs before each chunk, 1 where its first run began before it, and by how much its last one goes on behind it. One window holds all chunks, a row for each megabyte of a file."""
     order = W.orderBy("chunk")
     before = lambda x: F.coalesce(F.sum(x).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("long")
     on = ends.withColumn("on", F.coalesce((F.col("first") == F.lag("last").over(order)).cast("long"), F.lit(0)))
     own = on.withColumn("own", F.last(F.when((F.col("m") > 1) | (F.col("on") == 0), F.col("chunk")), ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0)))
-    placed = own.select("chunk", "on", "first_len", F.lag("own").over(order).alias("whose"), before("bases").alias("base"), before(F.col("m") - F.col("on")).alias("number"))
+    placed = own.select("chunk", "at", "stop", "on", "first_len", F.lag("own").over(order).alias("whose"), before("bases").alias("base"), before(F.col("m") - F.col("on")).alias("number"))
     tails = placed.where("on = 1").groupBy(F.col("whose").alias("chunk")).agg(F.sum("first_len").alias("tail"))
-    return placed.join(tails, "chunk", "left").select("chunk", "base", "number", "on", F.coalesce("tail", F.lit(0)).alias("tail"))
+    return placed.join(tails, "chunk", "left").select("chunk", "at", "stop", "base", "number", "on", F.coalesce("tail", F.lit(0)).alias("tail"))
 
 
 def qualified(spark: SparkSession, path: str) -> str:

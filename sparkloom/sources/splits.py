@@ -21,27 +21,30 @@ from . import codecs
 #: Bytes that are decoded at a time, and bytes of a split; multiples of the native block.
 CHUNK, SPLIT = 1 << 20, 64 << 20
 PIECES = "chunk long, inside long, c int, len long"
-#: What a file is read as besides its pieces: maximal runs of each chunk, numbered there, and one row for each chunk, with the first and the last of them.
+#: What a file is read as besides its pieces: one row for each chunk, with its place in the file and the first and the last of its maximal runs.
 SHAPES = {
     "pieces": PIECES,
-    "runs": "chunk long, inside long, c int, len long, nth long, final boolean",
-    "ends": "chunk long, bases long, sequences long, pieces long, m long, first int, last int, first_len long",
+    "ends": "chunk long, at long, stop long, bases long, sequences long, pieces long, m long, first int, last int, first_len long",
 }
+RUNS = "run_id long, start long, c int, len long"
 
 
-def _columns(shape: str, chunk: int, symbols: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
-    """The columns of a shape for one chunk."""
+def _columns(shape: str, chunk: int, at: int, stop: int, symbols: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
+    """The columns of a shape for one chunk, the bytes [at, stop) of a file."""
     if shape == "pieces":
         return [np.full(len(symbols), chunk), np.cumsum(lengths) - lengths, symbols.astype(np.int32), lengths]
-    pieces, kept = len(symbols), lengths > 0
+    pieces = len(symbols)
+    c, size = _maximal(symbols, lengths)
+    row = [chunk, at, stop, size.sum(), size[c == 0].sum(), pieces, len(c), c[0], c[-1], size[0]] if len(c) else []
+    return [np.array([x], np.int32 if k in (7, 8) else np.int64) for k, x in enumerate(row)]
+
+
+def _maximal(symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols and lengths of the maximal runs of a chunk's pieces."""
+    kept = lengths > 0
     symbols, lengths = symbols[kept].astype(np.int32), lengths[kept]
     begins = np.flatnonzero(np.append(True, np.diff(symbols) != 0)[: len(symbols)])
-    c, size = symbols[begins], np.add.reduceat(lengths, begins) if len(begins) else lengths
-    if shape == "runs":
-        n = len(c)
-        return [np.full(n, chunk), np.cumsum(size) - size, c, size, np.arange(n), np.arange(n) == n - 1]
-    row = [chunk, size.sum(), size[c == 0].sum(), pieces, len(c), c[0], c[-1], size[0]] if len(c) else []
-    return [np.array([x], np.int32 if k in (5, 6) else np.int64) for k, x in enumerate(row)]
+    return symbols[begins], np.add.reduceat(lengths, begins) if len(begins) else lengths
 
 
 def arrow_file(path: str) -> tuple[fs.FileSystem, str]:
@@ -73,8 +76,8 @@ class _Reader(DataSourceReader):
         system, path = arrow_file(self.path)
         with system.open_input_file(path) as data:
             for k, at in enumerate(range(part.begin, part.end, CHUNK)):
-                symbols, lengths = codecs.decode(self.tag, data.read_at(min(CHUNK, part.end - at), at))
-                found = _columns(self.shape, part.first + k, symbols, lengths)
+                stop = min(at + CHUNK, part.end)
+                found = _columns(self.shape, part.first + k, at, stop, *codecs.decode(self.tag, data.read_at(stop - at, at)))
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=[f.split()[0] for f in SHAPES[self.shape].split(", ")])
 
@@ -107,6 +110,26 @@ def shaped(spark, shape: str, path: str, tag: str, begin: int, end: int, split:
     return spark.range(0, len(parts), 1, len(parts)).mapInArrow(read, SHAPES[shape])
 
 
+def placed(bases, path: str, tag: str):
+    """Maximal runs(run_id, start, c, len) of a file, of bases(at, stop, base, number, on, tail), a row for each chunk: a task decodes the chunks whose rows it has.
+
+    So no run meets a table in a join, for which Spark would guess the size of the runs from that of the rows that name the chunks.
+    """
+
+    def read(batches):
+        system, name = arrow_file(path)
+        with system.open_input_file(name) as data:
+            for batch in batches:
+                for at, stop, base, number, on, tail in zip(*(column.to_pylist() for column in batch.columns)):
+                    c, size = _maximal(*codecs.decode(tag, data.read_at(stop - at, at)))
+                    start, number = base + np.cumsum(size) - size, number - on + np.arange(len(c))
+                    size[-1] += tail
+                    yield pa.RecordBatch.from_arrays([pa.array(x[on:]) for x in (number, start, c, size)], names=["run_id", "start", "c", "len"])
+
+    dealt = bases.repartition(4 * bases.sparkSession.sparkContext.defaultParallelism).sortWithinPartitions("at")
+    return dealt.select("at", "stop", "base", "number", "on", "tail").mapInArrow(read, RUNS)
+
+
 @dataclass
 class Written(WriterCommitMessage):
     """What a task says of what it wrote: chunks and bytes."""

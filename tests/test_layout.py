@@ -285,3 +285,13 @@ def test_blocks_are_spelled_at_once(spark, whole):
     got = whole.extract(spark.createDataFrame(asked, "lo long, hi long")).collect()
     want = [(a, b, symbols[a:b] if a is not None and 0 <= a < b <= n else None) for a, b in asked]
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+@pytest.mark.parametrize("tag", ["ropebwt", "sdsl"])
+def test_runs_of_a_file_meet_no_table(spark, tmp_path, tag):
+    """Spark cannot take the runs of a file for small and send them to all workers through the driver: they stand in no join."""
+    rows = spark.createDataFrame([(k, 3 * k, k % 2, 3) for k in range(500)], "run_id long, start long, c int, len long")
+    files.write_runs(rows, str(tmp_path / "f"), tag, codecs.FORMATS[tag].order)
+    read = files.read_runs(spark, str(tmp_path / "f"), tag)
+    assert "Join" not in read._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, read.collect())) == sorted(map(tuple, rows.collect()))
