@@ -203,8 +203,7 @@ def q_ranks_all(spark, sf_dir):
 @query(f"{C} SELECT row_number() OVER (PARTITION BY c ORDER BY pos) AS i, c, pos FROM bwt")
 def q_select_batch(spark, sf_dir):
     ix = index(spark, sf_dir)
-    asked = ix.alphabet.select(F.col("comp").alias("c"), F.col("cnt").alias("n")).where("n > 0").select("c", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("i"))
-    return ix.select(asked).select("i", "c", "pos")
+    return ix.select(lookups.occurrences(spark, ix.counts)).select("i", "c", "pos")
 
 
 @query(f"{C} SELECT pos AS i, c, row_number() OVER (PARTITION BY c ORDER BY pos) - 1 AS r FROM bwt")

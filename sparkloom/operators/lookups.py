@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -99,11 +99,11 @@ def _told(asked: DataFrame, blocks: DataFrame, look, out: str) -> DataFrame:
     """asked(_q, _i, _c, blk) as ``_q`` and the columns ``out``: what ``look`` tells of a spelled block, places _i and symbols _c.
 
     A task has the questions in the order of their blocks. Only the first one of a block carries it, so a block passes once, however many
-    questions it has, and a task holds one.
+    questions it has, and a task holds one. Neither side is sent to all workers, as sizes that Spark guesses of questions tell nothing.
     """
     numbered = asked.withColumn("_n", F.row_number().over(W.partitionBy("blk").orderBy("_i")))
     carried = F.when(F.col("_n") == 1, F.struct("start_pos", *_BEFORE, "sym", "at")).alias("_b")
-    rows = numbered.join(blocks, "blk").select("_q", F.col("_i").cast("long"), F.col("_c").cast("long"), "blk", "_n", carried).sortWithinPartitions("blk", "_n")
+    rows = numbered.hint("merge").join(blocks, "blk").select("_q", F.col("_i").cast("long"), F.col("_c").cast("long"), "blk", "_n", carried).sortWithinPartitions("blk", "_n")
     names = [f.split()[0] for f in out.split(", ")]
     kinds = [pa.int32() if f.endswith(" int") else pa.int64() for f in out.split(", ")]
 
@@ -296,6 +296,19 @@ def edges(blocks: DataFrame, counts: list[int]) -> DataFrame:
     return blocks.where("sym <> ''").select("start_pos", "sym", "at", *_BEFORE).mapInArrow(spell, "pos long, c int, r long, lf long")
 
 
+def occurrences(spark: SparkSession, counts: list[int]) -> DataFrame:
+    """(i, c): every occurrence of every symbol, by its number from 1, made in as many tasks as the session has."""
+    below = np.array(smaller(counts), np.int64)
+
+    def number(batches):
+        for batch in batches:
+            at = batch.column(0).to_numpy()
+            c = np.searchsorted(below[1:], at, "right")
+            yield pa.RecordBatch.from_arrays([pa.array(at + 1 - below[c]), pa.array(c.astype(np.int32))], names=["i", "c"])
+
+    return spark.range(sum(counts)).mapInArrow(number, "i long, c int")
+
+
 def directory(blocks: DataFrame, counts: list[int]) -> DataFrame:
     """dir(cell, held): for every STRIDE occurrences of a symbol the blocks that hold some of them, held: array<(before, blk)>, sorted; before: occurrences of the symbol before the block.
 
@@ -311,14 +324,15 @@ def directory(blocks: DataFrame, counts: list[int]) -> DataFrame:
 def select(at: DataFrame, directory: DataFrame, blocks: DataFrame, counts: list[int], i: str = "i", c: str = "c", out: str = "pos", size: int = SAMPLE) -> DataFrame:
     """``at`` with the position of the i-th ``c`` (from 1): 0 for i = 0, the size past the last one or for another symbol.
 
-    The directory names the block by an equi-join on the stretch of occurrences, and a second one looks into that block. Both tables stay where they are.
+    The directory names the block by an equi-join on the stretch of occurrences, and a second one looks into that block. Both tables stay where they are,
+    and questions are dealt out to them, however few Spark takes them for: made by few rows, they would pass through the driver and meet one task.
     """
     total = sum(counts)
     good = F.expr(f"coalesce(`{i}` >= 1 AND `{i}` <= {_one_of(f'`{c}`', counts)}, false)")
     there = at.where(good).select(_question(at), (F.col(i) - 1).cast("long").alias("_z"), F.col(c).alias("_c"))
     there = there.withColumn("cell", cell("_z", STRIDE) * 8 + F.col("_c"))
     place = _halved(STRIDE, "get(held, {} - 1).before <= _z", "size(held)")
-    named = directory.join(there, "cell").select("_q", "_z", "_c", F.expr(f"get(held, {place} - 1).blk").alias("blk"))
+    named = directory.join(there.hint("merge"), "cell").select("_q", "_z", "_c", F.expr(f"get(held, {place} - 1).blk").alias("blk"))
     found = _tidy(_told(named.withColumnRenamed("_z", "_i"), blocks, _place_of, "_v long"), at, F.col("_v").alias(out))
     return found.unionByName(at.where(~good).select("*", F.when(F.col(i) <= 0, 0).otherwise(total).cast("long").alias(out)))
 

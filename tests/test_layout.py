@@ -295,3 +295,16 @@ def test_runs_of_a_file_meet_no_table(spark, tmp_path, tag):
     read = files.read_runs(spark, str(tmp_path / "f"), tag)
     assert "Join" not in read._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, read.collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_questions_are_dealt_out(spark, whole):
+    """Questions that Spark takes for few, made by few rows, are not sent to all workers; every occurrence of every symbol is numbered in all tasks."""
+    made = spark.createDataFrame([(c, n) for c, n in enumerate(whole.counts) if n], "c int, n long").select("c", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("i"))
+    every = lookups.occurrences(spark, whole.counts)
+    assert sorted(map(tuple, every.select("c", "i").collect())) == sorted(map(tuple, made.collect()))
+    assert every.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    for asked in (made, every):
+        plan = whole.select(asked)._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan
+    none = lookups.occurrences(spark, [0, 3, 0, 0, 2, 0])
+    assert sorted(map(tuple, none.collect())) == [(1, 1), (1, 4), (2, 1), (2, 4), (3, 1)]
