@@ -79,3 +79,20 @@ def test_heads_of_some_places(spark, held):
     for _, _, digits, left, _ in spelled._layouts(held.select(F.lit(0).cast("long").alias("coll"), "seq_id", "s").toArrow().to_batches()):
         for at in (np.arange(len(digits)), np.arange(3, len(digits), 7), np.array([], int)):
             assert spelled._heads_at(digits, left, at).tolist() == spelled._heads(digits, left)[at].tolist()
+
+
+def test_suffixes_looked_up_again(spark, held, monkeypatch):
+    """Suffixes with an ambiguous head are sorted by all their symbols and their texts, and leave as a string for each head and range, not a row each."""
+    made = {}
+    real = spelled.materialize
+    monkeypatch.setattr(spelled, "materialize", lambda df, name, *more: made.setdefault(name, real(df, name, *more)) if name == "late" else real(df, name, *more))
+    spelled.spelled(held.drop("coll"), 64)
+    late = made["late"].agg(F.count("*"), F.sum(F.length("s"))).first()
+    assert 2 * late[0] < late[1]
+    rests = ["".join(RNG.choices("12", k=RNG.randrange(0, 99))) for _ in range(200)] + ["1" * n for n in (0, 22, 23, 24, 45, 46, 47, 46, 46)]
+    rows = [(RNG.randrange(3), r, RNG.randrange(2), RNG.randrange(50)) for r in rests * 2]
+    group, coll, seq = (np.array([r[k] for r in rows]) for k in (0, 2, 3))
+    symbols = np.frombuffer("".join(r[1] for r in rows).encode(), np.uint8) - 48
+    order = spelled._late_order(group, symbols, np.array([len(r[1]) for r in rows]), coll, seq)
+    assert [rows[k] for k in order] == sorted(rows)
+    assert spelled._unpack_symbols(spelled._pack_symbols(symbols))[: len(symbols)].tolist() == symbols.tolist()
