@@ -308,3 +308,19 @@ def test_questions_are_dealt_out(spark, whole):
         assert "Broadcast" not in plan
     none = lookups.occurrences(spark, [0, 3, 0, 0, 2, 0])
     assert sorted(map(tuple, none.collect())) == [(1, 1), (1, 4), (2, 1), (2, 4), (3, 1)]
+
+
+def test_an_index_is_made_where_its_symbols_lie(spark):
+    """Spelled symbols lie in the buckets of the index's blocks, which are made of them there: neither moves, and a bucket is one file."""
+    held = transform_spelled(spark)
+    made = runs.blocks_of_spelled(held, 64)
+    assert not moved_tables(made, "sparkloom_spelled")
+    files_of = Index.of_texts(texts(spark, ROWS), block_size=64).blocks.inputFiles()
+    buckets = [f.rpartition("_")[2][:5] for f in files_of]
+    assert len(buckets) == len(set(buckets))
+
+
+def transform_spelled(spark):
+    from sparkloom.operators import spelled as symbols
+
+    return symbols.spelled(texts(spark, ROWS), 64)
