@@ -47,6 +47,8 @@ class Index:
         bwt = transform.build(texts)
         made = cls.of_bwt(bwt, order, block_size)
         if places:
+            size = invert.chunk_size(block_size)
+            made._kept["starts", places] = invert.starts(bwt, made.sequences, places, size), size
             made._kept["places", places] = laid_out(invert.sampled(bwt, places), "pos", "places")
         forget(bwt)
         return made
@@ -83,6 +85,10 @@ class Index:
         """(pos, seq_id, off): every ``step``-th symbol of each text; texts are those that the index was made of, or numbered in their order where it was made without them."""
         return self._once(("places", step), lambda: laid_out(invert.sampled_without_texts(self, step), "pos", "places"))
 
+    def starts(self, step: int = 32) -> tuple[DataFrame, int] | None:
+        """The sampled places and the texts' ends, packed by chunks of so many positions; None where no places were kept when the index was made of texts."""
+        return self._kept.get(("starts", step))
+
     def _once(self, name, make) -> DataFrame:
         if name not in self._kept:
             self._kept[name] = make()

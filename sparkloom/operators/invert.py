@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.alphabet import SIGMA
 from ..plans.order import cell
@@ -24,17 +25,28 @@ CHUNK, STEPS = 1 << 18, 1 << 10
 _WALK = "chunk long, n long, at binary, seqs binary, words binary"
 
 
+def chunk_size(block_size: int) -> int:
+    """Positions of a chunk of an index, whole blocks."""
+    return max(1, CHUNK // block_size) * block_size
+
+
+def _chunks(index, size: int) -> DataFrame:
+    """(chunk, s, before) of an index: its symbols by chunks of ``size`` positions, in buckets, and how many of each come before the chunk."""
+    per = size // index.block_size
+    parts = runs.spelled_of(index.blocks).groupBy(cell("blk", per).alias("chunk")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("blk", "s"))), lambda x: x["s"]), "").alias("s"))
+    heads = index.blocks.where(F.col("blk") % per == 0).select(cell("blk", per).alias("chunk"), F.array(*(F.col(f"n{k}") for k in range(SIGMA))).alias("before"))
+    return laid_out(parts.join(heads, "chunk"), "chunk", "chunks")
+
+
 def walk(index, steps: int = STEPS) -> DataFrame | None:
     """(chunk, n, at, seqs, words, round) of an index: after ``round`` steps back from its end, where each text is, packed by chunks of positions; None if a text has more than ``steps`` symbols.
 
     A round moves one place a text, sorted, its number and the symbols met since the last word, to the chunks, which lie in buckets and stay, so
     all rounds together move a few bytes a position. Where the words of HEAD symbols are full and where texts begin there are rows of chunk -1, with the words of texts, the last symbol first.
     """
-    spark, counts, per = index.blocks.sparkSession, index.counts, max(1, CHUNK // index.block_size)
-    size, below = per * index.block_size, lookups.smaller(index.counts)
-    parts = runs.spelled_of(index.blocks).groupBy(cell("blk", per).alias("chunk")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("blk", "s"))), lambda x: x["s"]), "").alias("s"))
-    heads = index.blocks.where(F.col("blk") % per == 0).select(cell("blk", per).alias("chunk"), F.array(*(F.col(f"n{k}") for k in range(SIGMA))).alias("before"))
-    chunks = laid_out(parts.join(heads, "chunk"), "chunk", "chunks")
+    spark, counts, below = index.blocks.sparkSession, index.counts, lookups.smaller(index.counts)
+    size = chunk_size(index.block_size)
+    chunks = _chunks(index, size)
 
     def begin(batches):
         for batch in batches:
@@ -112,7 +124,7 @@ def texts_of_index(index) -> DataFrame:
 
 def located_in_index(found: DataFrame, index) -> DataFrame:
     """(pattern_id, seq_id, off) of found(pattern_id, lo, hi), from an index without texts or sampled places: every place of a pattern. Ranges meet the walk by its chunks."""
-    walked, size = walk(index), max(1, CHUNK // index.block_size) * index.block_size
+    walked, size = walk(index), chunk_size(index.block_size)
     if walked is None:
         places = materialize(places_of(index.edges, index.counts), "places")
         return locate(found, places, places.groupBy("seq_id").agg(F.max("back").alias("n")))
@@ -209,13 +221,125 @@ def walked(at: DataFrame, index, step: int) -> DataFrame:
     return out
 
 
+_PLACES = "chunk long, n long, at binary, seqs binary, offs binary"
+
+
+def starts(bwt: DataFrame, sequences: int, step: int, size: int) -> DataFrame:
+    """(chunk, n, at, seqs, offs) of bwt(pos, c, seq_id, off): where every ``step``-th symbol of each text and its end stand, packed by chunks of ``size`` positions."""
+
+    def pack(batches):
+        for batch in batches:
+            pos, seq, off = (batch.column(k).to_numpy() for k in range(3))
+            yield from _places(pos, seq, off, size)
+
+    kept = bwt.where((F.pmod("off", F.lit(step)) == 0) | (F.col("pos") < sequences)).select("pos", "seq_id", "off")
+    return materialize(kept.mapInArrow(pack, _PLACES), "starts", "zstd")
+
+
+def _places(pos: np.ndarray, seq: np.ndarray, off: np.ndarray, size: int):
+    """Rows of _PLACES, one for each chunk."""
+    order = np.argsort(pos, kind="stable")
+    pos, seq, off = pos[order], seq[order], off[order]
+    edge = np.flatnonzero(np.diff(pos // size, prepend=-1)).tolist()
+    rows = [(int(pos[a] // size), b - a, _pack(pos[a:b], True), _pack(seq[a:b]), _pack(off[a:b])) for a, b in zip(edge, [*edge[1:], len(pos)])]
+    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=[f.split()[0] for f in _PLACES.split(", ")])
+
+
+def spread_places(index, begin: DataFrame, step: int, size: int) -> DataFrame:
+    """(chunk, n, at, seqs, offs): every position of an index once, with its text and the offset there, packed by chunks. Each of ``starts`` goes back to the next sampled place, so
+    a round moves a place for every ``step`` positions, there are ``step`` rounds at most, and the chunks stay in their buckets."""
+    spark, below, chunks = index.blocks.sparkSession, lookups.smaller(index.counts), _chunks(index, size)
+    fields = pa.schema([(f.split()[0], pa.binary() if f.endswith("binary") else pa.int64()) for f in _PLACES.split(", ")])
+
+    def stepped(key, there, held):
+        if not there.num_rows:
+            return fields.empty_table()
+        chunk, rows, out = key[0].as_py(), there.to_pylist(), []
+        at, seqs, offs = np.concatenate([_unpack(r["at"], True) for r in rows]), *(np.concatenate([_unpack(r[n]) for r in rows]) for n in ("seqs", "offs"))
+        goes = np.flatnonzero((offs > 0) & ((offs - 1) % step != 0))  # the others meet a sampled place, or the text begins
+        at, seqs, offs = at[goes] - chunk * size, seqs[goes], offs[goes] - 1
+        symbols, before = np.frombuffer(held.column("s")[0].as_py().encode(), np.uint8) - 48, held.column("before")[0].as_py()
+        own = symbols[at]
+        for c in range(1, SIGMA):
+            mine = np.flatnonzero(own == c)
+            if len(mine):
+                to = below[c] + before[c] + np.searchsorted(np.flatnonzero(symbols == c), at[mine])
+                out += _places(to, seqs[mine], offs[mine], size)
+        return pa.Table.from_batches(out, fields)
+
+    path = f"{shared_dir(spark)}/spread-{uuid.uuid4().hex}"
+    now, k = begin, 0
+    while True:
+        seen = Observation()
+        now.observe(seen, F.count(F.lit(1)).alias("open")).write.parquet(f"{path}/round={k}", compression="zstd")
+        if not seen.get["open"]:
+            return spark.read.schema(f"{_PLACES}, round int").parquet(path).drop("round")
+        level = spark.read.schema(_PLACES).parquet(f"{path}/round={k}")
+        now, k = level.groupBy("chunk").cogroup(chunks.groupBy("chunk")).applyInArrow(stepped, _PLACES), k + 1
+
+
+#: Rows that are put together at once.
+TOLD = 1 << 20
+
+
+def _met(ranges: DataFrame, places: DataFrame, size: int) -> DataFrame:
+    """(pattern_id, seq_id, off) of ranges(pattern_id, lo, hi) and of every position's place, packed by chunks: a task has the ranges of a chunk, then its places, and gives rows some ranges at a time."""
+    none = lambda name, kind: F.lit(None).cast(kind).alias(name)
+    kind = ranges.schema["pattern_id"].dataType
+    asked = ranges.select(F.explode(F.sequence(cell("lo", size), cell(F.col("hi") - 1, size))).alias("chunk"), F.lit(0).alias("kind"), "pattern_id", "lo", "hi", *(none(n, "binary") for n in ("at", "seqs", "offs")))
+    held = places.select("chunk", F.lit(1).alias("kind"), none("pattern_id", kind), none("lo", "long"), none("hi", "long"), "at", "seqs", "offs")
+    buckets = int(ranges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = asked.unionByName(held).repartition(buckets, "chunk").sortWithinPartitions("chunk", "kind")
+
+    def tell(batches):
+        now, kept = None, []
+        for batch in batches:
+            chunk = batch.column(0).to_numpy()
+            edge = np.flatnonzero(np.diff(chunk, prepend=-1)).tolist()
+            for a, b in zip(edge, [*edge[1:], len(chunk)]):
+                if kept and chunk[a] != now:
+                    yield from told(int(now), pa.Table.from_batches(kept))
+                    kept = []
+                now = chunk[a]
+                kept.append(batch.slice(a, b - a))
+        if kept:
+            yield from told(int(now), pa.Table.from_batches(kept))
+
+    def told(chunk, table):
+        asks = int(np.count_nonzero(table.column(1).to_numpy() == 0))
+        if not asks:
+            return
+        at, seqs, offs = (np.concatenate([_unpack(x, n == 5) for x in table.column(n)[asks:].to_pylist()]) for n in (5, 6, 7))
+        order = np.argsort(at)  # every position of the chunk, once
+        seqs, offs, names = seqs[order], offs[order], table.column(2)[:asks].combine_chunks()
+        low, high = (np.clip(table.column(n)[:asks].to_numpy() - chunk * size, 0, len(at)) for n in (3, 4))
+        n = high - low
+        ends = np.cumsum(n)
+        a = 0
+        while a < asks:
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + TOLD, "right")))
+            m = n[a:b]
+            pick = np.repeat(low[a:b] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(np.repeat(np.arange(a, b), m))), pa.array(seqs[pick]), pa.array(offs[pick])], names=["pattern_id", "seq_id", "off"])
+            a = b
+
+    return rows.mapInArrow(tell, StructType([ranges.schema["pattern_id"], *StructType.fromDDL("seq_id long, off long").fields]))
+
+
 def located(found: DataFrame, index, step: int = 32, block: int = 1 << 12) -> DataFrame:
     """(pattern_id, seq_id, off) of found(pattern_id, lo, hi): every place where a pattern occurs, from sampled places.
 
     A position is walked back from once, in however many patterns' ranges it lies; ranges meet the places by blocks of positions, an equi-join.
+    Where so many are asked for that this takes more steps than the index has positions, all sampled places are walked back from instead, packed, each to the one before it.
     Work grows with the positions asked for, which the index bounds, and with the rows that are returned.
     """
-    ranges = found.where("lo < hi")
+    ranges = materialize(found.where("lo < hi").select("pattern_id", "lo", "hi"), "ranges")
+    asked = min(index.bases, ranges.select("lo", "hi").distinct().agg(F.sum(F.col("hi") - F.col("lo"))).first()[0] or 0)
+    if asked > lookups.SENT and asked * step > 2 * index.bases:
+        if index.starts(step) is None:  # texts are numbered in their order
+            return located_in_index(ranges, index)
+        begin, size = index.starts(step)
+        return _met(ranges, spread_places(index, begin, step, size), size)
     each = ranges.select("lo", "hi").distinct().select(F.explode(F.sequence("lo", F.col("hi") - 1)).alias("pos")).distinct()
     places = materialize(walked(each.withColumn("_at", F.col("pos")), index, step), "located")
     cells = ranges.select("pattern_id", "lo", "hi", F.explode(F.sequence(cell("lo", block), cell(F.col("hi") - 1, block))).alias("blk"))

@@ -47,3 +47,24 @@ def test_no_texts(spark, ix):
     none = Index.of_texts(spark.createDataFrame([], "seq_id long, s string"))
     assert invert.texts_of_index(none).count() == 0
     assert invert.located_in_index(spark.createDataFrame([(1, 0, 0)], "pattern_id long, lo long, hi long"), none).count() == 0
+
+
+@pytest.mark.parametrize(("chunk", "step"), [(16, 8), (1 << 18, 5), (64, 1)])
+def test_many_places_from_sampled_ones(spark, ix, monkeypatch, chunk, step):
+    """Where most positions are asked for, each is met once from the sampled place behind it, packed; no position is walked back from."""
+    monkeypatch.setattr(invert, "CHUNK", chunk)
+    monkeypatch.setattr(invert, "TOLD", 7)
+    monkeypatch.setattr(invert.lookups, "SENT", 10)
+    monkeypatch.setattr(invert, "walked", None)
+    made = Index.of_texts(spark.createDataFrame([(5 * i, t) for i, t in enumerate(TEXTS)], "seq_id long, s string"), block_size=16, places=step)
+    begin, size = made.starts(step)
+    spread = invert.spread_places(made, begin, step, size)
+    assert spread.agg(F.sum("n")).first()[0] == made.bases
+    asked = {0: "5", 1: "1", 2: "2", 3: "3", 4: "4", 5: "55", 6: "1234", 7: "21", 8: "1", 9: "5" * 30}
+    want = sorted((k, 5 * i, o) for k, x in asked.items() for i, t in enumerate(TEXTS) for o in range(len(t)) if t.startswith(x, o))
+    p = spark.createDataFrame([(k, x.translate(str.maketrans("12345", "ACGTN"))) for k, x in asked.items()], "pattern_id long, pattern string")
+    if step > 2:
+        assert sorted(map(tuple, made.locate(p, step).collect())) == want
+        assert sorted((k, 5 * i, o) for k, i, o in ix.locate(p, step).collect()) == want  # an index without places
+    else:
+        assert sorted(map(tuple, invert._met(made.find(p).where("lo < hi").select("pattern_id", "lo", "hi"), spread, size).collect())) == want
